@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 
@@ -16,7 +17,7 @@ from pyspark.sql.types import StructType
 from ..session import ship
 
 #: Bytes of text that the array kernels take at a time; their working memory is about 60 times that.
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,6 +28,10 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def unique() -> str:
+    return uuid.uuid4().hex
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a checkpoint in the shared folder."""
     shared_dir(df.sparkSession)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, jaccard, line_rules, packing, secrets
+from . import decontam, jaccard, line_rules, lm, packing, repeats, secrets
 from .common import table
 
 
@@ -12,6 +12,14 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.dedup(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.line_report(table(spark, sf_dir, "documents"))
 
@@ -28,5 +36,5 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scans, op4_quality_rules, op5_benchmark_decontamination, op9_best_fit_packing, op10_ngram_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_lm_scoring, op3_substring_dedup, op4_quality_rules, op5_benchmark_decontamination, op9_best_fit_packing, op10_ngram_jaccard_join)}
 ORACLE_SQL: dict[str, str] = {}

@@ -157,3 +157,72 @@ def test_pruning_rule_is_the_posterior():
     for m, pruned in ((need - 1, True), (need, False)):
         p = grid**m * (1 - grid) ** (n - m)
         assert (p[grid >= 0.8].sum() / p.sum() < jaccard.TOLERANCE * 1.5) == pruned
+
+
+def test_repeats(spark, docs, data, empty, monkeypatch):
+    from gridlore.llm import exchange, repeats
+
+    want = brute.repeats(data)
+    for size in (exchange.CHUNK_BYTES, 40_000):
+        monkeypatch.setattr(exchange.layout, "__defaults__", (size, size))
+        got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in repeats.dedup(docs).collect()}
+        assert got == want
+    spans = repeats.maximal(docs).groupBy("doc_id").sum("length").collect()
+    assert {r.doc_id: r["sum(length)"] for r in spans} == {i: w[1] for i, w in want.items() if w[1]}
+    assert repeats.dedup(empty).count() == 0
+
+
+def test_lm(spark, docs, data, empty, monkeypatch):
+    import math
+    from collections import Counter
+
+    from gridlore.llm import exchange, lm
+
+    toks = {i: [x.translate(brute.AZ) for x in brute.SPACED.findall(t or "")] + [None] for i, t in data}
+    trains = {i: brute.crc_mod(i, 7) != 2 for i in toks}
+    uni = Counter(x for i, w in toks.items() if trains[i] for x in w)
+    bi = Counter(x for i, w in toks.items() if trains[i] for x in zip(["<s>", *w], w))
+    n, v, starts = sum(uni.values()), len(uni), sum(trains.values())
+    learned = []
+    monkeypatch.setattr(lm, "learn", lambda cells, f=lm.learn: learned.append(f(cells)) or learned[-1])
+    for size in (exchange.CHUNK_BYTES, 40_000):
+        monkeypatch.setattr(exchange.layout, "__defaults__", (size, size))
+        got = {r.doc_id: r for r in lm.score(docs).collect()}
+        assert got.keys() == toks.keys()
+        weights = learned[-1]
+        assert np.allclose(weights.sum(1), 1) and weights[3:8, 0].mean() > 0.05
+        for i, w in toks.items():
+            r = got[i]
+            assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (not trains[i], len(w), sum(uni[x] > 0 for x in w), n)
+            assert r.base_score == pytest.approx(sum(math.log10((uni[x] + 1) / (n + v + 1)) for x in w), rel=1e-9)
+            own = 0.0
+            for a, b in zip(["<s>", *w], w):
+                c = starts if a == "<s>" else uni[a]
+                x = weights[min(1 + int(math.log2(c)), lm.BUCKETS - 1) if c else 0]
+                own += math.log10(x[0] * bi[a, b] / max(c, 1) + x[1] * uni[b] / n + x[2] / (v + 1))
+            assert r.score == pytest.approx(own, rel=1e-9)
+    better = sum(r.score > r.base_score for r in got.values() if r.held_out and r.n_tokens > 60)
+    assert better > 0.8 * sum(r.held_out and r.n_tokens > 60 for r in got.values())
+    assert lm.score(empty).count() == 0
+
+
+def test_weights_are_those_of_plain_expectation_maximisation():
+    from gridlore.llm import lm
+
+    rng = np.random.default_rng(5)
+    w, vw = rng.integers(0, 50, 4000), rng.integers(0, 4, 4000)
+    vw = np.minimum(vw, w)
+    code, big, one = lm.grid_cells(w, vw, 100, 100_000, 1e-3)
+    cells = [(int(c), int((code == c).sum()), big[code == c].sum(), one[code == c].sum()) for c in np.unique(code)]
+    got = lm.learn(cells)
+    v = lm._contexts(w, 100)
+    b, p = lm.bucket(v), np.stack([vw / np.maximum(v, 1) / 1e-3, w / 100_000 / 1e-3, np.ones(len(w))], 1)
+    want = np.tile([0.5, 0.3, 0.2], (lm.BUCKETS, 1))
+    want[0] = [0, 0.6, 0.4]
+    for _ in range(200):
+        g = p * want[b]
+        g /= g.sum(1, keepdims=True)
+        for k in np.unique(b):
+            want[k] = np.maximum(g[b == k].mean(0), [0, 0, 1e-9])
+            want[k] /= want[k].sum()
+    assert np.abs(got - want)[np.unique(b)].max() < 0.02
