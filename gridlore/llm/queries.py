@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, jaccard, line_rules, lm, packing, repeats, secrets
+from . import chat, decontam, jaccard, licenses, line_rules, lm, packing, repeats, secrets, toxicity
 from .common import table
 
 
@@ -28,6 +28,18 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.repair(table(spark, sf_dir, "conversations"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -36,5 +48,5 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_lm_scoring, op3_substring_dedup, op4_quality_rules, op5_benchmark_decontamination, op9_best_fit_packing, op10_ngram_jaccard_join)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_lm_scoring, op3_substring_dedup, op4_quality_rules, op5_benchmark_decontamination, op6_license_scans, op7_chat_formatting, op8_toxicity, op9_best_fit_packing, op10_ngram_jaccard_join)}
+ORACLE_SQL: dict[str, str] = {"op6_license_scans": licenses.sql()}

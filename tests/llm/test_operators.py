@@ -226,3 +226,127 @@ def test_weights_are_those_of_plain_expectation_maximisation():
             want[k] = np.maximum(g[b == k].mean(0), [0, 0, 1e-9])
             want[k] /= want[k].sum()
     assert np.abs(got - want)[np.unique(b)].max() < 0.02
+
+
+def test_toxicity_gradients():
+    from gridlore.llm import toxicity
+
+    rng = np.random.default_rng(2)
+    net = toxicity.Net(rng, np.arange(3, dtype=np.uint64))
+    net.p = {k: v.astype(float) for k, v in net.p.items()}
+    x, idx = rng.standard_normal((9, toxicity.WIDTH)), rng.integers(0, 9, (5, toxicity.WINDOW))
+    length, y = np.array([48, 3, 0, 17, 1]), np.array([1, 0, 1, 0, 1.0])
+
+    def loss():
+        z = net.forward(x, idx, length)
+        return float((np.logaddexp(0, z) - y * z).mean())
+
+    g, dx = net.gradients(x, idx, length, y, np.ones(5))
+    for name, grad in [*g.items(), ("x", dx)]:
+        value = x if name == "x" else net.p[name]
+        for _ in range(4):
+            at = tuple(rng.integers(0, s) for s in value.shape)
+            old, eps = value[at], 1e-3
+            value[at] = old + eps
+            up = loss()
+            value[at] = old - eps
+            down = loss()
+            value[at] = old
+            assert (up - down) / (2 * eps) == pytest.approx(float(grad[at]), abs=3e-5), name
+
+
+def test_toxicity_learns_and_scores_windows(spark, docs, data, empty):
+    from gridlore.llm import toxicity
+
+    rng = np.random.default_rng(4)
+    words = [f"{a}{b}" for a in ("lor", "ips", "dol", "amet") for b in ("em", "um", "or", "is", "at")]
+    made = []
+    for k in range(900):
+        w = [words[j] for j in rng.integers(0, len(words), int(rng.integers(5, 260)))]
+        if k % 4 == 0:
+            w[int(rng.integers(0, len(w)))] = ("vilething", "nastyword")[k // 4 % 2]
+        made.append((20_000 + k, " ".join(w), int(k % 4 == 0)))
+    table = brute.frame(spark, [(i, t) for i, t, _ in made] + data)
+    labels = spark.createDataFrame([(i, y) for i, _, y in made] + [(20_000, 1), (None, 1), (20_001, None)], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.score(table, labels).collect()}
+    assert len(got) == len(made) + len(data) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in got.values())
+    held = [(got[i], y) for i, _, y in made if brute.crc_mod(i, 5) == 0]
+    assert all(r.held_out for r, _ in held) and np.mean([r.predicted == y for r, y in held]) > 0.95
+    assert toxicity.score(empty, labels).count() == 0
+    assert {r.score for r in toxicity.score(docs, labels.limit(0)).collect()} == {0.0}
+    n = np.array([0, 0, 47, 48, 49, 200])
+    start, length, doc = toxicity.windows(np.cumsum(n))
+    for d in range(1, 6):
+        covered = {j for s, m in zip(start[doc == d - 1], length[doc == d - 1]) for j in range(s, s + m)}
+        assert covered == set(range(np.cumsum(n)[d - 1], np.cumsum(n)[d]))
+
+
+def test_licenses(spark, sf_dir, data, empty, tmp_path):
+    import duckdb
+
+    from gridlore.llm import licenses
+
+    apache = "Copyright 2020 Someone. Licensed under the Apache License, Version 2.0 (the \"License\").\n"
+    gpl = "// This program is free software: you can redistribute it and/or modify\n// it under the terms of the GNU General Public License as published by\n// the Free Software Foundation, either version 3 of the License, or\n// (at your option) any later version.\n"
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the x), to deal. The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS."
+    cases = {
+        "Some prose.\nLicensed under the Apache License, Version 2.0.": "Apache-2.0", "no end here***\n\nLicensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", gpl: "GPL-3.0-or-later", mit: "MIT",
+        "Released under the MIT License. This work is licensed under the GNU General Public License, version 3.": "GPL-3.0-only,MIT", "All rights reserved.": "", "An unlicensed sentence about licences.": "", apache: "",
+    }
+    table = brute.frame(spark, data + [(50_000 + k, t) for k, t in enumerate(cases)])
+    got = {r.doc_id: r for r in licenses.scan(table).collect()}
+    assert [got[50_000 + k].licenses for k in range(len(cases))] == list(cases.values())
+    assert got[50_005].n_open == 1 and got[50_005].sentences == "reserved" and got[50_003].n_known == 3
+    path = str(tmp_path / "d.parquet")
+    table.toPandas().to_parquet(path)
+    want = duckdb.sql(licenses.sql(f"'{path}'")).fetchall()
+    assert sorted(want) == sorted(tuple(r) for r in got.values())
+    assert licenses.scan(empty).count() == 0
+    import re
+
+    for name, ends in licenses.SENTENCES:  # the hints must not hide a sentence
+        assert any(h in re.sub(r"[()|?]", " ", ends) for h in licenses.HINTS), name
+    plan = licenses.scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Exchange" not in plan
+
+
+def test_chat(spark, sf_dir, monkeypatch):
+    from itertools import groupby
+
+    from gridlore.llm import chat
+
+    rng = np.random.default_rng(6)
+    made = [(i, t, r, x) for i, t, r, x in ((r.conv_id, r.turn, r.role, r.text) for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").collect())]
+    roles = ["user", "assistant", "system", "User ", None, "tool", ""]
+    made += [(9000 + k, t, roles[int(rng.integers(0, 7))], None if t % 5 == 4 else f"text {k} {t} <|im_end|>") for k in range(60) for t in range(int(rng.integers(1, 9)))]
+    made += [(9999, t, roles[int(rng.integers(0, 5))], f"long {t}") for t in range(700)] + [(None, 1, "user", "a"), (None, None, "user", "a"), (9100, 1, "user", "same"), (9100, 1, "user", "same")]
+    frame = spark.createDataFrame([(*r, 1) for r in made], "conv_id long, turn long, role string, text string, part int")
+    results = []
+    for n in ("1", "3", "11"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        results.append(sorted((tuple(r) for r in chat.repair(frame).collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[2])))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert results[0] == results[1] == results[2]
+    assert chat.repair(frame.limit(0)).count() == 0
+    key = lambda r: tuple((x is not None, x if x is not None else 0) for x in r)
+    inputs = {c: sorted(g, key=key) for c, g in groupby(sorted(made, key=key), key=lambda r: r[0])}
+    for conv, rows in groupby(results[0], key=lambda r: r[0]):
+        rows = list(rows)
+        turns = inputs[conv]
+        assert [(r[1], r[3]) for r in rows] == [(t[1], t[2]) for t in turns] and [r[2] for r in rows] == list(range(len(rows)))
+        # least cost by trying all states, turn by turn
+        best = {0: 0}
+        for t in turns:
+            new = {}
+            for s, c in best.items():
+                for a, b, cost, _, _ in chat.choices(chat.role_number(t[2])):
+                    if a == s:
+                        new[b] = min(new.get(b, 1 << 30), c + cost)
+            best = new
+        assert sum(r[8] for r in rows) == min(c + chat.END[s][0] for s, c in best.items())
+        whole = "".join(r[9] for r in rows)
+        seen = [x.split("\n", 1)[0] for x in whole.split("<|im_start|>")[1:]]
+        assert whole.count("<|im_end|>\n") == len(seen) and seen[-1] == "assistant" and seen[0] in ("system", "user")
+        assert all((a, b) in {("system", "user"), ("user", "assistant"), ("assistant", "user")} for a, b in zip(seen, seen[1:]))
+    clean = [r for r in results[0] if r[0] is not None and r[0] < 9000]
+    assert np.mean([r[5] == "keep" for r in clean]) > 0.8
