@@ -19,6 +19,7 @@ from . import words as W
 
 CHUNK_BYTES, MOST_GROUPS = 8 << 20, 1024
 KEY = np.uint64((1 << 56) - 1)
+_STEPS, _WIDE = np.array([253, 1 << 16, 1 << 32]), ("<u2", "<u4", "<u8")
 
 
 @dataclass
@@ -69,13 +70,17 @@ def unpack_keys(raw: bytes, n: int) -> np.ndarray:
 
 
 def pack_counts(c: np.ndarray) -> bytes:
-    """A byte each; those of 255 or more follow as 8 bytes."""
-    return np.minimum(c, 255).astype(np.uint8).tobytes() + c[c >= 255].astype(np.uint64).tobytes()
+    """A byte each; 253, 254 and 255 stand for counts that follow in 2, 4 and 8 bytes."""
+    size = np.searchsorted(_STEPS, c, side="right")
+    return np.where(size > 0, 252 + size, c).astype(np.uint8).tobytes() + b"".join(c[size == k].astype(kind).tobytes() for k, kind in enumerate(_WIDE, 1))
 
 
 def unpack_counts(raw: bytes, n: int) -> np.ndarray:
-    c = np.frombuffer(raw, np.uint8, n).astype(np.int64)
-    c[c == 255] = np.frombuffer(raw[n:], np.uint64).astype(np.int64)
+    c, at = np.frombuffer(raw, np.uint8, n).astype(np.int64), n
+    marks = [np.flatnonzero(c == 252 + k) for k in range(1, 4)]
+    for m, kind in zip(marks, _WIDE):
+        c[m] = np.frombuffer(raw, kind, len(m), at)
+        at += len(m) * np.dtype(kind).itemsize
     return c
 
 

@@ -196,7 +196,7 @@ def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     place = f"{C.shared_dir(spark)}/lm-{C.unique()}"
-    counts(C.documents(docs)).write.parquet(place)
+    counts(C.documents(docs)).write.option("compression", "zstd").parquet(place)
     t = spark.read.parquet(place)
     s = t.agg(F.sum(F.when(F.col("trains"), F.col("n_tokens"))).alias("n"), F.sum("distinct").alias("v"), F.sum(F.col("trains").cast("long")).alias("d"), F.sum(F.when(F.col("held_w").isNotNull(), F.col("n_tokens"))).alias("hn"), F.count("held_w").alias("hd")).first()
     total, distinct, starts = s.n or 0, s.v or 0, s.d or 0

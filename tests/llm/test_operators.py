@@ -350,3 +350,14 @@ def test_chat(spark, sf_dir, monkeypatch):
         assert all((a, b) in {("system", "user"), ("user", "assistant"), ("assistant", "user")} for a, b in zip(seen, seen[1:]))
     clean = [r for r in results[0] if r[0] is not None and r[0] < 9000]
     assert np.mean([r[5] == "keep" for r in clean]) > 0.8
+
+
+def test_packed_keys_and_counts_round_trip():
+    from gridlore.llm import exchange as X
+
+    rng = np.random.default_rng(9)
+    for n in (1, 2, 1000):
+        keys = np.unique(rng.integers(0, 1 << 56, n).astype(np.uint64))
+        assert (X.unpack_keys(X.pack_keys(keys), len(keys)) == keys).all()
+        c = np.concatenate([rng.integers(0, 300, n), [0, 252, 253, 254, 255, 256, 65535, 65536, 1 << 31, 1 << 32, 1 << 40]])
+        assert (X.unpack_counts(X.pack_counts(c), len(c)) == c).all()
