@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from . import common as C
 from . import words as W
 
-WINDOW, STRIDE, PER_CLASS, FOLDS = 48, 24, 1500, 5
+WINDOW, STRIDE, PER_CLASS, FOLDS = 48, 24, 1000, 5
 WIDTH, HIDDEN, ATTENTION, GRAMS, LEAST_TEXTS = 12, 8, 8, 1 << 14, 5
 ROUNDS, BATCH, RATE = 6, 128, 0.01
 
@@ -54,11 +54,14 @@ def word_grams(b: W.Block, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def means(table: np.ndarray, grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The mean vector of each word's n-grams; some words at a time, as their rows are many."""
     out = np.zeros((len(bounds) - 1, table.shape[1]), np.float32)
     n = np.diff(bounds)
-    some = n > 0
-    if some.any():
-        out[some] = np.add.reduceat(table[grams], bounds[:-1][some], axis=0) / n[some, None]
+    for k in range(0, len(n), 16_384):
+        some = k + np.flatnonzero(n[k : k + 16_384])
+        if len(some):
+            lo = bounds[k]
+            out[some] = np.add.reduceat(table[grams[lo : bounds[min(k + 16_384, len(n))]]], bounds[:-1][some] - lo, axis=0) / n[some, None]
     return out
 
 
@@ -194,11 +197,21 @@ def train(texts: list[str], labels: list[int], seed: int = 7) -> Net | Constant:
     toxic = np.bincount(pairs % max(1, len(u)), weights=y[pairs // max(1, len(u))], minlength=len(u))
     odds = lambda t, n: np.log((t + 0.5) / (n - t + 0.5) * (len(y) - y.sum() + 1) / (y.sum() + 1)) * (n >= 3)
     word_odds = odds(toxic, in_texts)
-    # (text, n-gram) pairs from (text, word) pairs
-    size = np.diff(bounds)[pairs % max(1, len(u))] if len(u) else np.empty(0, np.int64)
-    at_gram = np.repeat(bounds[:-1][pairs % max(1, len(u))] - (np.cumsum(size) - size), size) + np.arange(size.sum()) if len(u) else size
-    gp = np.unique(np.repeat(pairs // max(1, len(u)), size) * GRAMS + grams[at_gram]) if len(u) else np.empty(0, np.int64)
-    gram_odds = odds(np.bincount(gp % GRAMS, weights=y[gp // GRAMS], minlength=GRAMS), np.bincount(gp % GRAMS, minlength=GRAMS))
+    # texts that have an n-gram, from (text, word) pairs of a few texts at a time
+    held_pair = np.empty(0, np.int64)
+    gram_toxic, gram_texts = np.zeros(GRAMS), np.zeros(GRAMS)
+    for part in np.array_split(pairs, max(1, len(pairs) // 50_000)):
+        text, w = np.divmod(part, max(1, len(u)))
+        size = np.diff(bounds)[w] if len(part) else np.empty(0, np.int64)
+        of = np.repeat(bounds[:-1][w] - (np.cumsum(size) - size), size) + np.arange(size.sum()) if len(part) else size
+        both = np.repeat(text, size) * GRAMS + grams[of]
+        if len(held_pair):  # a text cut by the parts counts an n-gram once
+            both = np.setdiff1d(both, held_pair)
+        both = np.unique(both)
+        held_pair = both[both // GRAMS == text[-1]] if len(part) else held_pair
+        gram_texts += np.bincount(both % GRAMS, minlength=GRAMS)
+        gram_toxic += np.bincount(both % GRAMS, weights=y[both // GRAMS], minlength=GRAMS)
+    gram_odds = odds(gram_toxic, gram_texts)
     net.p["word"][number[number > 0], 0] = np.clip(word_odds[number > 0], -3, 3)
     net.p["gram"][:, 0] = np.clip(gram_odds, -3, 3)
     start, length, doc = windows(b.first)

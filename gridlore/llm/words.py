@@ -129,8 +129,17 @@ def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return mix((sums[end] - sums[start]) * inv[start] + (end - start).astype(_U) * _U(_WBASE))
 
 
-def word_hashes(b: Block) -> np.ndarray:
-    return span_hash(prefix_sums(b.data), b.start, b.end)
+def word_hashes(b: Block, most: int = 1_000_000) -> np.ndarray:
+    """Fingerprints of all words, from sums over about `most` bytes of whole texts at a time."""
+    if len(b.data) <= most:
+        return span_hash(prefix_sums(b.data), b.start, b.end)
+    out, d = np.empty(len(b.start), _U), 0
+    while d < b.n_docs:
+        to = max(d + 1, int(np.searchsorted(b.bounds, b.bounds[d] + most, side="right")) - 1)
+        lo, w = b.bounds[d], slice(b.first[d], b.first[to])
+        out[w] = span_hash(prefix_sums(b.data[lo : b.bounds[to]]), b.start[w] - lo, b.end[w] - lo)
+        d = to
+    return out
 
 
 def gram_hashes(h: np.ndarray, n: int, base: int = _WBASE) -> np.ndarray:
