@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, jaccard, licenses, line_rules, lm, packing, repeats, secrets, toxicity
+from . import chat, decontam, jaccard, licenses, line_rules, lm, oracles, packing, repeats, secrets, toxicity
 from .common import table
 
 
@@ -49,4 +49,10 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_lm_scoring, op3_substring_dedup, op4_quality_rules, op5_benchmark_decontamination, op6_license_scans, op7_chat_formatting, op8_toxicity, op9_best_fit_packing, op10_ngram_jaccard_join)}
-ORACLE_SQL: dict[str, str] = {"op6_license_scans": licenses.sql()}
+ORACLE_SQL: dict[str, str] = {
+    "op3_substring_dedup": oracles.OP3,
+    "op4_quality_rules": oracles.OP4,
+    "op5_benchmark_decontamination": oracles.OP5,
+    "op6_license_scans": licenses.sql(),
+    "op10_ngram_jaccard_join": oracles.OP10,
+}
