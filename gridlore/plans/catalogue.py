@@ -461,3 +461,46 @@ def q_iso_epoch(spark, d):
 def q_quality_score(spark, d):
     n = F.col("n_chars")
     return V.table(spark, d, "documents").select("doc_id", F.least(F.lit(100), F.when(n >= 300, 40).otherwise(0) + F.when(F.col("text").contains("|"), 0).otherwise(30) + F.least(F.lit(30), F.floor(n / 100))).cast("long").alias("score"))
+
+
+# streams and detectors: rows only, tests hold them against the batch forms and the drawn boxes
+def _drained(spark, d, make, mode):
+    """The rows of a stream over the whole events table, through the memory sink."""
+    import uuid
+
+    stream = spark.readStream.schema(V.table(spark, d, "events").schema).parquet(f"{d}/events*.parquet")
+    name = f"stream_{uuid.uuid4().hex}"
+    q = make(stream).writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name)
+
+
+@query(RUN + " SELECT detector AS key, event_id AS seq, wall AS value FROM r WHERE prev_best IS NULL OR wall > prev_best")
+def q_stream_running_best(spark, d):
+    from ..streaming import live
+
+    return _drained(spark, d, lambda s: live.running_best(s.select("event_type", "event_id", "value"), "event_type", "event_id", "value"), "append").select("key", "seq", "value")
+
+
+@query("SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, event_type, CAST(count(*) AS BIGINT) AS n, max(value) AS peak FROM events GROUP BY 1, 2")
+def q_stream_gauges(spark, d):
+    from ..streaming import live
+
+    return _drained(spark, d, lambda s: live.gauges(s, "ts", "event_type", "value"), "complete").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", "peak")
+
+
+@query()
+def q_udf_detector(spark, d):
+    from ..operators import detect
+
+    sets = spark.createDataFrame([("projection_box", '{"share": 0.25}'), ("projection_box", '{"share": 0.5}'), ("radial_edge", "{}"), ("missing", "{}")], "method string, parameters string")
+    pages = detect.rectangles(spark, 24)
+    found = detect.detect(pages, sets)
+    return found.join(pages.select("page_id", "expected"), "page_id").select("page_id", "method", "parameters", "status", S.box_iou(F.col("expected"), F.col("box")).alias("iou"))
+
+
+@query()
+def q_udtf_multi(spark, d):
+    from ..operators import detect
+
+    return detect.method_summary(detect.detect(detect.rectangles(spark, 24), detect.catalogue(spark).select("method", F.lit("{}").alias("parameters"))))
