@@ -28,12 +28,17 @@ def influence(pages: DataFrame, dims: list[str]) -> DataFrame:
     mean = F.col("s").cast("double") / F.col("n")
     p = v.groupBy("parameter").agg(F.count("*").alias("n_values"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"), F.sum(F.col("s").cast("double") * F.col("s") / F.col("n")).alias("between"), F.max(mean).alias("hi"), F.min(mean).alias("lo"))
     eta, width = eta_squared(F.col("n"), F.col("s"), F.col("ss"), F.col("between")), (F.col("hi") - F.col("lo")) / 100
-    return p.select("parameter", "n_values", eta.alias("eta_squared"), width.alias("mean_range"), influence_class(F.col("n_values"), eta, width).alias("influence"))
+    return p.select("parameter", "n_values", eta.alias("eta_squared"), width.alias("mean_range"), influence_class(eta, width).alias("influence"))
 
 
-def influence_class(n_values: Column, eta: Column, width: Column) -> Column:
-    """Flat parameters are Zombie before they are Dormant."""
-    return F.when((n_values > 1) & (width <= 1e-12), "Zombie").when(n_values <= 1, "Fixed").when((eta >= 0.14) | (width >= 0.1), "Critical").when((eta >= 0.06) | (width >= 0.03), "High").when((eta >= 0.01) | (width >= 0.005), "Low").otherwise("Dormant")
+# Effect classes with their ranks, and absolute distances from the best mean IoU.
+RANKS = {"Zombie": -1, "Dormant": 0, "Low": 1, "Moderate": 2, "Important": 3, "Critical": 4}
+NEAR_BEST, EQUIVALENT = 0.001, 0.0001
+
+
+def influence_class(eta: Column, width: Column) -> Column:
+    """Zombie (no effect of any size) is tested before Dormant."""
+    return F.when((eta < 0.0005) & (width < 0.0005), "Zombie").when(eta < 0.005, "Dormant").when(eta >= 0.14, "Critical").when(eta >= 0.06, "Important").when(eta >= 0.02, "Moderate").otherwise("Low")
 
 
 def best_values(pages: DataFrame, dims: list[str], k: int = 3) -> DataFrame:
@@ -58,23 +63,25 @@ def interactions(pages: DataFrame, dims: list[str]) -> DataFrame:
 def domain_counts(pages: DataFrame, dims: list[str]) -> DataFrame:
     """How many sets the domains of parameters above each class have; without parameters none."""
     i = influence(pages, dims)
-    level = F.when(F.col("influence") == "Critical", 3).when(F.col("influence") == "High", 2).when(F.col("influence") == "Low", 1).otherwise(0)
-    tiers = F.explode(F.array(*(F.struct(F.lit(n).alias("domain"), F.lit(k).alias("least")) for n, k in (("critical", 3), ("high_plus", 2), ("low_plus", 1), ("all", 0)))))
+    level = F.lit(0)
+    for name, rank in RANKS.items():
+        level = F.when(F.col("influence") == name, rank).otherwise(level)
+    tiers = F.explode(F.array(*(F.struct(F.lit(n).alias("domain"), F.lit(k).alias("least")) for n, k in (("critical", 4), ("important_plus", 3), ("moderate_plus", 2), ("low_plus", 1), ("non_dormant", 1), ("exhaustive", -1)))))
     one = i.select(tiers.alias("t"), level.alias("level"), "n_values").select("t.domain", "t.least", "level", "n_values")
     return one.groupBy("domain").agg(F.count(F.when(F.col("level") >= F.col("least"), 1)).alias("n_parameters"), F.collect_list(F.when(F.col("level") >= F.col("least"), F.col("n_values"))).alias("ns")).select("domain", "n_parameters", F.when(F.col("n_parameters") == 0, 0).otherwise(F.aggregate("ns", F.lit(1).cast("long"), lambda a, x: a * x)).cast("long").alias("n_sets"))
 
 
-def landscape(metrics: DataFrame, band: float = 0.02) -> DataFrame:
+def landscape(metrics: DataFrame) -> DataFrame:
     """Quartiles of the sets' means and how many are near the best."""
     best = metrics.agg(F.max("mean_iou").alias("best"))
     j = metrics.crossJoin(F.broadcast(best))  # one row
-    return j.agg(F.count("*").alias("n_sets"), F.max("best").alias("best"), F.percentile("mean_iou", 0.25).alias("q25"), F.percentile("mean_iou", 0.5).alias("q50"), F.percentile("mean_iou", 0.75).alias("q75"), F.count(F.when(F.col("mean_iou") >= F.col("best") * (1 - band), 1)).alias("near_best"))
+    return j.agg(F.count("*").alias("n_sets"), F.max("best").alias("best"), F.percentile("mean_iou", 0.25).alias("q25"), F.percentile("mean_iou", 0.5).alias("q50"), F.percentile("mean_iou", 0.75).alias("q75"), F.count(F.when(F.col("best") - F.col("mean_iou") <= NEAR_BEST, 1)).alias("near_best"), F.count(F.when(F.col("best") - F.col("mean_iou") <= EQUIVALENT, 1)).alias("equivalent"))
 
 
-def near_values(pages: DataFrame, metrics: DataFrame, key: str, dim: str, band: float = 0.02) -> DataFrame:
+def near_values(pages: DataFrame, metrics: DataFrame, key: str, dim: str) -> DataFrame:
     """Values of a parameter among near-best sets, and among all."""
-    best = metrics.agg((F.max("mean_iou") * (1 - band)).alias("least"))
-    near = metrics.crossJoin(F.broadcast(best)).select(key, (F.col("mean_iou") >= F.col("least")).alias("near"))
+    best = metrics.agg(F.max("mean_iou").alias("best"))
+    near = metrics.crossJoin(F.broadcast(best)).select(key, (F.col("best") - F.col("mean_iou") <= NEAR_BEST).alias("near"))
     return pages.select(key, dim).distinct().join(near, key).agg(F.count_distinct(F.when(F.col("near"), F.col(dim))).alias("near_values"), F.count_distinct(dim).alias("all_values"))
 
 

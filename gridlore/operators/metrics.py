@@ -50,16 +50,26 @@ def upgraded(df: DataFrame) -> DataFrame:
     return df.withColumns({"mean_all": mean, "std_all": F.sqrt(F.greatest(second - mean * mean, F.lit(0.0)))})
 
 
-def against_baseline(winner: DataFrame, baseline: DataFrame, page: str = "page") -> DataFrame:
-    """Winner pages with the baseline's IoU (absent: 0), the change, and the problems of each page."""
-    b = baseline.select(page, F.col("iou").alias("base_iou"))
-    j = winner.join(b, page, "left").withColumn("base_iou", F.coalesce("base_iou", F.lit(0)))
-    delta = F.coalesce("iou", F.lit(0)) - F.col("base_iou")
-    reasons = F.array_compact(F.array(F.when(F.col("status") != "ok", "failed"), F.when(delta < 0, "regressed"), F.when(F.coalesce("iou", F.lit(0)) < 80, "weak")))
-    return j.withColumns({"delta": delta, "change": F.when(delta > 0, "better").when(delta < 0, "worse").otherwise("same"), "problems": F.array_join(reasons, "+")})
+# What a page's IoU may lose unremarked, and below what a match is poor.
+REGRESSION, POOR = 0.001, 0.50
 
 
-def confidence(metrics: DataFrame) -> DataFrame:
-    """Low, Medium or High by a score of coverage, failures and spread."""
-    score = F.when(F.col("n_pages") >= 500, 2).when(F.col("n_pages") >= 100, 1).otherwise(0) + F.when(F.col("n_failed") * 3 <= F.col("n_pages"), 1).otherwise(0) + F.when(F.col("std_iou") <= 0.4, 1).otherwise(0)
-    return metrics.withColumns({"evidence": score.cast("long"), "confidence": F.when(score >= 3, "High").when(score >= 2, "Medium").otherwise("Low")})
+def against_baseline(winner: DataFrame, baseline: DataFrame, page: str = "page") -> DataFrame:
+    """Winner pages (status, iou in hundredths) with the baseline's IoU (absent: 0), the change, a status, and the problems, of which a page may have several."""
+    b = baseline.select(page, F.col("iou").alias("base_iou"))
+    j = winner.join(b, page, "left").withColumns({"base_iou": F.coalesce("base_iou", F.lit(0)), "iou": F.coalesce("iou", F.lit(0))})
+    delta = F.col("iou") - F.col("base_iou")
+    worse, better = delta < -100 * REGRESSION, delta > 100 * REGRESSION
+    lost = F.when(F.col("status") == "error", "Unprocessed").when(F.col("status") != "ok", "No polygon found").when(F.col("iou") == 0, "Zero overlap")
+    change = F.coalesce(lost, F.when(F.col("base_iou") == 0, "Recovered").when(better, "Improved").when(worse, "Regressed").otherwise("Unchanged"))
+    problems = F.array_compact(F.array(lost, F.when((F.col("status") == "ok") & (F.col("iou") > 0) & (F.col("iou") < 100 * POOR), "Poor match"), F.when(worse, "Regressed")))
+    return j.withColumns({"delta": delta, "change": change, "problems": F.array_join(problems, "+")})
+
+
+def confidence(metrics: DataFrame, exhaustive: bool) -> DataFrame:
+    """One row: sets, the share that succeeded on all pages, the share near the best, score and class of the evidence."""
+    best = metrics.agg(F.max("mean_iou").alias("best"))
+    n = F.count("*").cast("double")
+    j = metrics.crossJoin(F.broadcast(best)).agg(F.count("*").alias("n_sets"), (F.count(F.when(F.col("n_failed") == 0, 1)) / n).alias("success_rate"), (F.count(F.when(F.col("best") - F.col("mean_iou") <= 0.001, 1)) / n).alias("near_best_share"))  # one row
+    score = F.lit(2 if exhaustive else 0) + F.when(F.col("success_rate") >= 0.90, 1).otherwise(0) + F.when(F.col("near_best_share") >= 0.01, 1).otherwise(0)
+    return j.withColumns({"evidence": score.cast("long"), "confidence": F.when(score >= 4, "High").when(score >= 2, "Medium").otherwise("Low")})

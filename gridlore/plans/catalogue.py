@@ -12,6 +12,7 @@ from ..operators import grid as G
 from ..operators import intelligence as I
 from ..operators import metrics as M
 from ..operators import ordered as O
+from ..operators import planning as P
 from ..operators import selection as X
 from . import views as V
 
@@ -56,7 +57,7 @@ def _winner_pages(spark, d):
     return M.against_baseline(winner, page(e.where("set_id = 1 AND page <> 3")).select("page", "iou"))
 
 
-WINNER = f"WITH {V.METRICS}, b AS (SELECT set_id FROM m ORDER BY {V.ORDER} LIMIT 1), w AS (SELECT page, max(iou) AS iou, min(status) AS status FROM v_eval JOIN b USING (set_id) GROUP BY page), l AS (SELECT page, max(iou) AS i FROM v_eval WHERE set_id = 1 AND page <> 3 GROUP BY page), j AS (SELECT w.*, coalesce(l.i, 0) AS base_iou, iou - coalesce(l.i, 0) AS delta FROM w LEFT JOIN l USING (page)), p AS (SELECT *, CASE WHEN delta > 0 THEN 'better' WHEN delta < 0 THEN 'worse' ELSE 'same' END AS change, concat_ws('+', CASE WHEN status <> 'ok' THEN 'failed' END, CASE WHEN delta < 0 THEN 'regressed' END, CASE WHEN iou < 80 THEN 'weak' END) AS problems FROM j)"
+WINNER = f"WITH {V.METRICS}, b AS (SELECT set_id FROM m ORDER BY {V.ORDER} LIMIT 1), w AS (SELECT page, max(iou) AS iou, min(status) AS status FROM v_eval JOIN b USING (set_id) GROUP BY page), l AS (SELECT page, max(iou) AS i FROM v_eval WHERE set_id = 1 AND page <> 3 GROUP BY page), j AS (SELECT w.*, coalesce(l.i, 0) AS base_iou, iou - coalesce(l.i, 0) AS delta FROM w LEFT JOIN l USING (page)), x AS (SELECT *, CASE WHEN status = 'error' THEN 'Unprocessed' WHEN status <> 'ok' THEN 'No polygon found' WHEN iou = 0 THEN 'Zero overlap' END AS lost FROM j), p AS (SELECT * EXCLUDE (lost), coalesce(lost, CASE WHEN base_iou = 0 THEN 'Recovered' WHEN delta > 0.1 THEN 'Improved' WHEN delta < -0.1 THEN 'Regressed' ELSE 'Unchanged' END) AS change, concat_ws('+', lost, CASE WHEN status = 'ok' AND iou > 0 AND iou < 50 THEN 'Poor match' END, CASE WHEN delta < -0.1 THEN 'Regressed' END) AS problems FROM x)"
 
 
 @query(WINNER + " SELECT * FROM p")
@@ -75,9 +76,9 @@ def q_metric_upgrade(spark, d):
     return M.upgraded(m).select("set_id", "mean_all", "std_all")
 
 
-@query(f"WITH {V.METRICS}, s AS (SELECT set_id, CAST((CASE WHEN n_pages >= 500 THEN 2 WHEN n_pages >= 100 THEN 1 ELSE 0 END) + (CASE WHEN n_failed * 3 <= n_pages THEN 1 ELSE 0 END) + (CASE WHEN std_iou <= 0.4 THEN 1 ELSE 0 END) AS BIGINT) AS evidence FROM m) SELECT *, CASE WHEN evidence >= 3 THEN 'High' WHEN evidence >= 2 THEN 'Medium' ELSE 'Low' END AS confidence FROM s")
+@query(f"WITH {V.METRICS}, b AS (SELECT max(mean_iou) AS best FROM m), c AS (SELECT CAST(count(*) AS BIGINT) AS n_sets, count(*) FILTER (n_failed = 0) / CAST(count(*) AS DOUBLE) AS success_rate, count(*) FILTER (best - mean_iou <= 0.001) / CAST(count(*) AS DOUBLE) AS near_best_share FROM m, b), s AS (SELECT *, CAST(2 + (CASE WHEN success_rate >= 0.9 THEN 1 ELSE 0 END) + (CASE WHEN near_best_share >= 0.01 THEN 1 ELSE 0 END) AS BIGINT) AS evidence FROM c) SELECT *, CASE WHEN evidence >= 4 THEN 'High' WHEN evidence >= 2 THEN 'Medium' ELSE 'Low' END AS confidence FROM s")
 def q_confidence(spark, d):
-    return M.confidence(M.set_metrics(V.v_eval(spark, d), ["set_id"])).select("set_id", "evidence", "confidence")
+    return M.confidence(M.set_metrics(V.v_eval(spark, d), ["set_id"]), exhaustive=True)
 
 
 # intelligence
@@ -92,7 +93,7 @@ def q_influence_moments(spark, d):
 
 INFLUENCE = MOM + """, p AS (SELECT parameter, count(*) AS n_values, sum(n) AS n, sum(s) AS s, sum(ss) AS ss, sum(CAST(s AS DOUBLE) * s / n) AS b, max(CAST(s AS DOUBLE) / n) AS hi, min(CAST(s AS DOUBLE) / n) AS lo FROM v GROUP BY 1),
   i AS (SELECT parameter, n_values, CASE WHEN ss - CAST(s AS DOUBLE) * s / n <= 1e-15 THEN 0 ELSE least(1, greatest(0, (b - CAST(s AS DOUBLE) * s / n) / (ss - CAST(s AS DOUBLE) * s / n))) END AS eta, (hi - lo) / 100 AS w FROM p),
-  c AS (SELECT *, CASE WHEN n_values > 1 AND w <= 1e-12 THEN 'Zombie' WHEN n_values <= 1 THEN 'Fixed' WHEN eta >= 0.14 OR w >= 0.1 THEN 'Critical' WHEN eta >= 0.06 OR w >= 0.03 THEN 'High' WHEN eta >= 0.01 OR w >= 0.005 THEN 'Low' ELSE 'Dormant' END AS influence FROM i)"""
+  c AS (SELECT *, CASE WHEN eta < 0.0005 AND w < 0.0005 THEN 'Zombie' WHEN eta < 0.005 THEN 'Dormant' WHEN eta >= 0.14 THEN 'Critical' WHEN eta >= 0.06 THEN 'Important' WHEN eta >= 0.02 THEN 'Moderate' ELSE 'Low' END AS influence FROM i)"""
 
 
 @query(f"WITH {INFLUENCE} SELECT parameter, CAST(n_values AS BIGINT) AS n_values, CAST(floor(eta * 1e9) AS BIGINT) AS eta_e9, w AS mean_range, influence FROM c")
@@ -110,17 +111,17 @@ def q_interactions(spark, d):
     return I.interactions(V.v_eval(spark, d), V.DIMS)
 
 
-@query(f"WITH {INFLUENCE}, l AS (SELECT n_values, CASE influence WHEN 'Critical' THEN 3 WHEN 'High' THEN 2 WHEN 'Low' THEN 1 ELSE 0 END AS lv FROM c), t(domain, k) AS (VALUES ('critical', 3), ('high_plus', 2), ('low_plus', 1), ('all', 0)) SELECT domain, CAST(count(*) FILTER (lv >= k) AS BIGINT) AS n_parameters, CASE WHEN count(*) FILTER (lv >= k) = 0 THEN 0 ELSE CAST(round(product(CASE WHEN lv >= k THEN n_values ELSE 1 END)) AS BIGINT) END AS n_sets FROM l, t GROUP BY domain")
+@query(f"WITH {INFLUENCE}, l AS (SELECT n_values, CASE influence WHEN 'Critical' THEN 4 WHEN 'Important' THEN 3 WHEN 'Moderate' THEN 2 WHEN 'Low' THEN 1 WHEN 'Zombie' THEN -1 ELSE 0 END AS lv FROM c), t(domain, k) AS (VALUES ('critical', 4), ('important_plus', 3), ('moderate_plus', 2), ('low_plus', 1), ('non_dormant', 1), ('exhaustive', -1)) SELECT domain, CAST(count(*) FILTER (lv >= k) AS BIGINT) AS n_parameters, CASE WHEN count(*) FILTER (lv >= k) = 0 THEN 0 ELSE CAST(round(product(CASE WHEN lv >= k THEN n_values ELSE 1 END)) AS BIGINT) END AS n_sets FROM l, t GROUP BY domain")
 def q_domain_counts(spark, d):
     return I.domain_counts(V.v_eval(spark, d), V.DIMS)
 
 
-@query(f"WITH {V.METRICS}, b AS (SELECT max(mean_iou) AS best FROM m) SELECT CAST(count(*) AS BIGINT) AS n_sets, max(best) AS best, quantile_cont(mean_iou, 0.25) AS q25, quantile_cont(mean_iou, 0.5) AS q50, quantile_cont(mean_iou, 0.75) AS q75, CAST(count(*) FILTER (mean_iou >= best * (1 - 0.02::DOUBLE)) AS BIGINT) AS near_best FROM m, b")
+@query(f"WITH {V.METRICS}, b AS (SELECT max(mean_iou) AS best FROM m) SELECT CAST(count(*) AS BIGINT) AS n_sets, max(best) AS best, quantile_cont(mean_iou, 0.25) AS q25, quantile_cont(mean_iou, 0.5) AS q50, quantile_cont(mean_iou, 0.75) AS q75, CAST(count(*) FILTER (best - mean_iou <= 0.001) AS BIGINT) AS near_best, CAST(count(*) FILTER (best - mean_iou <= 0.0001) AS BIGINT) AS equivalent FROM m, b")
 def q_landscape(spark, d):
     return I.landscape(M.set_metrics(V.v_eval(spark, d), ["set_id"]))
 
 
-@query(f"WITH {V.METRICS}, b AS (SELECT max(mean_iou) * (1 - 0.02::DOUBLE) AS lst FROM m), x AS (SELECT DISTINCT set_id, size_class FROM v_eval) SELECT CAST(count(DISTINCT size_class) FILTER (mean_iou >= lst) AS BIGINT) AS near_values, CAST(count(DISTINCT size_class) AS BIGINT) AS all_values FROM x JOIN m USING (set_id), b")
+@query(f"WITH {V.METRICS}, b AS (SELECT max(mean_iou) AS best FROM m), x AS (SELECT DISTINCT set_id, size_class FROM v_eval) SELECT CAST(count(DISTINCT size_class) FILTER (best - mean_iou <= 0.001) AS BIGINT) AS near_values, CAST(count(DISTINCT size_class) AS BIGINT) AS all_values FROM x JOIN m USING (set_id), b")
 def q_near_values(spark, d):
     e = V.v_eval(spark, d)
     return I.near_values(e, M.set_metrics(e, ["set_id"]), "set_id", "size_class")
@@ -463,6 +464,30 @@ def q_quality_score(spark, d):
     return V.table(spark, d, "documents").select("doc_id", F.least(F.lit(100), F.when(n >= 300, 40).otherwise(0) + F.when(F.col("text").contains("|"), 0).otherwise(30) + F.least(F.lit(30), F.floor(n / 100))).cast("long").alias("score"))
 
 
+PLAN = f"WITH {V.OBS}, p AS (SELECT event_id, wall, pipelines, CASE event_id % 4 WHEN 0 THEN 'e9k' WHEN 1 THEN ' HTH ' WHEN 2 THEN '32t' ELSE 'other' END AS label, 5 + CAST(event_id % 20 AS INT) AS cpus FROM v_obs), t AS (SELECT *, CASE event_id % 4 WHEN 0 THEN 64 WHEN 1 THEN 16 WHEN 2 THEN 2 * cpus ELSE least(16, cpus) END AS budget FROM p)"
+
+
+@query(PLAN + ", s AS (SELECT *, wall * 60 AS serial, list_max(list_filter([1, 2, 4, 8, 16, 32, 48, 64], lambda x: x <= least(CASE WHEN wall < 5 THEN 1 WHEN wall < 15 THEN 4 WHEN wall < 30 THEN 8 ELSE budget END, budget))) AS threads FROM t) SELECT event_id, budget, greatest(1, budget // greatest(1, pipelines)) AS each, threads, CAST(greatest(1, least(least(96, greatest(1, pipelines)), ceil(serial * 1.2::DOUBLE / greatest(1, sqrt(threads)) / 1800))) AS BIGINT) AS shards, least(pipelines + 1, greatest(1, CAST(round_even(sqrt(pipelines + 1), 0) AS INT)), greatest(1, budget // 48)) AS workers FROM s")
+def q_planning(spark, d):
+    label = F.when(F.col("event_id") % 4 == 0, "e9k").when(F.col("event_id") % 4 == 1, " HTH ").when(F.col("event_id") % 4 == 2, "32t").otherwise("other")
+    o = V.v_obs(spark, d).withColumn("budget", P.runner_threads(label, F.lit(5) + (F.col("event_id") % 20).cast("int")))
+    serial = F.col("wall") * 60
+    o = o.withColumn("threads", P.automatic_threads(serial, F.col("budget")))
+    return o.select("event_id", "budget", P.pipeline_threads(F.col("budget"), F.col("pipelines")).alias("each"), "threads", P.shards(serial, F.col("threads"), F.col("pipelines")).alias("shards"), P.queue_workers(F.col("pipelines") + 1, F.col("budget")).alias("workers"))
+
+
+@query(f"WITH {V.OBS} SELECT runner, coalesce(least(1.25, greatest(0.75, median(wall / 100))), 1.0) AS correction FROM v_obs GROUP BY runner")
+def q_correction(spark, d):
+    return V.v_obs(spark, d).groupBy("runner").agg(P.correction(F.col("wall") / 100).alias("correction"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, greatest(0.0, least(1.0, CASE WHEN l_returnflag = 'A' THEN least(0.25, q) ELSE q END)) AS score FROM (SELECT *, (CASE WHEN l_linestatus = 'O' THEN s - 0.08::DOUBLE ELSE s END) AS q FROM (SELECT *, greatest(0.0, 1 - abs(l_quantity * 5 - 185) / 150) * 0.22::DOUBLE + greatest(0.0, least(1.0, l_quantity / 60)) * 0.30::DOUBLE + greatest(0.0, least(1.0, l_quantity / 35)) * 0.30::DOUBLE + greatest(0.0, least(1.0, l_tax / 0.28::DOUBLE)) * 0.18::DOUBLE AS s FROM lineitem))")
+def q_page_quality(spark, d):
+    q = F.col("l_quantity")
+    score = P.quality(q * 5, q, q, F.col("l_tax"), F.col("l_linestatus") == "O", F.col("l_returnflag") == "A")
+    return V.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", score.alias("score"))
+
+
 # streams and detectors: rows only, tests hold them against the batch forms and the drawn boxes
 def _drained(spark, d, make, mode):
     """The rows of a stream over the whole events table, through the memory sink."""
