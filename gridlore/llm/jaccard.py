@@ -17,7 +17,8 @@ is one shingle); two texts are linked if their sets' Jaccard similarity is 0.8 o
 The result has one row per input row: doc_id, class_id (the least doc_id of its group of linked
 documents), n_links (linked documents, copies counted), copies (rows with an equal set). Texts without
 words (null and empty ones) have no shingles and no links: each is its own class. Rows that repeat a
-doc_id and text get equal results, and count as copies. Rows without doc_id keep null class_id.
+doc_id and text get equal results, and count as copies. A row without doc_id gets the class of equal
+texts, else a null class_id; it stands for no class.
 """
 
 from __future__ import annotations
@@ -259,6 +260,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents whose class_id is their own doc_id, with all their columns; rows that repeat a kept doc_id stay once."""
-    kept = join(docs, threshold).where("doc_id = class_id or doc_id is null").select("doc_id").distinct()
-    return docs.join(kept.withColumnRenamed("doc_id", "_kept"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    """The documents whose class_id is their own doc_id, with all their columns. Rows that repeat a kept doc_id stay once; rows without doc_id all stay."""
+    kept = join(docs.where("doc_id is not null"), threshold).where("doc_id = class_id").select("doc_id").distinct()
+    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    return one.unionByName(docs.where("doc_id is null"))

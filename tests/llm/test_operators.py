@@ -140,6 +140,9 @@ def test_jaccard(spark, docs, data, empty):
     assert got == brute.jaccard(rows)
     assert jaccard.join(empty).count() == 0
     kept = jaccard.deduplicate(brute.frame(spark, rows))
+    odd = brute.frame(spark, [(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (None, "g h i j k l"), (None, None), (2, "a b c d e f")])
+    assert sorted((r.doc_id or 0, r.class_id or 0) for r in jaccard.join(odd).collect()) == [(0, 0), (0, 0), (0, 1), (1, 1), (1, 1), (2, 1)]
+    assert sorted((r.doc_id or 0) for r in jaccard.deduplicate(odd).collect()) == [0, 0, 0, 1]
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r[0] == i}
 
 
