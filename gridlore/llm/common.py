@@ -18,6 +18,8 @@ from ..session import ship
 
 #: Bytes of text that the array kernels take at a time; their working memory is about 60 times that.
 BLOCK_BYTES = 1_000_000
+#: Rows of an Arrow batch between Spark and Python.
+BATCH_ROWS = 2000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -84,10 +86,18 @@ def map_blocks(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | No
 
 
 def arrow(df: DataFrame, fn: Callable, schema: str | StructType) -> DataFrame:
+    small_batches(df.sparkSession)
     ship(df.sparkSession)
     return df.mapInArrow(fn, schema)
 
 
+def small_batches(spark: SparkSession, most: int = BATCH_ROWS) -> None:
+    """Hold Arrow batches, which are as long as their texts, to a few thousand rows; smaller settings stay."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= most:
+        spark.conf.set(name, str(most))
+
+
 def grouped(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
     """Runs of rows with equal keys, from batches sorted by them."""
     held: list[pa.RecordBatch] = []
