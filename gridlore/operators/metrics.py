@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ordered as O
+
 OK = ("ok", "success")
 
 
@@ -28,7 +30,7 @@ def order(tie: list[str]) -> list[Column]:
 
 
 def ranked(metrics: DataFrame, tie: list[str], by: list[str] | None = None, name: str = "rank") -> DataFrame:
-    """Ranks within groups, or over all sets; sets are few beside pages."""
+    """Ranks within groups; over all sets only for a few (search_rank numbers any number of them)."""
     return metrics.withColumn(name, F.row_number().over(Window.partitionBy(*(by or [])).orderBy(*order(tie))).cast("long"))
 
 
@@ -38,8 +40,8 @@ def top(metrics: DataFrame, tie: list[str], k: int) -> DataFrame:
 
 def search_rank(metrics: DataFrame, member: Column, tie: list[str]) -> DataFrame:
     """rank over all sets, search_rank over the members of the search space, null for others."""
-    both = ranked(metrics, tie).withColumn("_in", member)
-    return both.withColumn("search_rank", F.when(F.col("_in"), F.sum(F.when(F.col("_in"), 1).otherwise(0)).over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)))).drop("_in")
+    n = O.numbered(metrics.withColumn("_in", F.coalesce(member, F.lit(False))), "mean_iou", order(tie), {"rank": F.lit(1), "search_rank": F.col("_in").cast("int")}, (0.0, 1.0), descending=True)
+    return n.withColumn("search_rank", F.when(F.col("_in"), F.col("search_rank"))).drop("_in")
 
 
 def upgraded(df: DataFrame) -> DataFrame:

@@ -36,6 +36,28 @@ def plateau(df: DataFrame, by: list[str], seq: str, value: str, gain_pct: float
     return last.join(since, by, "left").select(*by, "n", "best", F.col("_last").alias("last_gain"), F.coalesce("since_gain", F.lit(0)).alias("since_gain"), (F.coalesce("since_gain", F.lit(0)) >= streak).alias("stop"))
 
 
+def numbered(df: DataFrame, at: str, order: list[Column], sums: dict[str, Column], bounds: tuple[float, float] | None = None, descending: bool = False, parts: int = 4096) -> DataFrame:
+    """Running sums (inclusive) over all rows in an order that begins with the number `at`, nulls of it last.
+
+    The order is cut into at most `parts` equal ranges of `at` between its bounds (found if not given);
+    their totals, a bounded table, are scanned, and each range is scanned from its carry. Rows with
+    equal `at` stay in one range.
+    """
+    x = F.col(at).cast("double")
+    if bounds is None:
+        ends = df.agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))
+        df, lo, hi = df.crossJoin(F.broadcast(ends)), F.col("_lo"), F.col("_hi")  # one row
+    else:
+        lo, hi = map(F.lit, bounds)
+    place = F.greatest(F.lit(0), F.least(F.lit(parts), F.coalesce(F.floor(F.try_divide(x - lo, hi - lo) * parts), F.lit(0))))
+    cut = df.withColumns({"_part": F.when(x.isNull(), parts + 1).otherwise(parts - place if descending else place), **{f"_s_{n}": c.cast("long") for n, c in sums.items()}})
+    carry = cut.groupBy("_part").agg(*(F.sum(f"_s_{n}").alias(f"_t_{n}") for n in sums))
+    carry = carry.select("_part", *(F.coalesce(F.sum(f"_t_{n}").over(Window.orderBy("_part").rowsBetween(*_BEFORE)), F.lit(0)).alias(f"_c_{n}") for n in sums))
+    own = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = cut.join(F.broadcast(carry), "_part").withColumns({n: F.col(f"_c_{n}") + F.sum(f"_s_{n}").over(own) for n in sums})
+    return out.drop("_part", "_lo", "_hi", *(f"_{k}_{n}" for n in sums for k in "sc"))
+
+
 def counter_delta(df: DataFrame, by: list[str], seq: str, value: str) -> DataFrame:
     """Increase of a counter since the row before in its group, 0 where it fell, null for the first."""
     prev = F.lag(value).over(Window.partitionBy(*by).orderBy(seq))

@@ -1,0 +1,404 @@
+"""More page detectors in numpy: regions, cores and hulls of the foreground, rays, lines, and checks of a region's sides.
+
+Each is a function of (image, parameters) as `detect` describes; boxes are [left, top, right, bottom]
+with exclusive ends. What imaging libraries do by contours is done here by connected regions.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+
+from .detect import border_level, difference_mask, gray, register
+from .evidence import grow_box
+
+
+# regions
+def regions(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of set pixels (row, start, end), the 8-connected region of each, and the regions' areas."""
+    d = np.diff(np.pad(mask, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    (y, s), e = np.nonzero(d == 1), np.nonzero(d == -1)[1]
+    parent = list(range(len(y)))
+
+    def root(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = k = parent[parent[k]]
+        return k
+
+    first = np.searchsorted(y, np.arange(mask.shape[0] + 1))
+    for row in range(1, mask.shape[0]):
+        i, j, a, b = first[row - 1], first[row], first[row], first[row + 1]
+        while i < a and j < b:
+            if s[i] <= e[j] and s[j] <= e[i]:
+                p, q = root(int(i)), root(int(j))
+                parent[max(p, q)] = min(p, q)
+            i, j = (i + 1, j) if e[i] < e[j] else (i, j + 1)
+    _, label = np.unique([root(k) for k in range(len(y))], return_inverse=True)
+    label = label.reshape(-1).astype(np.int64)
+    return y, s, e, label, np.bincount(label, weights=e - s).astype(np.int64) if len(y) else np.empty(0, np.int64)
+
+
+def region_boxes(mask: np.ndarray) -> tuple[list[list[int]], np.ndarray]:
+    y, s, e, label, area = regions(mask)
+    box = np.tile([1 << 30, 1 << 30, 0, 0], (len(area), 1))
+    np.minimum.at(box[:, 0], label, s)
+    np.minimum.at(box[:, 1], label, y)
+    np.maximum.at(box[:, 2], label, e)
+    np.maximum.at(box[:, 3], label, y + 1)
+    return box.tolist(), area
+
+
+def window_sum(a: np.ndarray, r: int) -> np.ndarray:
+    """Sums over (2 r + 1) squares, cut off at the borders."""
+    c = np.pad(a.astype(float), ((1, 0), (1, 0))).cumsum(0).cumsum(1)
+    h, w = a.shape
+    y0, y1, x0, x1 = (np.clip(np.arange(n) + k, 0, n) for n, k in ((h, -r), (h, r + 1), (w, -r), (w, r + 1)))
+    return c[np.ix_(y1, x1)] - c[np.ix_(y0, x1)] - c[np.ix_(y1, x0)] + c[np.ix_(y0, x0)]
+
+
+def blurred(a: np.ndarray, r: int) -> np.ndarray:
+    return window_sum(a, r) / window_sum(np.ones(a.shape), r)
+
+
+def closed(mask: np.ndarray, r: int) -> np.ndarray:
+    grown = window_sum(mask, r) > 0
+    return window_sum(~grown, r) == 0
+
+
+def slope(g: np.ndarray) -> np.ndarray:
+    dy, dx = np.gradient(g)
+    return np.hypot(dx, dy)
+
+
+def hull_box(points: np.ndarray) -> tuple[list[int], float]:
+    """Box and area of the convex hull of (x, y) pixel centres."""
+    pts = sorted(set(map(tuple, points.tolist())))
+    half = []
+    for seq in (pts, pts[::-1]):
+        part: list[tuple] = []
+        for p in seq:
+            while len(part) > 1 and (part[-1][0] - part[-2][0]) * (p[1] - part[-2][1]) <= (part[-1][1] - part[-2][1]) * (p[0] - part[-2][0]):
+                part.pop()
+            part.append(p)
+        half += part[:-1]
+    x, y = np.array(half or pts, float).T
+    box = [int(x.min()), int(y.min()), int(x.max()) + 1, int(y.max()) + 1]
+    return box, float(abs(np.dot(x, np.roll(y, 1)) - np.dot(y, np.roll(x, 1))) / 2)
+
+
+def _largest(mask: np.ndarray, share: float):
+    boxes, area = region_boxes(mask)
+    if not len(area) or area.max() < share * mask.size:
+        return None
+    k = int(area.argmax())
+    (l, t, r, b), n = boxes[k], int(area[k])
+    return [l, t, r, b], n / max(1, (r - l) * (b - t))
+
+
+@register("contour")
+def contour(image: np.ndarray, p: dict):
+    """The largest region of the closed foreground, scored by how much of its box it fills."""
+    return _largest(closed(difference_mask(gray(image)), p.get("close", 3)), p.get("share", 0.1))
+
+
+@register("components")
+def components(image: np.ndarray, p: dict):
+    """Regions over a size gate: the largest joined with those near it."""
+    mask = difference_mask(gray(image))
+    boxes, area = region_boxes(mask)
+    big = [b for b, n in zip(boxes, area) if n >= p.get("least", 0.001) * mask.size]
+    if not big:
+        return None
+    box, n = grow_box(big, p.get("gap", 8))
+    return box, n / len(big)
+
+
+@register("convex_hull")
+def convex_hull(image: np.ndarray, p: dict):
+    """The hull of substantial fragments, if they fill enough of it."""
+    mask = difference_mask(gray(image))
+    y, s, e, label, area = regions(mask)
+    on = area[label] >= p.get("least", 0.01) * mask.size if len(y) else np.zeros(0, bool)
+    if not on.any():
+        return None
+    box, size = hull_box(np.concatenate([np.stack([s, y], 1)[on], np.stack([e - 1, y], 1)[on]]))
+    solid = float(area[area >= p.get("least", 0.01) * mask.size].sum() / max(size, 1))
+    return (box, min(1.0, solid)) if solid >= p.get("solidity", 0.6) else None
+
+
+def _core(mask: np.ndarray, share: float) -> tuple[np.ndarray, int]:
+    r = max(1, int(share * min(mask.shape)))
+    return window_sum(mask, r) == (2 * r + 1) ** 2, r
+
+
+@register("distance_transform_rect")
+def distance_transform_rect(image: np.ndarray, p: dict):
+    """The box of the largest core (pixels far from all background), widened by that distance."""
+    mask = closed(difference_mask(gray(image)), 2)
+    core, r = _core(mask, p.get("depth", 0.05))
+    found = _largest(core, p.get("share", 0.02))
+    if not found:
+        return None
+    l, t, rr, b = found[0]
+    box = [max(0, l - r), max(0, t - r), min(mask.shape[1], rr + r), min(mask.shape[0], b + r)]
+    cover = mask[box[1] : box[3], box[0] : box[2]].mean()
+    return (box, float(cover)) if cover >= p.get("coverage", 0.5) else None
+
+
+@register("distance_transform")
+def distance_transform(image: np.ndarray, p: dict):
+    """The hull of the regions that have a core."""
+    mask = closed(difference_mask(gray(image)), 2)
+    core, _ = _core(mask, p.get("depth", 0.05))
+    y, s, e, label, area = regions(mask)
+    if not len(y):
+        return None
+    deep = np.pad(core.cumsum(1), ((0, 0), (1, 0)))
+    has = np.bincount(label, weights=deep[y, e] - deep[y, s]) > 0
+    on = has[label]
+    if not on.any():
+        return None
+    box, size = hull_box(np.concatenate([np.stack([s, y], 1)[on], np.stack([e - 1, y], 1)[on]]))
+    fill = float(area[has].sum() / max(1, (box[2] - box[0]) * (box[3] - box[1])))
+    return (box, fill) if fill >= p.get("rectangularity", 0.6) else None
+
+
+@register("page_background")
+def page_background(image: np.ndarray, p: dict):
+    """Regions off the border's level by its median absolute deviation, ranked by area, rectangularity and centrality."""
+    g = gray(image)
+    k = max(1, int(min(g.shape) * 0.04))
+    level = border_level(g)
+    mad = np.median(np.abs(np.concatenate([g[:k].ravel(), g[-k:].ravel(), g[:, :k].ravel(), g[:, -k:].ravel()]) - level))
+    mask = closed(np.abs(g - level) > max(p.get("floor", 15), p.get("spread", 6) * mad), 2)
+    boxes, area = region_boxes(mask)
+    best = None
+    for (l, t, r, b), n in zip(boxes, area.tolist()):
+        if n < p.get("share", 0.05) * mask.size:
+            continue
+        off = np.hypot((l + r) / mask.shape[1] - 1, (t + b) / mask.shape[0] - 1) / 2**0.5
+        score = 0.5 * n / mask.size + 0.3 * n / ((r - l) * (b - t)) + 0.2 * (1 - off)
+        if best is None or score > best[1]:
+            best = [l, t, r, b], float(score)
+    return best
+
+
+@register("whitespace_frame")
+def whitespace_frame(image: np.ndarray, p: dict):
+    """The largest bright region, unless too much of the border is bright too."""
+    g = gray(image)
+    mask = g >= p.get("level", 0.6) * np.percentile(g, 99)
+    border = np.concatenate([mask[0], mask[-1], mask[:, 0], mask[:, -1]]).mean()
+    return None if border > p.get("border", 0.5) else _largest(closed(mask, 2), p.get("share", 0.1))
+
+
+def _sides(mask: np.ndarray, g: np.ndarray, box: list[int], band: int) -> list[tuple[float, float]]:
+    """For each side: how far the levels inside and outside are apart, and the slope there."""
+    l, t, r, b = box
+    s, (h, w) = slope(g), g.shape
+    cuts = ((slice(t, b), slice(l, l + band), slice(t, b), slice(max(0, l - band), l)), (slice(t, t + band), slice(l, r), slice(max(0, t - band), t), slice(l, r)), (slice(t, b), slice(max(0, r - band), r), slice(t, b), slice(r, r + band)), (slice(max(0, b - band), b), slice(l, r), slice(b, b + band), slice(l, r)))
+    out = []
+    for iy, ix, oy, ox in cuts:
+        inner, outer = g[iy, ix], g[oy, ox]
+        out.append((float(inner.mean() - outer.mean()) if inner.size and outer.size else 0.0, float(max(s[iy, ix].mean() if inner.size else 0, s[oy, ox].mean() if outer.size else 0))))
+    return out
+
+
+@register("cross_edge_contour")
+def cross_edge_contour(image: np.ndarray, p: dict):
+    """The contour's box, if each side has contrast and all are of one polarity."""
+    found = contour(image, p)
+    if not found:
+        return None
+    c = [x for x, _ in _sides(None, gray(image), found[0], p.get("band", 4))]
+    one_way = all(x > 0 for x in c) or all(x < 0 for x in c)
+    return (found[0], float(min(map(abs, c)) / 255)) if one_way and min(map(abs, c)) >= p.get("contrast", 12) else None
+
+
+@register("border_energy")
+def border_energy(image: np.ndarray, p: dict):
+    """The contour's box, if the slope along its sides is strong and even."""
+    found = contour(image, p)
+    if not found:
+        return None
+    e = [x for _, x in _sides(None, gray(image), found[0], p.get("band", 3))]
+    return (found[0], float(min(e) / max(max(e), 1e-9))) if min(e) >= p.get("least", 5) and min(e) >= p.get("even", 0.2) * max(e) else None
+
+
+# rays
+def rays(a: np.ndarray, angles: np.ndarray, centre: tuple[float, float]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Samples of a along rays (0 beyond the image), and their x and y."""
+    t = np.arange(2, int(np.hypot(*a.shape)))
+    y, x = (np.rint(c + np.outer(f, t)).astype(int) for c, f in ((centre[0], np.sin(angles)), (centre[1], np.cos(angles))))
+    on = (y >= 0) & (y < a.shape[0]) & (x >= 0) & (x < a.shape[1])
+    return np.where(on, a[np.clip(y, 0, a.shape[0] - 1), np.clip(x, 0, a.shape[1] - 1)], 0), x, y
+
+
+def _box_of_hits(angles: np.ndarray, x: np.ndarray, y: np.ndarray, shape: tuple[int, int], share: float, total: int):
+    c, s = np.cos(angles) * shape[0], np.sin(angles) * shape[1]
+    flat = np.abs(c) > np.abs(s)
+    parts = [x[flat & (c < 0)], y[~flat & (s < 0)], x[flat & (c > 0)], y[~flat & (s > 0)]]
+    if len(x) < share * total or not all(map(len, parts)):
+        return None
+    l, t, r, b = (int(np.median(v)) for v in parts)
+    return ([l, t, r, b], len(x) / total) if r > l and b > t else None
+
+
+def _outermost(on: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    hit = on.any(1)
+    return hit, on.shape[1] - 1 - on[:, ::-1].argmax(1)
+
+
+def _middle(a: np.ndarray) -> tuple[float, float]:
+    return a.shape[0] / 2, a.shape[1] / 2
+
+
+def _angles(p: dict) -> np.ndarray:
+    return np.deg2rad(np.arange(0, 360, p.get("step", 3)))
+
+
+@register("polar_boundary_vote")
+def polar_boundary_vote(image: np.ndarray, p: dict):
+    """The outermost steep place of each ray."""
+    s, at = slope(gray(image)), _angles(p)
+    v, x, y = rays(s, at, _middle(s))
+    hit, k = _outermost(v >= max(p.get("least", 10), np.percentile(s, p.get("percentile", 97))))
+    n = np.flatnonzero(hit)
+    return _box_of_hits(at[n], x[n, k[n]], y[n, k[n]], s.shape, p.get("support", 0.5), len(at))
+
+
+@register("signed_polar_boundary_vote")
+def signed_polar_boundary_vote(image: np.ndarray, p: dict):
+    """The outermost steep fall (or rise, whichever more rays have) of each ray."""
+    g, at = gray(image), _angles(p)
+    v, x, y = rays(blurred(g, 1), at, _middle(g))
+    on = (x >= 0) & (x < g.shape[1]) & (y >= 0) & (y < g.shape[0])
+    d = np.where(on[:, 4:], v[:, 4:] - v[:, :-4], 0)
+    best = None
+    for sign in (-1, 1):
+        hit, k = _outermost(sign * d >= p.get("least", 20))
+        n = np.flatnonzero(hit)
+        found = _box_of_hits(at[n], x[n, k[n] + 2], y[n, k[n] + 2], g.shape, p.get("support", 0.5), len(at))
+        if found and (best is None or found[1] > best[1]):
+            best = found
+    return best
+
+
+def _strongest(s: np.ndarray, at: np.ndarray, least: float):
+    v, x, y = rays(s, at, _middle(s))
+    k = v.argmax(1)
+    n = np.flatnonzero(v[np.arange(len(at)), k] >= least)
+    return n, x[n, k[n]], y[n, k[n]]
+
+
+@register("multi_scale_radial_edge")
+def multi_scale_radial_edge(image: np.ndarray, p: dict):
+    """The steepest place of each ray in the largest of the normalised slopes at several scales."""
+    g = gray(image)
+    scales = [slope(blurred(g, r)) for r in p.get("scales", [1, 2, 4])]
+    s, at = np.max([x / max(x.max(), 1e-9) for x in scales], axis=0), _angles(p)
+    n, x, y = _strongest(s, at, p.get("least", 0.2))
+    return _box_of_hits(at[n], x, y, s.shape, p.get("support", 0.5), len(at))
+
+
+@register("adaptive_radial_edge")
+def adaptive_radial_edge(image: np.ndarray, p: dict):
+    """Coarse rays, and finer ones in quarters where fewer of them than `support` hit."""
+    s, at = slope(blurred(gray(image), 1)), _angles(p)
+    least = p.get("least", 10)
+    n, x, y = _strongest(s, at, least)
+    quarter = lambda a: (np.floor((a + np.pi / 4) / (np.pi / 2)).astype(int)) % 4
+    all_of, hit_of = np.bincount(quarter(at), minlength=4), np.bincount(quarter(at[n]), minlength=4)
+    weak = np.flatnonzero(hit_of < p.get("weak", 0.8) * all_of)
+    if len(weak):
+        fine = np.deg2rad(np.arange(0, 360, p.get("fine", 1)))
+        fine = fine[np.isin(quarter(fine), weak)]
+        m, fx, fy = _strongest(s, fine, least)
+        keep = ~np.isin(quarter(at), weak)
+        on = keep[n]
+        at, hits, x, y = np.concatenate([at[keep], fine]), np.concatenate([at[n][on], fine[m]]), np.concatenate([x[on], fx]), np.concatenate([y[on], fy])
+    else:
+        hits = at[n]
+    return _box_of_hits(hits, x, y, s.shape, p.get("support", 0.4), len(at))
+
+
+@register("star_convex")
+def star_convex(image: np.ndarray, p: dict):
+    """The outermost foreground of each ray from the foreground's centre, smoothed around the ring; the hull of that."""
+    mask = closed(difference_mask(gray(image)), 2)
+    if mask.mean() < p.get("share", 0.05):
+        return None
+    y, x = (float(v.mean()) for v in np.nonzero(mask))
+    at = _angles(p)
+    v, _, _ = rays(mask, at, (y, x))
+    hit, k = _outermost(v > 0)
+    r = np.where(hit, k + 2, 0).astype(float)
+    w = p.get("smooth", 1)
+    r = np.median(np.stack([np.roll(r, d) for d in range(-w, w + 1)]), axis=0)
+    pts = np.stack([np.clip(x + r * np.cos(at), 0, mask.shape[1] - 1), np.clip(y + r * np.sin(at), 0, mask.shape[0] - 1)], 1)
+    return hull_box(np.rint(pts).astype(int))[0], float(hit.mean())
+
+
+# lines
+def _peaks(v: np.ndarray, share: float) -> tuple[int, int]:
+    """First and last place with at least a share of the largest value; the local tops of those stretches."""
+    on = np.flatnonzero(v >= share * v.max())
+    cuts = np.flatnonzero(np.diff(on) > 1)
+    first, last = on[: cuts[0] + 1] if len(cuts) else on, on[cuts[-1] + 1 :] if len(cuts) else on
+    return int(first[v[first].argmax()]), int(last[v[last].argmax()])
+
+
+@register("hough")
+def hough(image: np.ndarray, p: dict):
+    """Votes of steep pixels for lines near each axis, over a few slants; the outermost well-voted lines."""
+    g = gray(image)
+    dy, dx = np.gradient(blurred(g, 1))
+    out, votes = [], []
+    for d, turn in ((dx, False), (dy, True)):
+        s = np.abs(d.T if turn else d)
+        y, x = np.nonzero(s >= max(p.get("least", 8), np.percentile(s, p.get("percentile", 90))))
+        if not len(y):
+            return None
+        h, w = s.shape
+        best = None
+        for slant in np.linspace(-p.get("slant", 0.05), p.get("slant", 0.05), 11):
+            at = np.clip(np.rint(x + slant * (y - h / 2)), 0, w - 1).astype(int)
+            v = np.bincount(at, minlength=w) / h
+            if best is None or np.square(v).sum() > np.square(best).sum():
+                best = v
+        a, b = _peaks(best, p.get("share", 0.5))
+        out.append((a, b + 1))
+        votes.append(float(min(best[a], best[b])))
+    (l, r), (t, b) = out
+    return ([l, t, r, b], min(votes)) if r - l > 2 and b - t > 2 and min(votes) >= p.get("support", 0.2) else None
+
+
+@register("ransac")
+def ransac(image: np.ndarray, p: dict):
+    """First and last foreground of each row and column; a robust line for each side; the box of their crossings."""
+    mask = closed(difference_mask(gray(image)), 2)
+    rng = np.random.default_rng(p.get("seed", 42))
+    lines, support = [], []
+    for m, turn in ((mask, False), (mask.T, True)):
+        rows = np.flatnonzero(m.any(1))
+        if len(rows) < 10:
+            return None
+        for edge in (m[rows].argmax(1), m.shape[1] - m[rows][:, ::-1].argmax(1)):
+            best, held = None, -1
+            for _ in range(p.get("tries", 60)):
+                i, j = rng.choice(len(rows), 2, replace=False)
+                k = (edge[j] - edge[i]) / (rows[j] - rows[i])
+                near = np.abs(edge - edge[i] - k * (rows - rows[i])) <= p.get("within", 2)
+                if near.sum() > held:
+                    held, best = int(near.sum()), near
+            k, c = np.polyfit(rows[best], edge[best], 1) if best.sum() > 1 else (0.0, float(edge[best].mean()))
+            lines.append((k, c, turn))
+            support.append(held / len(rows))
+    if min(support) < p.get("support", 0.4):
+        return None
+    pts = []
+    for k, c, _ in lines[:2]:  # x = k y + c crosses y = m x + n
+        for m, n, _ in lines[2:]:
+            y = (m * c + n) / (1 - m * k) if abs(1 - m * k) > 1e-9 else n
+            pts.append((k * y + c, y))
+    (x0, y0), (x1, y1) = np.min(pts, 0), np.max(pts, 0)
+    return [int(round(v)) for v in (x0, y0, x1, y1)], float(min(support))

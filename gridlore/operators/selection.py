@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ordered as O
+
 
 def shape_summary(obs: DataFrame, by: list[str], wall: str, seq: str) -> DataFrame:
     """Per group: observations, least and median wall time, the newest, and the fastest one's number."""
@@ -92,7 +94,8 @@ def best_record(df: DataFrame, by: list[str], gate: Column, quality: Column, cre
 def duplicate_groups(df: DataFrame, digest: Column, id_: str) -> DataFrame:
     """Digests that several rows have: how many, the first, and a label by first appearance."""
     g = df.groupBy(digest.alias("digest")).agg(F.count("*").alias("n"), F.min(id_).alias("first_id")).where("n > 1")
-    return g.withColumn("label", F.format_string("DUP-%04d", F.row_number().over(Window.orderBy("first_id"))))
+    n = O.numbered(g, "first_id", [F.col("first_id").asc(), F.col("digest").asc()], {"_n": F.lit(1)})
+    return n.withColumn("label", F.format_string("DUP-%04d", F.col("_n"))).drop("_n")
 
 
 def makespan(durations: DataFrame, by: list[str], value: str, lanes: int) -> DataFrame:

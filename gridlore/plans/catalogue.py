@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
+from ..operators import evidence as E
 from ..operators import grid as G
 from ..operators import intelligence as I
 from ..operators import metrics as M
@@ -488,6 +489,141 @@ def q_page_quality(spark, d):
     return V.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", score.alias("score"))
 
 
+# verdicts and matches
+TARGETS = f"WITH {V.OBS}, o AS (SELECT *, event_id % 2 AS kind FROM v_obs), t AS (SELECT c_custkey, c_custkey AS own, c_nationkey AS size, CASE WHEN c_custkey % 3 = 0 THEN 'click' END AS detector, CASE WHEN c_custkey % 5 <> 0 THEN c_custkey % 2 END AS kind FROM customer), j AS (SELECT c_custkey, 1 AS tier, wall, event_id FROM t JOIN o ON own = runner AND coalesce(t.detector, o.detector) = o.detector AND coalesce(t.kind, o.kind) = o.kind UNION ALL SELECT c_custkey, 2, wall, event_id FROM t JOIN o ON size = pipelines AND coalesce(t.detector, o.detector) = o.detector AND coalesce(t.kind, o.kind) = o.kind), k AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY tier, wall, event_id) AS k FROM j)"
+
+
+@query(TARGETS + " SELECT c_custkey, CAST(coalesce(tier, 0) AS BIGINT) AS tier, wall, event_id FROM t LEFT JOIN (SELECT c_custkey, tier, wall, event_id FROM k WHERE k = 1) USING (c_custkey)")
+def q_verified_predictions(spark, d):
+    c = F.col("c_custkey")
+    t = V.table(spark, d, "customer").select("c_custkey", c.alias("own"), F.col("c_nationkey").alias("size"), F.when(c % 3 == 0, "click").alias("detector"), F.when(c % 5 != 0, c % 2).alias("kind"))
+    return E.wildcard_match(t, V.v_obs(spark, d).withColumn("kind", F.col("event_id") % 2), "c_custkey", ["detector", "kind"], [("own", "runner"), ("size", "pipelines")], ["wall", "event_id"], ["wall", "event_id"])
+
+
+@query(f"WITH {V.CAL}, k AS (SELECT build, CASE WHEN status = 'provisional' THEN 'smoke' WHEN build % 3 = 0 THEN 'exhaustive' ELSE 'powers-of-2' END AS kind, CASE build % 4 WHEN 0 THEN 'High' WHEN 1 THEN 'Medium' WHEN 2 THEN 'Low' END AS rating FROM v_cal) SELECT kind, rating, CASE WHEN kind = 'smoke' OR rating IS NULL THEN 'Provisional' WHEN kind <> 'exhaustive' OR rating = 'Low' THEN 'Candidate' WHEN rating = 'High' THEN 'Approved' ELSE 'Recommended' END AS level, CAST(count(*) AS BIGINT) AS n FROM k GROUP BY 1, 2, 3")
+def q_approval(spark, d):
+    b = F.col("build")
+    k = V.v_cal(spark, d).select(E.search_type(F.col("status"), b % 3 == 0, F.lit("powers_of_2")).alias("kind"), F.when(b % 4 == 0, "High").when(b % 4 == 1, "Medium").when(b % 4 == 2, "Low").alias("rating"))
+    return k.groupBy("kind", "rating", E.approval(F.col("kind"), F.col("rating")).alias("level")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {V.OBS}, p AS (SELECT event_id, CAST(pipelines AS BIGINT) AS done, 80 AS possible, wall, CASE WHEN event_id % 3 = 0 THEN wall / 8 END AS rate FROM v_obs) SELECT event_id, CASE WHEN done IS NULL THEN 'unavailable' WHEN done / 100.0::DOUBLE < 0.1::DOUBLE THEN 'early' WHEN done / 100.0::DOUBLE <= 0.4::DOUBLE THEN 'moderate' WHEN done / 100.0::DOUBLE <= 0.8::DOUBLE THEN 'late' ELSE 'unstable' END AS class, least(1.0::DOUBLE, done / 80.0::DOUBLE) AS share, CASE WHEN done >= 80 THEN 0.0::DOUBLE WHEN rate > 0 THEN (80 - done) * 5 / rate WHEN done > 0 AND wall > 0 THEN (80 - done) * wall / done END AS eta FROM p")
+def q_search_progress(spark, d):
+    done = F.col("pipelines").cast("long")
+    share, eta = E.progress(done, F.lit(80), F.col("wall"), F.when(F.col("event_id") % 3 == 0, F.col("wall") / 8), F.lit(5))
+    return V.v_obs(spark, d).select("event_id", E.stabilisation(done / 100.0).alias("class"), share.alias("share"), eta.alias("eta"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size > 40 THEN printf('%.2f pg/s', p_size / 4.0::DOUBLE) WHEN p_size >= 4 THEN printf('%.3f pg/s', p_size / 4.0::DOUBLE) ELSE printf('%.4f pg/s', p_size / 4.0::DOUBLE) END AS rate, CASE WHEN p_size % 4 = 3 THEN NULL ELSE p_size END AS pipelines, CASE WHEN p_size % 4 = 3 THEN NULL ELSE p_partkey END AS threads FROM part WHERE p_size <> 40")
+def q_texts_of_shapes(spark, d):
+    p = V.table(spark, d, "part").where("p_size <> 40")
+    form = F.when(F.col("p_size") % 4 == 0, F.format_string(" %dP / %dT", "p_size", "p_partkey")).when(F.col("p_size") % 4 == 1, F.format_string("%d/%d", "p_size", "p_partkey")).when(F.col("p_size") % 4 == 2, F.format_string("%dpx%d", "p_size", "p_partkey")).otherwise(F.format_string("%d-%d", "p_size", "p_partkey"))
+    s = E.manual_shape(form)
+    return p.select("p_partkey", E.rate_text(F.col("p_size") / 4.0).alias("rate"), s["pipelines"].alias("pipelines"), s["threads"].cast("long").alias("threads"))
+
+
+@query("SELECT l_orderkey, CASE WHEN bool_and(l_returnflag = 'R') THEN 'error' WHEN bool_or(l_returnflag = 'R') THEN 'partial' ELSE 'complete' END AS status FROM lineitem GROUP BY 1")
+def q_page_status(spark, d):
+    return V.table(spark, d, "lineitem").groupBy("l_orderkey").agg(E.page_status(F.when(F.col("l_returnflag") == "R", "error").otherwise("ok")).alias("status"))
+
+
+DETECTORS = f"WITH {V.EVAL}, m AS (SELECT detector, {V.MOMENTS}, count(*) / sum(ms) AS page_rate FROM v_eval GROUP BY detector)"
+
+
+@query(DETECTORS + " SELECT detector, mean_iou, n_failed, row_number() OVER (ORDER BY mean_iou DESC, min_iou DESC, n_failed, std_iou, page_rate DESC, detector) AS rank FROM m")
+def q_detector_rank(spark, d):
+    from pyspark.sql import Window
+
+    e = V.v_eval(spark, d)
+    m = M.set_metrics(e, ["detector"]).join(e.groupBy("detector").agg((F.count("*") / F.sum("ms")).alias("page_rate")), "detector")
+    return m.select("detector", "mean_iou", "n_failed", F.row_number().over(Window.orderBy(*E.detector_order(m, "detector"))).cast("long").alias("rank"))  # detectors are few
+
+
+@query(f"WITH {V.METRICS}, r AS (SELECT set_id, row_number() OVER (ORDER BY {V.ORDER}) AS rank FROM m) SELECT set_id, rank FROM r WHERE (rank - 1) % 3 = 0")
+def q_stride_sample(spark, d):
+    r = M.search_rank(M.set_metrics(V.v_eval(spark, d), ["set_id"]), F.lit(True), ["set_id"])
+    return r.where((F.col("rank") - 1) % 3 == 0).select("set_id", "rank")
+
+
+@query(f"WITH {V.OBS} SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS completion_index, row_number() OVER (ORDER BY ts, event_id) / CAST(count(*) OVER () AS DOUBLE) AS fraction FROM v_obs")
+def q_completion_order(spark, d):
+    o = V.v_obs(spark, d).select("event_id", F.unix_micros("ts").alias("at"))
+    n = O.numbered(o, "at", [F.col("at").asc(), F.col("event_id").asc()], {"completion_index": F.lit(1)})
+    return n.crossJoin(F.broadcast(o.agg(F.count("*").alias("_n")))).select("event_id", "completion_index", (F.col("completion_index") / F.col("_n").cast("double")).alias("fraction"))  # one row
+
+
+SCHEDULES = "WITH r AS (SELECT o_custkey AS runner, 1 + o_orderkey % 40 AS detectors, floor(o_totalprice / 1000) AS makespan, (o_orderkey % 11) / 16.0::DOUBLE AS utilization, (o_orderkey % 3) / 4.0::DOUBLE AS tail, o_orderkey AS seen FROM orders), t AS (SELECT c_custkey AS id, c_custkey AS runner, 1 + c_custkey % 30 AS want FROM customer), s AS (SELECT t.id, r.runner = t.runner AS same_runner, detectors, makespan, utilization, tail, seen, row_number() OVER (PARTITION BY t.id ORDER BY (r.runner = t.runner) DESC, floor(abs(ln(want / CAST(detectors AS DOUBLE))) * 1e9), makespan, -(utilization - 0.35::DOUBLE * tail), seen) AS k FROM t, r WHERE makespan > 0)"
+
+
+@query(SCHEDULES + " SELECT id, same_runner, CAST(detectors AS BIGINT) AS observed, seen FROM s WHERE k = 1")
+def q_schedule_evidence(spark, d):
+    k = F.col("o_orderkey")
+    r = V.table(spark, d, "orders").select(F.col("o_custkey").alias("runner"), (1 + k % 40).alias("detectors"), F.floor(F.col("o_totalprice") / 1000).alias("makespan"), ((k % 11) / 16.0).alias("utilization"), ((k % 3) / 4.0).alias("tail"), k.alias("seen"))
+    t = V.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_custkey").alias("runner"), (1 + F.col("c_custkey") % 30).alias("detectors"))
+    return E.schedule_evidence(t, r, "id", "runner", "detectors", "makespan", "utilization", "tail", "seen").select("id", "same_runner", "observed", "seen")
+
+
+@query(f"WITH {V.OBS}, s AS (SELECT runner, count(DISTINCT pipelines) AS n FROM v_obs WHERE pipelines >= 95 GROUP BY 1), r AS (SELECT DISTINCT runner FROM v_obs) SELECT runner, CASE WHEN n IS NULL THEN 'none' WHEN n = 1 THEN 'low' WHEN n = 2 THEN 'moderate' ELSE 'high' END AS readiness FROM r LEFT JOIN s USING (runner)")
+def q_coverage(spark, d):
+    o = V.v_obs(spark, d)
+    return o.groupBy("runner").agg(E.readiness(F.count_distinct(F.when(F.col("pipelines") >= 95, F.col("pipelines")))).alias("readiness"))
+
+
+@query(f"WITH {V.OBS} SELECT pipelines AS size, CAST(count(*) AS BIGINT) AS n, median(runner) AS pipelines, median(least(1.0::DOUBLE, event_id / CAST(pipelines AS DOUBLE))) AS fraction FROM v_obs WHERE pipelines > 0 GROUP BY 1")
+def q_size_anchors(spark, d):
+    return E.size_anchors(V.v_obs(spark, d).select(F.col("pipelines").alias("size"), F.col("runner").alias("p"), F.col("event_id").alias("a")), "size", "p", "a")
+
+
+RESOLVE = "WITH k AS (SELECT sha256(CAST(p_partkey AS VARCHAR)) AS digest, p_partkey % 3 AS source, p_brand AS brand FROM part), w AS (SELECT c_custkey, upper(left(sha256(CAST(c_custkey AS VARCHAR)), CASE WHEN c_custkey % 4 = 0 THEN 11 ELSE CAST(12 + c_custkey % 50 AS INT) END)) AS wanted FROM customer)"
+
+
+@query(RESOLVE + " SELECT wanted, digest, CAST(source AS BIGINT) AS source, brand FROM w JOIN k ON starts_with(digest, lower(wanted)) WHERE length(wanted) >= 12")
+def q_resolve_ids(spark, d):
+    known = V.table(spark, d, "part").select(F.sha2(F.col("p_partkey").cast("string"), 256).alias("digest"), (F.col("p_partkey") % 3).alias("source"), F.col("p_brand").alias("brand"))
+    c = F.col("c_custkey")
+    w = V.table(spark, d, "customer").select(F.upper(F.left(F.sha2(c.cast("string"), 256), F.when(c % 4 == 0, 11).otherwise(12 + c % 50).cast("int"))).alias("wanted"))
+    return E.resolved(w, "wanted", known, "digest", "source")
+
+
+@query(f"WITH {V.TASK} SELECT lane, CAST(count(*) AS BIGINT) AS n_parts, CAST(max(\"end\") - 700000000 AS BIGINT) AS elapsed, CAST(sum(\"end\" - \"start\") AS BIGINT) AS serial, CAST(sum(\"end\" - \"start\") AS DOUBLE) / CAST(max(\"end\") - 700000000 AS DOUBLE) AS acceleration FROM v_task GROUP BY 1")
+def q_merged_totals(spark, d):
+    t = V.v_task(spark, d).select("lane", (F.col("start") - 700000000).alias("offset"), (F.col("end") - F.col("start")).alias("elapsed"))
+    return E.merged_totals(t, ["lane"], "offset", "elapsed")
+
+
+@query("WITH h AS (SELECT lang, n_chars AS v, sum(1 + doc_id % 4) AS w FROM documents GROUP BY 1, 2), c AS (SELECT lang, v, sum(w) OVER (PARTITION BY lang ORDER BY v) AS c, sum(w) OVER (PARTITION BY lang) AS t FROM h) SELECT lang, min(v) AS percentile FROM c WHERE c >= t * 0.9::DOUBLE GROUP BY 1")
+def q_weighted_percentile(spark, d):
+    return E.weighted_percentile(V.table(spark, d, "documents").select("lang", "n_chars", (1 + F.col("doc_id") % 4).alias("w")), ["lang"], "n_chars", "w", 0.9)
+
+
+@query(f"WITH {V.OBS} SELECT event_id, coalesce(CASE WHEN event_id % 7 = 0 THEN NULL ELSE wall <= 50 END, true) AS expired FROM v_obs")
+def q_leases(spark, d):
+    return V.v_obs(spark, d).select("event_id", E.lease_expired(F.when(F.col("event_id") % 7 == 0, "corrupt").otherwise(F.col("wall").cast("string")), F.lit(50)).alias("expired"))
+
+
+@query()
+def q_lanes(spark, d):
+    return E.lanes(V.table(spark, d, "supplier").select("s_nationkey", "s_suppkey", (F.abs(F.col("s_acctbal")) + 1).cast("long").alias("est")), ["s_nationkey"], ["s_suppkey"], "est", 3)
+
+
+@query()
+def q_grown_boxes(spark, d):
+    q, n = F.col("l_quantity").cast("int"), (F.col("l_linenumber") * 20).cast("int")
+    b = V.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.array(n, n, n + q, n + q))).alias("boxes"))
+    return E.grown_boxes(b, "l_orderkey", "boxes", 4)
+
+
+@query()
+def q_refined_search(spark, d):
+    domains = {"a": list(range(40)), "b": list(range(0, 300, 7))}
+
+    def evaluate(sets):
+        rows = spark.createDataFrame(sets, "a int, b int").select("a", "b", (F.abs(F.col("a") - 23) * 2 + F.abs(F.col("b") - 140)).cast("double").alias("cost")).collect()  # a step's few sets
+        return {(r.a, r.b): r.cost for r in rows}
+
+    return spark.createDataFrame([(*k, v) for k, v in E.refine(evaluate, domains, {"a": 0, "b": 0}).items()], "a int, b int, cost double")
+
+
 # streams and detectors: rows only, tests hold them against the batch forms and the drawn boxes
 def _drained(spark, d, make, mode):
     """The rows of a stream over the whole events table, through the memory sink."""

@@ -3,7 +3,7 @@ import json
 import pytest
 
 from gridlore.functions import scalar as S
-from gridlore.operators import detect, grid, metrics, ordered, selection
+from gridlore.operators import detect, evidence, grid, metrics, ordered, outline, selection
 from gridlore.sources import indices, sinks
 from pyspark.sql import functions as F
 
@@ -123,3 +123,58 @@ def test_streamed_upsert(spark, tmp_path):
     stream = spark.readStream.schema("key int, seq long, v int").parquet(str(src))
     live.upsert_batches(stream, lambda df, n: seen.extend((r.key, r.v) for r in df.collect()), ["key"], "seq", str(tmp_path / "cp")).awaitTermination()
     assert sorted(seen) == [(0, 60), (1, 70), (2, 80)]
+
+
+def test_callers_detectors_travel_and_empty_pages_have_no_box(spark):
+    import numpy as np
+
+    detect.register("whole")(lambda image, p: ([0, 0, image.shape[1], image.shape[0]], 1.0))
+    try:
+        found = detect.detect(detect.rectangles(spark, 2), spark.createDataFrame([("whole", "{}")], "method string, parameters string")).collect()
+        assert [r.box for r in found] == [[0, 0, 320, 240]] * 2
+    finally:
+        del detect.REGISTRY["whole"]
+    for name, f in detect.REGISTRY.items():
+        if f.__module__ == outline.__name__ and name != "whitespace_frame":
+            assert f(np.full((60, 80), 9, np.uint8), {}) is None, name
+    assert outline.region_boxes(np.array([[1, 0, 0], [0, 1, 0], [0, 0, 0], [1, 1, 0]], bool))[0] == [[0, 0, 2, 2], [0, 3, 2, 4]]
+
+
+def test_numbering_in_ranges_is_the_plain_one(spark):
+    rows = [(k, float(v) if v != 5 else None) for k, v in enumerate([3, 3, 5, 1, 9, 9, 2, 5, 7])]
+    df = spark.createDataFrame(rows, "k int, v double")
+    for down in (False, True):
+        order = [F.col("v").desc_nulls_last() if down else F.col("v").asc_nulls_last(), F.col("k").asc()]
+        got = {r.k: r.n for r in ordered.numbered(df, "v", order, {"n": F.lit(1)}, descending=down, parts=3).collect()}
+        want = sorted(rows, key=lambda r: (r[1] is None, (-1 if down else 1) * (r[1] or 0), r[0]))
+        assert got == {r[0]: i + 1 for i, r in enumerate(want)}
+    same = spark.createDataFrame([(1, 4.0), (2, 4.0)], "k int, v double")
+    assert {r.k: r.n for r in ordered.numbered(same, "v", [F.col("k").asc()], {"n": F.lit(1)}).collect()} == {1: 1, 2: 2}
+    assert ordered.numbered(same.where("k > 9"), "v", [F.col("k").asc()], {"n": F.lit(1)}).count() == 0
+
+
+def test_lanes_boxes_and_refinement(spark):
+    df = spark.createDataFrame([("g", k, v) for k, v in enumerate((5, 4, 3, 3))], "g string, k int, v long")
+    assert [(r.k, r.lane, r.start) for r in evidence.lanes(df, ["g"], ["k"], "v", 2).orderBy("k").collect()] == [(0, 0, 0), (1, 1, 0), (2, 1, 4), (3, 0, 5)]
+    assert evidence.grow_box([[0, 0, 10, 10], [12, 0, 14, 4], [18, 0, 20, 4], [40, 40, 41, 41]], 4) == ([0, 0, 20, 10], 3)
+    boxes = spark.createDataFrame([(1, [[0, 0, 2, 2]]), (2, []), (3, None)], "id int, b array<array<int>>")
+    assert {r.id: (r.box, r.n_joined) for r in evidence.grown_boxes(boxes, "id", "b", 1).collect()} == {1: ([0, 0, 2, 2], 1), 2: (None, 0), 3: (None, 0)}
+    asked = []
+
+    def cost(sets):
+        asked.extend(sets)
+        return {s: abs(s[0] - 17) + abs(s[1] - 140) for s in sets}
+
+    seen = evidence.refine(cost, {"a": list(range(40)), "b": list(range(0, 300, 7))}, {"a": 0, "b": 0})
+    assert min(seen, key=seen.get) == (17, 140) and len(asked) == len(set(asked)) == len(seen) < 60
+    assert evidence.effect_strategy("critical", {"moderate_plus": 4}) == "moderate_plus" and evidence.effect_strategy("critical", {}) == "exhaustive" and evidence.effect_strategy("smoke", {}) == "smoke"
+
+
+def test_wildcards_and_texts(spark):
+    t = spark.createDataFrame([(1, "a", None), (2, "a", "x"), (3, "q", "y"), (4, None, None)], "id int, own string, kind string").withColumn("size", F.lit(8))
+    rows = spark.createDataFrame([("a", 8, "y", 5), ("a", 9, "x", 7), ("b", 8, None, 1)], "runner string, cpus int, kind string, wall int")
+    got = {r.id: (r.tier, r.wall) for r in evidence.wildcard_match(t, rows, "id", ["kind"], [("own", "runner"), ("size", "cpus")], ["wall"], ["wall"]).collect()}
+    assert got == {1: (1, 5), 2: (1, 7), 3: (2, 5), 4: (2, 1)}
+    forms = ["8p/48t", " 8 P / 48 T", "8/48", "8p,48", "8px48t", "8p:48", "8p/48", "8/48t", "0/4", "x"]
+    got = [r[0] for r in spark.createDataFrame([(k, f) for k, f in enumerate(forms)], "k int, f string").orderBy("k").select(evidence.manual_shape(F.col("f"))).collect()]
+    assert [g and tuple(g) for g in got] == [(8, 48)] * 6 + [None] * 4
