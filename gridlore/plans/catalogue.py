@@ -514,7 +514,7 @@ def q_search_progress(spark, d):
     return V.v_obs(spark, d).select("event_id", E.stabilisation(done / 100.0).alias("class"), share.alias("share"), eta.alias("eta"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_size > 40 THEN printf('%.2f pg/s', p_size / 4.0::DOUBLE) WHEN p_size >= 4 THEN printf('%.3f pg/s', p_size / 4.0::DOUBLE) ELSE printf('%.4f pg/s', p_size / 4.0::DOUBLE) END AS rate, CASE WHEN p_size % 4 = 3 THEN NULL ELSE p_size END AS pipelines, CASE WHEN p_size % 4 = 3 THEN NULL ELSE p_partkey END AS threads FROM part WHERE p_size <> 40")
+@query("SELECT p_partkey, CASE WHEN p_size > 40 THEN printf('%.2f pg/s', p_size / 4.0::DOUBLE) WHEN p_size >= 4 THEN printf('%.3f pg/s', p_size / 4.0::DOUBLE) ELSE printf('%.4f pg/s', p_size / 4.0::DOUBLE) END AS rate, CASE WHEN p_size % 4 = 3 OR p_partkey = 0 THEN NULL ELSE p_size END AS pipelines, CASE WHEN p_size % 4 = 3 OR p_partkey = 0 THEN NULL ELSE p_partkey END AS threads FROM part WHERE p_size <> 40")
 def q_texts_of_shapes(spark, d):
     p = V.table(spark, d, "part").where("p_size <> 40")
     form = F.when(F.col("p_size") % 4 == 0, F.format_string(" %dP / %dT", "p_size", "p_partkey")).when(F.col("p_size") % 4 == 1, F.format_string("%d/%d", "p_size", "p_partkey")).when(F.col("p_size") % 4 == 2, F.format_string("%dpx%d", "p_size", "p_partkey")).otherwise(F.format_string("%d-%d", "p_size", "p_partkey"))
