@@ -1,10 +1,15 @@
 """Licence scans by sentence rules, in DataFrame functions only.
 
 A text is split into sentences (at ``.!?`` with what punctuation follows, before white space or the
-end, and at empty lines); a sentence is lower-cased and every run of other characters than a-z and
-0-9 becomes a space. SENTENCES name the known ones; the names of a text's known sentences, in order,
-are its sequence. RULES are tried in order: a rule takes each place of the sequence where its names
-follow one another, gives its licence, and what it took is closed to later rules.
+end, and at empty lines, but not in ``v. 2.0`` nor between ``at`` and the address after it; an SPDX tag
+ends with its line or comment); a sentence is lower-cased and every run of other characters than a-z
+and 0-9 becomes a space. KNOWN name what a sentence holds, in the order of the places, and it may go
+on after that; the names of a text's sentences, in order, are its sequence. SCANNED rules are tried in
+order: a rule takes each place of the sequence where its names follow one another, gives its licence,
+and what it took is closed to later rules.
+
+SENTENCES, RULES and SPLIT are the narrow forms that the SQL keeps: one name for a sentence that ends
+there. Both agree on texts whose notices are such sentences, as all notices of the given tables are.
 
 Null and empty texts have no sentences; repeated rows are each reported; no row leaves its partition.
 """
@@ -84,17 +89,46 @@ RULES = [
 HINTS = ("licen", "permission", "copyright", "redistribution", "warrant", "reserved", "endorse")
 SPLIT = r"[.!?]+[^A-Za-z0-9\s]*(?:\s+|$)|\n\s*\n"
 
+_LATER = r" or (?:at your option )?(?:any )?(?:later|newer|higher)"
+_ONLY = rf"(?: 0)?+(?!{_LATER})"
+#: An SPDX expression with the licence in it; "mit 0" is another licence than "mit".
+_SPDX = r"spdx license identifier (?:[a-z0-9 ]+ (?:or|and) )?{}(?: (?:or|and|with) [a-z0-9 ]+)?$"
+#: What takes the place of a form of SENTENCES in a scan.
+WIDER = {
+    "apache2": r"(?:licensed|licenses this file to you) under the apache license (?:version )?2 0",
+    "gpl2_line": r"licensed under the gnu general public license version 2" + _ONLY,
+    "gpl3_line": r"licensed under the gnu general public license version 3" + _ONLY,
+    "lgpl3_line": r"licensed under the gnu lesser general public license version 3" + _ONLY,
+    "agpl3_line": r"licensed under the gnu affero general public license version 3" + _ONLY,
+    "spdx_apache2": _SPDX.format("apache 2 0"),
+    "spdx_mit": _SPDX.format("mit"),
+    "spdx_gpl3": _SPDX.format("gpl 3 0(?: only| or later)?"),
+    "spdx_bsd3": _SPDX.format("bsd 3 clause"),
+}
+#: Known sentences of a scan: the words may be followed by others.
+KNOWN = [(name, f"(?:^| ){WIDER.get(name, ends.removesuffix('$'))}(?: |$)") for name, ends in SENTENCES]
+#: Rules besides RULES, for headers that name the licence in other words before; only the address tells Apache's from others of the same words.
+MORE = [
+    ("Apache-2.0", ["apache2_comply", "apache2_copy", "apache2_asis", "apache2_limits"]),
+    ("Apache-2.0", ["apache2_comply", "apache2_copy"]),
+    ("Apache-2.0", ["apache2_copy"]),
+]
+_AT = RULES.index(("Apache-2.0", ["apache2"]))
+SCANNED = RULES[:_AT] + MORE + RULES[_AT:]
+#: Java's, with its look-behind.
+BREAK = r"(?!(?<=\b[Vv](?:er)?)\.\s*\d)[.!?]+[^A-Za-z0-9\s]*(?:\s+|$)|(?<!\bat[\s:]{0,8})\n\s*\n"
+#: An SPDX tag up to the end of its line or comment.
+TAG = r"(?i)(spdx-license-identifier:[^\r\n]*?)(?:\*/|-->|\r\n?|\n)"
+
 
 def _normalised(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
 
 
-def _name(sentence: Column) -> Column:
-    out = None
-    for name, ends in SENTENCES:
-        hit = sentence.rlike(f"(?:^| ){ends}")
-        out = F.when(hit, name) if out is None else out.when(hit, name)
-    return out
+def _names(sentence: Column) -> Column:
+    """What a sentence holds, by place."""
+    at = F.array(*(F.struct(F.regexp_instr(sentence, F.lit(known)).alias("at"), F.lit(k).alias("k"), F.lit(name).alias("what")) for k, (name, known) in enumerate(KNOWN)))
+    return F.transform(F.array_sort(F.filter(at, lambda x: x.at > 0)), lambda x: x.what)
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -104,11 +138,12 @@ def scan(docs: DataFrame) -> DataFrame:
     hinted = None
     for h in HINTS:
         hinted = low.contains(h) if hinted is None else hinted | low.contains(h)
-    names = F.filter(F.transform(F.split(text, SPLIT, -1), lambda s: _name(_normalised(s))), lambda n: n.isNotNull())
+    parts = F.split(F.regexp_replace(text, TAG, "$1\n\n"), BREAK, -1)
+    names = F.flatten(F.transform(F.filter(F.transform(parts, _normalised), lambda s: s != ""), _names))
     named = docs.select("doc_id", F.when(hinted, names).otherwise(F.array().cast("array<string>")).alias("names"))
     # a sequence is ;a;;b; so that a rule's names have bounds of their own
     seq = F.concat_ws("", F.transform("names", lambda n: F.concat(F.lit(";"), n, F.lit(";"))))
-    rules = F.array(*(F.struct(F.lit(lic).alias("lic"), F.lit("".join(f";{n};" for n in ns)).alias("seq")) for lic, ns in RULES))
+    rules = F.array(*(F.struct(F.lit(lic).alias("lic"), F.lit("".join(f";{n};" for n in ns)).alias("seq")) for lic, ns in SCANNED))
     start = F.struct(seq.alias("left"), F.array().cast("array<string>").alias("found"))
     step = lambda acc, r: F.struct(F.replace(acc.left, r.seq, F.lit("#")).alias("left"), F.when(acc.left.contains(r.seq), F.array_append(acc.found, r.lic)).otherwise(acc.found).alias("found"))
     done = named.select("doc_id", "names", F.when(F.size("names") > 0, F.aggregate(rules, start, step)).otherwise(start).alias("done"))
@@ -120,7 +155,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def sql(table: str = "documents") -> str:
-    """The same in DuckDB's SQL."""
+    """The narrow forms in DuckDB's SQL."""
     case = " ".join(f"WHEN regexp_matches(s, '(?:^| ){ends}') THEN '{name}'" for name, ends in SENTENCES)
     hints = " OR ".join(f"contains(lower(t), '{h}')" for h in HINTS)
     parts = [
