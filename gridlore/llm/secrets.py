@@ -3,15 +3,18 @@
 Base spans are the patterns' (kinds assign, access, hex). The method adds spans of kind guess: values
 in a credential context whose cheapest segmentation (dynamic programming over words, dates, repeats,
 sequences, keyboard walks and brute-force spans) takes `least` decimal orders of guesses or more, if
-no base span holds them. Null and empty texts have no spans; repeated rows are each reported; texts
+no base span holds them. After `:` or `=` and in quotes the cost alone decides. Passed over is what
+stands after ` is ` or ` was ` without quotes and has letters only or digits only: prose does. Null and empty texts have no spans; repeated rows are each reported; texts
 are read whole, and a value of any length takes time in proportion to it.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import math
 import re
+from functools import cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -34,8 +37,6 @@ COMMON = (
     "trustno hello freedom whatever michael jordan hunter ranger buster soccer hockey killer george charlie andrew summer winter spring autumn love "
     "test demo example sample changeme default please server system public private token access key my the this that your none null true false required"
 ).split()
-WORD_RANK = {w: k + 1 for k, w in enumerate(COMMON)}
-_LONGEST = max(map(len, COMMON))
 #: Rows of a keyboard.
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 _NEAR = {c: {r[k + d] for d in (-1, 1) if 0 <= k + d < len(r)} | {o[j] for o in ROWS[max(0, i - 1) : i] + ROWS[i + 1 : i + 2] for j in (k - 1, k, k + 1) if 0 <= j < len(o)} for i, r in enumerate(ROWS) for k, c in enumerate(r)}
@@ -43,6 +44,20 @@ _LEET = str.maketrans("4@301!5$7", "aaeoiisst")
 _DATE = re.compile(r"(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:19|20)?\d\d|(?:19|20)\d\d")
 
 
+@cache
+def words() -> tuple[dict[str, int], int]:
+    """Ranks of COMMON and then of the whole words (four letters or more) of the byte-level BPE vocabulary, which has frequent ones first; the longest one's length."""
+    import public_tokenizers
+
+    known = dict.fromkeys(COMMON)
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        for line in f:
+            token = base64.b64decode(line.split()[0]).decode("utf-8", "replace")
+            if token[:1] == " " and token[1:].isalpha() and 4 <= len(token) - 1 <= 24:
+                known[token[1:].lower()] = None
+    return {w: k + 1 for k, w in enumerate(known)}, max(map(len, known))
+
+
 def _brute(c: str) -> float:
     return math.log10(10 if c.isdigit() else 26 if c.isalpha() and c.isascii() else 33 if c.isascii() else 100)
 
@@ -53,11 +68,12 @@ def segments(s: str) -> dict[int, list[tuple[int, float, str]]]:
     if len(low) != n:
         low = s
     plain = low.translate(_LEET)
+    rank, longest = words()
     add = lambda i, j, g, kind: out.setdefault(j, []).append((i, g, kind))
     for i in range(n):
-        for j in range(i + 2, min(n, i + _LONGEST) + 1):
+        for j in range(i + 2, min(n, i + longest) + 1):
             for form, extra in ((low[i:j], 0.0), (plain[i:j], math.log10(2))):
-                if r := WORD_RANK.get(form):
+                if r := rank.get(form):
                     add(i, j, math.log10(r) + extra + (math.log10(2) if s[i:j] != low[i:j] else 0), "word")
                     break
         if s[i].isdigit() and (m := _DATE.match(s, i)):
@@ -132,8 +148,8 @@ def find(text: str | None, least: float = 10.0) -> list[tuple[int, int, int, flo
             while k < len(held) and held[k][0] <= s:
                 far = max(far, held[k][1])
                 k += 1
-            kinds = {("d" if c.isdigit() else "u" if c.isupper() else "l" if c.isalpha() else "s") for c in value}
-            if far < e and len(value) >= 6 and len(kinds) > 1 and kinds != {"l", "u"} and " " not in value and (cost := guess_cost(value)[0]) >= least:
+            prose = g == 2 and text[m.start() : s].rstrip(" ")[-1] not in ":=" and (value.isalpha() or value.isdigit())
+            if far < e and len(value) >= 6 and not prose and (cost := guess_cost(value)[0]) >= least:
                 more.append((s, 3, e, cost))
     return sorted(base + more)
 

@@ -1,7 +1,7 @@
 import pytest
 
 pytest.importorskip("gridlore.llm")
-from gridlore.llm import licenses  # noqa: E402
+from gridlore.llm import licenses, secrets  # noqa: E402
 
 APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
 you may not use this file except in compliance with the License.
@@ -44,3 +44,21 @@ def test_verbatim_notices_have_their_licences(spark):
     got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(t for t, _ in cases)), "doc_id long, text string")).collect()}
     assert [(t, got[k].licenses) for k, (t, _) in enumerate(cases)] == cases
     assert got[0].sentences == "apache2,apache2_comply,apache2_copy,apache2_asis,apache2_limits" and got[0].n_open == 0
+
+
+def test_the_cost_decides_after_a_separator_and_in_quotes():
+    for text, value in (
+        ('pwd = "kqzvbnwplsxjhtrd"', "kqzvbnwplsxjhtrd"), ("login: XkqTzVbnWpLsRm", "XkqTzVbnWpLsRm"), ("pin: 8394617502836471", "8394617502836471"), ('passphrase = "zq8 vk2 xw9 tn4 pl7"', "zq8 vk2 xw9 tn4 pl7"),
+        ("auth=KQZVBNWPLSXJHTRD", "KQZVBNWPLSXJHTRD"), ('the passcode is "kqzvbnwplsxjhtrd"', "kqzvbnwplsxjhtrd"), ("private key: zvkqxjwpgh,", "zvkqxjwpgh"), ("the pin was 8394-6175-0283", "8394-6175-0283"),
+    ):
+        at = text.index(value)
+        assert [x[:3] for x in secrets.find(text)] == [(at, 3, at + len(value))], text
+        assert secrets.redacted(text) == text.replace(value, "[GUESS]")
+    for text in ("login: information", "auth: international", "Pin: government, then", 'pwd = "password"', "pin: 123456", "pin: 11111111111111", "the secret is straightforwardness", "the login was qwertzuiopmnbvc", "credentials: available.", "Credentials: understanding", "pin = 20200131"):
+        assert secrets.find(text) == [], text
+
+
+def test_prose_words_are_cheap():
+    rank, longest = secrets.words()
+    assert len(rank) > 10_000 and longest <= 24 and rank["password"] == 1
+    assert all(secrets.guess_cost(w)[0] < 6 for w in ("information", "international", "government", "Development"))
