@@ -8,13 +8,13 @@ from __future__ import annotations
 
 import numpy as np
 
-from .detect import border_level, difference_mask, gray, register
+from .detect import border_level, difference_mask, gray, padded, register, within
 from .evidence import grow_box
 
 
 # regions
-def regions(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of set pixels (row, start, end), the 8-connected region of each, and the regions' areas."""
+def regions(mask: np.ndarray, corners: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of set pixels (row, start, end), the 8-connected region of each (4-connected with corners 0), and the regions' areas."""
     d = np.diff(np.pad(mask, ((0, 0), (1, 1))).astype(np.int8), axis=1)
     (y, s), e = np.nonzero(d == 1), np.nonzero(d == -1)[1]
     parent = list(range(len(y)))
@@ -28,7 +28,7 @@ def regions(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     for row in range(1, mask.shape[0]):
         i, j, a, b = first[row - 1], first[row], first[row], first[row + 1]
         while i < a and j < b:
-            if s[i] <= e[j] and s[j] <= e[i]:
+            if s[i] < e[j] + corners and s[j] < e[i] + corners:
                 p, q = root(int(i)), root(int(j))
                 parent[max(p, q)] = min(p, q)
             i, j = (i + 1, j) if e[i] < e[j] else (i, j + 1)
@@ -94,13 +94,66 @@ def _largest(mask: np.ndarray, share: float):
     return [l, t, r, b], n / max(1, (r - l) * (b - t))
 
 
-@register("contour")
+def _filled(mask: np.ndarray) -> np.ndarray:
+    """mask with its holes: what no 4-connected way of background leads to from the border."""
+    y, s, e, label, area = regions(np.pad(~mask, 1, constant_values=True), 0)
+    out = np.ones((mask.shape[0] + 2, mask.shape[1] + 2), bool)
+    for k in np.flatnonzero(label == label[0]):
+        out[y[k], s[k] : e[k]] = False
+    return out[1:-1, 1:-1]
+
+
+def _coverage(mask: np.ndarray, box: list[int]) -> float:
+    l, t, r, b = box
+    inside, on = int(mask[t:b, l:r].sum()), int(mask.sum())
+    size, area = mask.size, (r - l) * (b - t)
+    outside = (on - inside) / (size - area) if size > area else 0.0
+    return max(0.0, min(1.0, 0.5 * inside / area + 0.3 * min(1.0, area / size / 0.55) + 0.2 * (1 - outside)))
+
+
+@register("contour", {"minimum_contour_area_fraction": 0.12, "polygon_epsilon_fraction": 0.018, "close_kernel_fraction": 0.0, "close_iterations": 0, "rectangularity_weight": 0.25, "bbox_padding_fraction": 0.0, "merge_fragmented_contours": False})
 def contour(image: np.ndarray, p: dict):
-    """The largest region of the closed foreground, scored by how much of its box it fills."""
+    """The outer contour with the best coverage and rectangularity, or the hull of all. Corners are no output, so polygon_epsilon_fraction is only checked: it moves no box in the reference either."""
+    within(p, 0, 1, "minimum_contour_area_fraction", "rectangularity_weight")
+    within(p, 1e-12, 0.25, "polygon_epsilon_fraction")
+    within(p, 0, 0.25, "close_kernel_fraction", "bbox_padding_fraction")
+    within(p, 0, np.inf, "close_iterations")
+    mask = difference_mask(gray(image))
+    if p["close_kernel_fraction"] > 0 and p["close_iterations"]:
+        mask = closed(mask, int(p["close_iterations"]) * (max(3, int(round(min(mask.shape) * p["close_kernel_fraction"]))) // 2))
+    y, s, e, label, area = regions(full := _filled(mask))
+    # a contour's area is that of the polygon through its pixels' centres: 1 of a square of four, 1/2 of a corner of three
+    cell = sum(full[i : i + len(full) - 1, j : j + full.shape[1] - 1].astype(int) for i in (0, 1) for j in (0, 1))
+    best, least, boxes, weight = None, p["minimum_contour_area_fraction"] * mask.size, region_boxes(full)[0], p["rectangularity_weight"]
+
+    def consider(box: list[int], size: float) -> None:
+        nonlocal best
+        l, t, r, b = box
+        if size < least or max(r - l, b - t) < 2:
+            return
+        out = padded(box, p["bbox_padding_fraction"], mask.shape)
+        score = _coverage(mask, out) * (1 - weight) + min(1.0, size / ((r - l) * (b - t))) * weight
+        if best is None or score > best[1]:
+            best = out, score
+
+    own = np.full(full.shape, -1)
+    for k in np.flatnonzero(area[label] >= least) if len(y) else []:
+        own[y[k], s[k] : e[k]] = label[k]
+    for k in np.flatnonzero(area >= least):  # a contour's area is below its pixels'
+        l, t, r, b = boxes[k]
+        part = np.maximum.reduce([own[t + i : b - 1 + i, l + j : r - 1 + j] == k for i in (0, 1) for j in (0, 1)]) if b - t > 1 and r - l > 1 else np.zeros((0, 0), bool)
+        consider(boxes[k], float((np.clip(cell[t : b - 1, l : r - 1] - 2, 0, 2) * part).sum() / 2) if part.size else 0.0)
+    if best is None and p["merge_fragmented_contours"] and len(y):
+        consider(*hull_box(np.concatenate([np.stack([s, y], 1), np.stack([e - 1, y], 1)])))
+    return best
+
+
+def _region(image: np.ndarray, p: dict):
+    """The largest region of the closed foreground."""
     return _largest(closed(difference_mask(gray(image)), p.get("close", 3)), p.get("share", 0.1))
 
 
-@register("components")
+@register("components", "least gap")
 def components(image: np.ndarray, p: dict):
     """Regions over a size gate: the largest joined with those near it."""
     mask = difference_mask(gray(image))
@@ -112,7 +165,7 @@ def components(image: np.ndarray, p: dict):
     return box, n / len(big)
 
 
-@register("convex_hull")
+@register("convex_hull", "least solidity")
 def convex_hull(image: np.ndarray, p: dict):
     """The hull of substantial fragments, if they fill enough of it."""
     mask = difference_mask(gray(image))
@@ -130,7 +183,7 @@ def _core(mask: np.ndarray, share: float) -> tuple[np.ndarray, int]:
     return window_sum(mask, r) == (2 * r + 1) ** 2, r
 
 
-@register("distance_transform_rect")
+@register("distance_transform_rect", "depth share coverage")
 def distance_transform_rect(image: np.ndarray, p: dict):
     """The box of the largest core (pixels far from all background), widened by that distance."""
     mask = closed(difference_mask(gray(image)), 2)
@@ -144,7 +197,7 @@ def distance_transform_rect(image: np.ndarray, p: dict):
     return (box, float(cover)) if cover >= p.get("coverage", 0.5) else None
 
 
-@register("distance_transform")
+@register("distance_transform", "depth rectangularity")
 def distance_transform(image: np.ndarray, p: dict):
     """The hull of the regions that have a core."""
     mask = closed(difference_mask(gray(image)), 2)
@@ -162,7 +215,7 @@ def distance_transform(image: np.ndarray, p: dict):
     return (box, fill) if fill >= p.get("rectangularity", 0.6) else None
 
 
-@register("page_background")
+@register("page_background", "floor spread share")
 def page_background(image: np.ndarray, p: dict):
     """Regions off the border's level by its median absolute deviation, ranked by area, rectangularity and centrality."""
     g = gray(image)
@@ -182,7 +235,7 @@ def page_background(image: np.ndarray, p: dict):
     return best
 
 
-@register("whitespace_frame")
+@register("whitespace_frame", "level border share")
 def whitespace_frame(image: np.ndarray, p: dict):
     """The largest bright region, unless too much of the border is bright too."""
     g = gray(image)
@@ -203,10 +256,10 @@ def _sides(mask: np.ndarray, g: np.ndarray, box: list[int], band: int) -> list[t
     return out
 
 
-@register("cross_edge_contour")
+@register("cross_edge_contour", "close share band contrast")
 def cross_edge_contour(image: np.ndarray, p: dict):
-    """The contour's box, if each side has contrast and all are of one polarity."""
-    found = contour(image, p)
+    """The largest region's box, if each side has contrast and all are of one polarity."""
+    found = _region(image, p)
     if not found:
         return None
     c = [x for x, _ in _sides(None, gray(image), found[0], p.get("band", 4))]
@@ -214,10 +267,10 @@ def cross_edge_contour(image: np.ndarray, p: dict):
     return (found[0], float(min(map(abs, c)) / 255)) if one_way and min(map(abs, c)) >= p.get("contrast", 12) else None
 
 
-@register("border_energy")
+@register("border_energy", "close share band least even")
 def border_energy(image: np.ndarray, p: dict):
-    """The contour's box, if the slope along its sides is strong and even."""
-    found = contour(image, p)
+    """The largest region's box, if the slope along its sides is strong and even."""
+    found = _region(image, p)
     if not found:
         return None
     e = [x for _, x in _sides(None, gray(image), found[0], p.get("band", 3))]
@@ -256,7 +309,7 @@ def _angles(p: dict) -> np.ndarray:
     return np.deg2rad(np.arange(0, 360, p.get("step", 3)))
 
 
-@register("polar_boundary_vote")
+@register("polar_boundary_vote", "step least percentile support")
 def polar_boundary_vote(image: np.ndarray, p: dict):
     """The outermost steep place of each ray."""
     s, at = slope(gray(image)), _angles(p)
@@ -266,7 +319,7 @@ def polar_boundary_vote(image: np.ndarray, p: dict):
     return _box_of_hits(at[n], x[n, k[n]], y[n, k[n]], s.shape, p.get("support", 0.5), len(at))
 
 
-@register("signed_polar_boundary_vote")
+@register("signed_polar_boundary_vote", "step least support")
 def signed_polar_boundary_vote(image: np.ndarray, p: dict):
     """The outermost steep fall (or rise, whichever more rays have) of each ray."""
     g, at = gray(image), _angles(p)
@@ -290,7 +343,7 @@ def _strongest(s: np.ndarray, at: np.ndarray, least: float):
     return n, x[n, k[n]], y[n, k[n]]
 
 
-@register("multi_scale_radial_edge")
+@register("multi_scale_radial_edge", "step scales least support")
 def multi_scale_radial_edge(image: np.ndarray, p: dict):
     """The steepest place of each ray in the largest of the normalised slopes at several scales."""
     g = gray(image)
@@ -300,7 +353,7 @@ def multi_scale_radial_edge(image: np.ndarray, p: dict):
     return _box_of_hits(at[n], x, y, s.shape, p.get("support", 0.5), len(at))
 
 
-@register("adaptive_radial_edge")
+@register("adaptive_radial_edge", "step least weak fine support")
 def adaptive_radial_edge(image: np.ndarray, p: dict):
     """Coarse rays, and finer ones in quarters where fewer of them than `support` hit."""
     s, at = slope(blurred(gray(image), 1)), _angles(p)
@@ -321,7 +374,7 @@ def adaptive_radial_edge(image: np.ndarray, p: dict):
     return _box_of_hits(hits, x, y, s.shape, p.get("support", 0.4), len(at))
 
 
-@register("star_convex")
+@register("star_convex", "step share smooth")
 def star_convex(image: np.ndarray, p: dict):
     """The outermost foreground of each ray from the foreground's centre, smoothed around the ring; the hull of that."""
     mask = closed(difference_mask(gray(image)), 2)
@@ -347,7 +400,7 @@ def _peaks(v: np.ndarray, share: float) -> tuple[int, int]:
     return int(first[v[first].argmax()]), int(last[v[last].argmax()])
 
 
-@register("hough")
+@register("hough", "least percentile slant share support")
 def hough(image: np.ndarray, p: dict):
     """Votes of steep pixels for lines near each axis, over a few slants; the outermost well-voted lines."""
     g = gray(image)
@@ -372,7 +425,7 @@ def hough(image: np.ndarray, p: dict):
     return ([l, t, r, b], min(votes)) if r - l > 2 and b - t > 2 and min(votes) >= p.get("support", 0.2) else None
 
 
-@register("ransac")
+@register("ransac", "seed tries within support")
 def ransac(image: np.ndarray, p: dict):
     """First and last foreground of each row and column; a robust line for each side; the box of their crossings."""
     mask = closed(difference_mask(gray(image)), 2)
