@@ -18,7 +18,9 @@ The result has one row per input row: doc_id, class_id (the least doc_id of its
 documents), n_links (linked documents, copies counted), copies (rows with an equal set). Texts without
 words (null and empty ones) have no shingles and no links: each is its own class. Rows that repeat a
 doc_id and text get equal results, and count as copies. A row without doc_id gets the class of equal
-texts, else a null class_id; it stands for no class.
+texts, else a null class_id; it stands for no class. Where one doc_id is on rows with different texts,
+each set goes its own way: a set's key is its digest, and groups that have one least doc_id stay apart
+though their class_id is the same.
 """
 
 from __future__ import annotations
@@ -79,7 +81,7 @@ def minhashes(g: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, digest (binary, null for an empty set), bands (array of long)."""
+    """doc_id, digest (binary, null for an empty set), bands (array of long), same (a hash that tells texts of one doc_id apart)."""
 
     def fn(block: pa.RecordBatch) -> pa.RecordBatch:
         g, bounds = shingles(W.split(block.column(1)))
@@ -96,9 +98,9 @@ def sketch(docs: DataFrame) -> DataFrame:
             digest[d] = x.to_bytes(8, "little") + y.to_bytes(8, "little")
         offsets = np.concatenate([[0], np.cumsum(np.where(n > 0, BANDS, 0))]).astype(np.int32)
         bands = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel().view(np.int64)))
-        return pa.RecordBatch.from_arrays([block.column(0), pa.array(digest, pa.binary()), bands], ["doc_id", "digest", "bands"])
+        return pa.RecordBatch.from_arrays([block.column(0), pa.array(digest, pa.binary()), bands, block.column(2)], ["doc_id", "digest", "bands", "same"])
 
-    return C.map_blocks(C.documents(docs), fn, "doc_id long, digest binary, bands array<long>")
+    return C.map_blocks(C.documents(docs).withColumn("same", F.xxhash64("text")), fn, "doc_id long, digest binary, bands array<long>, same long")
 
 
 def least_matches(t: float = THRESHOLD, tolerance: float = TOLERANCE) -> list[tuple[int, int]]:
@@ -204,19 +206,23 @@ def _forest(i: np.ndarray, j: np.ndarray, ids: np.ndarray) -> np.ndarray:
         root = new
 
 
-def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def _classes(docs: DataFrame, threshold: float) -> DataFrame:
+    """doc_id, digest, same, class_id, n_links, copies, and whether the row's set has the class's least doc_id (chief)."""
     docs = C.documents(docs)
     s = C.cut(sketch(docs))
     sets = C.cut(s.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
-    reps = s.join(sets.withColumnRenamed("digest", "_digest"), (F.col("doc_id") == F.col("rep")) & (F.col("digest") == F.col("_digest"))).dropDuplicates(["rep"]).select("rep", "copies", "bands")
-    band = reps.select("rep", F.explode("bands").alias("band"))
-    least = band.groupBy("band").agg(F.min("rep").alias("v"), F.count("*").alias("n")).where("n > 1").drop("n")
-    near = components(band.join(least, "band").where("rep != v").select(F.col("rep").alias("u"), "v"))
-
-    members = C.cut(near.join(reps.select("rep", "copies"), near.node == F.col("rep")).select("component", "rep", "copies"))
-    # a row that repeats a doc_id with another text would stand beside its first; the least text speaks for the id
-    text = docs.join(members.select(F.col("rep").alias("doc_id"), "component", "copies"), "doc_id").groupBy("doc_id", "component", "copies").agg(F.min("text").alias("text"))
-    text = C.cut(text)
+    # a set's node is its least doc_id, but where sets have one in common all nodes are numbers of their own
+    shared = not sets.groupBy("rep").count().where("count > 1").isEmpty()
+    sets = C.cut(sets.withColumn("node", F.monotonically_increasing_id())) if shared else sets.withColumn("node", F.col("rep"))
+    reps = s.join(sets.withColumnRenamed("digest", "_digest"), (F.col("doc_id") == F.col("rep")) & (F.col("digest") == F.col("_digest"))).dropDuplicates(["node"]).select("node", "rep", "copies", "bands", "same")
+    band = reps.select("node", F.explode("bands").alias("band"))
+    least = band.groupBy("band").agg(F.min("node").alias("v"), F.count("*").alias("n")).where("n > 1").drop("n")
+    near = components(band.join(least, "band").where("node != v").select(F.col("node").alias("u"), "v"))
+
+    members = C.cut(near.withColumnRenamed("node", "_node").join(reps.select("node", "rep", "copies", "same"), F.col("_node") == F.col("node")).select("component", "node", "rep", "copies", "same"))
+    # of equal rows one, and of a doc_id's texts the set's
+    text = docs.join(members.withColumnRenamed("rep", "doc_id"), "doc_id").where(F.xxhash64("text") == F.col("same")).groupBy("node", "component", "copies").agg(F.min("text").alias("text"))
+    text = C.cut(text.withColumnRenamed("node", "doc_id"))
     size = text.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum(F.octet_length("text")) / BLOCK_TEXT), F.lit(1)).cast("int").alias("blocks"))
     dealt = (
         text.join(size, "component")
@@ -252,15 +258,27 @@ def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         if held:
             yield links()
 
-    linked = C.cut(C.arrow(dealt, pairs, "rep long, links long, root long"))
-    final = components(linked.select(F.col("rep").alias("u"), F.col("root").alias("v")))
-    of_rep = sets.join(linked.groupBy("rep").agg(F.sum("links").alias("links")), "rep", "left").join(final, F.col("rep") == final.node, "left")
-    of_set = of_rep.select("digest", "copies", F.coalesce("component", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return s.select("doc_id", "digest").join(of_set, "digest", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("copies", F.lit(1)).alias("copies"))
+    linked = C.cut(C.arrow(dealt, pairs, "rep long, links long, root long").withColumnRenamed("rep", "node"))
+    final = components(linked.select(F.col("node").alias("u"), F.col("root").alias("v")))
+    of_rep = sets.join(linked.groupBy("node").agg(F.sum("links").alias("links")), "node", "left").join(final, "node", "left")
+    if shared:
+        heads = final.join(sets.select("node", "rep"), "node").groupBy("component").agg(F.min(F.struct("rep", "node")).alias("head"))
+        of_rep = of_rep.join(heads, "component", "left")
+        class_id, chief = F.coalesce("head.rep", "rep"), F.coalesce(F.col("head.node") == F.col("node"), F.lit(True))
+    else:
+        class_id, chief = F.coalesce("component", "rep"), F.lit(True)
+    of_set = of_rep.select("digest", "copies", class_id.alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), chief.alias("chief"))
+    return s.select("doc_id", "digest", "same").join(of_set, "digest", "left").select(
+        "doc_id", "digest", "same", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("copies", F.lit(1)).alias("copies"), F.coalesce("chief", F.lit(True)).alias("chief")
+    )
+
+
+def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    return _classes(docs, threshold).select("doc_id", "class_id", "n_links", "copies")
 
 
 def deduplicate(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents whose class_id is their own doc_id, with all their columns. Rows that repeat a kept doc_id stay once; rows without doc_id all stay."""
-    kept = join(docs.where("doc_id is not null"), threshold).where("doc_id = class_id").select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    """A row of each class, one with the class's doc_id, with all columns. Equal rows stay once; rows without doc_id all stay."""
+    kept = _classes(docs.where("doc_id is not null"), threshold).where("doc_id = class_id and chief").groupBy("doc_id", "digest").agg(F.min("same").alias("_same")).select("doc_id", "_same")
+    one = docs.withColumn("_same", F.xxhash64(F.coalesce("text", F.lit("")))).join(kept, ["doc_id", "_same"], "left_semi").dropDuplicates(["doc_id", "_same"]).select(docs.columns)
     return one.unionByName(docs.where("doc_id is null"))

@@ -1,7 +1,7 @@
 import pytest
 
 pytest.importorskip("gridlore.llm")
-from gridlore.llm import licenses, secrets  # noqa: E402
+from gridlore.llm import jaccard, licenses, secrets  # noqa: E402
 
 APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
 you may not use this file except in compliance with the License.
@@ -62,3 +62,13 @@ def test_prose_words_are_cheap():
     rank, longest = secrets.words()
     assert len(rank) > 10_000 and longest <= 24 and rank["password"] == 1
     assert all(secrets.guess_cost(w)[0] < 6 for w in ("information", "international", "government", "Development"))
+
+
+def test_texts_of_one_id_go_their_own_ways(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(1, a), (1, b), (2, a), (3, b), (4, b + " more"), (5, c), (5, c), (6, None), (6, a + " end"), (None, b)]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, count string").repartition(3)
+    got = sorted(((r.doc_id or 0), r.class_id, r.n_links, r.copies) for r in jaccard.join(docs).collect())
+    assert got == [(0, 1, 2, 2), (1, 1, 2, 2), (1, 1, 2, 2), (2, 1, 2, 2), (3, 1, 2, 2), (4, 1, 2, 1), (5, 5, 1, 2), (5, 5, 1, 2), (6, 1, 2, 1), (6, 6, 0, 1)]
+    kept = sorted(((r.doc_id or 0), r.text or "") for r in jaccard.deduplicate(docs).collect())
+    assert kept == [(0, b), (1, a), (1, b), (5, c), (6, "")]
