@@ -5,8 +5,9 @@
 2. The histogram of lengths (as many numbers as a sequence has tokens) goes to the driver. Patterns of
    one to four lengths that fill a sequence are enumerated from it; projected gradients fit repeat
    counts x >= 0 that minimise the squared difference between the patterns' lengths and the histogram;
-   they are rounded down and held to what is there. What is left is packed best fit first, longest
-   length first, over groups of equal sequences.
+   they are rounded down and held to what is there. Lengths that no such pattern holds are fitted by
+   the patterns that leave least, unless best fit alone needs fewer sequences. What is left is packed
+   best fit first, longest length first, over groups of equal sequences.
 3. The plan is a table of (length, first rank, count, sequence, offset), its size bounded by the number
    of patterns and lengths and not by the rows. Each piece's rank among those of its length comes from
    counts by (length, salt), so that a length that most rows share is ranked in many tasks.
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 SEQUENCE, END_ID, SALTS = 1024, 2, 256
-#: Tokens that a pattern leaves free at most; where lengths fit no better, best fit packs them.
+#: Tokens that a pattern leaves free at most; lengths that no such pattern holds are fitted by those that leave least.
 SLACK = 0
 
 
@@ -168,7 +169,26 @@ def plan(hist: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
         out.append(((size,), int(left[size])))
         left[size] = 0
     pats = [p for p in patterns(left) if size - sum(p) <= SLACK]
-    counts = fit_counts(pats, left)
+    out += _fitted(pats, left)
+    held = {n for p in pats for n in p}
+    bare = np.where(np.isin(np.arange(size + 1), list(held)), 0, left)
+    if not bare.any():
+        return out + best_fit(left)
+    # of each length the patterns that leave least, if nothing there would go into what they leave
+    free, shortest = {p: size - sum(p) for p in patterns(bare)}, int(np.flatnonzero(left)[0])
+    least: dict[int, int] = {}
+    for p, f in free.items():
+        for n in p:
+            least[n] = min(f, least.get(n, size))
+    rest = left.copy()
+    more = _fitted([p for p, f in free.items() if f < shortest and any(f == least[n] for n in p)], rest)
+    plain, more = best_fit(left), more + best_fit(rest)
+    return out + (more if sum(c for _, c in more) <= sum(c for _, c in plain) else plain)
+
+
+def _fitted(pats: list[tuple[int, ...]], left: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
+    """Groups of the patterns at their fitted counts; what they hold is taken from left."""
+    out, counts = [], fit_counts(pats, left)
     for k in np.argsort(-counts, kind="stable").tolist() if pats else []:
         need = defaultdict(int)
         for n in pats[k]:
@@ -178,7 +198,7 @@ def plan(hist: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
             out.append((pats[k], c))
             for n, m in need.items():
                 left[n] -= c * m
-    return out + best_fit(left)
+    return out
 
 
 def slots(groups: list[tuple[tuple[int, ...], int]]) -> dict[int, np.ndarray]:

@@ -1,7 +1,8 @@
+import numpy as np
 import pytest
 
 pytest.importorskip("gridlore.llm")
-from gridlore.llm import jaccard, licenses, secrets  # noqa: E402
+from gridlore.llm import jaccard, licenses, packing, secrets  # noqa: E402
 
 APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
 you may not use this file except in compliance with the License.
@@ -72,3 +73,22 @@ def test_texts_of_one_id_go_their_own_ways(spark):
     assert got == [(0, 1, 2, 2), (1, 1, 2, 2), (1, 1, 2, 2), (2, 1, 2, 2), (3, 1, 2, 2), (4, 1, 2, 1), (5, 5, 1, 2), (5, 5, 1, 2), (6, 1, 2, 1), (6, 6, 0, 1)]
     kept = sorted(((r.doc_id or 0), r.text or "") for r in jaccard.deduplicate(docs).collect())
     assert kept == [(0, b), (1, a), (1, b), (5, c), (6, "")]
+
+
+def test_lengths_that_never_fill_a_sequence_are_fitted(monkeypatch):
+    fitted, best_fit = [], packing.best_fit
+    monkeypatch.setattr(packing, "best_fit", lambda hist: fitted.append(int(hist.sum())) or best_fit(hist))
+    for lengths in ({300: 9000}, {300: 5000, 410: 4000, 610: 3000}, {3 * k: 40 + k for k in range(60, 300)}, {10: 5000}, {512: 1000, 300: 900}):
+        hist = np.zeros(1025, np.int64)
+        for n, c in lengths.items():
+            hist[n] = c
+        fitted.clear()
+        groups, back = packing.plan(hist), np.zeros_like(hist)
+        assert all(sum(g) <= 1024 for g, _ in groups)
+        for g, c in groups:
+            for n in g:
+                back[n] += c
+        assert (back == hist).all()
+        assert sum(c for _, c in groups) <= sum(c for _, c in best_fit(hist))
+        if 10 not in lengths:
+            assert min(fitted) < 0.5 * hist.sum(), (lengths, fitted)
