@@ -56,29 +56,42 @@ def resolved(wanted: DataFrame, text: str, known: DataFrame, digest: str, priori
     return hit.groupBy(text).agg(F.min_by(row, F.struct(priority, "_d")).alias("_r")).select(text, "_r.*")
 
 
-def schedule_evidence(targets: DataFrame, rows: DataFrame, key: str, runner: str, count: str, makespan: str, utilization: str, tail: str, seen: str) -> DataFrame:
-    """For each target the measured schedule nearest to it in detectors (log ratio), then the shortest, then the busiest, then the oldest.
+def schedule_evidence(targets: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """For each target the measured schedule of short runs nearest to it in detectors (log ratio), then the shortest, then the busiest, then the oldest.
 
-    Rows of the target's own runner are asked first, rows of all runners if it has none. Of rows with equal
-    counts only the best can win, so rows are reduced to one for each count (and runner) before the join.
+    Rows of the target's dataset are asked before others, and among either those of its own runner. targets:
+    key, runner, dataset, detectors; rows: workload, runner, dataset, detectors (null: 1), workers, budget, makespan,
+    utilization, tail (seconds), seen. Of rows with equal counts only the best can win, so rows are reduced to one
+    for each count (and runner, and dataset) before the joins.
     """
-    cols = [makespan, utilization, tail, seen]
-    merit = F.struct(F.col(makespan), -(F.coalesce(F.col(utilization), F.lit(0.0)) - 0.35 * F.col(tail)), F.col(seen))
-    good = rows.where((F.col(count) > 0) & (F.col(makespan) > 0))
-
-    def nearest(best: DataFrame, on: list[str]) -> DataFrame:
-        t = targets.select(key, runner, F.col(count).alias("_want"))
+    carry = ["workers", "budget", "makespan", "utilization", "tail", "seen"]
+    good = rows.where((F.col("workload") == "short") & (F.col("workers") > 0) & (F.col("budget") > 0) & (F.col("makespan") > 0))
+    merit = F.struct(F.col("makespan"), -(F.coalesce(F.col("utilization"), F.lit(0.0)) - 0.35 * tail_fraction(F.col("tail"), F.col("makespan"))), F.col("seen"))
+    count = F.greatest(F.lit(1), F.coalesce(F.col("detectors"), F.lit(1)))
+    out = targets
+    for k, on in enumerate((["dataset", "runner"], ["dataset"], ["runner"], [])):
+        best = good.groupBy(*on, count.alias("_c")).agg(F.min_by(F.struct(*carry), merit).alias("_x"), F.min(merit).alias("_merit"))
+        t = targets.select(key, *on, F.greatest(F.lit(1), F.col("detectors")).alias("_want"))
         j = t.join(best, on) if on else t.crossJoin(F.broadcast(best))  # best: one row for each count of detectors
         far = F.floor(F.abs(F.ln(F.col("_want") / F.col("_c"))) * 1e9)  # whole, so that equal ratios tie
-        row = F.struct(F.col("_c").alias("observed"), *(F.col(f"_x.{c}").alias(c) for c in cols))
-        return j.groupBy(key).agg(F.min_by(row, F.struct(far, F.col("_merit"))).alias("_r"))
-
-    x = F.struct(*cols)
-    own = good.groupBy(runner, F.col(count).alias("_c")).agg(F.min_by(x, merit).alias("_x"), F.min(merit).alias("_merit"))
-    every = good.groupBy(F.col(count).alias("_c")).agg(F.min_by(x, merit).alias("_x"), F.min(merit).alias("_merit"))
-    a, b = nearest(own, [runner]).withColumnRenamed("_r", "_a"), nearest(every, []).withColumnRenamed("_r", "_b")
-    best = F.coalesce("_a", "_b")
-    return targets.select(key).join(a, key, "left").join(b, key, "left").select(key, F.col("_a").isNotNull().alias("same_runner"), *(best[c].alias(c) for c in ("observed", *cols)))
+        row = F.struct(F.col("_c").alias("observed"), *(F.col(f"_x.{c}").alias(c) for c in carry))
+        out = out.join(j.groupBy(key).agg(F.min_by(row, F.struct(far, F.col("_merit"))).alias(f"_r{k}")), key, "left")
+    hit = F.coalesce(*(F.col(f"_r{k}") for k in range(4)))
+    tier = F.coalesce(*(F.when(F.col(f"_r{k}").isNotNull(), k + 1) for k in range(4)), F.lit(0))
+    return out.select(*targets.columns, tier.alias("tier"), *(hit[c].alias(f"seen_{c}" if c in targets.columns else c) for c in ("observed", *carry)))
+
+
+def tail_fraction(tail: Column, makespan: Column) -> Column:
+    return F.when(makespan > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(tail, F.lit(0.0)) / makespan))).otherwise(0.0)
+
+
+def scaled_workers(detectors: Column, budget: Column, observed: Column, seen_budget: Column, seen_workers: Column, least_threads: int = 48) -> Column:
+    """Workers for a budget by what was measured (after feedback): its threads a worker, scaled by the root of the ratio of detectors, within the detectors and the budget."""
+    one = lambda c: F.greatest(F.lit(1), c)
+    each = F.greatest(F.lit(float(least_threads)), one(seen_budget) / one(seen_workers))
+    by_budget = one(F.bround(one(budget) / each))
+    by_count = one(F.bround(by_budget * F.sqrt(one(detectors) / one(observed))))
+    return F.least(one(detectors), one(F.floor(one(budget) / least_threads)), by_count).cast("int")
 
 
 # verdicts

@@ -11,16 +11,16 @@ OK = ("ok", "success")
 
 
 def set_metrics(pages: DataFrame, keys: list[str]) -> DataFrame:
-    """One partial and one final aggregation; failed pages count as IoU 0 in all but ok_mean_iou."""
-    ok = F.col("status").isin(*OK)
-    x = F.when(ok, F.coalesce("iou", F.lit(0))).otherwise(0).cast("long")
+    """One partial and one final aggregation. A failed page counts with the IoU that it has (none: 0), in all but ok_mean_iou."""
+    ok = F.coalesce(F.lower(F.trim("status")).isin(*OK), F.lit(False))
+    x = F.coalesce("iou", F.lit(0)).cast("long")
     m = pages.groupBy(*keys).agg(
         F.count("*").alias("n_pages"), F.count(F.when(ok, 1)).alias("n_ok"), F.sum(x).alias("s1"), F.sum(x * x).alias("s2"), F.min(x).alias("m"),
-        F.sum(F.when(ok, F.col("edge").cast("long"))).alias("e"),
+        F.sum(F.when(ok, F.col("edge").cast("long"))).alias("e"), F.sum(F.when(ok, x)).alias("s_ok"),
     )
     n, s1, s2 = F.col("n_pages").cast("double"), F.col("s1").cast("double"), F.col("s2").cast("double")
     return m.select(
-        *keys, "n_pages", "n_ok", (F.col("n_pages") - F.col("n_ok")).alias("n_failed"), (s1 / (n * 100)).alias("mean_iou"), F.try_divide(s1, F.col("n_ok") * F.lit(100.0)).alias("ok_mean_iou"),
+        *keys, "n_pages", "n_ok", (F.col("n_pages") - F.col("n_ok")).alias("n_failed"), (s1 / (n * 100)).alias("mean_iou"), F.try_divide(F.col("s_ok").cast("double"), F.col("n_ok") * F.lit(100.0)).alias("ok_mean_iou"),
         (F.col("m") / F.lit(100.0)).alias("min_iou"), (F.sqrt(F.greatest(n * s2 - s1 * s1, F.lit(0.0))) / (n * 100)).alias("std_iou"), F.try_divide(F.col("e").cast("double"), F.col("n_ok").cast("double")).alias("mean_edge"),
     )
 
@@ -45,11 +45,15 @@ def search_rank(metrics: DataFrame, member: Column, tie: list[str]) -> DataFrame
 
 
 def upgraded(df: DataFrame) -> DataFrame:
-    """All-page mean and deviation from those of successes: n_pages, n_ok, ok_mean, ok_std -> mean_all, std_all."""
+    """All-page mean, least and deviation from those of successes: n_pages, n_ok, ok_mean, ok_min, ok_std -> mean_all, min_all, std_all. Without failed pages they are as given."""
     share = F.try_divide(F.col("n_ok").cast("double"), F.col("n_pages").cast("double"))
     mean = F.coalesce(F.col("ok_mean") * share, F.lit(0.0))
     second = F.coalesce((F.col("ok_std") * F.col("ok_std") + F.col("ok_mean") * F.col("ok_mean")) * share, F.lit(0.0))
-    return df.withColumns({"mean_all": mean, "std_all": F.sqrt(F.greatest(second - mean * mean, F.lit(0.0)))})
+    whole = F.col("n_ok") == F.col("n_pages")
+    return df.withColumns({
+        "mean_all": F.when(whole, F.col("ok_mean")).otherwise(mean), "min_all": F.when(whole, F.col("ok_min")).otherwise(0.0),
+        "std_all": F.when(whole, F.col("ok_std")).otherwise(F.sqrt(F.greatest(second - mean * mean, F.lit(0.0)))),
+    })
 
 
 # What a page's IoU may lose unremarked, and below what a match is poor.

@@ -5,18 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The thread budgets of named runners, and the thread counts that a plan may use.
-RUNNER_THREADS = {"e7k": 192, "e9k": 64, "github-hosted": 8, "hth": 16, "rhel8": 16, "windows": 8}
+# The thread counts that a plan may use.
 ALLOWED_THREADS = (1, 2, 4, 8, 16, 32, 48, 64)
 # Seconds a shard should take, the margin on estimates, most shards, least threads of a queue worker.
 SHARD_SECONDS, MARGIN, MOST_SHARDS, WORKER_THREADS = 1800, 1.2, 96, 48
 
 
-def runner_threads(label: Column, cpus: Column) -> Column:
-    """A named runner's budget; twice the size of a class such as 32t (or the processors known); else processors, 16 at most."""
+def runner_threads(label: Column, cpus: Column, budgets: dict[str, int]) -> Column:
+    """A named runner's budget (budgets: by lower-case name); twice the size of a class such as 32t (or the processors known); else processors, 16 at most."""
     name = F.lower(F.trim(F.coalesce(label, F.lit(""))))
     named = F.lit(None).cast("int")
-    for k, v in RUNNER_THREADS.items():
+    for k, v in budgets.items():
         named = F.when(name == k, v).otherwise(named)
     size = F.regexp_extract(name, r"^(\d+)t$", 1).try_cast("int")
     return F.coalesce(named, F.when(size.isNotNull(), 2 * F.greatest(F.lit(1), F.coalesce(F.nullif(cpus, F.lit(0)), size))), F.greatest(F.lit(1), F.least(F.lit(16), F.coalesce(cpus, F.lit(1)))))

@@ -79,10 +79,12 @@ def linear(df: DataFrame, at: str) -> DataFrame:
     return df.withColumn("predicted", F.coalesce(F.when(F.col("lo_x") == F.col("hi_x"), F.col("lo_y")), mid, F.col("lo_y"), F.col("hi_y")))
 
 
-def log_interpolated(df: DataFrame, at: str) -> DataFrame:
-    """y as a power of x between the anchors, the exponent held to [0, 1]."""
-    power = F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.try_divide(F.ln(F.col("hi_y") / F.col("lo_y")), F.ln(F.col("hi_x") / F.col("lo_x")))))
-    return df.withColumn("predicted", F.coalesce(F.col("lo_y") * F.pow(F.col(at) / F.col("lo_x"), power), F.col("lo_y"), F.col("hi_y")))
+def power_interpolated(x: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """y as a power of x through two anchors: exact between them; beyond them with the exponent held to [0, 1]."""
+    y1, y2 = F.greatest(F.lit(1e-9), y1), F.greatest(F.lit(1e-9), y2)
+    slope = F.try_divide(F.ln(y2 / y1), F.ln(x2 / x1))
+    held = F.least(F.lit(1.0), F.greatest(F.lit(0.0), slope))
+    return F.when(x1 == x2, y1).when(x <= x1, y1 * F.pow(x / x1, held)).when(x >= x2, y2 * F.pow(x / x2, held)).otherwise(y1 * F.pow(x / x1, slope))
 
 
 def best_record(df: DataFrame, by: list[str], gate: Column, quality: Column, created: str, build: str) -> DataFrame:

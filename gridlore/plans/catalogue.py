@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
@@ -16,23 +13,7 @@ from ..operators import ordered as O
 from ..operators import planning as P
 from ..operators import selection as X
 from . import views as V
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def put(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return put
-
-
-BIG = "CAST({} AS BIGINT)"
-
+from .registry import query
 
 # metrics and rankings
 @query(f"WITH {V.METRICS} SELECT * FROM m")
@@ -71,10 +52,17 @@ def q_problem_counts(spark, d):
     return _winner_pages(spark, d).groupBy("change").agg(F.count("*").alias("n"), F.count(F.when(F.col("problems") != "", 1)).alias("n_problems"))
 
 
-@query(f"WITH {V.METRICS}, u AS (SELECT set_id, n_pages, n_ok, n_ok * 1.0::DOUBLE / n_pages AS sh, n_ok / 1024.0::DOUBLE AS om, 0.25::DOUBLE AS os FROM m) SELECT set_id, om * sh AS mean_all, sqrt(greatest((os * os + om * om) * sh - (om * sh) * (om * sh), 0.0)) AS std_all FROM u")
+# metrics of successes alone, as older records have them, become those of all pages: the same as taken from the pages
+UPGRADE = f"WITH {V.EVAL}, o AS (SELECT set_id, page, any_value(status) AS status, max(CASE WHEN status = 'ok' THEN iou ELSE 0 END) AS x FROM v_eval GROUP BY 1, 2) SELECT set_id, CAST(floor(avg(x) / 100 * 1e6 + 0.5) AS BIGINT) AS mean_e6, CAST(min(x) AS DOUBLE) / 100 AS min_all, CAST(floor(stddev_pop(x) / 100 * 1e6 + 0.5) AS BIGINT) AS std_e6 FROM o GROUP BY set_id"
+
+
+@query(UPGRADE)
 def q_metric_upgrade(spark, d):
-    m = M.set_metrics(V.v_eval(spark, d), ["set_id"]).select("set_id", "n_pages", "n_ok", (F.col("n_ok") / F.lit(1024.0)).alias("ok_mean"), F.lit(0.25).alias("ok_std"))
-    return M.upgraded(m).select("set_id", "mean_all", "std_all")
+    ok = F.max(F.when(F.col("status") == "ok", F.col("iou"))).alias("iou")
+    page = V.v_eval(spark, d).groupBy("set_id", "page").agg(ok)
+    x = F.when(F.col("iou") > 0, F.col("iou") / 100.0)
+    old = page.groupBy("set_id").agg(F.count("*").alias("n_pages"), F.count(x).alias("n_ok"), F.avg(x).alias("ok_mean"), F.min(x).alias("ok_min"), F.stddev_pop(x).alias("ok_std"))
+    return M.upgraded(old).select("set_id", F.floor(F.col("mean_all") * 1e6 + 0.5).cast("long").alias("mean_e6"), F.coalesce("min_all", F.lit(0.0)).alias("min_all"), F.floor(F.col("std_all") * 1e6 + 0.5).cast("long").alias("std_e6"))
 
 
 @query(f"WITH {V.METRICS}, b AS (SELECT max(mean_iou) AS best FROM m), c AS (SELECT CAST(count(*) AS BIGINT) AS n_sets, count(*) FILTER (n_failed = 0) / CAST(count(*) AS DOUBLE) AS success_rate, count(*) FILTER (best - mean_iou <= 0.001) / CAST(count(*) AS DOUBLE) AS near_best_share FROM m, b), s AS (SELECT *, CAST(2 + (CASE WHEN success_rate >= 0.9 THEN 1 ELSE 0 END) + (CASE WHEN near_best_share >= 0.01 THEN 1 ELSE 0 END) AS BIGINT) AS evidence FROM c) SELECT *, CASE WHEN evidence >= 4 THEN 'High' WHEN evidence >= 2 THEN 'Medium' ELSE 'Low' END AS confidence FROM s")
@@ -82,39 +70,60 @@ def q_confidence(spark, d):
     return M.confidence(M.set_metrics(V.v_eval(spark, d), ["set_id"]), exhaustive=True)
 
 
-# intelligence
-PAIRS = V.EVAL + ", u AS (SELECT 'size_class' AS parameter, CAST(size_class AS VARCHAR) AS value, iou FROM v_eval UNION ALL SELECT 'p_type', p_type, iou FROM v_eval UNION ALL SELECT 'l_linestatus', l_linestatus, iou FROM v_eval)"
-MOM = PAIRS + ", v AS (SELECT parameter, value, count(*) AS n, sum(iou) AS s, sum(iou * iou) AS ss, max(iou) AS best FROM u GROUP BY 1, 2)"
+# intelligence: sums of IoUs may differ in their last bits by order, so effects are held in millionths
+PAIRS = (
+    V.SETS
+    + ", u AS (SELECT 'nation' AS parameter, CAST(nation AS VARCHAR) AS value, mean_iou AS x FROM v_sets UNION ALL SELECT 'step', CAST(step AS VARCHAR), mean_iou FROM v_sets UNION ALL SELECT 'rich', rich, mean_iou FROM v_sets)"
+)
+MOM = PAIRS + ", v AS (SELECT parameter, value, count(*) AS n, sum(x) AS s, max(x) AS best FROM u GROUP BY 1, 2)"
+MICRO = "CAST(floor({} * 1e6 + 0.5) AS BIGINT)"
+
+
+def _micro(x):
+    return F.floor(x * 1e6 + 0.5).cast("long")
 
 
-@query(f"WITH {MOM} SELECT parameter, value, CAST(n AS BIGINT) AS n, CAST(s AS BIGINT) AS s, CAST(ss AS BIGINT) AS ss, CAST(best AS BIGINT) AS best FROM v")
+@query(f"WITH {MOM} SELECT parameter, value, CAST(n AS BIGINT) AS n, {MICRO.format('s')} AS s_e6, best FROM v")
 def q_influence_moments(spark, d):
-    return I.value_moments(V.v_eval(spark, d), V.DIMS)
+    return I.value_moments(V.v_sets(spark, d), V.SET_DIMS).select("parameter", "value", "n", _micro(F.col("s")).alias("s_e6"), "best")
 
 
-INFLUENCE = MOM + """, p AS (SELECT parameter, count(*) AS n_values, sum(n) AS n, sum(s) AS s, sum(ss) AS ss, sum(CAST(s AS DOUBLE) * s / n) AS b, max(CAST(s AS DOUBLE) / n) AS hi, min(CAST(s AS DOUBLE) / n) AS lo FROM v GROUP BY 1),
-  i AS (SELECT parameter, n_values, CASE WHEN ss - CAST(s AS DOUBLE) * s / n <= 1e-15 THEN 0 ELSE least(1, greatest(0, (b - CAST(s AS DOUBLE) * s / n) / (ss - CAST(s AS DOUBLE) * s / n))) END AS eta, (hi - lo) / 100 AS w FROM p),
-  c AS (SELECT *, CASE WHEN eta < 0.0005 AND w < 0.0005 THEN 'Zombie' WHEN eta < 0.005 THEN 'Dormant' WHEN eta >= 0.14 THEN 'Critical' WHEN eta >= 0.06 THEN 'Important' WHEN eta >= 0.02 THEN 'Moderate' ELSE 'Low' END AS influence FROM i)"""
+CLASS = "CASE WHEN eta < 0.0005 AND w < 0.0005 THEN 'Zombie' WHEN eta < 0.005 THEN 'Dormant' WHEN eta >= 0.14 THEN 'Critical' WHEN eta >= 0.06 THEN 'Important' WHEN eta >= 0.02 THEN 'Moderate' ELSE 'Low' END"
+TOTAL = "t AS (SELECT avg(mean_iou) AS mu, sum((mean_iou - (SELECT avg(mean_iou) FROM v_sets)) ** 2) AS total FROM v_sets)"
+INFLUENCE = (
+    MOM
+    + f""", {TOTAL}, i AS (SELECT parameter, count(*) AS n_values, CASE WHEN any_value(total) <= 1e-15 THEN 0 ELSE least(1, greatest(0, sum(n * (s / n - mu) ** 2) / any_value(total))) END AS eta, max(s / n) - min(s / n) AS w FROM v, t GROUP BY 1),
+  c AS (SELECT *, {CLASS} AS influence FROM i)"""
+)
 
 
-@query(f"WITH {INFLUENCE} SELECT parameter, CAST(n_values AS BIGINT) AS n_values, CAST(floor(eta * 1e9) AS BIGINT) AS eta_e9, w AS mean_range, influence FROM c")
+@query(f"WITH {INFLUENCE} SELECT parameter, CAST(n_values AS BIGINT) AS n_values, {MICRO.format('eta')} AS eta_e6, {MICRO.format('w')} AS range_e6, influence FROM c")
 def q_influence(spark, d):
-    return I.influence(V.v_eval(spark, d), V.DIMS).select("parameter", "n_values", F.floor(F.col("eta_squared") * 1e9).cast("long").alias("eta_e9"), "mean_range", "influence")
+    return I.influence(V.v_sets(spark, d), V.SET_DIMS).select("parameter", "n_values", _micro(F.col("eta_squared")).alias("eta_e6"), _micro(F.col("mean_range")).alias("range_e6"), "influence")
 
 
-@query(f"WITH {MOM}, r AS (SELECT *, s / (n * 100.0::DOUBLE) AS mean_iou FROM v), k AS (SELECT *, row_number() OVER (PARTITION BY parameter ORDER BY mean_iou DESC, value) AS place FROM r) SELECT parameter, place, value, CAST(n AS BIGINT) AS n, mean_iou FROM k WHERE place <= 3")
+@query(f"WITH {MOM}, r AS (SELECT *, floor(s / n * 1e6 + 0.5) AS m FROM v), k AS (SELECT *, row_number() OVER (PARTITION BY parameter ORDER BY s / n DESC, value) AS place FROM r) SELECT parameter, place, value, CAST(n AS BIGINT) AS n, CAST(m AS BIGINT) AS mean_e6 FROM k WHERE place <= 3")
 def q_best_values(spark, d):
-    return I.best_values(V.v_eval(spark, d), V.DIMS)
+    return I.best_values(V.v_sets(spark, d), V.SET_DIMS).select("parameter", "place", "value", "n", _micro(F.col("mean_iou")).alias("mean_e6"))
 
 
-@query()
+INTERACTIONS = f"""WITH {V.SETS}, {TOTAL}, one AS (SELECT p, sum(n * (a - mu) ** 2) / any_value(total) AS eta FROM (
+    SELECT 'nation' AS p, count(*) AS n, avg(mean_iou) AS a FROM v_sets GROUP BY nation UNION ALL SELECT 'step', count(*), avg(mean_iou) FROM v_sets GROUP BY step UNION ALL SELECT 'rich', count(*), avg(mean_iou) FROM v_sets GROUP BY rich), t GROUP BY 1),
+  two AS (SELECT p, q, sum(n * (a - mu) ** 2) / any_value(total) AS joint FROM (
+    SELECT 'nation' AS p, 'step' AS q, count(*) AS n, avg(mean_iou) AS a FROM v_sets GROUP BY nation, step UNION ALL SELECT 'nation', 'rich', count(*), avg(mean_iou) FROM v_sets GROUP BY nation, rich
+    UNION ALL SELECT 'step', 'rich', count(*), avg(mean_iou) FROM v_sets GROUP BY step, rich), t GROUP BY 1, 2)
+SELECT least(two.p, two.q) AS first, greatest(two.p, two.q) AS second, {MICRO.format('joint')} AS joint_e6, {MICRO.format('greatest(0, joint - greatest(x.eta, y.eta))')} AS interaction_e6 FROM two JOIN one x ON x.p = two.p JOIN one y ON y.p = two.q"""
+
+
+@query(INTERACTIONS)
 def q_interactions(spark, d):
-    return I.interactions(V.v_eval(spark, d), V.DIMS)
+    i = I.interactions(V.v_sets(spark, d), V.SET_DIMS)
+    return i.select(F.least("a", "b").alias("first"), F.greatest("a", "b").alias("second"), _micro(F.col("joint")).alias("joint_e6"), _micro(F.col("interaction")).alias("interaction_e6"))
 
 
-@query(f"WITH {INFLUENCE}, l AS (SELECT n_values, CASE influence WHEN 'Critical' THEN 4 WHEN 'Important' THEN 3 WHEN 'Moderate' THEN 2 WHEN 'Low' THEN 1 WHEN 'Zombie' THEN -1 ELSE 0 END AS lv FROM c), t(domain, k) AS (VALUES ('critical', 4), ('important_plus', 3), ('moderate_plus', 2), ('low_plus', 1), ('non_dormant', 1), ('exhaustive', -1)) SELECT domain, CAST(count(*) FILTER (lv >= k) AS BIGINT) AS n_parameters, CASE WHEN count(*) FILTER (lv >= k) = 0 THEN 0 ELSE CAST(round(product(CASE WHEN lv >= k THEN n_values ELSE 1 END)) AS BIGINT) END AS n_sets FROM l, t GROUP BY domain")
+@query(f"WITH {INFLUENCE}, l AS (SELECT n_values, CASE influence WHEN 'Critical' THEN 4 WHEN 'Important' THEN 3 WHEN 'Moderate' THEN 2 WHEN 'Low' THEN 1 WHEN 'Zombie' THEN -1 ELSE 0 END AS lv FROM c), tt(domain, k) AS (VALUES ('critical', 4), ('important_plus', 3), ('moderate_plus', 2), ('low_plus', 1), ('non_dormant', 1), ('exhaustive', -1)) SELECT domain, CAST(count(*) FILTER (lv >= k) AS BIGINT) AS n_parameters, CASE WHEN count(*) FILTER (lv >= k) = 0 THEN 0 ELSE CAST(round(product(CASE WHEN lv >= k THEN n_values ELSE 1 END)) AS BIGINT) END AS n_sets FROM l, tt GROUP BY domain")
 def q_domain_counts(spark, d):
-    return I.domain_counts(V.v_eval(spark, d), V.DIMS)
+    return I.domain_counts(V.v_sets(spark, d), V.SET_DIMS)
 
 
 @query(f"WITH {V.METRICS}, b AS (SELECT max(mean_iou) AS best FROM m) SELECT CAST(count(*) AS BIGINT) AS n_sets, max(best) AS best, quantile_cont(mean_iou, 0.25) AS q25, quantile_cont(mean_iou, 0.5) AS q50, quantile_cont(mean_iou, 0.75) AS q75, CAST(count(*) FILTER (best - mean_iou <= 0.001) AS BIGINT) AS near_best, CAST(count(*) FILTER (best - mean_iou <= 0.0001) AS BIGINT) AS equivalent FROM m, b")
@@ -465,13 +474,13 @@ def q_quality_score(spark, d):
     return V.table(spark, d, "documents").select("doc_id", F.least(F.lit(100), F.when(n >= 300, 40).otherwise(0) + F.when(F.col("text").contains("|"), 0).otherwise(30) + F.least(F.lit(30), F.floor(n / 100))).cast("long").alias("score"))
 
 
-PLAN = f"WITH {V.OBS}, p AS (SELECT event_id, wall, pipelines, CASE event_id % 4 WHEN 0 THEN 'e9k' WHEN 1 THEN ' HTH ' WHEN 2 THEN '32t' ELSE 'other' END AS label, 5 + CAST(event_id % 20 AS INT) AS cpus FROM v_obs), t AS (SELECT *, CASE event_id % 4 WHEN 0 THEN 64 WHEN 1 THEN 16 WHEN 2 THEN 2 * cpus ELSE least(16, cpus) END AS budget FROM p)"
+PLAN = f"WITH {V.OBS}, p AS (SELECT event_id, wall, pipelines, CASE event_id % 4 WHEN 0 THEN 'large' WHEN 1 THEN ' SMALL ' WHEN 2 THEN '32t' ELSE 'other' END AS label, 5 + CAST(event_id % 20 AS INT) AS cpus FROM v_obs), t AS (SELECT *, CASE event_id % 4 WHEN 0 THEN 64 WHEN 1 THEN 16 WHEN 2 THEN 2 * cpus ELSE least(16, cpus) END AS budget FROM p)"
 
 
 @query(PLAN + ", s AS (SELECT *, wall * 60 AS serial, list_max(list_filter([1, 2, 4, 8, 16, 32, 48, 64], lambda x: x <= least(CASE WHEN wall < 5 THEN 1 WHEN wall < 15 THEN 4 WHEN wall < 30 THEN 8 ELSE budget END, budget))) AS threads FROM t) SELECT event_id, budget, greatest(1, budget // greatest(1, pipelines)) AS each, threads, CAST(greatest(1, least(least(96, greatest(1, pipelines)), ceil(serial * 1.2::DOUBLE / greatest(1, sqrt(threads)) / 1800))) AS BIGINT) AS shards, least(pipelines + 1, greatest(1, CAST(round_even(sqrt(pipelines + 1), 0) AS INT)), greatest(1, budget // 48)) AS workers FROM s")
 def q_planning(spark, d):
-    label = F.when(F.col("event_id") % 4 == 0, "e9k").when(F.col("event_id") % 4 == 1, " HTH ").when(F.col("event_id") % 4 == 2, "32t").otherwise("other")
-    o = V.v_obs(spark, d).withColumn("budget", P.runner_threads(label, F.lit(5) + (F.col("event_id") % 20).cast("int")))
+    label = F.when(F.col("event_id") % 4 == 0, "large").when(F.col("event_id") % 4 == 1, " SMALL ").when(F.col("event_id") % 4 == 2, "32t").otherwise("other")
+    o = V.v_obs(spark, d).withColumn("budget", P.runner_threads(label, F.lit(5) + (F.col("event_id") % 20).cast("int"), {"large": 64, "small": 16}))
     serial = F.col("wall") * 60
     o = o.withColumn("threads", P.automatic_threads(serial, F.col("budget")))
     return o.select("event_id", "budget", P.pipeline_threads(F.col("budget"), F.col("pipelines")).alias("each"), "threads", P.shards(serial, F.col("threads"), F.col("pipelines")).alias("shards"), P.queue_workers(F.col("pipelines") + 1, F.col("budget")).alias("workers"))
@@ -552,15 +561,21 @@ def q_completion_order(spark, d):
     return n.crossJoin(F.broadcast(o.agg(F.count("*").alias("_n")))).select("event_id", "completion_index", (F.col("completion_index") / F.col("_n").cast("double")).alias("fraction"))  # one row
 
 
-SCHEDULES = "WITH r AS (SELECT o_custkey AS runner, 1 + o_orderkey % 40 AS detectors, floor(o_totalprice / 1000) AS makespan, (o_orderkey % 11) / 16.0::DOUBLE AS utilization, (o_orderkey % 3) / 4.0::DOUBLE AS tail, o_orderkey AS seen FROM orders), t AS (SELECT c_custkey AS id, c_custkey AS runner, 1 + c_custkey % 30 AS want FROM customer), s AS (SELECT t.id, r.runner = t.runner AS same_runner, detectors, makespan, utilization, tail, seen, row_number() OVER (PARTITION BY t.id ORDER BY (r.runner = t.runner) DESC, floor(abs(ln(want / CAST(detectors AS DOUBLE))) * 1e9), makespan, -(utilization - 0.35::DOUBLE * tail), seen) AS k FROM t, r WHERE makespan > 0)"
+MADE = """SELECT o_custkey AS runner, 'g' || CAST(o_orderkey % 4 AS STRING) AS dataset, CASE WHEN o_orderkey % 10 = 9 THEN 'full' ELSE 'short' END AS workload, CASE WHEN o_orderkey % 30 <> 0 THEN 1 + o_orderkey % 40 END AS detectors,
+  o_orderkey % 9 AS workers, 100 * (o_orderkey % 8) AS budget, CAST(floor(o_totalprice / 1000) AS BIGINT) AS makespan, CAST(o_orderkey % 11 AS DOUBLE) / 16 AS utilization, CAST(floor(o_totalprice / 1000) AS BIGINT) * (o_orderkey % 3) / 4 AS tail, o_orderkey AS seen FROM {orders}"""
+WANTED = "SELECT c_custkey AS id, c_custkey AS runner, 'g' || CAST(c_custkey % 6 AS STRING) AS dataset, 1 + c_custkey % 30 AS detectors, 50 * (c_custkey % 20) AS budget FROM {customer}"
+SCHEDULES = f"""WITH {V.cte("o", MADE)}, {V.cte("t", WANTED)}, r AS (SELECT runner, dataset, greatest(1, coalesce(detectors, 1)) AS n, workers, budget AS b, makespan, utilization - 0.35 * least(1, tail / makespan) AS busy, utilization, tail, seen FROM o WHERE workload = 'short' AND workers > 0 AND budget > 0 AND makespan > 0),
+  j AS (SELECT t.id, t.detectors, t.budget, r.*, CASE WHEN t.dataset = r.dataset AND t.runner = r.runner THEN 1 WHEN t.dataset = r.dataset THEN 2 WHEN t.runner = r.runner THEN 3 ELSE 4 END AS tier FROM t, r),
+  k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY tier, floor(abs(ln(detectors / n)) * 1e9), makespan, -busy, seen) AS k FROM j),
+  w AS (SELECT *, CASE WHEN utilization >= 0.9 AND tail / makespan <= 0.15 THEN workers + 1 WHEN workers > 1 AND (utilization < 0.68 OR tail / makespan >= 0.35) THEN workers - 1 ELSE workers END AS fw FROM k WHERE k = 1),
+  x AS (SELECT *, greatest(1, round_even(greatest(1, budget) / greatest(48, b / fw), 0)) AS by_budget FROM w)"""
 
 
-@query(SCHEDULES + " SELECT id, same_runner, CAST(detectors AS BIGINT) AS observed, seen FROM s WHERE k = 1")
+@query(SCHEDULES + " SELECT id, tier, n AS observed, seen, CAST(least(detectors, greatest(1, greatest(1, budget) // 48), greatest(1, round_even(by_budget * sqrt(detectors / n), 0))) AS INT) AS workers FROM x")
 def q_schedule_evidence(spark, d):
-    k = F.col("o_orderkey")
-    r = V.table(spark, d, "orders").select(F.col("o_custkey").alias("runner"), (1 + k % 40).alias("detectors"), F.floor(F.col("o_totalprice") / 1000).alias("makespan"), ((k % 11) / 16.0).alias("utilization"), ((k % 3) / 4.0).alias("tail"), k.alias("seen"))
-    t = V.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_custkey").alias("runner"), (1 + F.col("c_custkey") % 30).alias("detectors"))
-    return E.schedule_evidence(t, r, "id", "runner", "detectors", "makespan", "utilization", "tail", "seen").select("id", "same_runner", "observed", "seen")
+    s = E.schedule_evidence(V.shared(spark, d, WANTED), V.shared(spark, d, MADE), "id")
+    after = P.feedback_workers(F.col("workers"), F.col("utilization"), E.tail_fraction(F.col("tail"), F.col("makespan")))
+    return s.select("id", "tier", "observed", "seen", E.scaled_workers(F.col("detectors"), F.col("budget"), F.col("observed"), F.col("seen_budget"), after).alias("workers"))
 
 
 @query(f"WITH {V.OBS}, s AS (SELECT runner, count(DISTINCT pipelines) AS n FROM v_obs WHERE pipelines >= 95 GROUP BY 1), r AS (SELECT DISTINCT runner FROM v_obs) SELECT runner, CASE WHEN n IS NULL THEN 'none' WHEN n = 1 THEN 'low' WHEN n = 2 THEN 'moderate' ELSE 'high' END AS readiness FROM r LEFT JOIN s USING (runner)")

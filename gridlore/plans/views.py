@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tables_of(sql: str) -> set[str]:
+    return {name for _, name, _, _ in string.Formatter().parse(sql) if name}
+
+
+def shared(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    """A view written in the SQL that Spark and DuckDB have in common; tables stand in braces."""
+    return spark.sql(sql, **{name: table(spark, sf_dir, name) for name in tables_of(sql)})
+
+
+def cte(name: str, sql: str) -> str:
+    """The same view for DuckDB, as a part of WITH."""
+    return f"{name} AS ({sql.format(**{t: t for t in tables_of(sql)})})"
+
+
 DIMS = ["size_class", "p_type", "l_linestatus"]
 
 
@@ -20,23 +36,39 @@ def v_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     failed = F.col("l_returnflag") == "R"
     return li.join(p, "l_partkey").select(
         F.col("l_suppkey").alias("set_id"), F.col("l_linenumber").alias("page"), F.col("p_brand").alias("detector"), F.when(failed, "no_candidate").otherwise("ok").alias("status"),
-        F.when(failed, 0).otherwise(100 - 5 * F.round(F.col("l_discount") * 100).cast("int")).alias("iou"), F.round(F.col("l_tax") * 100).cast("int").alias("edge"), F.col("l_quantity").alias("ms"),
+        F.when(failed, F.when(F.col("l_linenumber") == 7, 3).otherwise(0)).otherwise(100 - 5 * F.round(F.col("l_discount") * 100).cast("int")).alias("iou"), F.round(F.col("l_tax") * 100).cast("int").alias("edge"), F.col("l_quantity").alias("ms"),
         F.floor(F.col("p_size") / 10).cast("int").alias("size_class"), "p_type", "l_linestatus",
     )
 
 
 EVAL = """v_eval AS (SELECT l_suppkey AS set_id, l_linenumber AS page, p_brand AS detector, CASE WHEN l_returnflag = 'R' THEN 'no_candidate' ELSE 'ok' END AS status,
-  CASE WHEN l_returnflag = 'R' THEN 0 ELSE 100 - 5 * CAST(round(l_discount * 100) AS INT) END AS iou, CAST(round(l_tax * 100) AS INT) AS edge, l_quantity AS ms,
+  CASE WHEN l_returnflag = 'R' THEN CASE WHEN l_linenumber = 7 THEN 3 ELSE 0 END ELSE 100 - 5 * CAST(round(l_discount * 100) AS INT) END AS iou, CAST(round(l_tax * 100) AS INT) AS edge, l_quantity AS ms,
   CAST(floor(p_size / 10) AS INT) AS size_class, p_type, l_linestatus FROM lineitem JOIN part ON l_partkey = p_partkey)"""
 
 MOMENTS = """CAST(count(*) AS BIGINT) AS n_pages, CAST(count(*) FILTER (status IN ('ok', 'success')) AS BIGINT) AS n_ok, CAST(count(*) FILTER (status NOT IN ('ok', 'success')) AS BIGINT) AS n_failed,
-  CAST(sum(iou) AS DOUBLE) / (CAST(count(*) AS DOUBLE) * 100) AS mean_iou, CAST(sum(iou) AS DOUBLE) / nullif(count(*) FILTER (status IN ('ok', 'success')) * 100.0::DOUBLE, 0) AS ok_mean_iou, min(iou) / 100.0::DOUBLE AS min_iou,
+  CAST(sum(iou) AS DOUBLE) / (CAST(count(*) AS DOUBLE) * 100) AS mean_iou, CAST(sum(iou) FILTER (status IN ('ok', 'success')) AS DOUBLE) / nullif(count(*) FILTER (status IN ('ok', 'success')) * 100.0::DOUBLE, 0) AS ok_mean_iou, min(iou) / 100.0::DOUBLE AS min_iou,
   sqrt(greatest(CAST(count(*) AS DOUBLE) * CAST(sum(iou * iou) AS DOUBLE) - CAST(sum(iou) AS DOUBLE) * CAST(sum(iou) AS DOUBLE), 0)) / (CAST(count(*) AS DOUBLE) * 100) AS std_iou,
   CAST(sum(edge) FILTER (status IN ('ok', 'success')) AS DOUBLE) / nullif(CAST(count(*) FILTER (status IN ('ok', 'success')) AS DOUBLE), 0) AS mean_edge"""
 METRICS = EVAL + f", m AS (SELECT set_id, {MOMENTS} FROM v_eval GROUP BY set_id)"
 ORDER = "mean_iou DESC, min_iou DESC, n_failed ASC, mean_edge ASC NULLS LAST, set_id ASC"
 
 
+#: Parameters of a set, and the sets with them and their metrics.
+SET_DIMS = ["nation", "step", "rich"]
+
+
+def v_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sets with their metrics and parameters: nation, step (four values), rich."""
+    from ..operators import metrics as M
+
+    s = table(spark, sf_dir, "supplier")
+    p = s.select(F.col("s_suppkey").alias("set_id"), F.col("s_nationkey").alias("nation"), (F.col("s_suppkey") % 4).alias("step"), F.when(F.col("s_acctbal") > 5000, "yes").otherwise("no").alias("rich"))
+    return M.set_metrics(v_eval(spark, sf_dir), ["set_id"]).join(p, "set_id")
+
+
+SETS = METRICS + ", v_sets AS (SELECT m.*, s_nationkey AS nation, s_suppkey % 4 AS step, CASE WHEN s_acctbal > 5000 THEN 'yes' ELSE 'no' END AS rich FROM m JOIN supplier ON set_id = s_suppkey)"
+
+
 def v_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Observations of runs: id, time, runner, detector, wall time, pipelines."""
     e = table(spark, sf_dir, "events")
@@ -84,3 +116,17 @@ def v_prof(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PROF = "v_prof AS (SELECT vec_id, pos - 1 AS pos, CAST(floor(CAST(embedding[pos] AS DOUBLE) * 1000) AS BIGINT) AS v FROM embeddings, range(1, 65) t(pos))"
+
+
+#: Observations of runs: what ran where in which shape, over which workload, and how long.
+RUNS = """SELECT event_id AS id, event_type AS detector, 'run' || CAST(user_id % 13 AS STRING) AS run, CASE WHEN event_id % 5 = 0 THEN 'live' ELSE 'execution-optimizer' END AS source,
+  CASE WHEN event_id % 11 = 0 THEN 'smoke' ELSE 'full' END AS mode, CASE event_id % 6 WHEN 0 THEN 'critical' WHEN 1 THEN 'random' ELSE 'exhaustive' END AS strategy,
+  CASE WHEN event_id % 17 = 3 THEN NULL ELSE 100 END AS possible, CASE WHEN event_id % 17 = 3 THEN NULL WHEN event_id % 9 = 0 THEN 90 ELSE 100 END AS actual,
+  CASE WHEN event_id % 23 = 0 THEN CAST(0 AS DOUBLE) ELSE value END AS wall, CAST(1 + user_id % 4 AS INT) AS pipelines, CAST(1 + event_id % 3 AS INT) AS threads, 'r' || CAST(user_id % 7 AS STRING) AS runner,
+  CAST(4 * (1 + user_id % 7 % 3) AS INT) AS cpus, CASE WHEN event_id % 3 = 0 THEN '' ELSE 'c' || CAST(event_id % 2 AS STRING) END AS config, 'g' || CAST(event_id % 4 AS STRING) AS dataset,
+  CASE WHEN event_id % 10 = 0 THEN NULL ELSE 1800 END AS dimension, ts AS seen FROM {events}"""
+
+#: Entries of an index of records: a detector's calibrations, their data, variants, status, builds and stored results.
+ENTRIES = """SELECT o_orderkey AS id, 'd' || CAST(c_nationkey AS STRING) AS detector, 'g' || CAST(o_orderkey % 3 AS STRING) AS dataset, CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'x_current' WHEN 2 THEN 'x_old' ELSE ' ' END AS variant,
+  CASE o_orderstatus WHEN 'F' THEN 'authoritative' WHEN 'O' THEN 'provisional' ELSE 'partial' END AS status, o_totalprice AS quality, o_orderdate AS created, CAST(o_orderkey % 120 AS STRING) AS build,
+  CASE WHEN o_orderkey % 19 = 0 THEN '' ELSE 'records/' || CAST(o_orderkey % 2000 AS STRING) END AS record FROM {orders} JOIN {customer} ON o_custkey = c_custkey"""

@@ -1,15 +1,15 @@
 import pytest
 
-from gridlore.plans import catalogue
+from gridlore.plans import catalogue, observation_queries, registry, run_queries, space_queries  # noqa: F401  all register queries
 
 from ..compare import differences
 
 
-@pytest.mark.parametrize("name", list(catalogue.ORACLE_SQL))
+@pytest.mark.parametrize("name", list(registry.ORACLE_SQL))
 def test_query_equals_sql(spark, sf_dir, name):
-    assert differences(spark, sf_dir, catalogue.QUERIES[name], catalogue.ORACLE_SQL[name]) is None
+    assert differences(spark, sf_dir, registry.QUERIES[name], registry.ORACLE_SQL[name]) is None
 
 
-@pytest.mark.parametrize("name", [n for n in catalogue.QUERIES if n not in catalogue.ORACLE_SQL])
+@pytest.mark.parametrize("name", [n for n in registry.QUERIES if n not in registry.ORACLE_SQL])
 def test_query_runs(spark, sf_dir, name):
-    assert catalogue.QUERIES[name](spark, sf_dir).count() > 0
+    assert registry.QUERIES[name](spark, sf_dir).count() > 0
