@@ -175,21 +175,6 @@ def size_anchors(shapes: DataFrame, size: str, pipelines: str, allocated: str) -
     return shapes.where(F.col(size) > 0).groupBy(size).agg(F.count("*").alias("n"), F.median(pipelines).alias("pipelines"), F.median(share).alias("fraction"))
 
 
-def lanes(tasks: DataFrame, by: list[str], order: list[str], estimate: str, n: int) -> DataFrame:
-    """Each task's lane and start if tasks go, in order, to the least loaded lane (the lowest of equals). Queues are short by contract: one fold over each."""
-    zero = F.struct(F.array(*(F.lit(0).cast("long") for _ in range(n))).alias("load"), F.array().cast("array<struct<lane:int,start:long>>").alias("out"))
-
-    def put(acc, x):
-        low = F.array_min(acc["load"])
-        k = F.array_position(acc["load"], low).cast("int") - 1
-        load = F.transform(acc["load"], lambda v, i: F.when(i == k, v + x[estimate].cast("long")).otherwise(v))
-        return F.struct(load.alias("load"), F.array_append(acc["out"], F.struct(k.alias("lane"), low.alias("start"))).alias("out"))
-
-    g = tasks.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*order, estimate))).alias("_t"))
-    z = g.select(*by, F.explode(F.arrays_zip("_t", F.aggregate("_t", zero, put)["out"].alias("o"))).alias("_z"))
-    return z.select(*by, "_z._t.*", F.col("_z.o.lane").alias("lane"), F.col("_z.o.start").alias("start"))
-
-
 def weighted_percentile(df: DataFrame, by: list[str], value: str, weight: str, q: float) -> DataFrame:
     """The least value up to which a share q of the weight lies. Equal values are summed before the scan; groups without weight have none."""
     h = df.groupBy(*by, value).agg(F.sum(weight).alias("_w"))

@@ -45,15 +45,14 @@ def search_rank(metrics: DataFrame, member: Column, tie: list[str]) -> DataFrame
 
 
 def upgraded(df: DataFrame) -> DataFrame:
-    """All-page mean, least and deviation from those of successes: n_pages, n_ok, ok_mean, ok_min, ok_std -> mean_all, min_all, std_all. Without failed pages they are as given."""
+    """All-page mean, least and deviation from those of successes: n_pages, n_ok, ok_mean, ok_std, perhaps ok_min -> mean_all, std_all, min_all. Without failed pages they are as given."""
     share = F.try_divide(F.col("n_ok").cast("double"), F.col("n_pages").cast("double"))
     mean = F.coalesce(F.col("ok_mean") * share, F.lit(0.0))
     second = F.coalesce((F.col("ok_std") * F.col("ok_std") + F.col("ok_mean") * F.col("ok_mean")) * share, F.lit(0.0))
     whole = F.col("n_ok") == F.col("n_pages")
-    return df.withColumns({
-        "mean_all": F.when(whole, F.col("ok_mean")).otherwise(mean), "min_all": F.when(whole, F.col("ok_min")).otherwise(0.0),
-        "std_all": F.when(whole, F.col("ok_std")).otherwise(F.sqrt(F.greatest(second - mean * mean, F.lit(0.0)))),
-    })
+    least = {"min_all": F.when(whole, F.col("ok_min")).otherwise(0.0)} if "ok_min" in df.columns else {}
+    spread = F.when(whole, F.col("ok_std")).otherwise(F.sqrt(F.greatest(second - mean * mean, F.lit(0.0))))
+    return df.withColumns({"mean_all": F.when(whole, F.col("ok_mean")).otherwise(mean), **least, "std_all": spread})
 
 
 # What a page's IoU may lose unremarked, and below what a match is poor.

@@ -98,28 +98,3 @@ def duplicate_groups(df: DataFrame, digest: Column, id_: str) -> DataFrame:
     g = df.groupBy(digest.alias("digest")).agg(F.count("*").alias("n"), F.min(id_).alias("first_id")).where("n > 1")
     n = O.numbered(g, "first_id", [F.col("first_id").asc(), F.col("digest").asc()], {"_n": F.lit(1)})
     return n.withColumn("label", F.format_string("DUP-%04d", F.col("_n"))).drop("_n")
-
-
-def makespan(durations: DataFrame, by: list[str], value: str, lanes: int) -> DataFrame:
-    """Longest-first list scheduling: the fullest lane's load. An ordered fold over each group's durations."""
-    start = F.array(*(F.lit(0).cast("long") for _ in range(lanes)))
-
-    def put(loads, x):
-        k = F.array_position(loads, F.array_min(loads)).cast("int")
-        return F.transform(loads, lambda v, i: F.when(i + 1 == k, v + x).otherwise(v))
-
-    g = durations.groupBy(*by).agg(F.sort_array(F.collect_list(F.col(value).cast("long")), asc=False).alias("_d"))
-    return g.select(*by, F.size("_d").cast("long").alias("n_tasks"), F.array_max(F.aggregate("_d", start, put)).alias("makespan"))
-
-
-def claim_batches(tasks: DataFrame, by: list[str], order: list[str], estimate: str, target: int) -> DataFrame:
-    """Batches in order, each closed once its estimates reach the target."""
-    row = F.struct(*order, estimate)
-    zero = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("sum"), F.array().cast("array<long>").alias("batch"))
-
-    def step(acc, x):
-        full = acc["sum"] >= target
-        return F.struct(F.when(full, acc["n"] + 1).otherwise(acc["n"]).alias("n"), (F.when(full, F.lit(0)).otherwise(acc["sum"]) + x[estimate].cast("long")).cast("long").alias("sum"), F.array_append(acc["batch"], F.when(full, acc["n"] + 1).otherwise(acc["n"])).alias("batch"))
-
-    g = tasks.groupBy(*by).agg(F.array_sort(F.collect_list(row)).alias("_t"))
-    return g.select(*by, F.explode(F.arrays_zip("_t", F.aggregate("_t", zero, step)["batch"].alias("batch"))).alias("_z")).select(*by, "_z._t.*", F.col("_z.batch").alias("batch"))

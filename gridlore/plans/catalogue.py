@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar as S
 from ..operators import evidence as E
+from ..operators import folds as K
 from ..operators import grid as G
 from ..operators import intelligence as I
 from ..operators import metrics as M
@@ -243,9 +244,9 @@ def q_histogram_percentile(spark, d):
     return O.nearest_rank(_hist(spark, d), ["lang"], "value", 0.9)
 
 
-@query()
+@query(HIST + ", t AS (SELECT lang, n / sum(n) OVER (PARTITION BY lang) AS p FROM h) SELECT lang, CAST(floor(-sum(p * log2(p)) * 1e6 + 0.5) AS BIGINT) AS entropy_e6 FROM t GROUP BY lang")
 def q_entropy(spark, d):
-    return O.entropy(_hist(spark, d), ["lang"])
+    return O.entropy(_hist(spark, d), ["lang"]).select("lang", _micro(F.col("entropy")).alias("entropy_e6"))
 
 
 # evidence
@@ -356,14 +357,26 @@ def q_duplicates(spark, d):
     return X.duplicate_groups(V.table(spark, d, "documents"), F.sha2("text", 256), "doc_id")
 
 
-@query()
+QUEUES = "WITH RECURSIVE s AS (SELECT s_nationkey, s_suppkey, CAST(trunc(abs(s_acctbal) + 1) AS BIGINT) AS est FROM supplier)"
+#: Lists of tasks dealt to three lanes, one task a step.
+LANES = """, r AS (SELECT s_nationkey, s_suppkey, est, k, 0 AS lane, CAST(0 AS BIGINT) AS start, est AS a, CAST(0 AS BIGINT) AS b, CAST(0 AS BIGINT) AS c FROM t WHERE k = 1 UNION ALL
+  SELECT t.s_nationkey, t.s_suppkey, t.est, t.k, CASE WHEN a <= b AND a <= c THEN 0 WHEN b <= c THEN 1 ELSE 2 END, least(a, b, c), CASE WHEN a <= b AND a <= c THEN a + t.est ELSE a END, CASE WHEN NOT (a <= b AND a <= c) AND b <= c THEN b + t.est ELSE b END, CASE WHEN c < a AND c < b THEN c + t.est ELSE c END
+  FROM r JOIN t ON t.s_nationkey = r.s_nationkey AND t.k = r.k + 1)"""
+
+
+def _queues(spark, d):
+    return V.table(spark, d, "supplier").select("s_nationkey", "s_suppkey", (F.abs(F.col("s_acctbal")) + 1).cast("long").alias("est"))
+
+
+@query(QUEUES + ", t AS (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY est DESC) AS k FROM s)" + LANES + " SELECT s_nationkey, CAST(count(*) AS BIGINT) AS n_tasks, max(start + est) AS makespan FROM r GROUP BY 1")
 def q_lpt_makespan(spark, d):
-    return X.makespan(V.table(spark, d, "supplier").select("s_nationkey", (F.abs(F.col("s_acctbal")) + 1).cast("long").alias("est")), ["s_nationkey"], "est", 3)
+    return K.makespan(_queues(spark, d), ["s_nationkey"], "est", 3)
 
 
-@query()
+@query(QUEUES + """, t AS (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS k FROM s), r AS (SELECT s_nationkey, s_suppkey, est, k, CAST(0 AS BIGINT) AS batch, est AS acc FROM t WHERE k = 1 UNION ALL
+  SELECT t.s_nationkey, t.s_suppkey, t.est, t.k, CASE WHEN acc >= 8000 THEN batch + 1 ELSE batch END, CASE WHEN acc >= 8000 THEN t.est ELSE acc + t.est END FROM r JOIN t ON t.s_nationkey = r.s_nationkey AND t.k = r.k + 1) SELECT s_nationkey, s_suppkey, est, batch FROM r""")
 def q_claim_batches(spark, d):
-    return X.claim_batches(V.table(spark, d, "supplier").select("s_nationkey", "s_suppkey", (F.abs(F.col("s_acctbal")) + 1).cast("long").alias("est")), ["s_nationkey"], ["s_suppkey"], "est", 8000)
+    return K.claim_batches(_queues(spark, d), ["s_nationkey"], ["s_suppkey"], "est", 8000)
 
 
 @query("SELECT s_suppkey, s_suppkey % 4 AS shard FROM supplier")
@@ -616,9 +629,9 @@ def q_leases(spark, d):
     return V.v_obs(spark, d).select("event_id", E.lease_expired(F.when(F.col("event_id") % 7 == 0, "corrupt").otherwise(F.col("wall").cast("string")), F.lit(50)).alias("expired"))
 
 
-@query()
+@query(QUEUES + ", t AS (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS k FROM s)" + LANES + " SELECT s_nationkey, s_suppkey, est, CAST(lane AS BIGINT) AS lane, start FROM r")
 def q_lanes(spark, d):
-    return E.lanes(V.table(spark, d, "supplier").select("s_nationkey", "s_suppkey", (F.abs(F.col("s_acctbal")) + 1).cast("long").alias("est")), ["s_nationkey"], ["s_suppkey"], "est", 3)
+    return K.lanes(_queues(spark, d), ["s_nationkey"], ["s_suppkey"], "est", 3)
 
 
 @query()

@@ -3,7 +3,7 @@ import json
 import pytest
 
 from gridlore.functions import scalar as S
-from gridlore.operators import detect, evidence, grid, metrics, ordered, outline, selection
+from gridlore.operators import detect, evidence, folds, grid, metrics, ordered, outline, selection
 from gridlore.sources import indices, sinks
 from pyspark.sql import functions as F
 
@@ -49,8 +49,8 @@ def test_grid_and_search(spark):
 
 def test_makespan_and_batches(spark):
     df = spark.createDataFrame([("g", k, v) for k, v in enumerate((5, 4, 3, 3))], "g string, k int, v long")
-    assert selection.makespan(df, ["g"], "v", 2).first().makespan == 8
-    got = [(r.k, r.batch) for r in selection.claim_batches(df, ["g"], ["k"], "v", 6).orderBy("k").collect()]
+    assert folds.makespan(df, ["g"], "v", 2).first().makespan == 8
+    got = [(r.k, r.batch) for r in folds.claim_batches(df, ["g"], ["k"], "v", 6).orderBy("k").collect()]
     assert got == [(0, 0), (1, 0), (2, 1), (3, 1)]
 
 
@@ -155,7 +155,7 @@ def test_numbering_in_ranges_is_the_plain_one(spark):
 
 def test_lanes_boxes_and_refinement(spark):
     df = spark.createDataFrame([("g", k, v) for k, v in enumerate((5, 4, 3, 3))], "g string, k int, v long")
-    assert [(r.k, r.lane, r.start) for r in evidence.lanes(df, ["g"], ["k"], "v", 2).orderBy("k").collect()] == [(0, 0, 0), (1, 1, 0), (2, 1, 4), (3, 0, 5)]
+    assert [(r.k, r.lane, r.start) for r in folds.lanes(df, ["g"], ["k"], "v", 2).orderBy("k").collect()] == [(0, 0, 0), (1, 1, 0), (2, 1, 4), (3, 0, 5)]
     assert evidence.grow_box([[0, 0, 10, 10], [12, 0, 14, 4], [18, 0, 20, 4], [40, 40, 41, 41]], 4) == ([0, 0, 20, 10], 3)
     boxes = spark.createDataFrame([(1, [[0, 0, 2, 2]]), (2, []), (3, None)], "id int, b array<array<int>>")
     assert {r.id: (r.box, r.n_joined) for r in evidence.grown_boxes(boxes, "id", "b", 1).collect()} == {1: ([0, 0, 2, 2], 1), 2: (None, 0), 3: (None, 0)}
