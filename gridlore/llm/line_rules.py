@@ -52,8 +52,7 @@ def _earlier_equal(doc: np.ndarray, h: np.ndarray) -> np.ndarray:
 def judge(col: pa.Array, with_text: bool = False) -> dict[str, np.ndarray | pa.Array]:
     b = W.split(col)
     data, n_docs = b.data, b.n_docs
-    sums = W.prefix_sums(data)
-    h = W.span_hash(sums, b.start, b.end)
+    h = W.word_hashes(b)
     n_words = b.n_words
     cps = W.code_points(data)
     word_chars = W.per_doc(cps[b.end] - cps[b.start], b.first)
@@ -79,7 +78,7 @@ def judge(col: pa.Array, with_text: bool = False) -> dict[str, np.ndarray | pa.A
     some = w1 > w0
     starts, ends, line_doc, w0, w1 = starts[some], ends[some], line_doc[some], w0[some], w1[some]
     n = w1 - w0
-    dup = _earlier_equal(line_doc, W.span_hash(sums, starts, ends))
+    dup = _earlier_equal(line_doc, W.span_hash(data, starts, ends))
 
     last = b.end[w1 - 1] if len(n) else np.empty(0, np.int64)
     tail = np.zeros(len(n), np.int64)

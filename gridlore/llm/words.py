@@ -7,13 +7,14 @@ Python object is made for a word.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 
 _U = np.uint64
-_BASE, _WBASE = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
+_LEFT, _RIGHT, _PLACE = _U(0x9E3779B97F4A7C15), _U(0xD1342543DE82EF95), _U(0xA0761D6478BD642F)
+#: Masks of the lowest 0 to 8 bytes of a number.
+_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], _U)
 
 
 def byte_table(separators: set[int]) -> np.ndarray:
@@ -40,21 +41,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-@lru_cache(maxsize=4)
-def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for b in (base, pow(base, -1, 1 << 64)):
-        p = np.full(size, b, _U)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
-
-
-def powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of base and of its inverse modulo 2^64; kept at a few sizes only."""
-    return _powers(base, 1 << max(16, (size - 1).bit_length()))
-
-
 @dataclass
 class Block:
     data: np.ndarray  #: bytes of all texts
@@ -114,43 +100,48 @@ def split(col: pa.Array, table: np.ndarray = SPACED, lower: bool = False) -> Blo
     return Block(data, bounds, start, end, np.repeat(np.arange(len(bounds) - 1), np.diff(first)), first, raw)
 
 
-def prefix_sums(data: np.ndarray) -> np.ndarray:
-    """Of byte values times powers, for fingerprints of spans."""
-    p, _ = powers(_BASE, len(data) + 1)
-    out = np.empty(len(data) + 1, _U)
-    out[0] = 0
-    np.cumsum((data.astype(_U) + _U(1)) * p[: len(data)], out=out[1:])
-    return out
+def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit fingerprints of byte spans: eight bytes at a time, each mixed with its place, summed and mixed with the length.
 
+    Spans of eight bytes or fewer differ in them for certain if they are of one length. No sum or product of
+    the bytes themselves is taken, so that no pattern in a text makes others collide.
+    """
+    n = end - start
+    wide = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    out = mix((wide[start] & _BYTES[np.minimum(n, 8)]) * _LEFT + _PLACE)
+    long = np.flatnonzero(n > 8)
+    if len(long):
+        k = (n[long] - 1) >> 3  # eights after the first
+        at = np.cumsum(k) - k
+        place = np.arange(k.sum()) - np.repeat(at, k) + 1
+        where = np.repeat(start[long], k) + 8 * place
+        left = np.repeat(end[long], k) - where
+        more = mix((wide[where] & _BYTES[np.minimum(left, 8)]) * _LEFT + (place + 1).astype(_U) * _PLACE)
+        out[long] += np.add.reduceat(more, at)
+    return mix(out ^ (n.astype(_U) * _RIGHT))
 
-def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit fingerprints of byte spans; equal spans have equal ones."""
-    _, inv = powers(_BASE, len(sums))
-    return mix((sums[end] - sums[start]) * inv[start] + (end - start).astype(_U) * _U(_WBASE))
 
+def word_hashes(b: Block) -> np.ndarray:
+    """Fingerprints of all words."""
+    return span_hash(b.data, b.start, b.end)
 
-def word_hashes(b: Block, most: int = 1_000_000) -> np.ndarray:
-    """Fingerprints of all words, from sums over about `most` bytes of whole texts at a time."""
-    if len(b.data) <= most:
-        return span_hash(prefix_sums(b.data), b.start, b.end)
-    out, d = np.empty(len(b.start), _U), 0
-    while d < b.n_docs:
-        to = max(d + 1, int(np.searchsorted(b.bounds, b.bounds[d] + most, side="right")) - 1)
-        lo, w = b.bounds[d], slice(b.first[d], b.first[to])
-        out[w] = span_hash(prefix_sums(b.data[lo : b.bounds[to]]), b.start[w] - lo, b.end[w] - lo)
-        d = to
-    return out
+
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix(a * _LEFT + b * _RIGHT + _PLACE)
 
 
-def gram_hashes(h: np.ndarray, n: int, base: int = _WBASE) -> np.ndarray:
-    """Of each n consecutive words, len(h) - n + 1 of them, over text bounds too; base: another gives other fingerprints."""
+def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
+    """Of each n consecutive words, len(h) - n + 1 of them, over text bounds too: those of powers of two, joined."""
     if len(h) < n:
         return np.empty(0, _U)
-    p, inv = powers(base, len(h) + 1)
-    sums = np.empty(len(h) + 1, _U)
-    sums[0] = 0
-    np.cumsum(h * p[: len(h)], out=sums[1:])
-    return mix((sums[n:] - sums[:-n]) * inv[: len(h) - n + 1] + _U(n))
+    power, size, out, have = h, 1, None, 0
+    while size <= n:
+        if n & size:  # the lower powers stand before
+            out, have = (power if out is None else _joined(out[: len(h) - have - size + 1], power[have:])), have + size
+        if 2 * size <= n:
+            power = _joined(power[:-size], power[size:])
+        size *= 2
+    return mix(out[: len(h) - n + 1] + _U(n))
 
 
 def gram_starts(b: Block, n: int) -> np.ndarray:
