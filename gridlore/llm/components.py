@@ -2,7 +2,10 @@
 
 Every round sends each node's neighbours to the least of them; edges never outnumber those given,
 and stars need a number of rounds that grows with the logarithm of the longest path. Minima are
-pre-aggregated, so a node with very many neighbours costs one row per task.
+pre-aggregated, so a node with very many neighbours costs one row per task; its edges meet its least
+neighbour by a broadcast of such nodes, of which there are HUBS at most, and so stay where they are.
+Nulls and loops are passed over; an empty table has no components. A round's edges are checkpointed:
+a lost executor costs the round it was lost in.
 """
 
 from __future__ import annotations
@@ -12,28 +15,50 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
+#: Nodes whose edges are joined by broadcast at most, and the least number of edges of such a node.
+HUBS, HUB = 100_000, 1000
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+
+def by_hot_key(left: DataFrame, right: DataFrame, key: str, n: str, total: int, how: str = "inner") -> DataFrame:
+    """left joined with right, which has one row a key and in `n` how many rows of left have it (of `total` in all).
+
+    Keys of more rows than HUB, and than total / HUBS, are broadcast, so that none of them fills a task.
+    """
+    most = max(HUB, -(-total // HUBS))
+    if total <= most:
+        return left.join(right, key, how)
+    right = cut(right)
+    hot = right.where(F.col(n) > most)
+    if hot.isEmpty():
+        return left.join(right, key, how)
+    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(right.where(F.col(n) <= most), key, how)
+    return left.join(F.broadcast(hot), key).unionByName(rest)
+
+
+def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
     """edges u > v. Large: of each node, larger neighbours link to the least of it and its neighbours; small: lesser ones and it do."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
     linked = both.where("v > u") if large else both
-    out = linked.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    out = by_hot_key(linked, least, "u", "n", 2 * total).select(F.col("v").alias("u"), F.col("m").alias("v"))
     if not large:
         out = out.union(least.select("u", F.col("m").alias("v")))
     return out.where("u != v").distinct()
 
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """node, component (its least node) for each node that has an edge to another. edges: u, v (long), in any order and direction; nulls and loops are passed over."""
+    """node, component (its least node) for each node that has an edge to another. edges: u, v (long), in any order and direction.
+
+    A path of over 2^rounds nodes would not settle, which raises an error.
+    """
     now = cut(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    sign = None
+    count, sign = now.count(), None
     for _ in range(rounds):
-        now = cut(_star(_star(now, large=True), large=False))
+        now = cut(_star(cut(_star(now, True, count)), False, count)) if count > HUB else cut(_star(_star(now, True, count), False, count))
         new = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(new) == sign:
             break
-        sign = tuple(new)
+        sign, count = tuple(new), new[0]
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())

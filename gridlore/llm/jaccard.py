@@ -7,6 +7,10 @@ is one shingle); two texts are linked if their sets' Jaccard similarity is 0.8 o
 2. Candidates: a set's MinHash values in BANDS bands of ROWS; sets that share a band are linked to the
    band's least doc_id, and the connected components of these links are the candidate groups. A pair
    at 0.8 shares no band with a probability of (1 - 0.8 ** ROWS) ** BANDS, below 1e-5.
+   Bands also chain sets of half that similarity into groups that grow with the data. A group that is
+   no single block is therefore cut up first: its sets' MinHash values (no texts) meet band by band,
+   each pair in the first band that it shares, those that the pruning below drops link nothing, and
+   what stays connected is a group.
 3. A group's members go, with their texts, to the tasks of pairs of blocks (a block has about
    BLOCK_DOCS sets or BLOCK_TEXT bytes of text), so that a large group is spread over many tasks and
    no pair becomes a row. There MinHash values are compared 30 at a time, and a pair is dropped once
@@ -34,10 +38,10 @@ from pyspark.sql import functions as F
 
 from . import common as C
 from . import words as W
-from .components import components
+from .components import by_hot_key, components
 
 WORDS, THRESHOLD, BANDS, ROWS, STEP, TOLERANCE = 5, 0.8, 30, 5, 30, 1e-7
-BLOCK_DOCS, BLOCK_TEXT = 1024, 6 << 20
+BLOCK_DOCS, BLOCK_TEXT, BLOCK_SKETCHES = 1024, 6 << 20, 4096
 
 
 def _hash_family(k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -80,6 +84,17 @@ def minhashes(g: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
+def band_keys(m: np.ndarray) -> np.ndarray:
+    """A number for each band of each row of MinHash values; other bands have other numbers."""
+    keys = np.empty((len(m), BANDS), np.uint64)
+    for k in range(BANDS):
+        x = np.full(len(m), k + 1, np.uint64)
+        for j in range(k * ROWS, (k + 1) * ROWS):
+            x = W.mix(x * np.uint64(0x9E3779B97F4A7C15) + m[:, j])
+        keys[:, k] = x
+    return keys
+
+
 def sketch(docs: DataFrame) -> DataFrame:
     """doc_id, digest (binary, null for an empty set), bands (array of long), same (a hash that tells texts of one doc_id apart)."""
 
@@ -88,9 +103,7 @@ def sketch(docs: DataFrame) -> DataFrame:
         n = np.diff(bounds)
         some = np.flatnonzero(n)
         m = minhashes(g, bounds)
-        keys = np.empty((len(some), BANDS), np.uint64)
-        for k in range(BANDS):
-            keys[:, k] = W.gram_hashes(np.concatenate([m[:, k * ROWS : (k + 1) * ROWS], np.full((len(some), 1), k, np.uint32)], 1).astype(np.uint64).ravel(), ROWS + 1)[:: ROWS + 1] if len(some) else 0
+        keys = band_keys(m)
         at = bounds[:-1][some]
         two = [np.add.reduceat(W.mix(g ^ np.uint64(s)), at) if len(at) else np.empty(0, np.uint64) for s in (0x5851F42D4C957F2D, 0x14057B7EF767814F)]
         digest: list[bytes | None] = [None] * len(n)
@@ -150,6 +163,16 @@ def _verify(g: np.ndarray, bounds: np.ndarray, i: np.ndarray, j: np.ndarray, t:
     return 1000 * both >= round(1000 * t) * (n[i] + n[j] - both)
 
 
+def _stays(m: np.ndarray, i: np.ndarray, j: np.ndarray, rules: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of MinHash values that the posterior does not drop."""
+    same = np.zeros(len(i), np.int64)
+    for stop, least in rules:
+        same += (m[i, stop - STEP : stop] == m[j, stop - STEP : stop]).sum(1)
+        stay = same >= least
+        i, j, same = i[stay], j[stay], same[stay]
+    return i, j
+
+
 def _links(parts: list[tuple[int, int, np.ndarray | None]], col: pa.ChunkedArray, t: float) -> tuple[np.ndarray, np.ndarray]:
     """Linked pairs (indices) of the parts of a column of texts: among a part's texts or, with a mask, between those in it and the others."""
     g, bounds = shingles(W.split(col))
@@ -163,12 +186,7 @@ def _links(parts: list[tuple[int, int, np.ndarray | None]], col: pa.ChunkedArray
     def prune() -> None:
         i, j = (np.concatenate(x) for x in zip(*held))
         held.clear()
-        same = np.zeros(len(i), np.int64)
-        for stop, least in rules:
-            same += (m[i, stop - STEP : stop] == m[j, stop - STEP : stop]).sum(1)
-            stay = same >= least
-            i, j, same = i[stay], j[stay], same[stay]
-        found.append((i, j))
+        found.append(_stays(m, i, j, rules))
 
     for start, stop, mask in parts:
         idx = np.arange(start, stop)
@@ -206,6 +224,70 @@ def _forest(i: np.ndarray, j: np.ndarray, ids: np.ndarray) -> np.ndarray:
         root = new
 
 
+def _merged(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Labels (places of representatives) after the links between i and j."""
+    up = np.arange(len(label))
+
+    def top(x: int) -> int:
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = int(up[x])
+        return x
+
+    for x, y in np.unique(np.stack([label[i], label[j]], 1), axis=0).tolist():
+        x, y = top(x), top(y)
+        up[max(x, y)] = min(x, y)
+    while (up[up] != up).any():
+        up = up[up]
+    return up[label]
+
+
+def _blocks(df: DataFrame, by: list[str], key: str, blocks: str) -> DataFrame:
+    """df dealt, for each pair of its groups' blocks (low <= high), to one place; own: a row's block."""
+    d = df.withColumn("own", F.pmod(F.xxhash64(key), F.col(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col(blocks) - 1)))
+    d = d.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")}).drop("other", blocks)
+    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return d.repartition(n, *by, "low", "high").sortWithinPartitions(*by, "low", "high")
+
+
+def _cut_up(text: DataFrame, threshold: float) -> DataFrame:
+    """doc_id and its new component, for sets (doc_id, text) of groups that are no single block; sets that no pair keeps are left out."""
+
+    def sketched(block: pa.RecordBatch) -> pa.RecordBatch:
+        g, bounds = shingles(W.split(block.column(1)))
+        m = minhashes(g, bounds)
+        keys, ids = band_keys(m), block.column(0).to_numpy()[np.diff(bounds) > 0]
+        rows = np.repeat(np.arange(len(m)), BANDS)
+        values = pa.array([x.tobytes() for x in m], pa.binary()).take(pa.array(rows))
+        return pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(keys.ravel().view(np.int64)), values], ["doc_id", "band", "values"])
+
+    s = C.cut(C.map_blocks(text.select("doc_id", "text"), sketched, "doc_id long, band long, values binary"))
+    many = s.groupBy("band").agg(F.ceil(F.count("*") / BLOCK_SKETCHES).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1")
+    dealt = _blocks(by_hot_key(s, many, "band", "n", s.count()).drop("n"), ["band"], "doc_id", "blocks")
+    rules = least_matches(threshold)
+
+    def linked(batches):
+        for (band, low, high), t in C.grouped(batches, ["band", "low", "high"]):
+            ids, own = t.column("doc_id").to_numpy(), t.column("own").to_numpy()
+            m = np.frombuffer(b"".join(t.column("values").to_pylist()), np.uint32).reshape(len(t), -1)
+            keys = band_keys(m)
+            at = int(np.flatnonzero(keys[0] == np.int64(band).astype(np.uint64))[0])
+            i, j = (np.flatnonzero(own == x) for x in (low, high))
+            label = np.arange(len(ids))
+            for k in range(0, len(i), 64):
+                a, b = (x.ravel() for x in np.meshgrid(i[k : k + 64], j, indexing="ij"))
+                on = label[a] != label[b]  # a pair that is connected already needs no other link
+                a, b = a[on], b[on]
+                if low == high:
+                    a, b = a[a < b], b[a < b]
+                first = ~(keys[a, :at] == keys[b, :at]).any(1)  # the pair meets in the first band that it shares
+                label = _merged(label, *_stays(m, a[first], b[first], rules))
+            some = label != np.arange(len(ids))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(ids[label[some]])], ["u", "v"])
+
+    return components(C.arrow(dealt.select("band", "low", "high", "own", "doc_id", "values"), linked, "u long, v long"))
+
+
 def _classes(docs: DataFrame, threshold: float) -> DataFrame:
     """doc_id, digest, same, class_id, n_links, copies, and whether the row's set has the class's least doc_id (chief)."""
     docs = C.documents(docs)
@@ -223,15 +305,17 @@ def _classes(docs: DataFrame, threshold: float) -> DataFrame:
     # of equal rows one, and of a doc_id's texts the set's
     text = docs.join(members.withColumnRenamed("rep", "doc_id"), "doc_id").where(F.xxhash64("text") == F.col("same")).groupBy("node", "component", "copies").agg(F.min("text").alias("text"))
     text = C.cut(text.withColumnRenamed("node", "doc_id"))
-    size = text.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum(F.octet_length("text")) / BLOCK_TEXT), F.lit(1)).cast("int").alias("blocks"))
-    dealt = (
-        text.join(size, "component")
-        .withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("component", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "doc_id", "copies", "text")
-    )
-    n = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = dealt.repartition(n, "component", "low", "high").sortWithinPartitions("component", "low", "high")
+    size = F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum(F.octet_length("text")) / BLOCK_TEXT), F.lit(1)).cast("int").alias("blocks")
+    blocks = C.cut(text.groupBy("component").agg(size, F.count("*").alias("n")))
+    total = text.count()
+    sized = by_hot_key(text, blocks, "component", "n", total).drop("n")
+    if not blocks.where("blocks > 1").isEmpty():
+        large = C.cut(sized.where("blocks > 1").drop("blocks"))
+        part = _cut_up(large, threshold).withColumnRenamed("node", "doc_id").withColumnRenamed("component", "_part")
+        large = C.cut(large.join(part, "doc_id").drop("component").withColumnRenamed("_part", "component"))
+        again = large.groupBy("component").agg(size, F.count("*").alias("n"))
+        sized = sized.where("blocks = 1").unionByName(by_hot_key(large, again, "component", "n", total).drop("n"))
+    dealt = _blocks(sized.select("component", "doc_id", "copies", "text", "blocks"), ["component"], "doc_id", "blocks")
 
     def pairs(batches):
         held: list[tuple[tuple, pa.Table]] = []
@@ -268,7 +352,8 @@ def _classes(docs: DataFrame, threshold: float) -> DataFrame:
     else:
         class_id, chief = F.coalesce("component", "rep"), F.lit(True)
     of_set = of_rep.select("digest", "copies", class_id.alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), chief.alias("chief"))
-    return s.select("doc_id", "digest", "same").join(of_set, "digest", "left").select(
+    of_row = by_hot_key(s.select("doc_id", "digest", "same"), of_set, "digest", "copies", s.count(), "left")
+    return of_row.select(
         "doc_id", "digest", "same", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("copies", F.lit(1)).alias("copies"), F.coalesce("chief", F.lit(True)).alias("chief")
     )
 
