@@ -3,23 +3,26 @@
 1. Texts become token ids and an end id; pieces are the full sequences at a text's end and a shorter
    first one. Only (doc_id, piece, start, length, checksum) go on.
 2. The histogram of lengths (as many numbers as a sequence has tokens) goes to the driver. Patterns of
-   one to four lengths that fill a sequence are enumerated from it; projected gradients fit repeat
+   one to four lengths that fill a sequence are enumerated from it (a short length may stand in one many
+   times, beside two others at most); projected gradients fit repeat
    counts x >= 0 that minimise the squared difference between the patterns' lengths and the histogram;
    they are rounded down and held to what is there. Lengths that no such pattern holds are fitted by
    the patterns that leave least, unless best fit alone needs fewer sequences. What is left is packed
    best fit first, longest length first, over groups of equal sequences.
 3. The plan is a table of (length, first rank, count, sequence, offset), its size bounded by the number
    of patterns and lengths and not by the rows. Each piece's rank among those of its length comes from
-   counts by (length, salt), so that a length that most rows share is ranked in many tasks.
+   counts by (length, salt), with a salt for every SALT_ROWS pieces of a length, so that a length that
+   most rows share is ranked in many tasks. Salts are drawn by row, not by id.
 
-Null and empty texts are one piece, the end id. Equal rows each get a place. An empty table packs to
-an empty one.
+Null and empty texts are one piece, the end id. Rows that are equal or repeat a doc_id (or have none)
+each get a place. An empty table packs to an empty one. The pieces are checkpointed: a lost executor
+costs the tasks that it ran, not the tokens of other ones.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +31,13 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-SEQUENCE, END_ID, SALTS = 1024, 2, 256
+SEQUENCE, END_ID = 1024, 2
+#: Pieces of one length that are ranked together, and salts at most.
+SALT_ROWS, SALTS = 20_000, 100_000
 #: Tokens that a pattern leaves free at most; lengths that no such pattern holds are fitted by those that leave least.
 SLACK = 0
+#: The shortest lengths, up to this share of all tokens, fill gaps better than patterns: how much of them the fit may use is tried in turn, until no more sequences are needed than the tokens fill.
+SHORT, SHARES = 0.02, (1.0, 0.5, 0.1, 0.0)
 
 
 class Encoder:
@@ -94,6 +101,12 @@ def patterns(hist: np.ndarray, wide: int = 6) -> list[tuple[int, ...]]:
                 out.add(tuple(sorted((a, b, c), reverse=True)))
                 if d := fit(room - c):
                     out.add(tuple(sorted((a, b, c, d), reverse=True)))
+        for r in {size // a, size // a - 1, size // a - 2, size // (2 * a)} if 5 * a <= size else ():
+            room = size - r * a
+            out.add((a,) * r)
+            for b in {fit(room), fit(room // 2), *common[common <= room][:wide].tolist()} - {0}:
+                c = fit(room - b)
+                out.add(tuple(sorted((a,) * r + (b, c) * bool(c) + (b,) * (not c), reverse=True)))
         half = (size - a) // 2
         for b in (fit(half), fit(half * 2 // 3)):
             if b and (c := fit(size - a - b)):
@@ -105,11 +118,13 @@ def fit_counts(pats: list[tuple[int, ...]], hist: np.ndarray, rounds: int = 600)
     """x >= 0 with about the least squared difference between the patterns' lengths times x and the histogram (accelerated projected gradients)."""
     if not pats:
         return np.zeros(0)
-    width = max(map(len, pats))
-    idx = np.array([p + (0,) * (width - len(p)) for p in pats])  # length 0 stands for none
+    each = [Counter(p) for p in pats]
+    width = max(map(len, each))
+    idx, live = np.zeros((len(pats), width), np.int64), np.zeros((len(pats), width))  # distinct lengths (0: none) and how often they stand there
+    for k, c in enumerate(each):
+        idx[k, : len(c)], live[k, : len(c)] = list(c), list(c.values())
     target = hist.astype(float).copy()
     target[0] = 0
-    live = (idx > 0).astype(float)
 
     def ahead(x: np.ndarray) -> np.ndarray:
         y = np.bincount(idx.ravel(), weights=(live * x[:, None]).ravel(), minlength=len(hist))
@@ -162,37 +177,59 @@ def best_fit(hist: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
 
 
 def plan(hist: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
-    """Groups of equal sequences that hold the histogram's lengths: fitted patterns, then best fit for the rest."""
+    """Groups of equal sequences that hold the histogram's lengths: fitted patterns, then best fit for the rest.
+
+    Best fit needs short lengths to fill gaps with: of SHARES the one with the fewest sequences is taken.
+    """
     left, out = hist.astype(np.int64).copy(), []
     size = len(hist) - 1
     if left[size]:
         out.append(((size,), int(left[size])))
         left[size] = 0
-    pats = [p for p in patterns(left) if size - sum(p) <= SLACK]
-    out += _fitted(pats, left)
+    tokens = left * np.arange(size + 1)
+    short, found, fewest = np.cumsum(tokens) <= SHORT * tokens.sum(), [], -(-int(tokens.sum()) // size)
+    for share in SHARES:
+        found.append(_packed(left, np.where(short, np.floor(left * share).astype(np.int64), left)))
+        if sum(c for _, c in found[-1]) <= fewest:
+            break
+    return out + min(found, key=lambda groups: sum(c for _, c in groups))
+
+
+def _packed(hist: np.ndarray, fitting: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns over the lengths `fitting`, then best fit for what they don't hold of all."""
+    size, kept, part = len(hist) - 1, hist - fitting, fitting.copy()
+    pats = [p for p in patterns(part) if size - sum(p) <= SLACK]
+    out = _fitted(pats, part)
     held = {n for p in pats for n in p}
-    bare = np.where(np.isin(np.arange(size + 1), list(held)), 0, left)
+    bare = np.where(np.isin(np.arange(size + 1), list(held)), 0, part)
+    plain = best_fit(part + kept)
     if not bare.any():
-        return out + best_fit(left)
+        return out + plain
     # of each length the patterns that leave least, if nothing there would go into what they leave
-    free, shortest = {p: size - sum(p) for p in patterns(bare)}, int(np.flatnonzero(left)[0])
+    free, shortest = {p: size - sum(p) for p in patterns(bare)}, int(np.flatnonzero(part + kept)[0])
     least: dict[int, int] = {}
     for p, f in free.items():
         for n in p:
             least[n] = min(f, least.get(n, size))
-    rest = left.copy()
-    more = _fitted([p for p, f in free.items() if f < shortest and any(f == least[n] for n in p)], rest)
-    plain, more = best_fit(left), more + best_fit(rest)
+    more = _fitted([p for p, f in free.items() if f < shortest and any(f == least[n] for n in p)], part)
+    more += best_fit(part + kept)
     return out + (more if sum(c for _, c in more) <= sum(c for _, c in plain) else plain)
 
 
 def _fitted(pats: list[tuple[int, ...]], left: np.ndarray) -> list[tuple[tuple[int, ...], int]]:
-    """Groups of the patterns at their fitted counts; what they hold is taken from left."""
-    out, counts = [], fit_counts(pats, left)
+    """Groups of the patterns at their fitted counts; what they hold is taken from left.
+
+    A fit over many patterns gives most of them a part of a sequence, which rounding takes away. So the fit is
+    made again over those of the largest counts, in the end no more than there are lengths (as a solution at a
+    vertex would have).
+    """
+    out, counts, lengths = [], fit_counts(pats, left), int((left > 0).sum())
+    while len(pats) > lengths:
+        most = np.argsort(-counts, kind="stable")[: max(lengths, len(pats) // 2)]
+        pats = [pats[k] for k in np.sort(most).tolist()]
+        counts = fit_counts(pats, left)
     for k in np.argsort(-counts, kind="stable").tolist() if pats else []:
-        need = defaultdict(int)
-        for n in pats[k]:
-            need[n] += 1
+        need = Counter(pats[k])
         c = min(int(counts[k]), *(int(left[n]) // m for n, m in need.items()))
         if c > 0:
             out.append((pats[k], c))
@@ -222,12 +259,14 @@ def pack(docs: DataFrame, path: str | None = None, size: int = SEQUENCE) -> Data
     for r in p.groupBy("length").count().collect():  # at most `size` rows
         hist[r["length"]] = r["count"]
     where = spark.sparkContext.broadcast(slots(plan(hist)))
-    salted = p.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)))
+    most = max(SALT_ROWS, -(-int(hist.sum()) // SALTS))
+    salts = F.array(*(F.lit(max(1, -(-int(n) // most))) for n in hist))
+    salted = p.withColumn("_salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), salts[F.col("length")]))  # p is checkpointed, so rows keep their numbers
     counts = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranked = (
         salted.withColumn("_k", F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece")))
-        .join(F.broadcast(counts.withColumn("_before", before).drop("_n")), ["length", "_salt"])  # size x SALTS rows at most
+        .join(F.broadcast(counts.withColumn("_before", before).drop("_n")), ["length", "_salt"])  # size + SALTS rows at most
         .select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("_before") + F.col("_k") - 1).alias("_rank"))
     )
 
