@@ -10,11 +10,14 @@ pattern length m there are the three tables of the method, over blocks of B = mi
 - the words themselves, which confirm an occurrence by direct comparison.
 
 All lanes (stretches of 256 words of a text, overlapping by m - 1) of a block of texts move at once,
-each by its own shifts. The item texts are broadcast in blocks of at most `pattern_bytes`; a larger
-benchmark takes several passes, each of which adds to the hits of those before.
-
-Null texts and texts without words have no hits; rows of `benchmark` without item_id or words give no
-pattern; equal items each count; repeated rows of documents are each reported.
+each by its own shifts. Patterns are places in the items' words beside sorted fingerprints, 24 bytes a
+word, and SHIFT has eight cells a pattern or more, so that it skips whatever the benchmark's size. The
+item texts are broadcast in blocks of about `pattern_bytes` (longer items are cut, with the words of a
+window in common); a larger benchmark takes several passes, each of which adds to the hits of those before.
+
+Null texts and texts without words have no hits; rows of `benchmark` without words give no pattern; those
+without item_id mark words but name no item; equal items each count; repeated rows of documents are each
+reported; an empty benchmark hits nothing; columns of documents may have any names.
 """
 
 from __future__ import annotations
@@ -36,31 +39,52 @@ from . import words as W
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _AZ = str.maketrans({c: c + 32 for c in range(65, 91)})
-_LANE, _BITS = 256, 20
+_LANE, _MOST_BITS = 256, 26
+#: Words of an item that stay together.
+ITEM_WORDS = 100_000
 
 
 def words_of(text: str | None) -> list[str]:
     return WORD.findall((text or "").translate(_AZ))
 
 
+def _words(b: W.Block, at: int, m: int) -> bytes:
+    return b" ".join(b.data[i:j].tobytes() for i, j in zip(b.start[at : at + m].tolist(), b.end[at : at + m].tolist()))
+
+
 class Patterns:
-    """The tables for the patterns of one length."""
-
-    def __init__(self, m: int, owners: dict[bytes, set[str]]):
-        self.m, self.block = m, min(2, m)
-        self.owners = {k: sorted(v) for k, v in owners.items()}
-        keys = list(owners)
-        b = W.split(pa.array([k.decode() for k in keys], pa.string()), W.ALNUM)
-        grams = W.gram_hashes(W.word_hashes(b), self.block)
-        at = b.first[:-1]
-        self.shift = np.full(1 << _BITS, m - self.block + 1, np.uint8 if m < 256 else np.int64)
-        for q in range(self.block, m + 1):  # the block that ends at word q
-            np.minimum.at(self.shift, (grams[at + q - self.block] & np.uint64((1 << _BITS) - 1)).astype(np.int64), m - q)
-        self.suffixes = np.unique(grams[at + m - self.block])
+    """The tables for the patterns of one length: m words from each of the starts in the items' words."""
+
+    def __init__(self, m: int, items: W.Block, h: np.ndarray, starts: np.ndarray, names: list[str | None]):
+        self.m, self.block, self.items, self.names = m, min(2, m), items, names
+        keys = W.gram_hashes(h, m)[starts]
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.starts = keys[order], starts[order]
+        grams = W.gram_hashes(h, self.block)
+        self.mask = np.uint64((1 << min(_MOST_BITS, max(12, (8 * len(starts)).bit_length()))) - 1)
+        self.shift = np.full(int(self.mask) + 1, m - self.block + 1, np.uint8 if m < 256 else np.int64)
+        for q in range(m, self.block - 1, -1):  # the block that ends at word q
+            cell = (grams[starts + q - self.block] & self.mask).astype(np.int64)
+            self.shift[cell] = np.minimum(self.shift[cell], m - q)
+        self.suffixes = np.unique(grams[starts + m - self.block])
+        self.seen: dict[int, dict[bytes, list[str]]] = {}
+
+    def owners(self, key: int, words: bytes) -> list[str] | None:
+        """Items that have these words, by comparison of the words themselves; null if none has."""
+        if key not in self.seen:
+            if len(self.seen) > 10_000:
+                self.seen.clear()
+            lo, hi = np.searchsorted(self.keys, [key], "left")[0], np.searchsorted(self.keys, [key], "right")[0]
+            found: dict[bytes, set[str]] = defaultdict(set)
+            for at in self.starts[lo:hi].tolist():
+                name = self.names[self.items.doc[at]]
+                found[_words(self.items, at, self.m)].update(() if name is None else (name,))
+            self.seen[key] = {k: sorted(v) for k, v in found.items()}
+        return self.seen[key].get(words)
 
     def search(self, b: W.Block, h: np.ndarray) -> tuple[np.ndarray, list[list[str]]]:
         """Where occurrences start, and the items that own each."""
-        m, size, mask = self.m, self.block, np.uint64((1 << _BITS) - 1)
+        m, size, mask = self.m, self.block, self.mask
         n = np.maximum(b.n_words - m + 1, 0)  # windows
         grams = W.gram_hashes(h, size)
         lanes = -(-n // _LANE)
@@ -81,30 +105,35 @@ class Patterns:
             tail = grams[ends - size + 1]
             k = np.minimum(np.searchsorted(self.suffixes, tail), len(self.suffixes) - 1)
             ends = ends[self.suffixes[k] == tail]
-        starts, whose, data = [], [], b.data
-        for e in ends.tolist():
-            key = b" ".join(data[i:j].tobytes() for i, j in zip(b.start[e - m + 1 : e + 1].tolist(), b.end[e - m + 1 : e + 1].tolist()))
-            if owner := self.owners.get(key):
+        if len(ends):
+            windows = W.gram_hashes(h, m)[ends - m + 1]
+            k = np.minimum(np.searchsorted(self.keys, windows), len(self.keys) - 1)
+            on = self.keys[k] == windows
+            ends, windows = ends[on], windows[on]
+        starts, whose = [], []
+        for e, key in zip(ends.tolist(), windows if len(ends) else ()):
+            owner = self.owners(key, _words(b, e - m + 1, m))
+            if owner is not None:
                 starts.append(e - m + 1)
                 whose.append(owner)
         return np.array(starts, np.int64), whose
 
 
-def compile_patterns(items: list[tuple[str, str | None]], window: int) -> list[Patterns]:
-    by_length: dict[int, dict[bytes, set[str]]] = defaultdict(lambda: defaultdict(set))
-    for item, text in items:
-        if w := words_of(text):
-            m = min(window, len(w))
-            for i in range(len(w) - m + 1):
-                by_length[m][" ".join(w[i : i + m]).encode()].add(item)
-    return [Patterns(m, owners) for m, owners in sorted(by_length.items())]
+def compile_patterns(items: list[tuple[str | None, str | None]], window: int) -> list[Patterns]:
+    b = W.split(pa.array([t or "" for _, t in items], pa.large_string()), W.ALNUM, lower=True)
+    h, names, n = W.word_hashes(b), [i for i, _ in items], b.n_words
+    out = []
+    for m in np.unique(np.minimum(n[n > 0], window)).tolist():
+        starts = W.gram_starts(b, window) if m == window else b.first[:-1][n == m]
+        out.append(Patterns(m, b, h, starts, names))
+    return out
 
 
-def _scanner(items: list[tuple[str, str | None]], window: int):
+def _scanner(items: list[tuple[str | None, str | None]], window: int):
     """From texts and the hits so far (words as 4-byte numbers, item ids) to hits; built once a worker."""
     tables: list[Patterns] = []
 
-    def scan(col: pa.Array, held: list[tuple[bytes, list[str]]] | None) -> tuple[W.Block, list[tuple[bytes, list[str]]]]:
+    def scan(col: pa.Array, held: list[tuple[bytes, list[str]]] | None) -> list[tuple[bytes, list[str]]]:
         if not tables and items:
             tables.extend(compile_patterns(items, window))
         b = W.split(col, W.ALNUM, lower=True)
@@ -119,14 +148,25 @@ def _scanner(items: list[tuple[str, str | None]], window: int):
                 of[d].update(owner)
         at = np.flatnonzero(hit)
         bounds = np.searchsorted(at, b.first)
-        return b, [((at[bounds[d] : bounds[d + 1]] - b.first[d]).astype(np.uint32).tobytes(), sorted(of[d])) for d in range(b.n_docs)]
+        return [((at[bounds[d] : bounds[d + 1]] - b.first[d]).astype(np.uint32).tobytes(), sorted(of[d])) for d in range(b.n_docs)]
 
     return scan
 
 
-def item_blocks(benchmark: DataFrame, pattern_bytes: int) -> Iterator[list[tuple[str, str | None]]]:
-    """The benchmark in parts of about pattern_bytes, one in the driver at a time for each broadcast."""
-    b = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text")).where("item is not null and text is not null")
+def item_blocks(benchmark: DataFrame, pattern_bytes: int, window: int) -> Iterator[list[tuple[str | None, str | None]]]:
+    """The benchmark in parts of about pattern_bytes, one in the driver at a time for each broadcast; equal rows once, long items in pieces."""
+
+    def pieces(batches):
+        for batch in batches:
+            out = []
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                w = words_of(text)
+                step = max(1, ITEM_WORDS - window + 1)
+                out += [(item, " ".join(w[k : k + ITEM_WORDS])) for k in range(0, max(1, len(w) - window + 1), step) if w]
+            cols = list(zip(*out)) or [(), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], ["item", "text"])
+
+    b = C.cut(C.arrow(benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text")).where("text is not null"), pieces, "item string, text string").distinct())
     total = b.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-total // pattern_bytes))
     for k in range(n):
@@ -134,23 +174,31 @@ def item_blocks(benchmark: DataFrame, pattern_bytes: int) -> Iterator[list[tuple
         yield [(r.item, r.text) for r in part.collect()]
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, pattern_bytes: int = 32 << 20) -> DataFrame:
-    """docs with two more columns: _hits (hit words as 4-byte numbers) and _items (item ids as sorted strings)."""
+def mark_names(columns: list[str]) -> tuple[str, str]:
+    """Names for the two columns of hits that no column has."""
+    names = ("_hits", "_items")
+    while set(names) & set(columns):
+        names = tuple(f"_{n}" for n in names)
+    return names
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, window: int = 10, pattern_bytes: int = 16 << 20) -> DataFrame:
+    """docs with two more columns (mark_names): hit words as 4-byte numbers, and item ids as sorted strings."""
     spark = docs.sparkSession
-    names = docs.columns
-    schema = T.StructType([*docs.schema.fields, T.StructField("_hits", T.BinaryType()), T.StructField("_items", T.ArrayType(T.StringType()))])
+    names, marks = docs.columns, mark_names(docs.columns)
+    schema = T.StructType([*docs.schema.fields, T.StructField(marks[0], T.BinaryType()), T.StructField(marks[1], T.ArrayType(T.StringType()))])
     out = docs
-    for k, items in enumerate(item_blocks(benchmark, pattern_bytes)):
+    for k, items in enumerate(item_blocks(benchmark, pattern_bytes, window)):
         shared = spark.sparkContext.broadcast(items)
         state: dict = {}
 
         def fn(block: pa.RecordBatch, shared=shared, k=k, state=state) -> pa.RecordBatch:
             scan = state.get(0) or state.setdefault(0, _scanner(shared.value, window))
             index = block.schema.get_field_index
-            held = list(zip(block.column(index("_hits")).to_pylist(), block.column(index("_items")).to_pylist())) if k else None
-            _, found = scan(block.column(index("text")), held)
+            held = list(zip(*(block.column(index(m)).to_pylist() for m in marks))) if k else None
+            found = scan(block.column(index("text")), held)
             cols = [block.column(index(n)) for n in names]
-            return pa.RecordBatch.from_arrays([*cols, pa.array([x[0] for x in found], pa.binary()), pa.array([x[1] for x in found], pa.list_(pa.string()))], [*names, "_hits", "_items"])
+            return pa.RecordBatch.from_arrays([*cols, pa.array([x[0] for x in found], pa.binary()), pa.array([x[1] for x in found], pa.list_(pa.string()))], [*names, *marks])
 
         out = C.map_blocks(out, fn, schema)
     return out
@@ -172,11 +220,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """docs without the hit words: each run of them, with what stands between its words, becomes one space; n_chars, if there, follows."""
-    schema = docs.schema
+    schema, mark = docs.schema, mark_names(docs.columns)[0]
 
     def fn(block: pa.RecordBatch) -> pa.RecordBatch:
         cols = {n: block.column(block.schema.get_field_index(n)) for n in schema.names}
-        texts, marks = cols["text"], block.column(block.schema.get_field_index("_hits")).to_pylist()
+        texts, marks = cols["text"], block.column(block.schema.get_field_index(mark)).to_pylist()
         if any(marks):
             b = W.split(texts, W.ALNUM, lower=True)
             new = texts.to_pylist()

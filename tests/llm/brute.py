@@ -58,7 +58,7 @@ def contamination(data, items):
         w = ALNUM.findall((text or "").translate(AZ))
         for k in range(max(1, len(w) - 9)):
             if w:
-                windows[tuple(w[k : k + 10])].add(str(item))
+                windows[tuple(w[k : k + 10])].add(None if item is None else str(item))
     sizes = {len(x) for x in windows}
     out = {}
     for i, text in data:
@@ -68,7 +68,7 @@ def contamination(data, items):
             for k in range(len(w) - m + 1):
                 if own := windows.get(tuple(w[k : k + m])):
                     hit.update(range(k, k + m))
-                    of |= own
+                    of |= own - {None}
         out[i] = (len(w), len(hit), len(of), hashlib.sha256(",".join(sorted(of)).encode()).hexdigest(), bool(hit))
     return out
 
