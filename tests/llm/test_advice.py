@@ -39,7 +39,7 @@ def test_verbatim_notices_have_their_licences(spark):
         ("SPDX-License-Identifier: MIT\n#include <stdio.h>\nint x;", "MIT"), ("// SPDX-License-Identifier: MIT\n// Copyright A. Person", "MIT"), ("/* SPDX-License-Identifier: Apache-2.0 */ int x;", apache),
         ("<!-- SPDX-License-Identifier: GPL-3.0-or-later -->\r\n<p>", "GPL-3.0"), ("# SPDX-License-Identifier: BSD-3-Clause\nimport os", "BSD-3-Clause"), ("# SPDX-License-Identifier: MIT-0\nimport os", ""),
         ("# SPDX-License-Identifier: Apache-2.0 OR MIT\nimport os", "Apache-2.0,MIT"), ("// SPDX-License-Identifier: Apache-2.0 WITH LLVM-exception\nx", apache),
-        ("Released under the MIT License, see LICENSE for it.", "MIT"), ("Licensed under the GNU General Public License, version 3, by us.", "GPL-3.0-only"), ("Licensed under the GNU General Public License, version 3 or later.", ""),
+        ("Released under the MIT License, see LICENSE for it.", "MIT"), ("Licensed under the GNU General Public License, version 3, by us.", "GPL-3.0-only"), ("Licensed under the GNU General Public License, version 3 or later.", "GPL-3.0-or-later"),
         ("Licensed under CC BY-NC 4.0 unless noted.", "CC-BY-NC-4.0"), ("The files are subject to the terms of the Mozilla Public License, version 2.0 and no other.", mpl),
     ]
     got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(t for t, _ in cases)), "doc_id long, text string")).collect()}

@@ -294,7 +294,7 @@ def test_licenses(spark, sf_dir, data, empty, tmp_path):
     mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the x), to deal. The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS."
     cases = {
         "Some prose.\nLicensed under the Apache License, Version 2.0.": "Apache-2.0", "no end here***\n\nLicensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", gpl: "GPL-3.0-or-later", mit: "MIT",
-        "Released under the MIT License. This work is licensed under the GNU General Public License, version 3.": "GPL-3.0-only,MIT", "All rights reserved.": "", "An unlicensed sentence about licences.": "", apache: "",
+        "Released under the MIT License. This work is licensed under the GNU General Public License, version 3.": "GPL-3.0-only,MIT", "All rights reserved.": "", "An unlicensed sentence about licences.": "", apache: "Apache-2.0",
     }
     table = brute.frame(spark, data + [(50_000 + k, t) for k, t in enumerate(cases)])
     got = {r.doc_id: r for r in licenses.scan(table).collect()}
@@ -307,8 +307,8 @@ def test_licenses(spark, sf_dir, data, empty, tmp_path):
     assert licenses.scan(empty).count() == 0
     import re
 
-    for name, ends in licenses.SENTENCES:  # the hints must not hide a sentence
-        assert any(h in re.sub(r"[()|?]", " ", ends) for h in licenses.HINTS), name
+    for name, form in licenses.SENTENCES:  # the hints must not hide a sentence
+        assert any(h in re.sub(r"[()|?]", " ", form) for h in licenses.HINTS), name
     plan = licenses.scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan
 
