@@ -4,8 +4,10 @@ Base spans are the patterns' (kinds assign, access, hex). The method adds spans
 in a credential context whose cheapest segmentation (dynamic programming over words, dates, repeats,
 sequences, keyboard walks and brute-force spans) takes `least` decimal orders of guesses or more, if
 no base span holds them. After `:` or `=` and in quotes the cost alone decides. Passed over is what
-stands after ` is ` or ` was ` without quotes and has letters only or digits only: prose does. Null and empty texts have no spans; repeated rows are each reported; texts
-are read whole, and a value of any length takes time in proportion to it.
+stands after ` is ` or ` was ` without quotes and has letters only or digits only: prose does. Null and empty
+texts have no spans; repeated rows, and rows that repeat or lack a doc_id, are each reported; an empty table
+gives none; other columns are not looked at; texts are read whole, and a value of any length takes time in
+proportion to it.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ import base64
 import hashlib
 import math
 import re
+from collections.abc import Iterator
 from functools import cache
 
 import pyarrow as pa
@@ -63,7 +66,7 @@ def _brute(c: str) -> float:
 
 
 def segments(s: str) -> dict[int, list[tuple[int, float, str]]]:
-    """By end: start, log10 guesses and kind of each span that is cheaper than brute force may be. Linear in len(s)."""
+    """By end: start, log10 guesses and kind of each span that is cheaper than brute force may be: words, dates, and of each longest repeat, sequence and walk what shares an end with it. Linear in len(s)."""
     low, n, out = s.lower(), len(s), {}
     if len(low) != n:
         low = s
@@ -84,27 +87,40 @@ def segments(s: str) -> dict[int, list[tuple[int, float, str]]]:
             j = i
             while j + unit < n and s[j] == s[j + unit]:
                 j += 1
-            if j > i and j - i >= max(unit, 2):
-                add(i, j + unit, sum(map(_brute, s[i : i + unit])) + math.log10((j + unit - i) / unit), "repeat")
+            e = j + unit
+            if j - i >= max(unit, 2) and not any(unit % u == 0 and s[i : e - u] == s[i + u : e] for u in range(1, unit)):
+                for a, b in _ends(i, e, max(2 * unit, unit + 2)):
+                    add(a, b, sum(map(_brute, s[a : a + unit])) + math.log10((b - a) / unit), "repeat")
             i = j + 1
-    for kind, step in (("sequence", None), ("walk", _NEAR)):
-        i = 0
-        while i + 2 < n:
-            j = i
-            if step is None:
-                d = ord(s[i + 1]) - ord(s[i])
-                while abs(d) == 1 and j + 1 < n and ord(s[j + 1]) - ord(s[j]) == d:
-                    j += 1
-            else:
-                while j + 1 < n and low[j + 1] in step.get(low[j], ()):
-                    j += 1
-            if j - i >= 2:
-                turns = 0 if step is None else sum(1 for k in range(i + 2, j + 1) if (low[k] in ROWS[0]) != (low[k - 1] in ROWS[0]) or abs(ord(low[k]) - ord(low[k - 1])) > 20)
-                add(i, j + 1, math.log10(26 * (j + 1 - i)) + (math.log10(4) * (1 + turns) if step else 0), kind)
-            i = max(j, i + 1)
+    i = 0
+    while i + 2 < n:
+        j, d = i, ord(s[i + 1]) - ord(s[i])
+        while abs(d) == 1 and j + 1 < n and ord(s[j + 1]) - ord(s[j]) == d:
+            j += 1
+        for a, b in _ends(i, j + 1, 3):
+            add(a, b, math.log10(26 * (b - a)), "sequence")
+        i = max(j, i + 1)
+    i = 0
+    while i + 2 < n:
+        j, turns = i, [0]
+        while j + 1 < n and low[j + 1] in _NEAR.get(low[j], ()):
+            j += 1
+            # a step that leaves the row, or jumps far, is a turn; the first step is none
+            turns.append(turns[-1] + (j > i + 1 and ((low[j] in ROWS[0]) != (low[j - 1] in ROWS[0]) or abs(ord(low[j]) - ord(low[j - 1])) > 20)))
+        for a, b in _ends(i, j + 1, 3):
+            add(a, b, math.log10(26 * (b - a)) + math.log10(4) * (1 + turns[b - 1 - i] - turns[min(a + 1, b - 1) - i]), "walk")
+        i = max(j, i + 1)
     return out
 
 
+def _ends(i: int, j: int, least: int) -> Iterator[tuple[int, int]]:
+    """The parts of a run from i to j that share an end with it and are `least` long."""
+    for e in range(i + least, j + 1):
+        yield i, e
+    for a in range(i + 1, j - least + 1):
+        yield a, j
+
+
 def guess_cost(s: str) -> tuple[float, list[tuple[int, int, str]]]:
     """log10 of the guesses that the cheapest segmentation takes, and its spans."""
     if not s:
