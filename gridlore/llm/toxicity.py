@@ -6,8 +6,8 @@ directions; attention pools its states; a logistic unit scores it. Windows start
 of the whole text, and a text's score is that of its highest window. Words are runs of letters and
 digits, A-Z lower-cased.
 
-Training takes at most PER_CLASS labelled texts of each label, the first by a hash of doc_id, never
-from the held-out fold. Only some windows of a toxic text are toxic: at first the one whose words and
+Training takes at most PER_CLASS labelled doc_ids of each label, the first by a hash of doc_id, never
+from the held-out fold, of their texts 2 * PER_CLASS at most and whole ones up to SAMPLE_BYTES. Only some windows of a toxic text are toxic: at first the one whose words and
 n-grams have the highest log odds stands for a text, then the network's own highest one.
 
 Null texts and texts without words get the score of an empty window. Repeated rows are each scored;
@@ -28,6 +28,8 @@ from . import words as W
 WINDOW, STRIDE, PER_CLASS, FOLDS = 48, 24, 1000, 5
 WIDTH, HIDDEN, ATTENTION, GRAMS, LEAST_TEXTS = 12, 8, 8, 1 << 14, 5
 ROUNDS, BATCH, RATE = 6, 128, 0.01
+#: Bytes of all texts that are learned from at most.
+SAMPLE_BYTES = 48 << 20
 
 
 def word_grams(b: W.Block, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -283,8 +285,17 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> li
     for label in (0, 1):
         part = one.where(F.col("_toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         ids = part if ids is None else ids.union(part)
-    rows = docs.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "_toxic").orderBy("doc_id", "text").limit(4 * per_class).collect()
-    return [(r.text, r._toxic) for r in rows]
+    # sizes first: at most 2 * per_class rows of numbers, of which whole texts are chosen until they fill SAMPLE_BYTES
+    found = docs.join(F.broadcast(ids), "doc_id").select("doc_id", "text", "_toxic", F.xxhash64("text").alias("_h")).dropDuplicates(["doc_id", "_h"])
+    sizes = found.select("doc_id", "_h", F.octet_length("text").alias("size")).orderBy(F.xxhash64("doc_id"), "_h").limit(2 * per_class).collect()
+    chosen, left = [], SAMPLE_BYTES
+    for r in sizes:
+        if r.size <= left:
+            chosen.append((r.doc_id, r._h))
+            left -= r.size
+    pick = F.broadcast(docs.sparkSession.createDataFrame(chosen, "doc_id long, _h long"))
+    rows = docs.join(pick, "doc_id").where(F.xxhash64("text") == F.col("_h")).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "_toxic").distinct().collect()
+    return [(r.text, r._toxic) for r in sorted(rows, key=lambda r: (r.doc_id, r.text))]
 
 
 def score(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
