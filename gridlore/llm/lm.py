@@ -34,7 +34,7 @@ _END, _START = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x6C62272E07BB0142)
 
 def _tokens(t: pa.Table):
     """Token fingerprints of a chunk's texts with each end, contexts, text numbers, and first tokens of texts."""
-    h, doc = X.chunk_words(t.column("text"), W.SPACED, True)
+    h, doc, *_ = X.chunk_words(t.column("text"), W.SPACED, True)
     n = np.bincount(doc, minlength=len(t)) + 1
     first = np.concatenate([[0], np.cumsum(n)])
     token = np.empty(first[-1], np.uint64)
@@ -59,10 +59,14 @@ def _folds(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return trains, trains & (crc // 7 % FOLDS == 0)
 
 
+def _kind(grp: int, groups: int) -> tuple[int, int]:
+    """Bigrams have the first groups (a multiple of four), unigrams a quarter as many after them."""
+    return (groups, 0) if grp < groups else (groups // 4, groups)
+
+
 def _group(keys: np.ndarray, groups: int, kind: int) -> np.ndarray:
-    """Unigrams (kind 0) and bigrams (kind 1) have groups of their own, the highest bits of the key."""
-    share = max(1, groups // 4) if kind == 0 else groups
-    return ((keys >> np.uint64(32)).astype(np.int64) * share >> 24) + (groups if kind == 0 else 0)
+    share, first = _kind(0 if kind else groups, groups)
+    return X.key_group(keys, share) + first
 
 
 def counts(docs: DataFrame) -> DataFrame:
@@ -70,7 +74,7 @@ def counts(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     plan = X.layout(docs)
-    groups = plan.groups
+    groups = 4 * -(-plan.groups // 4)
     crc = F.crc32(F.coalesce("doc_id", F.lit(0)).cast("string").cast("binary")).alias("crc")
     parts = X.chunked(docs, plan, crc)
 
@@ -82,31 +86,27 @@ def counts(docs: DataFrame) -> DataFrame:
             order, new, group = X.by_group(keys, _group(keys, groups, kind))
             # train (all but the held-out part), held-out part
             sums = [np.add.reduceat(x[doc[order]].astype(np.int64), new) if len(new) else np.empty(0, np.int64) for x in (trains & ~held, held)]
-            k = keys[order][new]
-            cuts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]])) if len(group) else np.zeros(1, np.int64)
-            rows += [(int(group[a]), int(b - a), X.pack_keys(k[a:b]), *(X.pack_counts(s[a:b]) for s in sums)) for a, b in zip(cuts, cuts[1:])]
+            rows += X.messages(keys[order][new], group, *(lambda a, b, s=s: X.pack_counts(s[a:b]) for s in sums))
         cols = list(zip(*rows)) or [()] * 5
         chunk = t.column("chunk")[0].as_py() if len(t) else 0
         return pa.table([pa.array(cols[0], pa.int32()), pa.array([chunk] * len(rows), pa.int32()), pa.array(cols[1], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[2:])], ["grp", "chunk", "n", "keys", "train", "held"])
 
-    def answer(t: pa.Table) -> pa.Table:
-        t = t.sort_by("chunk")
-        n = t.column("n").to_numpy()
-        keys = np.concatenate([X.unpack_keys(raw, k) for raw, k in zip(t.column("keys").to_pylist(), n.tolist())])
-        order = np.argsort(keys, kind="stable")
-        new = np.concatenate([[True], keys[order][1:] != keys[order][:-1]])
-        run = np.empty(len(keys), np.int64)
-        run[order] = np.cumsum(new) - 1
-        total = []
-        for c in ("train", "held"):
-            own = np.concatenate([X.unpack_counts(raw, k) for raw, k in zip(t.column(c).to_pylist(), n.tolist())])
-            total.append(np.bincount(run, weights=own).astype(np.int64)[run])
-        first = np.zeros(len(keys), bool)
-        first[order[new]] = True  # of each key the entry of one chunk counts it as distinct
-        first &= total[0] + total[1] > 0
+    def reply(run, n, own, distinct, above):
+        """Counts of all training documents for each entry, and for one message of each key that there is one more."""
         ends = np.cumsum(n)
         part = [(e - k, e) for e, k in zip(ends.tolist(), n.tolist())]
-        return pa.table([t.column("grp"), t.column("chunk"), *(pa.array([X.pack_counts(x[a:b]) for a, b in part], pa.binary()) for x in total), pa.array([int(first[a:b].sum()) for a, b in part], pa.int64())], ["grp", "chunk", "train", "held", "distinct"])
+        if above is None:
+            total = [np.bincount(run, weights=own[c], minlength=distinct).astype(np.int64) for c in ("train", "held")]
+            first = np.full(distinct, -1)
+            first[run[::-1]] = np.arange(len(run))[::-1]  # of each key the entry of one message counts it
+            counts = np.zeros(len(run), bool)
+            counts[first] = total[0] + total[1] > 0
+            new = [int(counts[a:b].sum()) for a, b in part]
+        else:
+            replies, sizes = above
+            total = [np.concatenate([X.unpack_counts(raw, k) for raw, k in zip(replies.column(c).to_pylist(), sizes.tolist())]) for c in ("train", "held")]
+            new = [sum(replies.column("distinct").to_pylist())] + [0] * (len(n) - 1)
+        return [*(pa.array([X.pack_counts(x[run[a:b]]) for a, b in part], pa.binary()) for x in total), pa.array(new, pa.int64())]
 
     def apply(t: pa.Table, replies: pa.Table) -> pa.Table:
         token, before, doc, first = _tokens(t)
@@ -141,7 +141,8 @@ def counts(docs: DataFrame) -> DataFrame:
         }
         return pa.table(cols)
 
-    replies = parts.groupBy("chunk").applyInArrow(ask, "grp int, chunk int, n int, keys binary, train binary, held binary").groupBy("grp").applyInArrow(answer, "grp int, chunk int, train binary, held binary, distinct long")
+    asks = parts.groupBy("chunk").applyInArrow(ask, "grp int, chunk int, n int, keys binary, train binary, held binary")
+    replies = X.resolve(asks, plan.chunks, groups, ["train", "held"], reply, "grp int, chunk int, train binary, held binary, distinct long", _kind)
     return parts.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(apply, "doc_id long, trains boolean, n_tokens long, w binary, vw binary, held_w binary, held_vw binary, distinct long")
 
 

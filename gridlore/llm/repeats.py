@@ -1,28 +1,41 @@
 """Substring dedup with prefix-partitioned suffix trees over words.
 
 The text of the trees is all words of all documents; a suffix starts at each word that twelve others
-of its document follow. Variable-length prefixes split the suffixes: a prefix is one to LEVELS
-symbols (five bits of a word's fingerprint each), lengthened only where more suffixes than a group
-may hold start with it; neighbouring prefixes are then put together up to that size. A group's
-subtree is built from the sorted labels of its suffixes. Its branches above thirteen words say
-nothing about repeats, so one elastic step reads the thirteen words at once, as a 56-bit fingerprint
-(groups are small, so that two labels of a group being equal by chance is a matter of 2**-56 a
-pair). The runs of equal labels are the subtree's internal nodes of that depth: a node with leaves
-in several documents is a repeat, whose words go from every document but the least. Repeats that
-start one word after another are one maximal repeat, and `maximal` gives those.
-
-Suffixes of one chunk with equal labels travel as one entry, so the tasks' sizes don't depend on how
-often a passage occurs. Null and empty texts have no words; of rows with equal doc_id neither is
-smaller; a null doc_id counts as smaller than all others; texts are read whole.
+of its document follow, and is read to its thirteenth word.
+
+1. Variable-length prefixes split the suffixes: a prefix is one to LEVELS symbols (five bits of a
+   word's fingerprint each), lengthened only where more suffixes than a group may hold start with it;
+   neighbouring prefixes are then put together up to that size.
+2. A suffix that shares its thirteen words with no other chunk of texts hangs from a node of lesser
+   depth in its group's tree, so it can be left out there. Which these are is found by fingerprints
+   that grow with the corpus (7 bits more than it takes to number its suffixes): a filter, which
+   passes all others and about one in a hundred of them.
+3. A group gets what passed as its chunks' words and, for each distinct suffix of a chunk, the numbers
+   of its thirteen words among them. It numbers all words anew by their bytes, sorts the suffixes, and
+   makes its subtree from the common prefixes of neighbours (`Subtree`). An internal node of depth 13
+   with leaves of several chunks is a repeat; the group tells each of these whether the node has a leaf
+   of a lesser document's chunk.
+4. Repeats among the documents of one chunk are nodes of the chunk's own suffixes, by the same words.
+   A word goes if a repeat that also starts in a document with a lesser doc_id covers it. Repeats
+   that start one word after another are one maximal repeat: `maximal` gives those.
+
+Suffixes of one chunk with equal words travel as one, so the tasks' sizes don't depend on how often a
+passage occurs. Within a chunk words of over eight bytes are told apart by 64-bit fingerprints, between
+chunks by their bytes. Null and empty texts have no words; of rows with equal doc_id neither is smaller;
+a null doc_id counts as smaller than all others, and rows without one as equal; texts are read whole; an
+empty table gives none. Nothing is written but shuffles: a lost executor costs the tasks that made its part.
 """
 
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +45,31 @@ from . import exchange as X
 from . import words as W
 
 WINDOW, LEVELS, BITS = 13, 3, 5
+#: Bits of the filter's fingerprints beyond those that number all suffixes.
+SPARE_BITS = 7
+
+
+class Subtree:
+    """The suffix tree of some suffixes: their rows of word numbers in order, and how many words neighbours have in common."""
+
+    def __init__(self, rows: np.ndarray):
+        self.order = np.lexsort(rows.T[::-1]) if len(rows) else np.empty(0, np.int64)
+        r = rows[self.order]
+        self.common = np.logical_and.accumulate(r[1:] == r[:-1], axis=1).sum(1) if len(r) else np.empty(0, np.int64)
+        self.width = rows.shape[1]
+
+    def internal(self, least: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """(depth, first leaf, past the last leaf) of the internal nodes of depth `least` or more, as places in order, by depth."""
+        out = []
+        for depth in range(least, self.width + 1):
+            on = np.concatenate([[False], self.common >= depth, [False]])
+            first, last = np.flatnonzero(~on[:-1] & on[1:]), np.flatnonzero(on[:-1] & ~on[1:]) + 1
+            if depth < self.width and len(first):  # a node branches here if two neighbours in it have no more in common
+                at = np.concatenate([[0], np.cumsum(self.common == depth)])
+                here = at[last - 1] > at[first]
+                first, last = first[here], last[here]
+            out.append((depth, first, last))
+        return out
 
 
 def prefix_codes(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -82,23 +120,81 @@ def group_table(counts: np.ndarray, groups: int) -> np.ndarray:
     most, table, group, held = max(1, int(counts.sum()) // groups), np.zeros(len(counts), np.int32), 0, 0
     for _, at, width in prefixes(counts, most):
         n = int(counts[at : at + width].sum())
-        if held and held + n > most and group < 4 * X.MOST_GROUPS:
+        if held and held + n > most and group < (1 << LEVELS * BITS) - 1:
             group, held = group + 1, 0
         table[at : at + width] = group
         held += n
     return table
 
 
-def _suffixes(t: pa.Table, table: np.ndarray, window: int):
-    """Words of a chunk's texts and their suffixes' labels, by group and label."""
-    h, doc = X.chunk_words(t.column("text"), W.SPACED, False)
-    starts = np.flatnonzero(doc[window - 1 :] == doc[: len(doc) - window + 1]) if len(doc) >= window else np.empty(0, np.int64)
+@dataclass
+class Suffixes:
+    """The suffixes of a chunk's texts, in the order of their words' fingerprint, those of lesser documents first."""
+
+    words: np.ndarray  #: fingerprints
+    doc: np.ndarray  #: text number of each word
+    rank: np.ndarray  #: of the texts, by doc_id
+    start: np.ndarray
+    label: np.ndarray
+    new: np.ndarray  #: where suffixes with other words begin
+    data: np.ndarray
+    spans: tuple[np.ndarray, np.ndarray]
+
+
+def suffixes(t: pa.Table, window: int) -> Suffixes:
+    h, doc, data, *spans = X.chunk_words(t.column("text"), W.SPACED, False)
+    start = np.flatnonzero(doc[window - 1 :] == doc[: len(doc) - window + 1]) if len(doc) >= window else np.empty(0, np.int64)
     ids = t.column("doc_id").combine_chunks().fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
     rank = np.unique(ids, return_inverse=True)[1].reshape(-1)
-    starts = starts[np.argsort(rank[doc[starts]], kind="stable")]  # the least document of a label comes first
-    label = W.gram_hashes(h, window)[starts] & X.KEY if len(starts) else np.empty(0, np.uint64)
-    order, new, group = X.by_group(label, table[prefix_codes(h, starts)] if len(starts) else np.empty(0, np.int32))
-    return h, doc, rank, starts, label, order, new, group
+    label = W.gram_hashes(h, window)[start] if len(start) else np.empty(0, np.uint64)
+    order = np.lexsort((rank[doc[start]], label))
+    start, label = start[order], label[order]
+    same = label[1:] == label[:-1]
+    at = np.flatnonzero(same)
+    for k in range(window):  # equal fingerprints are confirmed by those of the words
+        same[at] &= h[start[at + 1] + k] == h[start[at] + k]
+    return Suffixes(h, doc, rank, start, label, np.flatnonzero(np.concatenate([[True], ~same])) if len(start) else at, data, tuple(spans))
+
+
+def _deep(s: Suffixes, replies: pa.Table, bits: int, groups: int, table: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct suffixes (places in s.new) that may be in other chunks, by the filter's replies, in the order of their prefix groups; and these."""
+    keys = _filter_keys(s, bits)
+    distinct = np.unique(keys)
+    grp = X.key_group(distinct, groups)
+    passed = np.zeros(len(distinct), bool)
+    for g, raw in zip(replies.column("grp").to_pylist(), replies.column("bits").to_pylist()):
+        if raw is not None:
+            a, b = np.searchsorted(grp, [g, g + 1])
+            passed[a:b] = np.unpackbits(np.frombuffer(raw, np.uint8), count=b - a).astype(bool)
+    k = np.flatnonzero(passed[np.searchsorted(distinct, keys)])
+    group = table[prefix_codes(s.words, s.start[s.new[k]])] if len(k) else np.empty(0, np.int32)
+    order = np.argsort(group, kind="stable")
+    return k[order], group[order]
+
+
+def _filter_keys(s: Suffixes, bits: int) -> np.ndarray:
+    """`bits` of each distinct suffix's fingerprint, as keys of the exchange."""
+    return (s.label[s.new] >> np.uint64(64 - bits)) << np.uint64(X.KEY_BITS - bits)
+
+
+def _texts(s: Suffixes, starts: np.ndarray, window: int) -> tuple[int, bytes, bytes]:
+    """Some suffixes as their number of words, the words (most frequent first, by lines) and the rows of word numbers, by column."""
+    h, at, number, n = np.unique(s.words[starts[:, None] + np.arange(window)].ravel(), return_index=True, return_inverse=True, return_counts=True)
+    place = np.argsort(-n, kind="stable")
+    rank = np.empty(len(h), np.uint32)
+    rank[place] = np.arange(len(h))
+    where = starts[at // window] + at % window
+    text = b"\n".join(s.data[a:b].tobytes() for a, b in zip(s.spans[0][where[place]].tolist(), s.spans[1][where[place]].tolist()))
+    rows = rank[number.reshape(-1)].reshape(-1, window).T.astype("<u2" if len(h) <= 1 << 16 else "<u4")
+    pack = zstandard.ZstdCompressor(level=1).compress
+    return len(h), pack(text), pack(rows.tobytes())
+
+
+def _rows(n: int, words: int, text: bytes, rows: bytes, numbers: dict[bytes, int], window: int) -> np.ndarray:
+    """The rows of _texts with its words' numbers among all words."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    own = np.fromiter((numbers.setdefault(w, len(numbers)) for w in unpack(text).split(b"\n")), np.int32, words)
+    return own[np.frombuffer(unpack(rows), "<u2" if words <= 1 << 16 else "<u4").reshape(window, n).T]
 
 
 def repeated_words(docs: DataFrame, finish, schema: str, window: int = WINDOW) -> DataFrame:
@@ -106,49 +202,83 @@ def repeated_words(docs: DataFrame, finish, schema: str, window: int = WINDOW) -
     spark = docs.sparkSession
     ship(spark)
     plan = X.layout(docs)
-    shared = spark.sparkContext.broadcast(group_table(prefix_counts(docs, window), plan.groups))
-    parts = X.chunked(docs, plan)
+    counts = prefix_counts(docs, window)
+    bits = min(X.KEY_BITS, max(24, int(counts.sum()).bit_length() + SPARE_BITS))
+    shared = spark.sparkContext.broadcast((group_table(counts, plan.groups), plan))
+    parts, groups = X.chunked(docs, plan), plan.groups
 
     def ask(t: pa.Table) -> pa.Table:
-        _, _, _, _, label, order, new, group = _suffixes(t, shared.value, window)
-        keys = label[order][new]
-        cuts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]])) if len(group) else np.zeros(1, np.int64)
-        rows = [(int(group[a]), int(b - a), X.pack_keys(keys[a:b])) for a, b in zip(cuts, cuts[1:])]
-        cols = list(zip(*rows)) or [(), (), ()]
+        keys = np.unique(_filter_keys(suffixes(t, window), bits))
+        cols = list(zip(*X.messages(keys, X.key_group(keys, groups)))) or [(), (), ()]
         chunk = t.column("chunk")[0].as_py() if len(t) else 0
-        return pa.table([pa.array(cols[0], pa.int32()), pa.array([chunk] * len(rows), pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary())], ["group", "chunk", "n", "keys"])
-
-    def answer(t: pa.Table) -> pa.Table:
-        """A bit for each key of each chunk: an earlier chunk has it. Of the subtree's nodes only those with several leaves matter."""
-        t = t.sort_by("chunk")
+        return pa.table([pa.array(cols[0], pa.int32()), pa.array([chunk] * len(cols[0]), pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary())], ["grp", "chunk", "n", "keys"])
+
+    def reply(run, n, held, distinct, above):
+        """A bit for each entry: another chunk has its key."""
+        other = np.bincount(run, minlength=distinct) > 1
+        if above is not None:
+            replies, sizes = above
+            other |= np.concatenate([np.zeros(k, bool) if raw is None else np.unpackbits(np.frombuffer(raw, np.uint8), count=k).astype(bool) for raw, k in zip(replies.column("bits").to_pylist(), sizes.tolist())])
+        ends = np.cumsum(n)
+        return [pa.array([np.packbits(other[run[e - k : e]]).tobytes() if other[run[e - k : e]].any() else None for e, k in zip(ends.tolist(), n.tolist())], pa.binary())]
+
+    def send(t: pa.Table, replies: pa.Table) -> pa.Table:
+        rows = []
+        if len(t):
+            table, plan = shared.value
+            s = suffixes(t, window)
+            k, group = _deep(s, replies, bits, groups, table, window)
+            cuts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]])) if len(group) else np.zeros(1, np.int64)
+            chunk = t.column("chunk")[0].as_py()
+            rows = [(int(group[a]), chunk, plan.rank(chunk), int(b - a), *_texts(s, s.start[s.new[k[a:b]]], window)) for a, b in zip(cuts.tolist(), cuts[1:].tolist())]
+        cols = list(zip(*rows)) or [()] * 7
+        return pa.table([*(pa.array(c, pa.int32()) for c in cols[:5]), *(pa.array(c, pa.binary()) for c in cols[5:])], ["grp", "chunk", "rank", "n", "words", "text", "rows"])
+
+    def tree(t: pa.Table) -> pa.Table:
+        """A bit for each suffix of each chunk: its node in the group's subtree has a leaf of a lesser chunk."""
+        numbers: dict[bytes, int] = {}
         n = t.column("n").to_numpy()
-        keys = np.concatenate([X.unpack_keys(raw, k) for raw, k in zip(t.column("keys").to_pylist(), n.tolist())])
-        order = np.argsort(keys, kind="stable")
-        again = np.zeros(len(keys), bool)
-        again[order[1:]] = keys[order][1:] == keys[order][:-1]
+        of = [_rows(*x, numbers, window) for x in zip(*(t.column(c).to_pylist() for c in ("n", "words", "text", "rows")))]
+        sub = Subtree(np.concatenate(of))
+        rank = np.repeat(t.column("rank").to_numpy(), n)[sub.order]
+        again = np.zeros(len(rank), bool)
+        for _, first, last in sub.internal(window):
+            if len(first):
+                least = np.minimum.reduceat(np.append(rank, 0), np.stack([first, last], 1).ravel())[::2]
+                size = last - first
+                at = np.repeat(first - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+                again[sub.order[at]] |= rank[at] > np.repeat(least, size)
         ends = np.cumsum(n)
         bits = [np.packbits(again[e - k : e]).tobytes() if again[e - k : e].any() else None for e, k in zip(ends.tolist(), n.tolist())]
-        out = pa.table([t.column("group"), t.column("chunk"), pa.array(bits, pa.binary())], ["group", "chunk", "bits"])
+        out = pa.table([t.column("grp"), t.column("chunk"), pa.array(bits, pa.binary())], ["grp", "chunk", "bits"])
         return out.filter(pa.array([x is not None for x in bits]))
 
     def apply(t: pa.Table, replies: pa.Table) -> pa.Table:
         if not len(t):
             return pa.Table.from_batches([finish(t, np.empty(0, bool), np.empty(0, np.int64))])
-        _, doc, rank, starts, _, order, new, group = _suffixes(t, shared.value, window)
-        gone = np.zeros(len(doc), bool)
-        if len(starts):
-            earlier = np.zeros(len(new), bool)
-            for g, raw in zip(replies.column("group").to_pylist(), replies.column("bits").to_pylist()):
-                a, b = np.searchsorted(group, [g, g + 1])
-                earlier[a:b] = np.unpackbits(np.frombuffer(raw, np.uint8), count=b - a).astype(bool)
-            run = np.cumsum(np.bincount(new, minlength=len(order))) - 1
-            least = rank[doc[starts[order[new]]]]
-            hit = earlier[run] | (rank[doc[starts[order]]] > least[run])
-            gone = W.cover(starts[order[hit]], window, len(doc))
-        return pa.Table.from_batches([finish(t, gone, doc)])
-
-    replies = parts.groupBy("chunk").applyInArrow(ask, "group int, chunk int, n int, keys binary").groupBy("group").applyInArrow(answer, "group int, chunk int, bits binary")
-    return parts.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(apply, schema)
+        s = suffixes(t, window)
+        gone = np.zeros(len(s.doc), bool)
+        if len(s.start):
+            earlier = np.zeros(len(s.new), bool)
+            of_filter = replies.filter(pc.equal(replies.column("tree"), False))
+            of_tree = replies.filter(pc.equal(replies.column("tree"), True))
+            if len(of_tree):
+                k, group = _deep(s, of_filter, bits, groups, shared.value[0], window)
+                for g, raw in zip(of_tree.column("grp").to_pylist(), of_tree.column("bits").to_pylist()):
+                    a, b = np.searchsorted(group, [g, g + 1])
+                    earlier[k[a:b]] = np.unpackbits(np.frombuffer(raw, np.uint8), count=b - a).astype(bool)
+            run = np.repeat(np.arange(len(s.new)), np.diff(np.append(s.new, len(s.start))))
+            least = s.rank[s.doc[s.start[s.new]]]
+            hit = earlier[run] | (s.rank[s.doc[s.start]] > least[run])
+            gone = W.cover(s.start[hit], window, len(s.doc))
+        return pa.Table.from_batches([finish(t, gone, s.doc)])
+
+    asks = parts.groupBy("chunk").applyInArrow(ask, "grp int, chunk int, n int, keys binary")
+    passed = X.resolve(asks, plan.chunks, groups, [], reply, "grp int, chunk int, bits binary", lambda grp, groups: (groups, 0)).where("bits is not null")
+    sent = parts.groupBy("chunk").cogroup(passed.groupBy("chunk")).applyInArrow(send, "grp int, chunk int, rank int, n int, words int, text binary, rows binary")
+    marked = sent.groupBy("grp").applyInArrow(tree, "grp int, chunk int, bits binary")
+    both = passed.withColumn("tree", F.lit(False)).unionByName(marked.withColumn("tree", F.lit(True)))
+    return parts.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(apply, schema)
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = False) -> DataFrame:
