@@ -10,20 +10,22 @@ of its document follow, and is read to its thirteenth word.
    depth in its group's tree, so it can be left out there. Which these are is found by fingerprints
    that grow with the corpus (7 bits more than it takes to number its suffixes): a filter, which
    passes all others and about one in a hundred of them.
-3. A group gets what passed as its chunks' words and, for each distinct suffix of a chunk, the numbers
-   of its thirteen words among them. It numbers all words anew by their bytes, sorts the suffixes, and
-   makes its subtree from the common prefixes of neighbours (`Subtree`). An internal node of depth 13
+3. A group gets what passed, for each distinct suffix of a chunk its thirteen words as symbols (eight
+   bits of a word's fingerprint each) and one fingerprint of all. It sorts the suffixes by their symbols
+   and makes its subtree from the common prefixes of neighbours (`Subtree`). An internal node of depth 13
    with leaves of several chunks is a repeat; the group tells each of these whether the node has a leaf
    of a lesser document's chunk.
-4. Repeats among the documents of one chunk are nodes of the chunk's own suffixes, by the same words.
-   A word goes if a repeat that also starts in a document with a lesser doc_id covers it. Repeats
-   that start one word after another are one maximal repeat: `maximal` gives those.
+4. Repeats among the documents of one chunk are nodes of the chunk's own suffixes. A word goes if a
+   repeat that also starts in a document with a lesser doc_id covers it. Repeats that start one word
+   after another are one maximal repeat: `maximal` gives those.
 
 Suffixes of one chunk with equal words travel as one, so the tasks' sizes don't depend on how often a
-passage occurs. Within a chunk words of over eight bytes are told apart by 64-bit fingerprints, between
-chunks by their bytes. Null and empty texts have no words; of rows with equal doc_id neither is smaller;
-a null doc_id counts as smaller than all others, and rows without one as equal; texts are read whole; an
-empty table gives none. Nothing is written but shuffles: a lost executor costs the tasks that made its part.
+passage occurs. Words are told apart by 64-bit fingerprints (which differ for certain for words of one
+length up to eight bytes), sequences of them within a chunk by these, between chunks by a symbol a word
+and a 64-bit fingerprint: two that differ in one word only are taken for equal with a probability of
+2^-72. Null and empty texts have no words; of rows with equal doc_id neither is smaller; a null doc_id
+counts as smaller than all others, and rows without one as equal; texts are read whole; an empty table
+gives none. Nothing is written but shuffles: a lost executor costs the tasks that made its part.
 """
 
 from __future__ import annotations
@@ -34,8 +36,6 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,13 +50,19 @@ SPARE_BITS = 7
 
 
 class Subtree:
-    """The suffix tree of some suffixes: their rows of word numbers in order, and how many words neighbours have in common."""
+    """The suffix tree of some suffixes: their rows of symbols in order, and how many words neighbours have in common.
 
-    def __init__(self, rows: np.ndarray):
-        self.order = np.lexsort(rows.T[::-1]) if len(rows) else np.empty(0, np.int64)
-        r = rows[self.order]
-        self.common = np.logical_and.accumulate(r[1:] == r[:-1], axis=1).sum(1) if len(r) else np.empty(0, np.int64)
+    label: fingerprints that tell apart suffixes with the same symbols; such ones have not all words in common.
+    """
+
+    def __init__(self, rows: np.ndarray, label: np.ndarray | None = None):
         self.width = rows.shape[1]
+        self.order = np.lexsort([*([] if label is None else [label]), *rows.T[::-1]]) if len(rows) else np.empty(0, np.int64)
+        r = rows[self.order]
+        differ = r[1:] != r[:-1]
+        if label is not None and len(r):
+            differ[:, -1] |= label[self.order][1:] != label[self.order][:-1]
+        self.common = np.where(differ.any(1), differ.argmax(1), self.width) if len(r) else np.empty(0, np.int64)
 
     def internal(self, least: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
         """(depth, first leaf, past the last leaf) of the internal nodes of depth `least` or more, as places in order, by depth."""
@@ -137,64 +143,57 @@ class Suffixes:
     start: np.ndarray
     label: np.ndarray
     new: np.ndarray  #: where suffixes with other words begin
-    data: np.ndarray
-    spans: tuple[np.ndarray, np.ndarray]
+
+
+def by_id(t: pa.Table) -> pa.Table:
+    """The texts of a chunk in the order of doc_id, those without one first."""
+    ids = t.column("doc_id").combine_chunks().fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
+    return t.take(pa.array(np.argsort(ids, kind="stable")))
 
 
 def suffixes(t: pa.Table, window: int) -> Suffixes:
-    h, doc, data, *spans = X.chunk_words(t.column("text"), W.SPACED, False)
-    start = np.flatnonzero(doc[window - 1 :] == doc[: len(doc) - window + 1]) if len(doc) >= window else np.empty(0, np.int64)
+    """Of the texts of a chunk, which are sorted by doc_id."""
+    h, doc = X.chunk_words(t.column("text"), W.SPACED, False)
+    start = W.window_starts(doc, window)
     ids = t.column("doc_id").combine_chunks().fill_null(-(1 << 63)).to_numpy(zero_copy_only=False)
-    rank = np.unique(ids, return_inverse=True)[1].reshape(-1)
+    rank = np.cumsum(np.concatenate([[0], ids[1:] != ids[:-1]])) if len(ids) else ids
     label = W.gram_hashes(h, window)[start] if len(start) else np.empty(0, np.uint64)
-    order = np.lexsort((rank[doc[start]], label))
-    start, label = start[order], label[order]
+    order = np.argsort(label)
+    label = label[order]
     same = label[1:] == label[:-1]
+    if same.any():  # of equal ones the earliest, which is of the least document, comes first
+        held = np.flatnonzero(np.concatenate([[False], same]) | np.concatenate([same, [False]]))
+        order[held] = order[held][np.lexsort((order[held], label[held]))]
+    start = start[order]
     at = np.flatnonzero(same)
     for k in range(window):  # equal fingerprints are confirmed by those of the words
         same[at] &= h[start[at + 1] + k] == h[start[at] + k]
-    return Suffixes(h, doc, rank, start, label, np.flatnonzero(np.concatenate([[True], ~same])) if len(start) else at, data, tuple(spans))
-
-
-def _deep(s: Suffixes, replies: pa.Table, bits: int, groups: int, table: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct suffixes (places in s.new) that may be in other chunks, by the filter's replies, in the order of their prefix groups; and these."""
-    keys = _filter_keys(s, bits)
-    distinct = np.unique(keys)
-    grp = X.key_group(distinct, groups)
-    passed = np.zeros(len(distinct), bool)
-    for g, raw in zip(replies.column("grp").to_pylist(), replies.column("bits").to_pylist()):
-        if raw is not None:
-            a, b = np.searchsorted(grp, [g, g + 1])
-            passed[a:b] = np.unpackbits(np.frombuffer(raw, np.uint8), count=b - a).astype(bool)
-    k = np.flatnonzero(passed[np.searchsorted(distinct, keys)])
-    group = table[prefix_codes(s.words, s.start[s.new[k]])] if len(k) else np.empty(0, np.int32)
-    order = np.argsort(group, kind="stable")
-    return k[order], group[order]
+    return Suffixes(h, doc, rank, start, label, np.flatnonzero(np.concatenate([[True], ~same])) if len(start) else at)
 
 
-def _filter_keys(s: Suffixes, bits: int) -> np.ndarray:
-    """`bits` of each distinct suffix's fingerprint, as keys of the exchange."""
-    return (s.label[s.new] >> np.uint64(64 - bits)) << np.uint64(X.KEY_BITS - bits)
+def filter_keys(s: Suffixes, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """`bits` of the distinct suffixes' fingerprints, as keys of the exchange, each once; and each suffix's place among them."""
+    keys = (s.label[s.new] >> np.uint64(64 - bits)) << np.uint64(X.KEY_BITS - bits)
+    new = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, bool)
+    return keys[new], np.cumsum(new) - 1
 
 
-def _texts(s: Suffixes, starts: np.ndarray, window: int) -> tuple[int, bytes, bytes]:
-    """Some suffixes as their number of words, the words (most frequent first, by lines) and the rows of word numbers, by column."""
-    h, at, number, n = np.unique(s.words[starts[:, None] + np.arange(window)].ravel(), return_index=True, return_inverse=True, return_counts=True)
-    place = np.argsort(-n, kind="stable")
-    rank = np.empty(len(h), np.uint32)
-    rank[place] = np.arange(len(h))
-    where = starts[at // window] + at % window
-    text = b"\n".join(s.data[a:b].tobytes() for a, b in zip(s.spans[0][where[place]].tolist(), s.spans[1][where[place]].tolist()))
-    rows = rank[number.reshape(-1)].reshape(-1, window).T.astype("<u2" if len(h) <= 1 << 16 else "<u4")
-    pack = zstandard.ZstdCompressor(level=1).compress
-    return len(h), pack(text), pack(rows.tobytes())
+def _passed(s: Suffixes, bits_of: dict[int, bytes], bits: int, groups: int) -> np.ndarray:
+    """Distinct suffixes (places in s.new) that the filter passes."""
+    keys, place = filter_keys(s, bits)
+    grp = X.key_group(keys, groups)
+    passed = np.zeros(len(keys), bool)
+    for g, raw in bits_of.items():
+        a, b = np.searchsorted(grp, [g, g + 1])
+        passed[a:b] = np.unpackbits(np.frombuffer(raw, np.uint8), count=b - a).astype(bool)
+    return np.flatnonzero(passed[place])
 
 
-def _rows(n: int, words: int, text: bytes, rows: bytes, numbers: dict[bytes, int], window: int) -> np.ndarray:
-    """The rows of _texts with its words' numbers among all words."""
-    unpack = zstandard.ZstdDecompressor().decompress
-    own = np.fromiter((numbers.setdefault(w, len(numbers)) for w in unpack(text).split(b"\n")), np.int32, words)
-    return own[np.frombuffer(unpack(rows), "<u2" if words <= 1 << 16 else "<u4").reshape(window, n).T]
+def _dealt(s: Suffixes, k: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of distinct suffixes by the group of their prefix, and these."""
+    group = table[prefix_codes(s.words, s.start[s.new[k]])] if len(k) else np.empty(0, np.int32)
+    order = np.argsort(group, kind="stable")
+    return k[order], group[order]
 
 
 def repeated_words(docs: DataFrame, finish, schema: str, window: int = WINDOW) -> DataFrame:
@@ -208,7 +207,7 @@ def repeated_words(docs: DataFrame, finish, schema: str, window: int = WINDOW) -
     parts, groups = X.chunked(docs, plan), plan.groups
 
     def ask(t: pa.Table) -> pa.Table:
-        keys = np.unique(_filter_keys(suffixes(t, window), bits))
+        keys = filter_keys(suffixes(by_id(t), window), bits)[0]
         cols = list(zip(*X.messages(keys, X.key_group(keys, groups)))) or [(), (), ()]
         chunk = t.column("chunk")[0].as_py() if len(t) else 0
         return pa.table([pa.array(cols[0], pa.int32()), pa.array([chunk] * len(cols[0]), pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.binary())], ["grp", "chunk", "n", "keys"])
@@ -223,23 +222,32 @@ def repeated_words(docs: DataFrame, finish, schema: str, window: int = WINDOW) -
         return [pa.array([np.packbits(other[run[e - k : e]]).tobytes() if other[run[e - k : e]].any() else None for e, k in zip(ends.tolist(), n.tolist())], pa.binary())]
 
     def send(t: pa.Table, replies: pa.Table) -> pa.Table:
+        """What passed the filter, to the groups of its prefixes; and to the chunk itself, past the groups, which these are."""
         rows = []
         if len(t):
             table, plan = shared.value
-            s = suffixes(t, window)
-            k, group = _deep(s, replies, bits, groups, table, window)
-            cuts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1], [True]])) if len(group) else np.zeros(1, np.int64)
+            s = suffixes(by_id(t), window)
+            places = _passed(s, dict(zip(replies.column("grp").to_pylist(), replies.column("bits").to_pylist())), bits, groups)
+            k, group = _dealt(s, places, table)
             chunk = t.column("chunk")[0].as_py()
-            rows = [(int(group[a]), chunk, plan.rank(chunk), int(b - a), *_texts(s, s.start[s.new[k[a:b]]], window)) for a, b in zip(cuts.tolist(), cuts[1:].tolist())]
-        cols = list(zip(*rows)) or [()] * 7
-        return pa.table([*(pa.array(c, pa.int32()) for c in cols[:5]), *(pa.array(c, pa.binary()) for c in cols[5:])], ["grp", "chunk", "rank", "n", "words", "text", "rows"])
+            rank, at = plan.rank(chunk), s.start[s.new[k]]
+            symbols, label = np.empty((window, len(k)), np.uint8), s.label[s.new[k]]
+            for j in range(window):
+                symbols[j] = s.words[at + j] >> np.uint64(32)
+            rows = [(g, chunk, rank, n, keys, cols) for g, n, keys, cols in X.messages(label, group, lambda a, b: np.ascontiguousarray(symbols[:, a:b]).tobytes())]
+            mark = np.zeros(len(s.new), bool)
+            mark[places] = True
+            rows.append((-1 - chunk, chunk, rank, len(mark), np.packbits(mark).tobytes(), b""))
+        cols = list(zip(*rows)) or [()] * 6
+        return pa.table([*(pa.array(c, pa.int32()) for c in cols[:4]), *(pa.array(c, pa.binary()) for c in cols[4:])], ["grp", "chunk", "rank", "n", "keys", "symbols"])
 
     def tree(t: pa.Table) -> pa.Table:
         """A bit for each suffix of each chunk: its node in the group's subtree has a leaf of a lesser chunk."""
-        numbers: dict[bytes, int] = {}
+        if t.column("grp")[0].as_py() < 0:
+            return t.select(["grp", "chunk", "keys"]).rename_columns(["grp", "chunk", "bits"])
         n = t.column("n").to_numpy()
-        of = [_rows(*x, numbers, window) for x in zip(*(t.column(c).to_pylist() for c in ("n", "words", "text", "rows")))]
-        sub = Subtree(np.concatenate(of))
+        label = np.concatenate([X.unpack_keys(raw, k) for raw, k in zip(t.column("keys").to_pylist(), n.tolist())])
+        sub = Subtree(np.concatenate([np.frombuffer(raw, np.uint8).reshape(window, -1).T for raw in t.column("symbols").to_pylist()]), label)
         rank = np.repeat(t.column("rank").to_numpy(), n)[sub.order]
         again = np.zeros(len(rank), bool)
         for _, first, last in sub.internal(window):
@@ -249,36 +257,34 @@ def repeated_words(docs: DataFrame, finish, schema: str, window: int = WINDOW) -
                 at = np.repeat(first - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
                 again[sub.order[at]] |= rank[at] > np.repeat(least, size)
         ends = np.cumsum(n)
-        bits = [np.packbits(again[e - k : e]).tobytes() if again[e - k : e].any() else None for e, k in zip(ends.tolist(), n.tolist())]
-        out = pa.table([t.column("grp"), t.column("chunk"), pa.array(bits, pa.binary())], ["grp", "chunk", "bits"])
-        return out.filter(pa.array([x is not None for x in bits]))
+        out = [np.packbits(again[e - k : e]).tobytes() if again[e - k : e].any() else None for e, k in zip(ends.tolist(), n.tolist())]
+        return pa.table([t.column("grp"), t.column("chunk"), pa.array(out, pa.binary())], ["grp", "chunk", "bits"]).filter(pa.array([x is not None for x in out]))
 
     def apply(t: pa.Table, replies: pa.Table) -> pa.Table:
         if not len(t):
             return pa.Table.from_batches([finish(t, np.empty(0, bool), np.empty(0, np.int64))])
+        t = by_id(t)
         s = suffixes(t, window)
         gone = np.zeros(len(s.doc), bool)
         if len(s.start):
             earlier = np.zeros(len(s.new), bool)
-            of_filter = replies.filter(pc.equal(replies.column("tree"), False))
-            of_tree = replies.filter(pc.equal(replies.column("tree"), True))
-            if len(of_tree):
-                k, group = _deep(s, of_filter, bits, groups, shared.value[0], window)
-                for g, raw in zip(of_tree.column("grp").to_pylist(), of_tree.column("bits").to_pylist()):
+            bits_of = dict(zip(replies.column("grp").to_pylist(), replies.column("bits").to_pylist()))
+            mark = np.unpackbits(np.frombuffer(next(raw for g, raw in bits_of.items() if g < 0), np.uint8), count=len(s.new))
+            k, group = _dealt(s, np.flatnonzero(mark), shared.value[0])
+            for g, raw in bits_of.items():
+                if g >= 0:
                     a, b = np.searchsorted(group, [g, g + 1])
                     earlier[k[a:b]] = np.unpackbits(np.frombuffer(raw, np.uint8), count=b - a).astype(bool)
             run = np.repeat(np.arange(len(s.new)), np.diff(np.append(s.new, len(s.start))))
-            least = s.rank[s.doc[s.start[s.new]]]
-            hit = earlier[run] | (s.rank[s.doc[s.start]] > least[run])
-            gone = W.cover(s.start[hit], window, len(s.doc))
+            rank = s.rank[s.doc[s.start]]
+            gone = W.cover(s.start[earlier[run] | (rank > rank[s.new][run])], window, len(s.doc))
         return pa.Table.from_batches([finish(t, gone, s.doc)])
 
     asks = parts.groupBy("chunk").applyInArrow(ask, "grp int, chunk int, n int, keys binary")
     passed = X.resolve(asks, plan.chunks, groups, [], reply, "grp int, chunk int, bits binary", lambda grp, groups: (groups, 0)).where("bits is not null")
-    sent = parts.groupBy("chunk").cogroup(passed.groupBy("chunk")).applyInArrow(send, "grp int, chunk int, rank int, n int, words int, text binary, rows binary")
+    sent = parts.groupBy("chunk").cogroup(passed.groupBy("chunk")).applyInArrow(send, "grp int, chunk int, rank int, n int, keys binary, symbols binary")
     marked = sent.groupBy("grp").applyInArrow(tree, "grp int, chunk int, bits binary")
-    both = passed.withColumn("tree", F.lit(False)).unionByName(marked.withColumn("tree", F.lit(True)))
-    return parts.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(apply, schema)
+    return parts.groupBy("chunk").cogroup(marked.groupBy("chunk")).applyInArrow(apply, schema)
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, with_text: bool = False) -> DataFrame:

@@ -144,19 +144,22 @@ def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
     return mix(out[: len(h) - n + 1] + _U(n))
 
 
+def window_starts(doc: np.ndarray, n: int) -> np.ndarray:
+    """Words where n consecutive words of one text start; doc: each word's text."""
+    return np.flatnonzero(doc[n - 1 :] == doc[: len(doc) - n + 1]) if len(doc) >= n else np.empty(0, np.int64)
+
+
 def gram_starts(b: Block, n: int) -> np.ndarray:
-    """Words where n consecutive words of one text start."""
-    if len(b.doc) < n:
-        return np.empty(0, np.int64)
-    return np.flatnonzero(b.doc[n - 1 :] == b.doc[: len(b.doc) - n + 1])
+    return window_starts(b.doc, n)
 
 
 def cover(starts: np.ndarray, n: np.ndarray | int, size: int) -> np.ndarray:
     """Which of size words lie in a span of n words from one of the starts."""
-    d = np.zeros(size + 1, np.int64)
-    np.add.at(d, starts, 1)
-    np.add.at(d, starts + n, -1)
-    return np.cumsum(d[:-1]) > 0
+    starts = np.asarray(starts)
+    if not len(starts):
+        return np.zeros(size, bool)
+    d = np.bincount(starts, minlength=size + 1) - np.bincount(starts + n, minlength=size + 1)
+    return np.cumsum(d[:size]) > 0
 
 
 def code_points(data: np.ndarray) -> np.ndarray:

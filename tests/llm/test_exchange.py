@@ -79,5 +79,7 @@ def test_rows_without_ids_or_of_one_id(spark, monkeypatch):
     assert sorted((r.doc_id is None, r.n_removed) for r in got) == [(False, 60)] * 40 + [(True, 0)] * 40
     assert sorted(r.n_removed for r in repeats.dedup(docs.where("doc_id is null")).collect()) == [0] * 40
     assert lm.score(docs).count() == 80
+    monkeypatch.setattr(exchange.layout, "__defaults__", (1 << 20, 1 << 20))  # all in one chunk
+    assert sorted((r.doc_id is None, r.n_removed) for r in repeats.dedup(docs).collect()) == [(False, 60)] * 40 + [(True, 0)] * 40
     spans = repeats.maximal(docs).collect()
     assert {(r.start, r.length) for r in spans} == {(0, 60)} and len(spans) == 40
