@@ -22,15 +22,13 @@ HUBS, HUB = 100_000, 1000
 def by_hot_key(left: DataFrame, right: DataFrame, key: str, n: str, total: int, how: str = "inner") -> DataFrame:
     """left joined with right, which has one row a key and in `n` how many rows of left have it (of `total` in all).
 
-    Keys of more rows than HUB, and than total / HUBS, are broadcast, so that none of them fills a task.
+    Keys of more rows than HUB, and than total / HUBS, are broadcast, so that none of them fills a task. right is
+    read three times: by exchanges that are made once, or from a checkpoint.
     """
     most = max(HUB, -(-total // HUBS))
     if total <= most:
         return left.join(right, key, how)
-    right = cut(right)
     hot = right.where(F.col(n) > most)
-    if hot.isEmpty():
-        return left.join(right, key, how)
     rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(right.where(F.col(n) <= most), key, how)
     return left.join(F.broadcast(hot), key).unionByName(rest)
 
@@ -54,7 +52,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     now = cut(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     count, sign = now.count(), None
     for _ in range(rounds):
-        now = cut(_star(cut(_star(now, True, count)), False, count)) if count > HUB else cut(_star(_star(now, True, count), False, count))
+        now = cut(_star(_star(now, True, count), False, count))
         new = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(new) == sign:
             break

@@ -7,8 +7,8 @@ is one shingle); two texts are linked if their sets' Jaccard similarity is 0.8 o
 2. Candidates: a set's MinHash values in BANDS bands of ROWS; sets that share a band are linked to the
    band's least doc_id, and the connected components of these links are the candidate groups. A pair
    at 0.8 shares no band with a probability of (1 - 0.8 ** ROWS) ** BANDS, below 1e-5.
-   Bands also chain sets of half that similarity into groups that grow with the data. A group that is
-   no single block is therefore cut up first: its sets' MinHash values (no texts) meet band by band,
+   Bands also chain sets of half that similarity into groups that grow with the data. A group of more
+   than CUT_BLOCKS blocks is therefore cut up first: its sets' MinHash values (no texts) meet band by band,
    each pair in the first band that it shares, those that the pruning below drops link nothing, and
    what stays connected is a group.
 3. A group's members go, with their texts, to the tasks of pairs of blocks (a block has about
@@ -41,7 +41,7 @@ from . import words as W
 from .components import by_hot_key, components
 
 WORDS, THRESHOLD, BANDS, ROWS, STEP, TOLERANCE = 5, 0.8, 30, 5, 30, 1e-7
-BLOCK_DOCS, BLOCK_TEXT, BLOCK_SKETCHES = 1024, 6 << 20, 4096
+BLOCK_DOCS, BLOCK_TEXT, BLOCK_SKETCHES, CUT_BLOCKS = 1024, 6 << 20, 1024, 8
 
 
 def _hash_family(k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -251,7 +251,7 @@ def _blocks(df: DataFrame, by: list[str], key: str, blocks: str) -> DataFrame:
 
 
 def _cut_up(text: DataFrame, threshold: float) -> DataFrame:
-    """doc_id and its new component, for sets (doc_id, text) of groups that are no single block; sets that no pair keeps are left out."""
+    """doc_id and its new component, for sets (doc_id, text) of groups of many blocks; sets that no pair keeps are left out."""
 
     def sketched(block: pa.RecordBatch) -> pa.RecordBatch:
         g, bounds = shingles(W.split(block.column(1)))
@@ -262,7 +262,7 @@ def _cut_up(text: DataFrame, threshold: float) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(keys.ravel().view(np.int64)), values], ["doc_id", "band", "values"])
 
     s = C.cut(C.map_blocks(text.select("doc_id", "text"), sketched, "doc_id long, band long, values binary"))
-    many = s.groupBy("band").agg(F.ceil(F.count("*") / BLOCK_SKETCHES).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1")
+    many = C.cut(s.groupBy("band").agg(F.ceil(F.count("*") / BLOCK_SKETCHES).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1"))
     dealt = _blocks(by_hot_key(s, many, "band", "n", s.count()).drop("n"), ["band"], "doc_id", "blocks")
     rules = least_matches(threshold)
 
@@ -309,12 +309,12 @@ def _classes(docs: DataFrame, threshold: float) -> DataFrame:
     blocks = C.cut(text.groupBy("component").agg(size, F.count("*").alias("n")))
     total = text.count()
     sized = by_hot_key(text, blocks, "component", "n", total).drop("n")
-    if not blocks.where("blocks > 1").isEmpty():
-        large = C.cut(sized.where("blocks > 1").drop("blocks"))
+    if not blocks.where(F.col("blocks") > CUT_BLOCKS).isEmpty():
+        large = C.cut(sized.where(F.col("blocks") > CUT_BLOCKS).drop("blocks"))
         part = _cut_up(large, threshold).withColumnRenamed("node", "doc_id").withColumnRenamed("component", "_part")
         large = C.cut(large.join(part, "doc_id").drop("component").withColumnRenamed("_part", "component"))
-        again = large.groupBy("component").agg(size, F.count("*").alias("n"))
-        sized = sized.where("blocks = 1").unionByName(by_hot_key(large, again, "component", "n", total).drop("n"))
+        again = C.cut(large.groupBy("component").agg(size, F.count("*").alias("n")))
+        sized = sized.where(F.col("blocks") <= CUT_BLOCKS).unionByName(by_hot_key(large, again, "component", "n", total).drop("n"))
     dealt = _blocks(sized.select("component", "doc_id", "copies", "text", "blocks"), ["component"], "doc_id", "blocks")
 
     def pairs(batches):
@@ -351,7 +351,7 @@ def _classes(docs: DataFrame, threshold: float) -> DataFrame:
         class_id, chief = F.coalesce("head.rep", "rep"), F.coalesce(F.col("head.node") == F.col("node"), F.lit(True))
     else:
         class_id, chief = F.coalesce("component", "rep"), F.lit(True)
-    of_set = of_rep.select("digest", "copies", class_id.alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), chief.alias("chief"))
+    of_set = C.cut(of_rep.select("digest", "copies", class_id.alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), chief.alias("chief")))
     of_row = by_hot_key(s.select("doc_id", "digest", "same"), of_set, "digest", "copies", s.count(), "left")
     return of_row.select(
         "doc_id", "digest", "same", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("copies", F.lit(1)).alias("copies"), F.coalesce("chief", F.lit(True)).alias("chief")

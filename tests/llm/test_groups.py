@@ -37,6 +37,7 @@ def test_chained_groups_are_cut_and_lose_no_link(spark, monkeypatch):
     """Neighbours share five sixths of their words, others ever less: one candidate group, many tasks."""
     monkeypatch.setattr(jaccard, "BLOCK_DOCS", 11)
     monkeypatch.setattr(jaccard, "BLOCK_SKETCHES", 5)
+    monkeypatch.setattr(jaccard, "CUT_BLOCKS", 1)
     rows = [(k, " ".join(f"w{j}" for j in range(12 * k, 12 * k + 150))) for k in range(40)]
     rows += [(100 + k, " ".join(f"v{j}" if j % 60 != k % 60 else f"x{k}" for j in range(200))) for k in range(50)]
     rows += [(200, rows[3][1]), (201, rows[3][1]), (202, None)]
