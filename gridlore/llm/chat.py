@@ -119,9 +119,9 @@ def repair(turns: DataFrame) -> DataFrame:
     """conv_id, turn, position, role, new_role, action (keep, merge, relabel, relabel_merge), inserted (role put in before, or empty), appended (roles put in at the end), cost, rendered."""
     spark = turns.sparkSession
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    t = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", F.col("text"))
-    order = ["conv_id", "turn", "role", "text"]
-    dealt = C.cut(t.repartitionByRange(n, *order).sortWithinPartitions(*order))  # kept, as ranges are found by sampling
+    t = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", F.col("text"), F.monotonically_increasing_id().alias("_row"))
+    order = ["conv_id", "turn", "role", "text", "_row"]  # so that equal turns can be cut too
+    dealt = C.cut(t.repartitionByRange(n, *order).sortWithinPartitions(*order).drop("_row"))  # kept, as ranges are found by sampling
     parts = dealt.withColumn("part", F.spark_partition_id())
 
     def edges(batches):

@@ -364,6 +364,9 @@ def join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def deduplicate(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """A row of each class, one with the class's doc_id, with all columns. Equal rows stay once; rows without doc_id all stay."""
-    kept = _classes(docs.where("doc_id is not null"), threshold).where("doc_id = class_id and chief").groupBy("doc_id", "digest").agg(F.min("same").alias("_same")).select("doc_id", "_same")
-    one = docs.withColumn("_same", F.xxhash64(F.coalesce("text", F.lit("")))).join(kept, ["doc_id", "_same"], "left_semi").dropDuplicates(["doc_id", "_same"]).select(docs.columns)
+    mark = "_same"
+    while mark in docs.columns:
+        mark = f"_{mark}"
+    kept = _classes(docs.where("doc_id is not null"), threshold).where("doc_id = class_id and chief").groupBy("doc_id", "digest").agg(F.min("same").alias(mark)).select("doc_id", mark)
+    one = docs.withColumn(mark, F.xxhash64(F.coalesce("text", F.lit("")))).join(kept, ["doc_id", mark], "left_semi").dropDuplicates(["doc_id", mark]).select(docs.columns)
     return one.unionByName(docs.where("doc_id is null"))

@@ -12,7 +12,9 @@ A line fails if it breaks one of these rules (lines without a word neither fail
 
 A text is rejected if fewer than half of its words stay, or if it fails the base rules (under 50
 words, or over half of its words in three-word windows found twice or more in it). Null and empty
-texts have no words and are rejected; repeated rows are judged each; every text is read whole.
+texts have no words and are rejected; repeated rows, and rows that repeat or lack a doc_id, are judged
+each; an empty table gives none; columns of other names go through `clean` unseen; every text is read
+whole. Equal lines and windows are told by 64-bit fingerprints within one text.
 """
 
 from __future__ import annotations

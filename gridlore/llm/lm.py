@@ -11,7 +11,9 @@ by the chunk exchange, nothing about words goes to the driver: it gets N, V, the
 documents, and the held-out bigrams summed into a bounded grid of (bucket, log ratios).
 
 Null and empty texts have their end as only token. With no training document the model is uniform
-and N is 0. Rows that repeat a doc_id are documents of their own; a null doc_id counts as 0.
+and N is 0. Rows that repeat a doc_id are documents of their own; a null doc_id counts as 0; other columns
+are not looked at. The packed counts are written to the shared folder (a table lm-..., which may go once the
+scores are written), so that a lost executor costs the tasks that it ran.
 """
 
 from __future__ import annotations
