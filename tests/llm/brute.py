@@ -121,3 +121,65 @@ def repeats(data, n=13):
 
 def crc_mod(i, n):
     return zlib.crc32(str(i).encode()) % n
+
+
+PHRASES = ("all rights reserved", "click here", "cookie policy", "enable javascript", "privacy policy", "sign up for", "subscribe to", "terms of use")
+
+
+def cleaned(text):
+    """The lines that pass every rule, or None for a text that is rejected."""
+    text = text or ""
+    seen, kept, words_kept = set(), [], 0
+    for line in text.split("\n"):
+        w = SPACED.findall(line)
+        if not w:
+            continue
+        n, symbols, bars = len(w), sum(c in "#*$%&|<>" for c in line), line.count("|")
+        upper, lower = sum("A" <= c <= "Z" for c in line), sum("a" <= c <= "z" for c in line)
+        ends = w[-1][-1] in ".!?;:\"')…”»。！？" or (n >= 20 and any(x[-1] in ".!?" for x in w))
+        bad = not ends or (bars >= 2 and 5 * bars >= n) or line in seen or any(p in line.translate(AZ) for p in PHRASES)
+        bad |= (symbols >= 3 and 4 * symbols > n) or (n >= 4 and 10 * upper > 6 * (upper + lower)) or (n >= 4 and 2 * sum(a == b for a, b in zip(w, w[1:])) > n)
+        seen.add(line)
+        if not bad:
+            kept.append(line)
+            words_kept += n
+    q = quality(text)
+    return "\n".join(kept) if not q[-1] and 2 * words_kept >= q[0] else None
+
+
+def decontaminated(text, items):
+    """Each run of hit words, with what stands between them, is one space."""
+    low = text.translate(AZ)
+    spans = [m.span() for m in ALNUM.finditer(low)]
+    words, hit = [low[a:b] for a, b in spans], set()
+    windows = set()
+    for _, t in items:
+        w = ALNUM.findall((t or "").translate(AZ))
+        windows |= {tuple(w[k : k + 10]) for k in range(max(1, len(w) - 9)) if w}
+    for m in {len(x) for x in windows}:
+        for k in range(len(words) - m + 1):
+            if tuple(words[k : k + m]) in windows:
+                hit.update(range(k, k + m))
+    out, at, k = [], 0, 0
+    while k < len(words):
+        if k in hit:
+            e = k
+            while e + 1 in hit:
+                e += 1
+            out += [text[at : spans[k][0]], " "]
+            at, k = spans[e][1], e
+        k += 1
+    return "".join(out) + text[at:]
+
+
+def redacted(text):
+    """Base spans and, by the scan itself, the guesses (their costs are held against a plain version elsewhere); overlapping ones are one, named after the first."""
+    from gridlore.llm import secrets
+
+    spans = sorted(base_spans(text) + [(s, 3, e) for s, k, e, _ in secrets.find(text) if k == 3])
+    out, at, end = [], 0, 0
+    for s, k, e in spans:
+        if s >= end:
+            out += [text[at:s], "[" + ("ASSIGN", "ACCESS", "HEX", "GUESS")[k] + "]"]
+        at = end = max(e, end)
+    return "".join(out) + text[at:]
