@@ -1,4 +1,11 @@
-"""From documents to packed sequences: quality rules, near duplicates, decontamination, secrets, packing."""
+"""From documents to packed sequences: quality rules, near duplicates, decontamination, secrets, packing.
+
+Null and empty texts, and those of few words, fail the quality rules and go; rows that repeat a doc_id with
+another text are documents of their own, equal ones stay once; rows without a doc_id are near duplicates of
+nothing and all stay; other columns go through all stages but the last; an empty table packs to an empty one.
+Each stage's rows are written to the shared folder before the next one starts, and deleted once that is
+written: a lost executor costs the tasks of one stage.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from gridlore.llm import decontam, jaccard, line_rules, packing, secrets
-from gridlore.llm.common import shared_dir, table
+from gridlore.llm.common import remove, shared_dir, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,4 +58,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(out := f"{place}/{k}")
         docs = spark.read.parquet(out)
+        if k:
+            remove(spark, f"{place}/{k - 1}")
     return docs
