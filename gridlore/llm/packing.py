@@ -33,7 +33,7 @@ from . import common as C
 
 SEQUENCE, END_ID = 1024, 2
 #: Pieces of one length that are ranked together, and salts at most.
-SALT_ROWS, SALTS = 20_000, 100_000
+SALT_ROWS, SALTS = 500, 100_000
 #: Tokens that a pattern leaves free at most; lengths that no such pattern holds are fitted by those that leave least.
 SLACK = 0
 #: The shortest lengths, up to this share of all tokens, fill gaps better than patterns: how much of them the fit may use is tried in turn, until no more sequences are needed than the tokens fill.
