@@ -286,28 +286,46 @@ def radon_boundary(image: np.ndarray, p: dict):
 SCHEMA = "page_id long, method string, parameters string, status string, box array<int>, score double, error string"
 
 
+#: Bytes of parameter sets that go to every task at most.
+SET_BYTES = 64 << 20
+
+
+def pixels(raw: bytes, height: int, width: int) -> np.ndarray:
+    flat = np.frombuffer(raw, np.uint8)
+    return flat.reshape((height, width) if len(flat) == height * width else (height, width, 3))
+
+
 def detect(images: DataFrame, sets: DataFrame) -> DataFrame:
-    """Every (method, parameters) row on every image. sets is small by contract (a search's sets); it is broadcast if Spark finds it so, and images are never shuffled."""
-    ship(images.sparkSession)
+    """Every (method, parameters) row on every image. An image goes to Python once: the sets (a search's, small by contract, their size is checked) are broadcast, and images are never shuffled."""
+    spark = images.sparkSession
+    ship(spark)
     own = {n: f for n, f in REGISTRY.items() if not f.__module__.startswith(__package__)}  # registered by a caller: they travel with the task
+    size = sets.agg(F.sum(F.coalesce(F.octet_length("method"), F.lit(0)) + F.coalesce(F.octet_length("parameters"), F.lit(0)) + 16)).first()[0] or 0
+    if size > SET_BYTES:
+        raise ValueError(f"{size} bytes of parameter sets; cut them into searches of {SET_BYTES}")
+    shared = spark.sparkContext.broadcast([(r.method, r.parameters) for r in sets.select("method", "parameters").collect()])
+
+    def one(image: np.ndarray, method: str, parameters: str | None) -> tuple:
+        status, box, score, error = "no_candidate", None, 0.0, None
+        try:
+            found = (own.get(method) or REGISTRY[method])(image, json.loads(parameters or "{}"))
+            if found:
+                status, box, score = "ok", [int(x) for x in found[0]], float(found[1])
+        except Exception:  # a failed page is a row
+            status, error = "error", traceback.format_exc(limit=1)
+        return method, parameters, status, box, score, error
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
             for r in batch.itertuples():
-                status, box, score, error = "no_candidate", None, 0.0, None
                 try:
-                    flat = np.frombuffer(r.pixels, np.uint8)
-                    shape = (r.height, r.width) if len(flat) == r.height * r.width else (r.height, r.width, 3)
-                    found = (own.get(r.method) or REGISTRY[r.method])(flat.reshape(shape), json.loads(r.parameters or "{}"))
-                    if found:
-                        status, box, score = "ok", [int(x) for x in found[0]], float(found[1])
-                except Exception:  # a failed page is a row
-                    status, error = "error", traceback.format_exc(limit=1)
-                rows.append((r.page_id, r.method, r.parameters, status, box, score, error))
-            yield pd.DataFrame(rows, columns=["page_id", "method", "parameters", "status", "box", "score", "error"])
-
-    return images.crossJoin(sets.select("method", "parameters")).mapInPandas(run, SCHEMA)
+                    image = pixels(r.pixels, r.height, r.width)
+                    rows = [(r.page_id, *one(image, *x)) for x in shared.value]
+                except Exception:
+                    rows = [(r.page_id, *x, "error", None, 0.0, traceback.format_exc(limit=1)) for x in shared.value]
+                yield pd.DataFrame(rows, columns=["page_id", "method", "parameters", "status", "box", "score", "error"])
+
+    return images.select("page_id", "height", "width", "pixels").mapInPandas(run, SCHEMA)
 
 
 def rectangles(spark, n: int, height: int = 240, width: int = 320) -> DataFrame:

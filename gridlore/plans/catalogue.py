@@ -693,3 +693,17 @@ def q_udtf_multi(spark, d):
     from ..operators import detect
 
     return detect.method_summary(detect.detect(detect.rectangles(spark, 24), detect.catalogue(spark).select("method", F.lit("{}").alias("parameters"))))
+
+
+@query()
+def q_page_analysis(spark, d):
+    from ..operators import detect, pages
+
+    return pages.analyse(detect.rectangles(spark, 12)).select("page_id", "box", "score", "status", "skew", "entropy")
+
+
+@query()
+def q_document_boxes(spark, d):
+    from ..operators import detect, pages
+
+    return pages.detect_document(detect.rectangles(spark, 12), "projection_box", longest=200).select("page_id", "status", "box")
