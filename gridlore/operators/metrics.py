@@ -30,8 +30,10 @@ def order(tie: list[str]) -> list[Column]:
 
 
 def ranked(metrics: DataFrame, tie: list[str], by: list[str] | None = None, name: str = "rank") -> DataFrame:
-    """Ranks within groups; over all sets only for a few (search_rank numbers any number of them)."""
-    return metrics.withColumn(name, F.row_number().over(Window.partitionBy(*(by or [])).orderBy(*order(tie))).cast("long"))
+    """Ranks within groups, or over all sets, which are numbered in ranges of their mean."""
+    if not by:
+        return O.numbered(metrics, "mean_iou", order(tie), {name: F.lit(1)}, (0.0, 1.0), descending=True)
+    return metrics.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order(tie))).cast("long"))
 
 
 def top(metrics: DataFrame, tie: list[str], k: int) -> DataFrame:

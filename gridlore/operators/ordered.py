@@ -58,14 +58,42 @@ def numbered(df: DataFrame, at: str, order: list[Column], sums: dict[str, Column
     return out.drop("_part", "_lo", "_hi", *(f"_{k}_{n}" for n in sums for k in "sc"))
 
 
+def _cut(df: DataFrame, seq: str, parts: int = 4096) -> DataFrame:
+    """df with _part, the range of seq (a number or a time) that a row is in: at most `parts` equal ones, nulls first."""
+    x = F.col(seq).cast("double")
+    ends = df.agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))
+    place = F.least(F.lit(parts - 1), F.floor(F.try_divide(x - F.col("_lo"), F.col("_hi") - F.col("_lo")) * parts))
+    return df.crossJoin(F.broadcast(ends)).withColumn("_part", F.when(x.isNull(), -1).otherwise(F.coalesce(place, F.lit(0)))).drop("_lo", "_hi")  # one row
+
+
+def _beside(cut: DataFrame, by: list[str], seq: str, value: str, name: str, after: bool = False) -> DataFrame:
+    """The value of the row before (or after) in its group: within the range, or from the nearest range that has rows, which are few."""
+    step, edge = (F.lead, F.min_by) if after else (F.lag, F.max_by)
+    one = F.struct(F.col(value).alias("v"))
+    ends = cut.groupBy(*by, "_part").agg(edge(one, F.struct(seq)).alias("_end"))
+    ends = ends.select(*by, "_part", step("_end").over(Window.partitionBy(*by).orderBy("_part")).alias("_carry"))
+    own = step(one).over(Window.partitionBy(*by, "_part").orderBy(seq))
+    return cut.join(ends, [*by, "_part"]).withColumn(name, F.coalesce(own, F.col("_carry"))["v"]).drop("_carry")
+
+
+def _running(cut: DataFrame, by: list[str], seq: str, value: str, name: str) -> DataFrame:
+    """Running sum in the group's order, equal seq together: within the range, from the sum of those before."""
+    total = cut.groupBy(*by, "_part").agg(F.sum(value).alias("_sum"))
+    total = total.select(*by, "_part", F.coalesce(F.sum("_sum").over(Window.partitionBy(*by).orderBy("_part").rowsBetween(*_BEFORE)), F.lit(0)).alias("_carry"))
+    own = F.sum(value).over(Window.partitionBy(*by, "_part").orderBy(seq))
+    return cut.join(total, [*by, "_part"]).withColumn(name, own + F.col("_carry")).drop("_carry")
+
+
 def counter_delta(df: DataFrame, by: list[str], seq: str, value: str) -> DataFrame:
     """Increase of a counter since the row before in its group, 0 where it fell, null for the first."""
-    prev = F.lag(value).over(Window.partitionBy(*by).orderBy(seq))
-    return df.withColumn("delta", F.when(prev.isNotNull(), F.greatest(F.col(value) - prev, F.lit(0))))
+    d = _beside(_cut(df, seq), by, seq, value, "_prev").drop("_part")
+    return d.withColumn("delta", F.when(F.col("_prev").isNotNull(), F.greatest(F.col(value) - F.col("_prev"), F.lit(0)))).drop("_prev")
 
 
 def newest(df: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:
-    """At most n rows of each group in an order; groups are cut to n on each side of the shuffle."""
+    """At most n rows of each group in an order; groups (or without them all parts) are cut to n before rows meet."""
+    if not by:
+        return df.orderBy(*order).limit(n)
     return df.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_k") <= n).drop("_k")
 
 
@@ -82,16 +110,25 @@ def upsert(old: DataFrame, new: DataFrame, key: list[str], order: str, last_wins
 
 
 def moving_average(df: DataFrame, by: list[str], pos: str, value: str, radius: int) -> DataFrame:
-    w = Window.partitionBy(*by).orderBy(pos).rowsBetween(-radius, radius)
-    return df.withColumn("smooth", F.sum(value).over(w) / F.count(value).over(w))
+    """Means over positions within a radius, which the ends of a group cut; pos: whole numbers, unique in a group.
+
+    A group is cut into stretches of positions; the rows near a stretch's ends also go to its neighbour, so that
+    no task needs a whole group.
+    """
+    width = max(4096, 4 * radius)
+    p = F.col(pos)
+    home = F.floor(p / width)
+    near = F.array_distinct(F.array(F.floor((p - radius) / width), home, F.floor((p + radius) / width)))
+    spread = df.withColumn("_home", home).withColumn("_part", F.explode(near))
+    w = Window.partitionBy(*by, "_part").orderBy(pos).rangeBetween(-radius, radius)
+    out = spread.withColumn("smooth", F.sum(value).over(w) / F.count(value).over(w))
+    return out.where(F.col("_part") == F.col("_home")).drop("_part", "_home")
 
 
 def longest_run(df: DataFrame, by: list[str], pos: str, on: Column, gap: int, size: int) -> DataFrame:
     """Longest stretch of set positions with gaps of at most `gap`; the first of equal ones. One still open at the end goes to the end."""
-    q = df.where(on).select(*by, pos)
-    w = Window.partitionBy(*by).orderBy(pos)
-    new = F.when(F.col(pos) - F.lag(pos).over(w) > gap + 1, 1).otherwise(0)
-    island = q.withColumn("_new", new).withColumn("_i", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    q = _beside(_cut(df.where(on).select(*by, pos), pos), by, pos, pos, "_prev")
+    island = _running(q.withColumn("_new", F.when(F.col(pos) - F.col("_prev") > gap + 1, 1).otherwise(0)), by, pos, "_new", "_i")
     runs = island.groupBy(*by, "_i").agg(F.min(pos).alias("start"), F.max(pos).alias("_last")).withColumn("end", F.when(F.lit(size) - 1 - F.col("_last") <= gap, F.lit(size)).otherwise(F.col("_last") + 1))
     return one_of(runs.select(*by, "start", F.col("end").cast("int").alias("end")), by, F.struct(F.col("end") - F.col("start"), -F.col("start"))).withColumn("length", F.col("end") - F.col("start"))
 
@@ -99,20 +136,20 @@ def longest_run(df: DataFrame, by: list[str], pos: str, on: Column, gap: int, si
 def sweep_line(tasks: DataFrame, by: list[str], start: str, end: str) -> DataFrame:
     """Time at each number of active tasks. Starts and ends at one time are one step."""
     ev = tasks.select(*by, F.explode(F.array(F.struct(F.col(start).alias("t"), F.lit(1).alias("d")), F.struct(F.col(end).alias("t"), F.lit(-1).alias("d")))).alias("e")).select(*by, "e.t", "e.d")
-    step = ev.groupBy(*by, "t").agg(F.sum("d").alias("d"))
-    w = Window.partitionBy(*by).orderBy("t")
-    seg = step.select(*by, F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("active"), (F.lead("t").over(w) - F.col("t")).alias("span"))
+    step = _cut(ev.groupBy(*by, "t").agg(F.sum("d").alias("d")), "t")
+    seg = _beside(_running(step, by, "t", "d", "active"), by, "t", "t", "_next", after=True).withColumn("span", F.col("_next") - F.col("t"))
     return seg.where("span is not null and active > 0").groupBy(*by, "active").agg(F.sum("span").alias("time"))
 
 
 def cumulative(df: DataFrame, by: list[str], value: str, n: str = "n") -> DataFrame:
-    return df.withColumn("cum", F.sum(n).over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
+    """Running counts by value; value: a number or a time."""
+    return _running(_cut(df, value), by, value, n, "cum").drop("_part")
 
 
 def nearest_rank(hist: DataFrame, by: list[str], value: str, q: float, n: str = "n") -> DataFrame:
     """The least value whose cumulative count reaches q of all."""
-    total = F.sum(n).over(Window.partitionBy(*by))
-    return cumulative(hist, by, value, n).withColumn("_t", total).where(F.col("cum") >= F.col("_t") * q).groupBy(*by).agg(F.min(value).alias("percentile"))
+    total = hist.groupBy(*by).agg(F.sum(n).alias("_t"))
+    return cumulative(hist, by, value, n).join(total, by).where(F.col("cum") >= F.col("_t") * q).groupBy(*by).agg(F.min(value).alias("percentile"))
 
 
 def entropy(hist: DataFrame, by: list[str], n: str = "n") -> DataFrame:

@@ -40,7 +40,9 @@ def upsert_table(spark: SparkSession, path: str, new: DataFrame, key: list[str],
 
 def within_bytes(blocks: DataFrame, pos: str, text: str, budget: int, by: list[str] | None = None, separator: int = 1) -> DataFrame:
     """The leading blocks of each group whose running size stays within a budget of bytes."""
-    size = F.sum(F.octet_length(text) + separator).over(Window.partitionBy(*(by or [])).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0))
+    if not by:
+        return O.numbered(blocks, pos, [F.col(pos).asc()], {"_size": F.octet_length(text) + separator}).where(F.col("_size") <= budget).drop("_size")
+    size = F.sum(F.octet_length(text) + separator).over(Window.partitionBy(*by).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0))
     return blocks.withColumn("_size", size).where(F.col("_size") <= budget).drop("_size")
 
 
