@@ -70,3 +70,16 @@ def claim_batches(tasks: DataFrame, by: list[str], order: list, estimate: str, t
         return (state[0],)
 
     return ordered_fold(tasks, by, order, estimate, lambda: [0, 0], put, _fields("batch"))
+
+
+def throttled(rows: DataFrame, by: list[str], order: list, time: str, every: int, header: int) -> DataFrame:
+    """Which rows a reporter emits: those `every` or more after the last emitted one; and before which the header is repeated (each `header` emitted rows)."""
+
+    def put(state, t):
+        if state and t - state[0] < every:
+            return 0, 0
+        n = state[1] if state else 0
+        state[:] = [t, n + 1]
+        return 1, int(n % header == 0)
+
+    return ordered_fold(rows, by, order, time, list, put, _fields("emitted", "with_header"))

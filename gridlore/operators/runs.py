@@ -200,3 +200,39 @@ def numbered_sources(pages: DataFrame, source: str, pos: str, overrides: DataFra
     bases = seg.select(source, base.alias("_base"))
     place = F.row_number().over(Window.partitionBy(source).orderBy(pos))
     return inside.withColumn("_k", place).join(F.broadcast(bases), source).withColumn("number", (F.col("_base") + F.col("_k") - 1).cast("long")).drop("_k", "_base")
+
+
+# candidates of detectors
+def candidate_summary(found: DataFrame, by: list[str]) -> DataFrame:
+    """Counts of ok, empty and failed methods of each page, and the names of the last two (sorted, comma-joined). A page's methods are few."""
+    s = F.col("status")
+    names = lambda c: F.array_join(F.array_sort(F.collect_set(F.when(c, F.col("method")))), ",")
+    n = lambda c: F.count(F.when(c, 1))
+    return found.groupBy(*by).agg(n(s == "ok").alias("n_ok"), n(s == "no_candidate").alias("n_empty"), n(s == "error").alias("n_error"), names(s == "error").alias("failed"), names(s == "no_candidate").alias("empty"))
+
+
+def method_table(found: DataFrame) -> DataFrame:
+    """Per method: runs, whole and mean time, mean score of what it found, and a column for each status."""
+    ok = F.col("status") == "ok"
+    n = lambda x: F.count(F.when(F.col("status") == x, 1)).alias(x)
+    return found.groupBy("method").agg(F.count("*").alias("runs"), F.sum("ms").alias("total_ms"), F.avg("ms").alias("mean_ms"), F.avg(F.when(ok, F.col("score"))).alias("mean_score"), n("ok"), n("no_candidate"), n("error"))
+
+
+def supported_votes(votes: DataFrame, segments: DataFrame, key: str, x: str, y: str, near: float) -> DataFrame:
+    """Votes (points) that some segment of their page is near to. segments: key, ax, ay, bx, by; a page's segments travel as one array, so a vote stays one row."""
+    from ..functions import scalar as S
+
+    per = segments.groupBy(key).agg(F.collect_list(F.struct("ax", "ay", "bx", "by")).alias("_s"))
+    close = F.exists("_s", lambda s: S.segment_distance(F.col(x), F.col(y), s.ax, s.ay, s.bx, s.by) <= near)
+    return votes.join(per, key).where(close).drop("_s")
+
+
+# work that is claimed
+def next_claim(tasks: DataFrame, leases: DataFrame, key: str, by: list[str], order: list[str], estimate: str, now: Column, target: int) -> DataFrame:
+    """The next batch of each queue: of the tasks that no live lease holds, in order, until the estimates reach the target. Leases that have run out, or can't be read, hold nothing."""
+    from . import evidence as E
+    from . import folds as K
+
+    held = leases.where(~E.lease_expired(F.col("expires"), now)).select(key)
+    free = tasks.join(held, key, "left_anti")
+    return K.claim_batches(free, by, order, estimate, target).where("batch = 0").drop("batch")

@@ -189,3 +189,85 @@ def q_effect_strategies(spark, d):
     sizes = sorted(r.p_size for r in V.table(spark, d, "part").select("p_size").distinct().collect())  # fifty sizes of parts
     rows = [(n, E.effect_strategy("critical" if n % 5 == 0 else "moderate_plus", {"critical": 1, "moderate_plus": 0, "low_plus": 0, "non_dormant": n % 7})) for n in sizes]
     return spark.createDataFrame(rows, "p_size int, strategy string")
+
+
+# candidates, claims, reporters
+FOUND = f"WITH {V.EVAL}, c AS (SELECT set_id, page, detector AS method, CASE WHEN status = 'ok' AND set_id % 7 = 0 THEN 'error' ELSE status END AS status, ms, iou FROM v_eval)"
+
+
+def _found(spark, d):
+    status = F.when((F.col("status") == "ok") & (F.col("set_id") % 7 == 0), "error").otherwise(F.col("status"))
+    return V.v_eval(spark, d).select("set_id", "page", F.col("detector").alias("method"), status.alias("status"), "ms", F.col("iou").alias("score"))
+
+
+@query(FOUND + """ SELECT set_id, page, CAST(count(*) FILTER (status = 'ok') AS BIGINT) AS n_ok, CAST(count(*) FILTER (status = 'no_candidate') AS BIGINT) AS n_empty, CAST(count(*) FILTER (status = 'error') AS BIGINT) AS n_error,
+  coalesce(string_agg(DISTINCT method, ',' ORDER BY method) FILTER (status = 'error'), '') AS failed, coalesce(string_agg(DISTINCT method, ',' ORDER BY method) FILTER (status = 'no_candidate'), '') AS empty FROM c GROUP BY 1, 2""")
+def q_candidate_summary(spark, d):
+    return R.candidate_summary(_found(spark, d), ["set_id", "page"])
+
+
+@query(FOUND + " SELECT method, CAST(count(*) AS BIGINT) AS runs, sum(ms) AS total_ms, avg(ms) AS mean_ms, CAST(sum(iou) FILTER (status = 'ok') AS DOUBLE) / count(*) FILTER (status = 'ok') AS mean_score, CAST(count(*) FILTER (status = 'ok') AS BIGINT) AS ok, CAST(count(*) FILTER (status = 'no_candidate') AS BIGINT) AS no_candidate, CAST(count(*) FILTER (status = 'error') AS BIGINT) AS error FROM c GROUP BY 1")
+def q_method_table(spark, d):
+    return R.method_table(_found(spark, d))
+
+
+VOTES = """WITH p AS (SELECT l_orderkey % 200 AS page, l_orderkey AS id, l_linenumber AS line, l_partkey AS part, l_quantity AS x, CAST(l_partkey % 60 AS DOUBLE) AS y FROM lineitem), s AS (SELECT c_custkey % 200 AS page, CAST(c_nationkey AS DOUBLE) AS ax, CAST(c_custkey % 50 AS DOUBLE) AS ay, CAST(c_nationkey + 10 AS DOUBLE) AS bx, CAST(c_custkey % 50 + c_nationkey % 3 AS DOUBLE) AS "by" FROM customer),
+  t AS (SELECT p.*, s.*, greatest(0, least(1, ((x - ax) * (bx - ax) + (y - ay) * ("by" - ay)) / ((bx - ax) ** 2 + ("by" - ay) ** 2))) AS k FROM p JOIN s USING (page))"""
+
+
+@query(VOTES + ' SELECT DISTINCT id, line, part FROM t WHERE sqrt((x - ax - k * (bx - ax)) ** 2 + (y - ay - k * ("by" - ay)) ** 2) <= 2.25')
+def q_supported_votes(spark, d):
+    k = F.col("c_custkey")
+    votes = V.table(spark, d, "lineitem").select((F.col("l_orderkey") % 200).alias("page"), F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"), F.col("l_quantity").alias("x"), (F.col("l_partkey") % 60).cast("double").alias("y"))
+    n = F.col("c_nationkey").cast("double")
+    segments = V.table(spark, d, "customer").select((k % 200).alias("page"), n.alias("ax"), (k % 50).cast("double").alias("ay"), (n + 10).alias("bx"), (k % 50 + F.col("c_nationkey") % 3).cast("double").alias("by"))
+    return R.supported_votes(votes, segments, "page", "x", "y", 2.25).select("id", "line", "part").distinct()
+
+
+CLAIMS = "WITH f AS (SELECT c_nationkey AS queue, c_custkey AS task, 1 + c_custkey % 9 AS est FROM customer WHERE NOT (c_custkey % 3 = 0 AND c_custkey % 12 <> 6 AND c_custkey % 100 > 40)), r AS (SELECT *, sum(est) OVER (PARTITION BY queue ORDER BY task ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM f)"
+
+
+@query(CLAIMS + " SELECT queue, task, est FROM r WHERE coalesce(before, 0) < 30")
+def q_next_claims(spark, d):
+    k = F.col("c_custkey")
+    c = V.table(spark, d, "customer")
+    leases = c.where(k % 3 == 0).select(k.alias("task"), F.when(k % 12 == 6, "corrupt").otherwise((k % 100).cast("string")).alias("expires"))
+    tasks = c.select(F.col("c_nationkey").alias("queue"), k.alias("task"), (1 + k % 9).alias("est"))
+    return R.next_claim(tasks, leases, "task", ["queue"], ["task"], "est", F.lit(40), 30)
+
+
+BEATS = """WITH RECURSIVE b AS (SELECT event_type AS kind, event_id AS id, CAST(epoch(ts) AS BIGINT) AS t, row_number() OVER (PARTITION BY event_type ORDER BY epoch(ts), event_id) AS k FROM events WHERE event_id < 3000),
+  r AS (SELECT kind, id, t, k, t AS last, CAST(1 AS BIGINT) AS n, CAST(1 AS BIGINT) AS emitted FROM b WHERE k = 1 UNION ALL SELECT b.kind, b.id, b.t, b.k, CASE WHEN b.t - last >= 3600 THEN b.t ELSE last END, CASE WHEN b.t - last >= 3600 THEN n + 1 ELSE n END, CASE WHEN b.t - last >= 3600 THEN 1 ELSE 0 END FROM r JOIN b ON b.kind = r.kind AND b.k = r.k + 1)"""
+
+
+@query(BEATS + " SELECT kind, id, emitted, CASE WHEN emitted = 1 AND (n - 1) % 5 = 0 THEN 1 ELSE 0 END AS with_header FROM r")
+def q_heartbeats(spark, d):
+    from ..operators import folds as K
+
+    e = V.table(spark, d, "events").where("event_id < 3000").select(F.col("event_type").alias("kind"), F.col("event_id").alias("id"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).alias("t"))
+    return K.throttled(e, ["kind"], ["t", "id"], "t", 3600, 5).select("kind", "id", "emitted", F.col("with_header").cast("int").alias("with_header"))
+
+
+RETAINED = f"WITH {V.cte('r', V.RUNS)}, k AS (SELECT *, row_number() OVER (PARTITION BY CASE WHEN source = 'live' THEN detector END, source ORDER BY seen DESC) AS place FROM r)"
+
+
+@query(RETAINED + " SELECT id, source FROM k WHERE source = 'execution-optimizer' OR place <= 120")
+def q_retained_observations(spark, d):
+    from ..sources import sinks
+
+    return sinks.retained(V.shared(spark, d, V.RUNS), ["detector"], "seen", 120).select("id", "source")
+
+
+@query(f"WITH {V.cte('r', V.RUNS)}, n AS (SELECT id FROM r WHERE source = 'live' ORDER BY seen DESC LIMIT 200) SELECT id FROM r WHERE source <> 'live' UNION ALL SELECT id FROM n")
+def q_retained_shards(spark, d):
+    from ..sources import sinks
+
+    return sinks.retained(V.shared(spark, d, V.RUNS), [], "seen", 200).select("id")
+
+
+@query("WITH e AS (SELECT event_type AS key, event_id AS seq, value AS busy, event_id * 1.0 AS total FROM events), l AS (SELECT *, lag(busy) OVER w AS b, lag(total) OVER w AS t FROM e WINDOW w AS (PARTITION BY key ORDER BY seq)) SELECT key, seq, CASE WHEN b IS NOT NULL AND total > t THEN greatest(0, busy - b) / (total - t) END AS share FROM l")
+def q_stream_counter_shares(spark, d):
+    from ..streaming import live
+    from .catalogue import _drained
+
+    return _drained(spark, d, lambda s: live.counter_shares(s.withColumn("total", F.col("event_id").cast("double")), "event_type", "event_id", "value", "total"), "append")

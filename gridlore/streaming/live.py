@@ -44,3 +44,20 @@ def gauges(stream: DataFrame, ts: str, by: str, value: str, window: str = "1 day
 def upsert_batches(stream: DataFrame, write: Callable[[DataFrame, int], None], key: list[str], order: str, checkpoint: str) -> StreamingQuery:
     """Each micro-batch, made unique by key (last wins), goes to `write`; replays of a batch have its number again, so a keyed write stays right."""
     return stream.writeStream.foreachBatch(lambda df, n: write(O.one_of(df, key, F.col(order)), n)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def counter_shares(stream: DataFrame, key: str, seq: str, busy: str, total: str) -> DataFrame:
+    """Share of a counter in another since the sample before of the same key (falling counters count as 0); the state of a key is its last counters."""
+    ship(stream.sparkSession)
+
+    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches)).sort_values(seq)
+        b, t = rows[busy].astype(float), rows[total].astype(float)
+        before = state.get if state.exists else (float("nan"), float("nan"))
+        db, dt = (x - x.shift().fillna(p) for x, p in zip((b, t), before))
+        share = (db.clip(lower=0) / dt.where(dt > 0)).where(db.notna())
+        state.update((float(b.iloc[-1]), float(t.iloc[-1])))
+        yield pd.DataFrame({"key": k[0], "seq": rows[seq], "share": [None if pd.isna(x) else float(x) for x in share]})
+
+    kind = dict(stream.dtypes)[key]
+    return stream.groupBy(key).applyInPandasWithState(step, f"key {kind}, seq long, share double", "busy double, total double", "append", GroupStateTimeout.NoTimeout)
