@@ -126,7 +126,7 @@ def q_scopes_and_claims(spark, d):
     return p.select("p_partkey", "important", "non_dormant", "budget", "c.strategy", "c.seeds")
 
 
-@query(f"WITH {V.METRICS}, k AS (SELECT set_id, row_number() OVER (ORDER BY {V.ORDER}) AS rank FROM m), j AS (SELECT set_id, page, rank, status FROM v_eval JOIN k USING (set_id)) SELECT 'winner' AS policy, CAST(count(*) AS BIGINT) AS n, CAST(sum(page) AS BIGINT) AS pages FROM j WHERE rank = 1 UNION ALL SELECT 'failures', count(*), sum(page) FROM j WHERE status <> 'ok' UNION ALL SELECT 'all', count(*), sum(page) FROM j UNION ALL SELECT 'none', 0, NULL")
+@query(f"WITH {V.METRICS}, k AS (SELECT set_id, row_number() OVER (ORDER BY {V.ORDER}) AS rank FROM m), j AS (SELECT set_id, page, rank, status FROM v_eval JOIN k USING (set_id)) SELECT 'winner' AS policy, CAST(count(*) AS BIGINT) AS n, CAST(sum(page) AS BIGINT) AS pages FROM j WHERE rank = 1 UNION ALL SELECT 'failures', count(*), CAST(sum(page) AS BIGINT) FROM j WHERE status <> 'ok' UNION ALL SELECT 'all', count(*), CAST(sum(page) AS BIGINT) FROM j UNION ALL SELECT 'none', 0, NULL")
 def q_debug_pairs(spark, d):
     e = V.v_eval(spark, d)
     r = M.search_rank(M.set_metrics(e, ["set_id"]), F.lit(True), ["set_id"])

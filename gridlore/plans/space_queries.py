@@ -210,7 +210,7 @@ def q_box_functions(spark, d):
     return V.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", box[0].alias("x0"), box[2].alias("x1"), S.downscale(q, F.lit(7.0), F.lit(20)).alias("scale"), clamped[0].alias("clamped"), first[0].alias("first"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN NULL ELSE CAST(p_size AS DOUBLE) END AS x, CASE WHEN p_size % 2 = 0 THEN NULL ELSE 2.0 END AS y, '0,0;' || (10 + p_size) || ',1;' || (9 + p_size) || ',12;1,11' AS corners FROM part")
+@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN NULL ELSE CAST(p_size AS DOUBLE) END AS x, CASE WHEN p_size % 2 = 0 THEN NULL ELSE 2.0::DOUBLE END AS y, '0,0;' || (10 + p_size) || ',1;' || (9 + p_size) || ',12;1,11' AS corners FROM part")
 def q_corners(spark, d):
     x = F.col("p_size").cast("double")
     a = F.array(F.lit(1.0), F.lit(0.0), x)
