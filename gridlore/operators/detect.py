@@ -3,7 +3,7 @@
 An image is a row: page_id, height, width, pixels (uint8, row by row; one or three channels). A
 detector returns a box [left, top, right, bottom] and a score, or none. Its exceptions become rows
 with status error; a parameter that a built-in detector does not take is one. Detectors from gradients,
-projections and radial searches are here, those from regions, rays and lines in `outline`; callers may
+projections and one radial search are here, other radial searches in `radial`, those from regions, rays and lines in `outline`; callers may
 register their own. Those with BASELINES take the reference's parameters and follow its method.
 """
 
@@ -354,4 +354,4 @@ def method_summary(found: DataFrame) -> DataFrame:
     return found.groupBy("method").agg(F.count("*").alias("n"), F.count(F.when(F.col("status") == "ok", 1)).alias("n_ok"), F.count(F.when(F.col("status") == "error", 1)).alias("n_error"))
 
 
-from . import outline  # noqa: E402, F401  its detectors register themselves
+from . import outline, radial  # noqa: E402, F401  their detectors register themselves

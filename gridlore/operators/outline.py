@@ -343,37 +343,6 @@ def _strongest(s: np.ndarray, at: np.ndarray, least: float):
     return n, x[n, k[n]], y[n, k[n]]
 
 
-@register("multi_scale_radial_edge", "step scales least support")
-def multi_scale_radial_edge(image: np.ndarray, p: dict):
-    """The steepest place of each ray in the largest of the normalised slopes at several scales."""
-    g = gray(image)
-    scales = [slope(blurred(g, r)) for r in p.get("scales", [1, 2, 4])]
-    s, at = np.max([x / max(x.max(), 1e-9) for x in scales], axis=0), _angles(p)
-    n, x, y = _strongest(s, at, p.get("least", 0.2))
-    return _box_of_hits(at[n], x, y, s.shape, p.get("support", 0.5), len(at))
-
-
-@register("adaptive_radial_edge", "step least weak fine support")
-def adaptive_radial_edge(image: np.ndarray, p: dict):
-    """Coarse rays, and finer ones in quarters where fewer of them than `support` hit."""
-    s, at = slope(blurred(gray(image), 1)), _angles(p)
-    least = p.get("least", 10)
-    n, x, y = _strongest(s, at, least)
-    quarter = lambda a: (np.floor((a + np.pi / 4) / (np.pi / 2)).astype(int)) % 4
-    all_of, hit_of = np.bincount(quarter(at), minlength=4), np.bincount(quarter(at[n]), minlength=4)
-    weak = np.flatnonzero(hit_of < p.get("weak", 0.8) * all_of)
-    if len(weak):
-        fine = np.deg2rad(np.arange(0, 360, p.get("fine", 1)))
-        fine = fine[np.isin(quarter(fine), weak)]
-        m, fx, fy = _strongest(s, fine, least)
-        keep = ~np.isin(quarter(at), weak)
-        on = keep[n]
-        at, hits, x, y = np.concatenate([at[keep], fine]), np.concatenate([at[n][on], fine[m]]), np.concatenate([x[on], fx]), np.concatenate([y[on], fy])
-    else:
-        hits = at[n]
-    return _box_of_hits(hits, x, y, s.shape, p.get("support", 0.4), len(at))
-
-
 @register("star_convex", "step share smooth")
 def star_convex(image: np.ndarray, p: dict):
     """The outermost foreground of each ray from the foreground's centre, smoothed around the ring; the hull of that."""

@@ -1,0 +1,177 @@
+"""Detectors that search along rays from the middle, at several scales and with finer rays where a side is weak.
+
+They follow the workload's methods and take its parameters. All rays are sampled at once, as a table of
+angles and radii.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+
+from . import detect as D
+
+_SCORED = {"minimum_radius_fraction": 0.16, "maximum_radius_fraction": 0.78, "gradient_percentile": 82.0, "minimum_ray_support": 0.36, "minimum_area_fraction": 0.18, "maximum_area_fraction": 0.98, "bbox_padding_fraction": 0.0, "support_weight": 0.50, "strength_weight": 0.30, "area_weight": 0.20}
+_SIDES = {"weak_side_support_fraction": 0.55, "side_assignment_tolerance_fraction": 0.025, "maximum_refined_sides": 2}
+# The baselines.
+MULTI = {"base_sigma": 0.8, "scale_ratio": 2.0, "scale_count": 3, "ray_count": 144} | _SCORED
+ADAPTIVE = {"coarse_angle_step_degrees": 3.0, "refined_angle_step_degrees": 1.0} | _SIDES
+ADAPTIVE_MULTI = _SCORED | {"base_sigma": 1.0, "scale_ratio": 3.5, "scale_count": 4, "gradient_percentile": 96.875, "coarse_angle_step_degrees": 360.0 / 176.0, "refined_angle_step_degrees": 0.50} | _SIDES
+
+
+def scale_space(g: np.ndarray, p: dict) -> np.ndarray:
+    """The largest of the slopes at several blurs, each in units of its percentile and held to 2."""
+    out = np.zeros(g.shape)
+    for k in range(int(p["scale_count"])):
+        s = np.hypot(*D.sobel(D.gaussian(g, p["base_sigma"] * p["scale_ratio"] ** k)))
+        out = np.maximum(out, np.clip(s / max(float(np.percentile(s, p["gradient_percentile"])), 1e-6), 0, 2))
+    return out
+
+
+def strongest(s: np.ndarray, p: dict, level: float, angles: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Points, strengths and angles of the rays whose steepest place reaches the level; the nearest of equal ones."""
+    h, w = s.shape
+    far = float(np.hypot(w, h) / 2)
+    radii = np.arange(max(1.0, far * p["minimum_radius_fraction"]), far * p["maximum_radius_fraction"] + 1)
+    x, y = (m + radii[None] * f(angles)[:, None] for m, f in (((w - 1) / 2, np.cos), ((h - 1) / 2, np.sin)))
+    i, j = np.rint(y).astype(int), np.rint(x).astype(int)
+    on = (i >= 0) & (i < h) & (j >= 0) & (j < w)
+    v = np.where(on, s[np.clip(i, 0, h - 1), np.clip(j, 0, w - 1)], -1.0)
+    k, row = v.argmax(1), np.arange(len(angles))
+    hit = on.any(1) & (v[row, k] >= level)
+    return np.stack([x[row, k], y[row, k]], 1)[hit], v[row, k][hit], angles[hit]
+
+
+def side_of(angles: np.ndarray, middle: np.ndarray, corners: np.ndarray) -> np.ndarray:
+    """The side of a quadrilateral that each ray from the middle meets first, -1 for none."""
+    best, side = np.full(len(angles), np.inf), np.full(len(angles), -1)
+    dx, dy = np.cos(angles), np.sin(angles)
+    for k in range(4):
+        a, (ex, ey) = corners[k] - middle, corners[(k + 1) % 4] - corners[k]
+        det = ey * dx - ex * dy
+        with np.errstate(divide="ignore", invalid="ignore"):
+            t, u = (a[0] * ey - a[1] * ex) / det, (a[0] * dy - a[1] * dx) / det
+        nearer = (np.abs(det) >= 1e-9) & (t > 0) & (u >= 0) & (u <= 1) & (t < best)
+        best[nearer], side[nearer] = t[nearer], k
+    return side
+
+
+def weak_sides(points: np.ndarray, hit: np.ndarray, asked: np.ndarray, middle: np.ndarray, corners: np.ndarray, p: dict, diagonal: float) -> list[int]:
+    """Sides that too few of the rays towards them found, the weakest first: a point counts if it lies near the side its ray meets."""
+    toward, side = side_of(asked, middle, corners), side_of(hit, middle, corners)
+    a, b = corners[side], corners[(side + 1) % 4]
+    along = b - a
+    t = np.clip(((points - a) * along).sum(1) / np.maximum((along**2).sum(1), 1e-9), 0, 1)
+    near = (np.hypot(*(points - a - t[:, None] * along).T) <= max(2.0, diagonal * p["side_assignment_tolerance_fraction"])) & (side >= 0)
+    asked_of, found_of = (np.bincount(x[x >= 0], minlength=4) for x in (toward, side[near]))
+    share = found_of / np.maximum(asked_of, 1)
+    weak = [k for k in np.argsort(share, kind="stable").tolist() if share[k] < p["weak_side_support_fraction"]]
+    return weak[: int(p["maximum_refined_sides"])]
+
+
+def two_passes(s: np.ndarray, p: dict, level: float) -> tuple[np.ndarray, np.ndarray, float]:
+    """Points and strengths of coarse rays and, towards weak sides, of finer ones; and the number of coarse points."""
+    h, w = s.shape
+    coarse = np.arange(0.0, 2 * np.pi, np.deg2rad(p["coarse_angle_step_degrees"]))
+    points, strength, hit = strongest(s, p, level, coarse)
+    n, middle = len(points), np.array([(w - 1) / 2, (h - 1) / 2])
+    if n >= 4:
+        corners = ordered(D.least_rectangle(points))
+        weak = weak_sides(points, hit, coarse, middle, corners, p, float(np.hypot(w, h)))
+        fine = np.arange(0.0, 2 * np.pi, np.deg2rad(p["refined_angle_step_degrees"]))
+        fine = fine[np.isin(side_of(fine, middle, corners), weak) & ~np.isin(np.round(fine, 6), np.round(hit, 6))] if weak else fine[:0]
+        if len(fine):
+            more, stronger, _ = strongest(s, p, level, fine)
+            points, strength = np.concatenate([points, more]), np.concatenate([strength, stronger])
+    return points, strength, n
+
+
+def ordered(corners: np.ndarray) -> np.ndarray:
+    """Corners about their middle, from the one nearest the origin on."""
+    c = corners[np.argsort(np.arctan2(*(corners - corners.mean(0)).T[::-1]))]
+    return np.roll(c, -int(c.sum(1).argmin()), axis=0)
+
+
+def _checked(p: dict) -> None:
+    D.within(p, 0, 1, "minimum_radius_fraction", "maximum_radius_fraction", "minimum_ray_support", "minimum_area_fraction", "maximum_area_fraction")
+    D.within(p, 0, 100, "gradient_percentile")
+    if p["minimum_radius_fraction"] >= p["maximum_radius_fraction"] or p["minimum_area_fraction"] > p["maximum_area_fraction"]:
+        raise ValueError("a minimum is over its maximum")
+    if "scale_count" in p:
+        D.within(p, 2, 5, "scale_count")
+        D.within(p, 0, 1, "bbox_padding_fraction")
+        D.within(p, 0, np.inf, "support_weight", "strength_weight", "area_weight")
+        if p["base_sigma"] <= 0 or p["scale_ratio"] <= 1 or p["support_weight"] + p["strength_weight"] + p["area_weight"] <= 0:
+            raise ValueError("scales must grow from a positive one, and some weight be positive")
+    if "coarse_angle_step_degrees" in p:
+        D.within(p, 0, 4, "maximum_refined_sides")
+        D.within(p, 0, 1, "weak_side_support_fraction")
+        if not 0 < p["refined_angle_step_degrees"] < p["coarse_angle_step_degrees"] or p["side_assignment_tolerance_fraction"] <= 0:
+            raise ValueError("fine steps must be positive and smaller than coarse ones, the tolerance positive")
+
+
+def _boxed(points: np.ndarray, support: float, p: dict, shape: tuple[int, int]) -> tuple[list[int], float] | None:
+    """The box of the rectangle of least area about the points, and that area's share of the image; none without support or with an area that can't be."""
+    if len(points) < 4 or support < p["minimum_ray_support"]:
+        return None
+    corners = D.least_rectangle(points)
+    area = float(np.prod(np.hypot(*(corners[1:3] - corners[:2]).T))) / (shape[0] * shape[1])
+    if not p["minimum_area_fraction"] <= area <= p["maximum_area_fraction"]:
+        return None
+    whole = np.rint(corners).astype(int)
+    return [*whole.min(0).tolist(), *(whole.max(0) + 1).tolist()], area
+
+
+def _scaled(image: np.ndarray, p: dict, angles: np.ndarray | None):
+    _checked(p)
+    g = D.gray(image)
+    if min(g.shape) < 16:
+        return None
+    s = scale_space(g, p)
+    level = float(np.percentile(s, p["gradient_percentile"]))
+    if angles is None:
+        points, strength, n = two_passes(s, p, level)
+        asked = len(np.arange(0.0, 2 * np.pi, np.deg2rad(p["coarse_angle_step_degrees"])))
+    else:
+        points, strength, _ = strongest(s, p, level, angles)
+        n, asked = len(points), len(angles)
+    found = _boxed(points, n / asked, p, g.shape)
+    if found is None:
+        return None
+    box, area = found
+    mean = float(np.clip(strength, 0, 2).mean() / 2)
+    total = p["support_weight"] + p["strength_weight"] + p["area_weight"]
+    return D.padded(box, p["bbox_padding_fraction"], g.shape), (n / asked * p["support_weight"] + mean * p["strength_weight"] + area * p["area_weight"]) / total
+
+
+@D.register("multi_scale_radial_edge", MULTI)
+def multi_scale_radial_edge(image: np.ndarray, p: dict):
+    """The steepest place of each ray in the slopes of several scales, and the rectangle of least area about them."""
+    D.within(p, 16, np.inf, "ray_count")
+    return _scaled(image, p, np.linspace(0, 2 * np.pi, int(p["ray_count"]), endpoint=False))
+
+
+@D.register("adaptive_multi_scale_radial_edge", ADAPTIVE_MULTI)
+def adaptive_multi_scale_radial_edge(image: np.ndarray, p: dict):
+    """The same with coarse rays, and finer ones towards sides that few of them found."""
+    return _scaled(image, p, None)
+
+
+@D.register("adaptive_radial_edge", D.BASELINES["radial_edge"] | ADAPTIVE)
+def adaptive_radial_edge(image: np.ndarray, p: dict):
+    """Coarse rays over the slope of one scale, and finer ones towards sides that few of them found."""
+    _checked(p)
+    g = D.gray(image)
+    if min(g.shape) < 16:
+        return None
+    s = np.hypot(*D.sobel(D.gaussian(g, p["gaussian_sigma"])))
+    level = float(np.percentile(s, p["gradient_percentile"]))
+    points, strength, n = two_passes(s, p, level)
+    support = n / max(1, round(360 / p["coarse_angle_step_degrees"]))
+    found = _boxed(points, support, p, g.shape)
+    if found is None:
+        return None
+    (l, t, r, b), area = found
+    mean = float(np.clip(strength / max(level, 1e-6), 0, 2).mean() / 2)
+    square = min(1.0, area * g.size / max(float((r - l) * (b - t)), 1.0))
+    total = p["area_weight"] + p["support_weight"] + p["rectangularity_weight"]
+    return [l, t, r, b], (area * p["area_weight"] + (0.5 * support + 0.5 * mean) * p["support_weight"] + square * p["rectangularity_weight"]) / total

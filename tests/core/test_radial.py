@@ -1,0 +1,60 @@
+import itertools
+
+import numpy as np
+import pytest
+from gridlore.operators import detect, radial
+
+from .test_advice import page
+
+# slopes are held to twice their percentile, so that the nearest place of a broad edge wins: boxes come out a little small
+NEAR = {"multi_scale_radial_edge": 12, "adaptive_multi_scale_radial_edge": 12, "adaptive_radial_edge": 6}
+NAMES = ["multi_scale_radial_edge", "adaptive_radial_edge", "adaptive_multi_scale_radial_edge"]
+
+
+@pytest.mark.parametrize("angle", [-6.0, 0.0, 3.0, 7.0])
+@pytest.mark.parametrize("name", NAMES)
+def test_tilted_pages(name, angle):
+    image, want = page(angle=angle)
+    box, score = detect.REGISTRY[name](image, {})
+    assert max(abs(a - b) for a, b in zip(box, want)) <= NEAR[name], (box, want)
+    assert 0 < score <= 1
+
+
+def test_sides_and_weak_ones_by_hand():
+    corners = np.array([[10.0, 10], [90, 10], [90, 60], [10, 60]])
+    middle = np.array([50.0, 35])
+    assert radial.side_of(np.deg2rad([270, 0, 90, 180, 225]), middle, corners).tolist()[:4] == [0, 1, 2, 3]
+    angles = np.deg2rad(np.arange(0, 360, 5.0))
+    side = radial.side_of(angles, middle, corners)
+    hits = {0: (50, 10), 1: (90, 35), 3: (10, 35)}
+    points = np.array([hits[k] if k in hits else (50, 50) for k in side.tolist()], float)  # the lower side's rays stop ten pixels short
+    p = {"side_assignment_tolerance_fraction": 0.02, "weak_side_support_fraction": 0.5, "maximum_refined_sides": 2}
+    assert radial.weak_sides(points, angles, angles, middle, corners, p, 100.0) == [2]
+    assert radial.weak_sides(points, angles, angles, middle, corners, p | {"maximum_refined_sides": 0}, 100.0) == []
+
+
+def test_finer_rays_are_added_where_points_are_off_the_sides():
+    y, x = np.mgrid[:240, :320]
+    g = np.where((x - 160) ** 2 + (y - 120) ** 2 < 90**2, 215.0, 8.0)  # a disc: few points are near the sides of any rectangle
+    p = radial.ADAPTIVE_MULTI | {"weak_side_support_fraction": 0.9, "maximum_refined_sides": 4}
+    s = radial.scale_space(g, p)
+    level = float(np.percentile(s, p["gradient_percentile"]))
+    points, strength, n = radial.two_passes(s, p, level)
+    assert len(points) == len(strength) > n
+    same, _, m = radial.two_passes(s, p | {"maximum_refined_sides": 0}, level)
+    assert len(same) == m == n
+
+
+def test_parameters_are_checked_and_move_the_result():
+    image, _ = page(angle=7)
+    for name, bad in itertools.product(NAMES, ({"maximum_radius_fraction": 0.1}, {"gradient_percentile": 101}, {"nothing": 1})):
+        with pytest.raises(ValueError):
+            detect.REGISTRY[name](image, bad)
+    for bad in ({"scale_count": 9}, {"refined_angle_step_degrees": 5.0}, {"maximum_refined_sides": 5}):
+        with pytest.raises(ValueError):
+            detect.REGISTRY["adaptive_multi_scale_radial_edge"](image, bad)
+    grid = {"adaptive_multi_scale_radial_edge": {"coarse_angle_step_degrees": [1.85, 2.2], "support_weight": [0.2, 0.5]}, "multi_scale_radial_edge": {"ray_count": [48, 144], "base_sigma": [0.8, 3.0]}, "adaptive_radial_edge": {"coarse_angle_step_degrees": [3.0, 7.0], "area_weight": [0.35, 0.6]}}
+    for name, axes in grid.items():
+        found = {v: str(detect.REGISTRY[name](image, dict(zip(axes, v)))) for v in itertools.product(*axes.values())}
+        assert len(set(found.values())) == 4, (name, found)
+    assert detect.REGISTRY["multi_scale_radial_edge"](np.zeros((12, 200), np.uint8), {}) is None
