@@ -31,23 +31,24 @@ def _text(lines: DataFrame, path: str) -> str:
 SUPPLIERS = "SELECT 'legacy' AS schema_version, s_suppkey AS id, s_name AS name, s_acctbal AS wall FROM supplier WHERE s_suppkey % 9 <> 0"
 
 
-def _document(spark, d, field: str, entries) -> DataFrame:
-    """One JSON object with an array or an object of the suppliers, of which every ninth is null. Suppliers are few."""
+def _document(spark, d, field: str, ends: str, entries) -> DataFrame:
+    """One JSON object with an array or an object (ends: its brackets) of the suppliers, of which every ninth is null. Suppliers are few."""
     s = V.table(spark, d, "supplier")
     row = F.to_json(F.struct(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("wall")))
     one = s.select(entries(F.when(F.col("s_suppkey") % 9 == 0, "null").otherwise(row)).alias("e")).agg(F.array_join(F.collect_list("e"), ",").alias("e"))
-    return one.select(F.concat(F.lit('{"other": [1], "' + field + '": '), F.col("e"), F.lit("}")).alias("value"))
+    return one.select(F.concat(F.lit('{"other": [1], "' + field + '": ' + ends[0]), F.col("e"), F.lit(ends[1] + "}")).alias("value"))
 
 
 @query(SUPPLIERS)
 def q_json_index(spark, d):
-    doc = _document(spark, d, "observations", lambda r: r).select(F.regexp_replace("value", '("observations": )(.*)}$', "$1[$2]}").alias("value"))
+    doc = _document(spark, d, "observations", "[]", lambda r: r)
     return I.json_rows(spark, _text(doc, _scratch(spark)), "observations", "id bigint, name string, wall double")
 
 
 @query("SELECT s_name AS key, s_suppkey AS id, s_acctbal AS wall FROM supplier WHERE s_suppkey % 9 <> 0")
 def q_json_map(spark, d):
-    doc = _document(spark, d, "runs", lambda r: F.concat(F.lit('"'), "s_name", F.lit('":'), r)).select(F.regexp_replace("value", '("runs": )(.*)}$', "$1{$2}}").alias("value"))
+    name = F.regexp_extract(F.to_json(F.struct(F.col("s_name").alias("k"))), r'(?s)^\{"k":(.*)\}$', 1)  # as JSON text
+    doc = _document(spark, d, "runs", "{}", lambda r: F.concat(name, F.lit(":"), r))
     return I.json_map(spark, _text(doc, _scratch(spark)), "runs", "id bigint, wall double").where("id is not null")
 
 

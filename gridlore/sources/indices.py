@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 PAGE_EVAL = "parameter_set_id string, global_ordinal int, status string, iou double, edge_error_mean_px double, elapsed_ms double, parameters_json string, approved_bbox_json string, predicted_bbox_json string"
 OBSERVATION = "observation_id string, detector_id string, mode string, strategy string, possible_parameter_sets int, actual_parameter_sets int, compatibility_key string, shards int, active_pipelines int, threads_per_pipeline int, wall_clock_seconds double, observed_at_utc string"
 
@@ -19,9 +25,66 @@ def row_struct(ddl: str) -> str:
     return ", ".join(f"{n}: {t}" for n, t in (x.strip().split(" ", 1) for x in ddl.split(",")))
 
 
+def entries(text: str, field: str) -> list[tuple[str, str]]:
+    """Names and JSON texts of what the object `field` of a document holds, equal names too; none where it is no object. A root that is no object is an error."""
+    decode, blank = json.JSONDecoder().raw_decode, json.decoder.WHITESPACE.match
+    found: list[tuple[str, str]] = []
+
+    def members(at: int, take) -> int:
+        """take(name, place of its value) gives the place after it; out comes the place after the object."""
+        at = blank(text, at + 1).end()
+        while text[at : at + 1] != "}":
+            name, colon = decode(text, at)
+            colon = blank(text, colon).end()
+            if not isinstance(name, str) or text[colon : colon + 1] != ":":
+                raise ValueError(f"no name and colon at {at}")
+            at = blank(text, take(name, blank(text, colon + 1).end())).end()
+            if text[at : at + 1] == "," and text[(after := blank(text, at + 1).end()) : after + 1] == '"':
+                at = after
+            elif text[at : at + 1] != "}":
+                raise ValueError(f"no comma with a name, and no end of an object at {at}")
+        return at + 1
+
+    def entry(name: str, at: int) -> int:
+        end = decode(text, at)[1]
+        found.append((name.encode("utf-8", "replace").decode(), text[at:end]))
+        return end
+
+    def top(name: str, at: int) -> int:
+        if name != field:
+            return decode(text, at)[1]
+        found.clear()  # of equal fields the last holds
+        return members(at, entry) if text[at : at + 1] == "{" else decode(text, at)[1]
+
+    start = blank(text, 0).end()
+    if start == len(text):
+        return found
+    if text[start] != "{":
+        raise ValueError("the root of an index document must be an object")
+    if blank(text, members(start, top)).end() != len(text):
+        raise ValueError("an index document goes on after its end")
+    return found
+
+
 def json_map(spark: SparkSession, path: str, field: str, value: str) -> DataFrame:
-    """Entries of an object map of an index document as rows."""
-    return spark.read.schema(f"{field} map<string, struct<{row_struct(value)}>>").option("multiLine", True).json(path).select(F.explode(field).alias("key", "_v")).select("key", "_v.*")
+    """Entries of an object map of an index document as rows; a document that can't be read is an error.
+
+    Spark's JSON reader keeps the names of a document in a table that, by chance of its seed, takes tens of
+    thousands of them for an attack and gives the document up: names are read in Python, values by Spark.
+    """
+    ship(spark)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for doc in b.column(0):
+                data = doc.as_py()
+                found = entries(data.decode(json.detect_encoding(data)), field)
+                for k in range(0, len(found), 2000):
+                    key, text = zip(*found[k : k + 2000])
+                    yield pa.RecordBatch.from_arrays([pa.array(key, pa.string()), pa.array(text, pa.string())], ["key", "_json"])
+
+    docs = spark.read.text(path, wholetext=True).select(F.col("value").cast("binary").alias("value"))
+    return docs.mapInArrow(run, "key string, _json string").select("key", F.from_json("_json", value).alias("_v")).select("key", "_v.*")
 
 
 def json_lines(spark: SparkSession, path: str, schema: str, strict: bool = False, **equal: str) -> DataFrame:
