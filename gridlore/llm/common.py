@@ -46,7 +46,30 @@ def unique() -> str:
 def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    own = df.select("*")  # a plan of its own, which no other action reads
+    out = own.checkpoint(eager=True)
+    _free(own)
+    return out
+
+
+def taken(df: DataFrame) -> list:
+    """The few rows of df on the driver."""
+    own = df.select("*")
+    out = own.collect()
+    _free(own)
+    return out
+
+
+def counted(df: DataFrame) -> int:
+    return taken(df.agg(F.count("*")))[0][0]
+
+
+def _free(df: DataFrame) -> None:
+    """Remove the shuffle files of df's action, which has ended; else they stay until the driver happens to collect its garbage."""
+    plan, cleaner = df._jdf.queryExecution().executedPlan(), df.sparkSession.sparkContext._jsc.sc().cleaner()
+    if plan.nodeName() == "AdaptiveSparkPlan" and cleaner.isDefined():
+        for shuffle in list(plan.context().shuffleIds().keySet().toArray()):
+            cleaner.get().doCleanupShuffle(shuffle, False)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

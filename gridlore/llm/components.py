@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import counted, cut, taken
 
 #: Nodes whose edges are joined by broadcast at most, and the least number of edges of such a node.
 HUBS, HUB = 100_000, 1000
@@ -50,10 +50,10 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     A path of over 2^rounds nodes would not settle, which raises an error.
     """
     now = cut(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    count, sign = now.count(), None
+    count, sign = counted(now), None
     for _ in range(rounds):
         now = cut(_star(_star(now, True, count), False, count))
-        new = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        new = taken(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))))[0]
         if tuple(new) == sign:
             break
         sign, count = tuple(new), new[0]

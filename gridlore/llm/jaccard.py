@@ -263,7 +263,7 @@ def _cut_up(text: DataFrame, threshold: float) -> DataFrame:
 
     s = C.cut(C.map_blocks(text.select("doc_id", "text"), sketched, "doc_id long, band long, values binary"))
     many = C.cut(s.groupBy("band").agg(F.ceil(F.count("*") / BLOCK_SKETCHES).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1"))
-    dealt = _blocks(by_hot_key(s, many, "band", "n", s.count()).drop("n"), ["band"], "doc_id", "blocks")
+    dealt = _blocks(by_hot_key(s, many, "band", "n", C.counted(s)).drop("n"), ["band"], "doc_id", "blocks")
     rules = least_matches(threshold)
 
     def linked(batches):
@@ -294,7 +294,7 @@ def _classes(docs: DataFrame, threshold: float) -> DataFrame:
     s = C.cut(sketch(docs))
     sets = C.cut(s.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")))
     # a set's node is its least doc_id, but where sets have one in common all nodes are numbers of their own
-    shared = not sets.groupBy("rep").count().where("count > 1").isEmpty()
+    shared = bool(C.taken(sets.groupBy("rep").count().where("count > 1").limit(1)))
     sets = C.cut(sets.withColumn("node", F.monotonically_increasing_id())) if shared else sets.withColumn("node", F.col("rep"))
     reps = s.join(sets.withColumnRenamed("digest", "_digest"), (F.col("doc_id") == F.col("rep")) & (F.col("digest") == F.col("_digest"))).dropDuplicates(["node"]).select("node", "rep", "copies", "bands", "same")
     band = reps.select("node", F.explode("bands").alias("band"))
@@ -307,9 +307,9 @@ def _classes(docs: DataFrame, threshold: float) -> DataFrame:
     text = C.cut(text.withColumnRenamed("node", "doc_id"))
     size = F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum(F.octet_length("text")) / BLOCK_TEXT), F.lit(1)).cast("int").alias("blocks")
     blocks = C.cut(text.groupBy("component").agg(size, F.count("*").alias("n")))
-    total = text.count()
+    total = C.counted(text)
     sized = by_hot_key(text, blocks, "component", "n", total).drop("n")
-    if not blocks.where(F.col("blocks") > CUT_BLOCKS).isEmpty():
+    if C.taken(blocks.where(F.col("blocks") > CUT_BLOCKS).limit(1)):
         large = C.cut(sized.where(F.col("blocks") > CUT_BLOCKS).drop("blocks"))
         part = _cut_up(large, threshold).withColumnRenamed("node", "doc_id").withColumnRenamed("component", "_part")
         large = C.cut(large.join(part, "doc_id").drop("component").withColumnRenamed("_part", "component"))
@@ -352,7 +352,7 @@ def _classes(docs: DataFrame, threshold: float) -> DataFrame:
     else:
         class_id, chief = F.coalesce("component", "rep"), F.lit(True)
     of_set = C.cut(of_rep.select("digest", "copies", class_id.alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), chief.alias("chief")))
-    of_row = by_hot_key(s.select("doc_id", "digest", "same"), of_set, "digest", "copies", s.count(), "left")
+    of_row = by_hot_key(s.select("doc_id", "digest", "same"), of_set, "digest", "copies", C.counted(s), "left")
     return of_row.select(
         "doc_id", "digest", "same", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("copies", F.lit(1)).alias("copies"), F.coalesce("chief", F.lit(True)).alias("chief")
     )
