@@ -219,12 +219,29 @@ def method_table(found: DataFrame) -> DataFrame:
 
 
 def supported_votes(votes: DataFrame, segments: DataFrame, key: str, x: str, y: str, near: float) -> DataFrame:
-    """Votes (points) that some segment of their page is near to. segments: key, ax, ay, bx, by; a page's segments travel as one array, so a vote stays one row."""
+    """Votes (points) that some segment of their page is near to. segments: key, ax, ay, bx, by.
+
+    Distinct points meet distinct segments by squares of a grid: a segment lies, with all that is near to it, on
+    few squares of its own size class (a power of two), and a point on one square of each class that there is.
+    """
     from ..functions import scalar as S
 
-    per = segments.groupBy(key).agg(F.collect_list(F.struct("ax", "ay", "bx", "by")).alias("_s"))
-    close = F.exists("_s", lambda s: S.segment_distance(F.col(x), F.col(y), s.ax, s.ay, s.bx, s.by) <= near)
-    return votes.join(per, key).where(close).drop("_s")
+    ends, finite = ("ax", "ay", "bx", "by"), lambda c: F.abs(F.col(c).cast("double")) < float("inf")
+    s = segments.select(key, *ends).where(" and ".join(f"{c} is not null" for c in ends)).where(finite("ax") & finite("ay") & finite("bx") & finite("by")).distinct()
+    pad = near * (1 + 1e-6) + F.greatest(*(F.abs(F.col(c).cast("double")) for c in ends)) * 1e-9  # beyond any rounding of the distance
+    wide = F.greatest(F.abs(F.col("ax") - F.col("bx")), F.abs(F.col("ay") - F.col("by")), 2 * F.col("_pad"), F.lit(1e-9))
+    s = s.withColumn("_pad", pad).withColumn("_size", F.pow(F.lit(2.0), F.ceil(F.log2(wide))))
+    cell = lambda v: F.floor(v / F.col("_size"))
+    over = lambda a, b: F.explode(F.sequence(cell(F.least(a, b) - F.col("_pad")), cell(F.greatest(a, b) + F.col("_pad"))))
+    s = s.withColumn("_cx", over("ax", "bx")).withColumn("_cy", over("ay", "by")).drop("_pad")
+    sizes = s.agg(F.collect_set("_size").alias("_sizes"))  # a double has about 2,000 powers of two
+    points = votes.select(key, x, y).where(finite(x) & finite(y)).distinct()
+    on = points.crossJoin(F.broadcast(sizes)).withColumn("_size", F.explode("_sizes")).drop("_sizes").withColumns({"_cx": cell(F.col(x)), "_cy": cell(F.col(y))}).alias("p")
+    s = s.alias("s")
+    same = [F.col(f"p.{c}") == F.col(f"s.{c}") for c in (key, "_size", "_cx", "_cy")]
+    close = S.segment_distance(F.col(f"p.{x}"), F.col(f"p.{y}"), *(F.col(f"s.{c}") for c in ends)) <= near
+    found = on.join(s, [*same, close], "left_semi").select(*(F.col(f"p.{c}").alias(c) for c in (key, x, y))).distinct()
+    return votes.join(found, [key, x, y], "left_semi").select(key, *(c for c in votes.columns if c != key))
 
 
 # work that is claimed
