@@ -654,10 +654,17 @@ def q_refined_search(spark, d):
 
 # streams and detectors: rows only, tests hold them against the batch forms and the drawn boxes
 def _drained(spark, d, make, mode):
-    """The rows of a stream over the whole events table, through the memory sink."""
+    """The rows of a stream over the whole events table: appended ones through files, the few of other modes through the driver's memory."""
     import uuid
 
+    from .source_queries import _scratch
+
     stream = spark.readStream.schema(V.table(spark, d, "events").schema).parquet(f"{d}/events*.parquet")
+    if mode == "append":
+        rows, place = make(stream), _scratch(spark)
+        q = rows.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", f"{place}-state").trigger(availableNow=True).start(place)
+        q.awaitTermination()
+        return spark.read.schema(rows.schema).parquet(place)
     name = f"stream_{uuid.uuid4().hex}"
     q = make(stream).writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
     q.awaitTermination()

@@ -57,7 +57,7 @@ def counter_shares(stream: DataFrame, key: str, seq: str, busy: str, total: str)
         db, dt = (x - x.shift().fillna(p) for x, p in zip((b, t), before))
         share = (db.clip(lower=0) / dt.where(dt > 0)).where(db.notna())
         state.update((float(b.iloc[-1]), float(t.iloc[-1])))
-        yield pd.DataFrame({"key": k[0], "seq": rows[seq], "share": [None if pd.isna(x) else float(x) for x in share]})
+        yield pd.DataFrame({"key": k[0], "seq": rows[seq], "share": share})  # a nan is a null to Spark
 
     kind = dict(stream.dtypes)[key]
-    return stream.groupBy(key).applyInPandasWithState(step, f"key {kind}, seq long, share double", "busy double, total double", "append", GroupStateTimeout.NoTimeout)
+    return stream.select(key, seq, busy, total).groupBy(key).applyInPandasWithState(step, f"key {kind}, seq long, share double", "busy double, total double", "append", GroupStateTimeout.NoTimeout)
