@@ -5,11 +5,13 @@ and stars need a number of rounds that grows with the logarithm of the longest p
 pre-aggregated, so a node with very many neighbours costs one row per task; its edges meet its least
 neighbour by a broadcast of such nodes, of which there are HUBS at most, and so stay where they are.
 Nulls and loops are passed over; an empty table has no components. A round's edges are checkpointed:
-a lost executor costs the round it was lost in.
+a lost executor costs the round it was lost in. Up to `small` edges the driver links itself: rounds over few
+edges are many small tasks and files and hardly any work.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ from .common import counted, cut, taken
 
 #: Nodes whose edges are joined by broadcast at most, and the least number of edges of such a node.
 HUBS, HUB = 100_000, 1000
+#: Edges (16 bytes each) that callers let the driver take at most.
+SMALL = 50_000
 
 
 def by_hot_key(left: DataFrame, right: DataFrame, key: str, n: str, total: int, how: str = "inner") -> DataFrame:
@@ -44,13 +48,31 @@ def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
     return out.where("u != v").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def _linked(edges: list[tuple[int, int]]) -> dict[int, int]:
+    """Each node's least node of its component."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up[y]
+        return x
+
+    for u, v in edges:
+        u, v = top(u), top(v)
+        up[max(u, v)] = min(u, v)
+    return {x: top(x) for x in list(up)}
+
+
+def components(edges: DataFrame, rounds: int = 40, small: int = 0) -> DataFrame:
     """node, component (its least node) for each node that has an edge to another. edges: u, v (long), in any order and direction.
 
     A path of over 2^rounds nodes would not settle, which raises an error.
     """
     now = cut(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     count, sign = counted(now), None
+    if count <= small:
+        of = _linked([tuple(r) for r in taken(now)])
+        return cut(now.sparkSession.createDataFrame(pa.table({"node": pa.array(of, pa.int64()), "component": pa.array(of.values(), pa.int64())})))
     for _ in range(rounds):
         now = cut(_star(_star(now, True, count), False, count))
         new = taken(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))))[0]

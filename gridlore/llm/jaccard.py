@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 from . import words as W
-from .components import by_hot_key, components
+from .components import SMALL, by_hot_key, components
 
 WORDS, THRESHOLD, BANDS, ROWS, STEP, TOLERANCE = 5, 0.8, 30, 5, 30, 1e-7
 BLOCK_DOCS, BLOCK_TEXT, BLOCK_SKETCHES, CUT_BLOCKS = 1024, 6 << 20, 1024, 8
@@ -285,7 +285,7 @@ def _cut_up(text: DataFrame, threshold: float) -> DataFrame:
             some = label != np.arange(len(ids))
             yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(ids[label[some]])], ["u", "v"])
 
-    return components(C.arrow(dealt.select("band", "low", "high", "own", "doc_id", "values"), linked, "u long, v long"))
+    return components(C.arrow(dealt.select("band", "low", "high", "own", "doc_id", "values"), linked, "u long, v long"), small=SMALL)
 
 
 def _classes(docs: DataFrame, threshold: float) -> DataFrame:
@@ -299,7 +299,7 @@ def _classes(docs: DataFrame, threshold: float) -> DataFrame:
     reps = s.join(sets.withColumnRenamed("digest", "_digest"), (F.col("doc_id") == F.col("rep")) & (F.col("digest") == F.col("_digest"))).dropDuplicates(["node"]).select("node", "rep", "copies", "bands", "same")
     band = reps.select("node", F.explode("bands").alias("band"))
     least = band.groupBy("band").agg(F.min("node").alias("v"), F.count("*").alias("n")).where("n > 1").drop("n")
-    near = components(band.join(least, "band").where("node != v").select(F.col("node").alias("u"), "v"))
+    near = components(band.join(least, "band").where("node != v").select(F.col("node").alias("u"), "v"), small=SMALL)
 
     members = C.cut(near.withColumnRenamed("node", "_node").join(reps.select("node", "rep", "copies", "same"), F.col("_node") == F.col("node")).select("component", "node", "rep", "copies", "same"))
     # of equal rows one, and of a doc_id's texts the set's
@@ -343,7 +343,7 @@ def _classes(docs: DataFrame, threshold: float) -> DataFrame:
             yield links()
 
     linked = C.cut(C.arrow(dealt, pairs, "rep long, links long, root long").withColumnRenamed("rep", "node"))
-    final = components(linked.select(F.col("node").alias("u"), F.col("root").alias("v")))
+    final = components(linked.select(F.col("node").alias("u"), F.col("root").alias("v")), small=SMALL)
     of_rep = sets.join(linked.groupBy("node").agg(F.sum("links").alias("links")), "node", "left").join(final, "node", "left")
     if shared:
         heads = final.join(sets.select("node", "rep"), "node").groupBy("component").agg(F.min(F.struct("rep", "node")).alias("head"))
