@@ -25,6 +25,47 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM d LEFT JOIN x ON d.doc_id = x.doc_id LEFT JOIN y ON d.doc_id = y.doc_id"""
 
 
+_FAILS = r"""d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+f AS (SELECT doc_id, part, len(w) < 100 AS a, 100 * len(list_distinct(w)) < 80 * len(w) AS b,
+    100 * (length(text) - length(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 10 * length(text) AS c, regexp_matches(text, '[#$%&*|]') AS d,
+    coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false) AS e FROM d),"""
+OP11 = rf"""WITH {_FAILS}
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+m AS (SELECT part, a, b, c, d, e, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL),
+t AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS t),
+o AS (SELECT [v.t, w.t, x.t, y.t, z.t] AS o FROM t v, t w, t x, t y, t z WHERE len(list_distinct([v.t, w.t, x.t, y.t, z.t])) = 5),
+s AS (SELECT o, step, o[step] AS x, o[1 : step - 1] AS before FROM o, range(1, 6) r(step)),
+k AS (SELECT part, o, step, x, n, good, toxic, list_filter(['A', 'B', 'C', 'D', 'E'], lambda q, i: [a, b, c, d, e][i]) AS fails, before FROM m, s),
+g AS (SELECT part, array_to_string(o, '') AS filter_order, step, x,
+    sum(CASE WHEN list_contains(fails, x) OR list_has_any(fails, before) THEN 0 ELSE n END) AS kept,
+    sum(CASE WHEN list_contains(fails, x) AND NOT list_has_any(fails, before) THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN list_contains(fails, x) AND list_has_any(fails, before) THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN fails = [x] THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN list_contains(fails, x) AND NOT list_has_any(fails, before) THEN good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN list_contains(fails, x) AND NOT list_has_any(fails, before) THEN toxic ELSE 0 END) AS toxic_lost FROM k GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+  CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley FROM g"""
+
+#: crc32 bit by bit: a byte of the id is taken in, then eight shifts follow.
+_CRC = """list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten([[CAST(ascii(x) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1] for x in string_split(CAST(conv_id AS VARCHAR), '')])),
+  lambda r, x: CASE WHEN x >= 0 THEN xor(r, x) ELSE xor(r >> 1, 3988292384 * (r & 1)) END)"""
+OP13 = rf"""WITH o AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS p, role, text
+    FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+c AS (SELECT conv_id, xor({_CRC}, 4294967295) % 4 AS h, conv_id - conv_id % 20 AS donor FROM (SELECT DISTINCT conv_id FROM o)),
+b AS (SELECT c.conv_id, 0 AS k, p, role, text FROM c JOIN o ON o.conv_id = donor AND p <= h UNION ALL SELECT o.conv_id, 1, p, role, text FROM c JOIN o USING (conv_id) WHERE p > h),
+r AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY k, p) AS d, role, text FROM b),
+a AS (SELECT conv_id, list(struct_pack(r := role, t := text) ORDER BY d) AS s FROM r GROUP BY conv_id),
+s AS (SELECT conv_id, coalesce(s, []) AS s FROM c LEFT JOIN a USING (conv_id)),
+p AS (SELECT conv_id, d, s[1:d] AS q, len(s) = d AS last FROM s, LATERAL (SELECT unnest(range(0, len(s) + 1)) AS d)),
+n AS (SELECT d, q, min(conv_id) AS m, count(*) AS n, sha256(coalesce(string_agg(CASE WHEN last THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '')) AS ends,
+    CASE WHEN d > 0 THEN len(regexp_extract_all(q[d].t, '[^ 	-]+')) ELSE 0 END AS words FROM p GROUP BY d, q),
+x AS (SELECT p.conv_id, p.d, n.m FROM p JOIN n ON p.d = n.d AND p.q = n.q),
+e AS (SELECT n.m, n.d, x.m AS over, n.n, n.words, n.ends FROM n LEFT JOIN x ON x.conv_id = n.m AND x.d = n.d - 1),
+k AS (SELECT over AS m, d - 1 AS d, count(*) AS n_children FROM e WHERE d > 0 GROUP BY ALL),
+f AS (SELECT e.*, coalesce(n_children, 0) AS n_children FROM e LEFT JOIN k ON k.m = e.m AND k.d = e.d),
+u AS (SELECT x.m, x.d, count(*) FILTER (f.n_children = 0) AS n_leaves, sum((f.n - 1) * f.words) AS saved FROM f JOIN x ON x.conv_id = f.m AND x.d <= f.d GROUP BY ALL)
+SELECT f.m AS conv_id, CAST(f.d AS BIGINT) AS depth, over AS parent_conv_id, f.n AS n_convs, f.n_children, u.n_leaves, CAST(u.saved AS BIGINT) AS saved_tokens, ends AS ends_sha256 FROM f JOIN u ON u.m = f.m AND u.d = f.d"""
+
 def _op4() -> str:
     from .line_rules import BOILERPLATE
 
