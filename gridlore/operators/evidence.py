@@ -1,14 +1,14 @@
-"""Judging and joining evidence: wildcard matches, approvals, progress, totals, lanes, boxes, percentiles, refinement."""
+"""Judging and joining evidence: wildcard matches, approvals, progress, totals, lanes, boxes, percentiles."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+import functools
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import cut, ship
 
 # Limits of the stabilisation classes, and the order in which effect domains replace one another.
 STABLE = ((0.10, "early"), (0.40, "moderate"), (0.80, "late"))
@@ -196,54 +196,55 @@ def grow_box(boxes: list[list[int]], gap: int) -> tuple[list[int], int]:
     return own, n
 
 
-def grown_boxes(pages: DataFrame, key: str, boxes: str, gap: int) -> DataFrame:
-    """grow_box for each page's list; pages without boxes get none. A page's boxes are one row's array, no rows are joined."""
-    ship(pages.sparkSession)
+def grown_boxes(boxes: DataFrame, page: str, order: str, gap: int, corners: tuple[str, str, str, str] = ("x0", "y0", "x1", "y1"), most: int = 50_000) -> DataFrame:
+    """Of each page the largest box (of equals the first in `order`), joined with those within gap of what it has become until none is: page, corners, n_joined.
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = [grow_box([list(x) for x in v], gap) if v is not None and len(v) else (None, 0) for v in b[boxes]]
-            yield pd.DataFrame({key: b[key], "box": [x for x, _ in out], "n_joined": [n for _, n in out]})
-
-    return pages.select(key, boxes).mapInPandas(run, f"{key} {dict(pages.dtypes)[key]}, box array<int>, n_joined int")
-
-
-# search
-def refine(evaluate: Callable[[list[tuple]], dict[tuple, float]], domains: dict[str, list], start: dict[str, object], passes: int = 3, radius: int = 1) -> dict[tuple, float]:
-    """Cost of all sets that a search by intervals visits; less is better, and ties go to what was there before.
-
-    One dimension after another is narrowed to the half of the best of probes at its ends and middle (the
-    lower half if that is the middle), until a pass changes nothing; then all sets within radius places
-    of the optimum follow. `evaluate` gets the
-    sets not yet known, all those of a step at once (one DataFrame job), as tuples in the order of domains.
+    boxes: a row each, corners as whole numbers; rows with a null corner are none, and a null page is a page. A page of up to
+    `most` boxes is one group and done in one round. A larger one is cut into blocks by quantiles of the left edge (equal edges are
+    dealt out), which all grow the same box as far as they can; the union of what they made is the next round's box, until
+    no block changes it. So no task holds more than about `most` boxes, and rounds follow how often the growth goes from block to block.
+    Each round is a checkpoint and takes pages that still grow only.
     """
-    import itertools
-
-    names, seen = list(domains), {}
-
-    def costs(sets: list[tuple]) -> list[float]:
-        if new := [s for s in dict.fromkeys(sets) if s not in seen]:
-            seen.update(evaluate(new))
-        return [seen[s] for s in sets]
-
-    at = tuple(start[n] for n in names)
-    costs([at])
-    for _ in range(passes):
-        before = at
-        for d, n in enumerate(names):
-            values, lo, hi, base = domains[n], 0, len(domains[n]) - 1, at
-            while hi > 0:
-                mid = (lo + hi) // 2
-                probes = sorted({lo, mid, hi})
-                sets = [(*base[:d], values[k], *base[d + 1 :]) for k in probes]
-                cost, k, best = min(zip(costs(sets), probes, sets), key=lambda x: x[:2])
-                if cost < seen[at]:
-                    at = best
-                if hi - lo <= 2:
-                    break
-                lo, hi = (lo, mid) if k <= mid else (mid, hi)
-        if at == before:
-            break
-    places = [domains[n].index(v) for n, v in zip(names, at)]
-    costs(list(itertools.product(*(domains[n][max(0, k - radius) : k + radius + 1] for n, k in zip(names, places)))))
-    return seen
+    left, top, right, bottom = corners
+    whole = [F.col(c).cast("long").alias(c) for c in corners]
+    rows = boxes.where(" and ".join(f"{c} is not null" for c in corners)).select(F.col(page).alias("_page"), *whole, F.col(order).alias("_order"))
+    area = (F.col(right) - F.col(left)) * (F.col(bottom) - F.col(top))
+    pages = rows.groupBy("_page").agg(F.count("*").alias("_n"), F.min_by(F.struct(*corners), F.struct(-area, "_order")).alias("_box"))
+    large = pages.where(F.col("_n") > most).select("_page", F.ceil(F.col("_n") / most).cast("int").alias("_blocks"))
+    # quantiles of the large pages alone; equal ones stand for edges that more than one block shares
+    steps = max([r[0] or 1 for r in large.agg(F.max("_blocks")).collect()])
+    share = [k / 64 for k in range(1, 64)] if steps <= 64 else [k / steps for k in range(1, steps)]
+    marks = rows.join(large.withColumnRenamed("_page", "_at"), F.col("_page").eqNullSafe(F.col("_at"))).groupBy("_at").agg(F.percentile_approx(left, share, 10 * len(share)).alias("_marks"))
+    blocked = rows.join(marks, F.col("_page").eqNullSafe(F.col("_at")), "left").drop("_at") if steps > 1 else rows.withColumn("_marks", F.lit(None).cast("array<bigint>"))
+    below, upto = F.size(F.filter("_marks", lambda m: m < F.col(left))), F.size(F.filter("_marks", lambda m: m <= F.col(left)))
+    block = F.when(F.col("_marks").isNull(), 0).otherwise(below + F.pmod(F.xxhash64(*corners, "_order"), upto - below + 1)).cast("int")
+    blocked = cut(blocked.withColumn("_block", block).select("_page", "_block", *corners))
+    held = cut(blocked.select("_page", "_block").distinct())
+    kind = dict(rows.dtypes)["_page"]
+    schema = f"_page {kind}, _block int, {', '.join(f'{c} long' for c in corners)}, n long"
+
+    def grow(key: tuple, mine: pd.DataFrame, now: pd.DataFrame) -> pd.DataFrame:
+        if not len(now) or not len(mine):
+            return pd.DataFrame({"_page": [], "_block": [], **{c: [] for c in corners}, "n": []})
+        b, own = mine[list(corners)].to_numpy(), now[list(corners)].to_numpy()[0]
+        n = len(b)
+        while len(b):
+            near = (b[:, 0] <= own[2] + gap) & (own[0] <= b[:, 2] + gap) & (b[:, 1] <= own[3] + gap) & (own[1] <= b[:, 3] + gap)
+            if not near.any():
+                break
+            own = [*map(min, own[:2], b[near, :2].min(axis=0)), *map(max, own[2:], b[near, 2:].max(axis=0))]
+            b = b[~near]
+        return pd.DataFrame([(key[0], key[1], *(int(x) for x in own), n - len(b))], columns=["_page", "_block", *corners, "n"])
+
+    ship(boxes.sparkSession)
+    now = cut(pages.select("_page", *(F.col(f"_box.{c}").alias(c) for c in corners)))
+    done: list[DataFrame] = []
+    while not now.isEmpty():
+        old = now.select(F.col("_page").alias("_at"), F.struct(*corners).alias("_old"))
+        again = held.join(now.withColumnRenamed("_page", "_at"), F.col("_page").eqNullSafe(F.col("_at"))).select("_page", "_block", *corners)
+        grown = blocked.groupBy("_page", "_block").cogroup(again.groupBy("_page", "_block")).applyInPandas(grow, schema)
+        grown = grown.groupBy("_page").agg(F.min(left).alias(left), F.min(top).alias(top), F.max(right).alias(right), F.max(bottom).alias(bottom), F.sum("n").alias("n_joined"), F.count("*").alias("_k"))
+        grown = cut(grown.join(old, F.col("_page").eqNullSafe(F.col("_at"))).drop("_at").withColumn("_still", ((F.col("_k") == 1) | (F.struct(*corners) == F.col("_old")))).drop("_old"))
+        done.append(grown.where("_still").select(F.col("_page").alias(page), *corners, "n_joined"))
+        now = grown.where("not _still").select("_page", *corners)
+    return functools.reduce(DataFrame.unionByName, done) if done else now.select(F.col("_page").alias(page), *corners, F.lit(0).cast("long").alias("n_joined"))

@@ -46,18 +46,3 @@ def powers_of_two(low: int, high: int) -> list[int]:
 
 def divisors(budget: int, low: int, high: int) -> list[int]:
     return [k for k in range(low, min(high, budget) + 1) if budget % k == 0]
-
-
-def next_probe(measured: dict[int, float], low: int, high: int, band: float = 0.02, small_gap: int = 2) -> int | None:
-    """The next shape to measure: ends, then neighbours of near-best shapes, then the geometric middle of the widest gap by the best."""
-    for end in (low, high):
-        if end not in measured:
-            return end
-    best = max(measured.values())
-    for k in sorted((k for k, v in measured.items() if v >= best * (1 - band)), key=lambda k: -measured[k]):
-        for n in (k - 1, k + 1):
-            if low <= n <= high and n not in measured:
-                return n
-    known = sorted(measured)
-    gaps = [(b / a, a, b) for a, b in zip(known, known[1:]) if b - a > small_gap]
-    return round(math.sqrt(max(gaps)[1] * max(gaps)[2])) if gaps else None

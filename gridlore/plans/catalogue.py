@@ -634,24 +634,6 @@ def q_lanes(spark, d):
     return K.lanes(_queues(spark, d), ["s_nationkey"], ["s_suppkey"], "est", 3)
 
 
-@query()
-def q_grown_boxes(spark, d):
-    q, n = F.col("l_quantity").cast("int"), (F.col("l_linenumber") * 20).cast("int")
-    b = V.table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.array(n, n, n + q, n + q))).alias("boxes"))
-    return E.grown_boxes(b, "l_orderkey", "boxes", 4)
-
-
-@query()
-def q_refined_search(spark, d):
-    domains = {"a": list(range(40)), "b": list(range(0, 300, 7))}
-
-    def evaluate(sets):
-        rows = spark.createDataFrame(sets, "a int, b int").select("a", "b", (F.abs(F.col("a") - 23) * 2 + F.abs(F.col("b") - 140)).cast("double").alias("cost")).collect()  # a step's few sets
-        return {(r.a, r.b): r.cost for r in rows}
-
-    return spark.createDataFrame([(*k, v) for k, v in E.refine(evaluate, domains, {"a": 0, "b": 0}).items()], "a int, b int, cost double")
-
-
 # streams and detectors: rows only, tests hold them against the batch forms and the drawn boxes
 def _drained(spark, d, make, mode):
     """The rows of a stream over the whole events table: appended ones through files, the few of other modes through the driver's memory."""

@@ -194,9 +194,3 @@ def finished_runs(manifests: DataFrame, strategies: tuple[str, ...] = ("exhausti
     """The manifests (path, status, strategy) of complete runs that searched all sets; a folder's newest one counts."""
     m = manifests.where((F.lower("status") == "complete") & F.col("strategy").isin(*strategies)).withColumn("folder", F.regexp_replace("path", "/[^/]+$", ""))
     return O.one_of(m, ["folder"], F.col("path"))
-
-
-def descended(runs: DataFrame, ancestry: DataFrame, number: int | None = None) -> DataFrame:
-    """Runs whose revision descends from a floor (ancestry: revision), or the one with a number, oldest first."""
-    r = runs.join(ancestry.select("revision"), "revision", "left_semi")
-    return (r if number is None else r.where(F.col("number") == number)).orderBy("number")

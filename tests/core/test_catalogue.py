@@ -1,6 +1,6 @@
 import pytest
 
-from gridlore.plans import catalogue, observation_queries, registry, run_queries, source_queries, space_queries  # noqa: F401  all register queries
+from gridlore.plans import catalogue, observation_queries, registry, run_queries, search_queries, source_queries, space_queries  # noqa: F401  all register queries
 
 from ..compare import differences
 

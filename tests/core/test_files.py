@@ -82,9 +82,6 @@ def test_checks(spark, tmp_path):
 def test_runs_on_record(spark):
     m = spark.createDataFrame([("/r/a/m1.json", "Complete", "exhaustive"), ("/r/a/m2.json", "complete", "exhaustive"), ("/r/b/m.json", "complete", "random"), ("/r/c/m.json", "running", "exhaustive")], "path string, status string, strategy string")
     assert [r.path for r in files.finished_runs(m).collect()] == ["/r/a/m2.json"]
-    r = spark.createDataFrame([("x", 2), ("y", 1), ("z", 3)], "revision string, number int")
-    old = spark.createDataFrame([("x",), ("y",)], "revision string")
-    assert [x.number for x in files.descended(r, old).collect()] == [1, 2] and [x.number for x in files.descended(r, old, 2).collect()] == [2]
 
 
 def test_writers(spark, tmp_path):

@@ -43,8 +43,6 @@ def test_grid_and_search(spark):
     rows = grid.product(spark, domains).orderBy("ordinal").collect()
     assert [(r.a, r.b) for r in rows] == [(a, b) for a in (1, 2) for b in "xyz"]
     assert grid.powers_of_two(3, 52) == [3, 4, 8, 16, 32, 52] and grid.divisors(24, 5, 30) == [6, 8, 12, 24]
-    measured = {8: 100.0, 1: 10.0, 3: 40.0, 16: 70.0, 24: 60.0, 64: 30.0}
-    assert grid.next_probe(measured, 1, 64) == 7 and grid.next_probe(measured | {7: 90.0}, 1, 64) == 9 and grid.next_probe({}, 1, 64) == 1
 
 
 def test_makespan_and_batches(spark):
@@ -157,16 +155,6 @@ def test_lanes_boxes_and_refinement(spark):
     df = spark.createDataFrame([("g", k, v) for k, v in enumerate((5, 4, 3, 3))], "g string, k int, v long")
     assert [(r.k, r.lane, r.start) for r in folds.lanes(df, ["g"], ["k"], "v", 2).orderBy("k").collect()] == [(0, 0, 0), (1, 1, 0), (2, 1, 4), (3, 0, 5)]
     assert evidence.grow_box([[0, 0, 10, 10], [12, 0, 14, 4], [18, 0, 20, 4], [40, 40, 41, 41]], 4) == ([0, 0, 20, 10], 3)
-    boxes = spark.createDataFrame([(1, [[0, 0, 2, 2]]), (2, []), (3, None)], "id int, b array<array<int>>")
-    assert {r.id: (r.box, r.n_joined) for r in evidence.grown_boxes(boxes, "id", "b", 1).collect()} == {1: ([0, 0, 2, 2], 1), 2: (None, 0), 3: (None, 0)}
-    asked = []
-
-    def cost(sets):
-        asked.extend(sets)
-        return {s: abs(s[0] - 17) + abs(s[1] - 140) for s in sets}
-
-    seen = evidence.refine(cost, {"a": list(range(40)), "b": list(range(0, 300, 7))}, {"a": 0, "b": 0})
-    assert min(seen, key=seen.get) == (17, 140) and len(asked) == len(set(asked)) == len(seen) < 60
     assert evidence.effect_strategy("critical", {"moderate_plus": 4}) == "moderate_plus" and evidence.effect_strategy("critical", {}) == "exhaustive" and evidence.effect_strategy("smoke", {}) == "smoke"
 
 
