@@ -29,6 +29,7 @@ def test_components(spark, monkeypatch, hub):
     got = components.components(spark.createDataFrame(edges, "u long, v long").repartition(3))
     assert {r.node: r.component for r in got.collect()} == groups(edges)
     assert components.components(spark.createDataFrame([], "u long, v long")).count() == 0
+    monkeypatch.setattr(components, "LINKED", 10)
     with pytest.raises(RuntimeError, match="did not settle"):
         components.components(spark.createDataFrame(edges, "u long, v long"), rounds=1)
 
@@ -46,26 +47,30 @@ def test_chained_groups_are_cut_and_lose_no_link(spark, monkeypatch):
         assert got == brute.jaccard(rows)
 
 
-@pytest.mark.parametrize(("small", "hub"), [(0, 3), (0, 1000), (50_000, 1000)])
-def test_components_by_rounds_and_on_the_driver(spark, monkeypatch, small, hub):
+@pytest.mark.parametrize(("linked", "hub"), [(7, 3), (50, 1000), (200_000, 1000)])
+def test_components_by_rounds(spark, monkeypatch, linked, hub):
     import random
 
     monkeypatch.setattr(components, "HUB", hub)
+    monkeypatch.setattr(components, "LINKED", linked)
     r = random.Random(3)
     edges = [(k, k + 1) for k in range(100, 160)] + [(k, 500) for k in range(300, 340)] + [(9, 9), (None, 3), (3, None), (-5, 339), (2**62, 9)] + [(r.randrange(1000, 2000), r.randrange(1000, 2000)) for _ in range(700)]
-    got = components.components(spark.createDataFrame(edges, "u long, v long").repartition(3), small=small)
+    got = components.components(spark.createDataFrame(edges, "u long, v long").repartition(3))
     assert got.columns == ["node", "component"] and {r.node: r.component for r in got.collect()} == groups(edges)
-    assert components.components(spark.createDataFrame([(1, 1)], "u long, v long"), small=small).collect() == []
-
-
-def test_few_edges_make_no_rounds(spark):
-    # pipeline: rounds over the few edges of check_h took its time
-    jobs = spark.sparkContext
-    jobs.setJobGroup("few", "")
-    components.components(spark.range(500).selectExpr("id as u", "id + 1 as v"), small=components.SMALL)
-    ran = len(jobs.statusTracker().getJobIdsForGroup("few"))
-    jobs.setLocalProperty("spark.jobGroup.id", None)
-    assert 0 < ran < 12
+    assert components.components(spark.createDataFrame([(1, 1)], "u long, v long")).collect() == []
+
+
+@pytest.mark.parametrize("shape", ["chain", "star", "grid"])
+def test_a_million_edges(spark, shape):
+    """Over five tasks, each with its own part of what hangs together."""
+    n = 1_000_000
+    ends, nodes = {
+        "chain": (["(id * 7919) % 1000003 as u", "((id + 1) * 7919) % 1000003 as v"], n + 1),
+        "star": (["id + 1 as u", "0L as v"], n + 1),
+        "grid": (["id div 2 as u", "id div 2 + CASE WHEN id % 2 = 0 THEN 1 ELSE 707 END as v"], n // 2 + 706 + 1),
+    }[shape]
+    got = components.components(spark.range(n).selectExpr(*ends))
+    assert tuple(got.selectExpr("count(distinct component)", "count(*)", "min(component)").first()) == (1, nodes, 0)
 
 
 def test_shuffle_files_go_with_the_action_that_made_them(spark):
