@@ -199,25 +199,27 @@ def grow_box(boxes: list[list[int]], gap: int) -> tuple[list[int], int]:
 def grown_boxes(boxes: DataFrame, page: str, order: str, gap: int, corners: tuple[str, str, str, str] = ("x0", "y0", "x1", "y1"), most: int = 50_000) -> DataFrame:
     """Of each page the largest box (of equals the first in `order`), joined with those within gap of what it has become until none is: page, corners, n_joined.
 
-    boxes: a row each, corners as whole numbers; rows with a null corner are none, and a null page is a page. A page of up to
-    `most` boxes is one group and done in one round. A larger one is cut into blocks by quantiles of the left edge (equal edges are
-    dealt out), which all grow the same box as far as they can; the union of what they made is the next round's box, until
+    boxes: a row each, corners as whole numbers of 32 bits; rows with a null corner are none, and a null page is a page. A page of up to
+    `most` boxes is one group and done in one round. A larger one is cut into blocks by quantiles of the left edge, then the top one
+    (equal corners are dealt out), which all grow the same box as far as they can; the union of what they made is the next round's box, until
     no block changes it. So no task holds more than about `most` boxes, and rounds follow how often the growth goes from block to block.
     Each round is a checkpoint and takes pages that still grow only.
     """
     left, top, right, bottom = corners
-    whole = [F.col(c).cast("long").alias(c) for c in corners]
+    whole = [F.col(c).cast("int").cast("long").alias(c) for c in corners]
     rows = boxes.where(" and ".join(f"{c} is not null" for c in corners)).select(F.col(page).alias("_page"), *whole, F.col(order).alias("_order"))
     area = (F.col(right) - F.col(left)) * (F.col(bottom) - F.col(top))
     pages = rows.groupBy("_page").agg(F.count("*").alias("_n"), F.min_by(F.struct(*corners), F.struct(-area, "_order")).alias("_box"))
     large = pages.where(F.col("_n") > most).select("_page", F.ceil(F.col("_n") / most).cast("int").alias("_blocks"))
-    # quantiles of the large pages alone; equal ones stand for edges that more than one block shares
+    # fine quantiles of the large pages alone, of which a block takes some that follow one another; equal ones stand for places that several share
     steps = max([r[0] or 1 for r in large.agg(F.max("_blocks")).collect()])
-    share = [k / 64 for k in range(1, 64)] if steps <= 64 else [k / steps for k in range(1, steps)]
-    marks = rows.join(large.withColumnRenamed("_page", "_at"), F.col("_page").eqNullSafe(F.col("_at"))).groupBy("_at").agg(F.percentile_approx(left, share, 10 * len(share)).alias("_marks"))
-    blocked = rows.join(marks, F.col("_page").eqNullSafe(F.col("_at")), "left").drop("_at") if steps > 1 else rows.withColumn("_marks", F.lit(None).cast("array<bigint>"))
-    below, upto = F.size(F.filter("_marks", lambda m: m < F.col(left))), F.size(F.filter("_marks", lambda m: m <= F.col(left)))
-    block = F.when(F.col("_marks").isNull(), 0).otherwise(below + F.pmod(F.xxhash64(*corners, "_order"), upto - below + 1)).cast("int")
+    fine, place = max(64, steps), F.col(left) * (1 << 32) + F.col(top)
+    share = [k / fine for k in range(1, fine)]
+    marks = rows.join(large.withColumnRenamed("_page", "_at"), F.col("_page").eqNullSafe(F.col("_at"))).groupBy("_at", "_blocks").agg(F.percentile_approx(place, share, 10 * fine).alias("_marks"))
+    blocked = rows.join(marks, F.col("_page").eqNullSafe(F.col("_at")), "left").drop("_at") if steps > 1 else rows.withColumns({"_marks": F.lit(None).cast("array<bigint>"), "_blocks": F.lit(1)})
+    below, upto = F.size(F.filter("_marks", lambda m: m < place)), F.size(F.filter("_marks", lambda m: m <= place))
+    dealt = below + F.pmod(F.xxhash64(*corners, "_order"), upto - below + 1)
+    block = F.when(F.col("_marks").isNull(), 0).otherwise(F.floor(dealt * F.col("_blocks") / fine)).cast("int")
     blocked = cut(blocked.withColumn("_block", block).select("_page", "_block", *corners))
     held = cut(blocked.select("_page", "_block").distinct())
     kind = dict(rows.dtypes)["_page"]

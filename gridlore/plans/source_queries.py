@@ -59,35 +59,114 @@ def q_json_lines(spark, d):
     return I.json_lines(spark, _text(V.table(spark, d, "customer").select(line.alias("value")), _scratch(spark)), "id bigint, segment string", segment="BUILDING")
 
 
-@query(f"WITH {V.BOX} SELECT CAST(l_orderkey AS VARCHAR) AS parameter_set_id, page AS global_ordinal, n + dx AS l, n + 2 * q + dy AS b, printf('{{\"q\":%d}}', q) AS parameters FROM box WHERE l_orderkey % 50 = 0")
+# the evaluation CSV, all of its columns
+def _evaluations(spark, d):
+    """Lines as page rows of orders as sets: odd ones have an identity digest, every fifth page failed, every fourth order has no place in a search."""
+    b = V.v_box(spark, d)
+    k, page, q = F.col("l_orderkey"), F.col("page"), F.col("expected")[2] - F.col("expected")[0]
+    sides = {f"{s}_error_px": (F.col("predicted")[n] - F.col("expected")[n]).cast("double") for n, s in enumerate(("left", "top", "right", "bottom"))}
+    failed = (k + page) % 5 == 0
+    cells = {
+        "parameter_set_id": k.cast("string"), "parameter_identity_sha256": F.when(k % 2 == 1, F.sha2(k.cast("string"), 256)), "search_rank": k % 10, "requested_search_member": F.when(k % 3 == 0, "True").when(k % 3 == 1, "1").otherwise("0"), "reference_roles_json": F.when(k % 2 == 0, '["a", "b"]'),
+        "completion_index": F.when(k % 4 > 0, k), "completion_elapsed_seconds": F.when(k % 4 > 0, k / 2), "global_ordinal": page, "label": F.concat(F.lit('page "'), page.cast("string"), F.lit('", x')), "layout_type": F.lit("plain"), "status": F.when(failed, "error").otherwise(F.lit(" OK ")),
+        "iou": F.when(~failed, F.lit(0.5)), "edge_error_mean_px": F.when(~failed, page.cast("double")), "elapsed_ms": page + 0.25, "approved_bbox_json": F.to_json("expected"), "predicted_bbox_json": F.when(failed, "null").otherwise(F.to_json("predicted")), "parameters_json": F.to_json(F.struct(q.alias("q"))), "error_type": F.when(failed, "ValueError"), "error_message": F.when(failed, "no page, none"),
+    } | {n: F.when(~failed, c) for n, c in sides.items()}
+    b.select(*(cells.get(n, F.lit(None)).cast("string").alias(n) for n, _ in I.EVAL_COLUMNS)).write.option("header", True).option("escape", '"').csv(path := _scratch(spark))
+    return I.page_evaluations(spark, path)
+
+
+FAILED = "(l_orderkey + page) % 5 = 0"
+IDENTITY = "CASE WHEN l_orderkey % 2 = 1 THEN sha256(CAST(l_orderkey AS VARCHAR)) ELSE CAST(l_orderkey AS VARCHAR) END"
+
+
+@query(f"""WITH {V.BOX} SELECT {IDENTITY} AS identity, page AS global_ordinal, 'page "' || page || '", x' AS label, CAST(l_orderkey % 10 AS INT) AS search_rank, l_orderkey % 3 < 2 AS requested, CASE WHEN l_orderkey % 2 = 0 THEN 2 ELSE 0 END AS n_roles,
+CASE WHEN {FAILED} THEN 0.0::DOUBLE ELSE 0.5::DOUBLE END AS iou, CASE WHEN {FAILED} THEN 0 ELSE 4 END AS n_edges, CASE WHEN {FAILED} THEN NULL ELSE CAST(dy AS DOUBLE) END AS bottom, n + 2 * q AS b, CASE WHEN {FAILED} THEN NULL ELSE n + dx END AS l, CAST(q AS VARCHAR) AS q, CASE WHEN {FAILED} THEN 'ValueError: no page, none' END AS error FROM box""")
 def q_evaluation_csv(spark, d):
-    b = V.v_box(spark, d).where("l_orderkey % 50 = 0")
-    q = F.col("expected")[2] - F.col("expected")[0]
-    e = b.select(
-        F.col("l_orderkey").cast("string").alias("parameter_set_id"), F.col("page").alias("global_ordinal"), F.lit("ok").alias("status"), F.lit(0.5).alias("iou"), F.lit(1.0).alias("edge_error_mean_px"), F.lit(2.0).alias("elapsed_ms"),
-        F.create_map(F.lit("q"), q).alias("parameters_json"), F.col("expected").alias("approved_bbox_json"), F.col("predicted").alias("predicted_bbox_json"),
-    )
-    W.write_csv(e, path := _scratch(spark))
-    r = I.page_evaluations(spark, path)
-    return r.select("parameter_set_id", "global_ordinal", F.col("predicted")[0].cast("int").alias("l"), F.col("predicted")[3].cast("int").alias("b"), F.concat(F.lit('{"q":'), F.col("parameters")["q"], F.lit("}")).alias("parameters"))
-
-
-@query("SELECT CAST(o_orderkey AS VARCHAR) AS task, CASE WHEN o_orderkey % 3 > 0 THEN CAST(o_orderkey AS DOUBLE) END AS claim, CAST(o_orderkey + o_orderkey % 5 - 1 AS DOUBLE) AS start, CASE WHEN o_orderkey % 3 > 0 THEN CAST(greatest(0, o_orderkey % 5 - 1) AS DOUBLE) ELSE 0.0::DOUBLE END AS claim_wait, CASE WHEN o_orderkey % 3 > 0 THEN 'b' || o_orderkey % 40 END AS batch FROM orders")
+    r = _evaluations(spark, d)
+    return r.select(
+        "identity", "global_ordinal", "label", "search_rank", F.col("requested_search_member").alias("requested"), F.size("reference_roles").alias("n_roles"), "iou", F.size(F.map_keys("edge_errors")).alias("n_edges"), F.col("edge_errors")["bottom"].alias("bottom"),
+        F.col("approved_bbox")[3].cast("int").alias("b"), F.col("predicted_bbox")[0].cast("int").alias("l"), F.col("parameters")["q"].alias("q"), F.concat_ws(": ", F.nullif("error.type", F.lit("")), "error.message").alias("_e"),
+    ).withColumn("error", F.nullif("_e", F.lit(""))).drop("_e")
+
+
+@query(f"""WITH {V.BOX} SELECT {IDENTITY} AS identity, CAST(l_orderkey AS VARCHAR) AS parameter_set_id, string_agg(page, ',' ORDER BY page) AS pages, round(avg(page) FILTER (NOT {FAILED}), 3) AS mean_edge_error_px, round(sum(page + 0.25::DOUBLE), 3) AS elapsed_ms_total,
+CASE WHEN l_orderkey % 4 > 0 THEN l_orderkey / 2.0::DOUBLE END AS found_after FROM box GROUP BY l_orderkey""")
+def q_nested_results(spark, d):
+    r = I.nested_results(_evaluations(spark, d))
+    return r.select("identity", "parameter_set_id", F.array_join(F.transform("pages", lambda p: p["global_ordinal"].cast("string")), ",").alias("pages"), "mean_edge_error_px", "elapsed_ms_total", F.col("search_observation.elapsed_seconds").alias("found_after"))
+
+
+# telemetry: a file for each supplier's lines
+def _telemetry(spark, rows: DataFrame):
+    """Files of rows (file, value), read again; a file is a folder's only one here, and the folder has its name."""
+    rows.write.partitionBy("file").text(path := _scratch(spark))
+    return I.telemetry(spark, path, "*.txt", r"file=([^/]+)/")
+
+
+def _spans(spark, d):
+    return V.table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("k")).agg(F.min("l_orderkey").alias("lo"), F.max("l_orderkey").alias("hi"), F.count("*").alias("n"))
+
+
+SPANS = "s AS (SELECT l_suppkey AS k, min(l_orderkey) AS lo, max(l_orderkey) AS hi, count(*) AS n FROM lineitem GROUP BY 1)"
+
+
+def _tab(*cells) -> str:
+    return F.concat_ws("\t", *(c.cast("string") if not isinstance(c, str) else F.lit(c) for c in cells))
+
+
+@query(f"WITH {SPANS} SELECT CAST(k AS INT) AS pipeline, lo + 0.5::DOUBLE AS started_epoch, CAST(hi AS DOUBLE) AS final_idle_epoch, greatest(0.0::DOUBLE, hi - lo - 0.5::DOUBLE) AS span_seconds FROM s")
+def q_worker_spans(spark, d):
+    lo, hi = F.col("lo"), F.col("hi")
+    text = F.concat_ws("\n", _tab("start", F.lit(1)), _tab("start", lo + 0.5), _tab("end", hi))  # the last start counts
+    return I.worker_spans(_telemetry(spark, _spans(spark, d).select(F.col("k").alias("file"), text.alias("value"))))
+
+
+@query(f"""WITH {SPANS} SELECT CAST(k AS INT) AS task_index, CAST(k % 7 AS INT) AS pipeline, 'd' || k % 5 AS detector, CAST(n AS INT) AS shard_count, CASE WHEN k % 2 = 0 THEN 'b' || k END AS claim_batch_id, CASE WHEN k % 2 = 1 THEN CAST(lo AS DOUBLE) END AS claimed_epoch,
+CAST(lo + n % 5 - 1 AS DOUBLE) AS started_epoch, 'ok' AS status, CAST(greatest(0, hi - (lo + n % 5 - 1)) AS DOUBLE) AS busy_seconds, CASE WHEN k % 2 = 1 THEN CAST(greatest(0, n % 5 - 1) AS DOUBLE) END AS claim_wait_seconds FROM s""")
 def q_task_events(spark, d):
-    k = F.col("o_orderkey")
-    tab = lambda *xs: F.concat_ws("\t", *xs)
-    claim = F.when(k % 3 > 0, tab(F.lit("claim"), k.cast("string"), k.cast("string"), F.concat(F.lit("b"), (k % 40).cast("string"))))
-    start = tab(F.lit("start"), k.cast("string"), (k + k % 5 - 1).cast("string"))
-    lines = V.table(spark, d, "orders").select(F.explode(F.array_compact(F.array(claim, start))).alias("value"))
-    return I.task_events(spark, _text(lines, _scratch(spark))).select("task", "claim", "start", "claim_wait", "batch")
+    """Odd tasks in the old layout, with a claim; even ones in the new one, whose start says all."""
+    k, lo, n = F.col("k"), F.col("lo"), F.col("n")
+    where = (k % 7, F.concat(F.lit("d"), (k % 5).cast("string")), F.lit(0), n, F.lit(4))
+    began = lo + n % 5 - 1
+    old, new = F.concat_ws("\n", _tab("claim", lo, *where), _tab("start", began)), _tab("start", began, *where, F.concat(F.lit("b"), k.cast("string")))
+    text = F.concat_ws("\n", F.when(k % 2 == 1, old).otherwise(new), _tab("finish", F.col("hi"), "ok"))
+    r = I.task_events(_telemetry(spark, _spans(spark, d).select(k.alias("file"), text.alias("value"))))
+    return r.select("task_index", "pipeline", "detector", "shard_count", "claim_batch_id", "claimed_epoch", "started_epoch", "status", "busy_seconds", "claim_wait_seconds")
 
 
-@query("SELECT 'b' || c_nationkey AS batch, CAST(c_nationkey AS DOUBLE) AS epoch, CAST(count(*) AS BIGINT) AS n, CAST(sum(c_custkey) AS BIGINT) AS total FROM customer GROUP BY c_nationkey")
+@query("SELECT 'b' || l_suppkey AS claim_batch_id, CAST(min(l_orderkey) AS DOUBLE) AS claimed_epoch, CAST(l_suppkey % 7 AS INT) AS pipeline, 4 AS allocated_threads, count(*) / 2.0::DOUBLE AS estimated_seconds, CAST(count(*) AS INT) AS task_count, CAST(sum(l_partkey) AS BIGINT) AS total FROM lineitem GROUP BY l_suppkey")
 def q_claim_lists(spark, d):
-    g = V.table(spark, d, "customer").groupBy("c_nationkey").agg(F.collect_list(F.col("c_custkey").cast("string")).alias("k"))
-    lines = g.select(F.concat_ws("\t", F.concat(F.lit("b"), F.col("c_nationkey").cast("string")), F.col("c_nationkey").cast("string"), F.array_join("k", ",")).alias("value"))
-    r = I.claim_lists(spark, _text(lines, _scratch(spark)))
-    return r.select("batch", "epoch", F.size("tasks").cast("long").alias("n"), F.aggregate("tasks", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+    k = F.col("l_suppkey")
+    g = V.table(spark, d, "lineitem").groupBy(k).agg(F.min("l_orderkey").alias("at"), F.count("*").alias("n"), F.array_join(F.collect_list(F.col("l_partkey").cast("string")), ",").alias("tasks"))
+    text = _tab("claim_batch", F.col("at"), k % 7, F.lit(4), F.col("n") / 2, F.col("tasks"), F.concat(F.lit("b"), k.cast("string")))
+    r = I.claim_lists(_telemetry(spark, g.select(k.alias("file"), text.alias("value"))))
+    return r.select("claim_batch_id", "claimed_epoch", "pipeline", "allocated_threads", "estimated_seconds", "task_count", F.aggregate("task_indexes", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
+# lines with numbers: a file for each nation's customers, in order of their keys
+def _numbered(spark, d, odd: bool) -> str:
+    """With odd, every seventh line is broken, every next one no object, every next one blank."""
+    k = F.col("c_custkey")
+    line = F.to_json(F.struct(k.alias("id"), F.col("c_mktsegment").alias("segment")))
+    if odd:
+        line = F.when(k % 7 == 0, F.lit('{"id": 3, "segm')).when(k % 7 == 1, F.lit("[1, 2]")).when(k % 7 == 2, F.lit("  ")).otherwise(line)
+    rows = V.table(spark, d, "customer").select("c_nationkey", k, line.alias("value")).repartition("c_nationkey").sortWithinPartitions("c_nationkey", "c_custkey")
+    rows.drop("c_custkey").write.partitionBy("c_nationkey").text(path := _scratch(spark))
+    return path
+
+
+NUMBERED = "n AS (SELECT c_nationkey, c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS number FROM customer)"
+
+
+@query(f"WITH {NUMBERED} SELECT c_nationkey AS nation, number, CASE c_custkey % 7 WHEN 0 THEN '{{\"id\": 3, \"segm' ELSE '[1, 2]' END AS value FROM n WHERE c_custkey % 7 < 2")
+def q_failing_lines(spark, d):
+    r = I.failing_lines(spark, _numbered(spark, d, True), "id bigint, segment string")
+    return r.select(F.regexp_extract("file", r"c_nationkey=(\d+)", 1).cast("long").alias("nation"), "number", "value")
+
+
+@query(f"WITH {NUMBERED} SELECT number, c_custkey AS id, c_mktsegment AS segment FROM n")
+def q_strict_lines(spark, d):
+    return I.strict_lines(spark, _numbered(spark, d, False), "id bigint, segment string")
 
 
 @query("SELECT p_brand || p_partkey AS name, CAST(p_size AS BIGINT) * 1024 AS bytes FROM part")
@@ -132,3 +211,57 @@ def q_published_entries(spark, d):
     run = c.select((F.col("c_custkey") % 10).alias("id"), F.lit("d").alias("detector"), F.lit("g").alias("dataset"), F.lit(True).alias("complete"), F.create_map(F.lit("k"), F.lit("1")).alias("context"), F.col("c_custkey").alias("created"))
     W.publish_entry(spark, path, run.where("created % 2 = 0"), "smoke")
     return W.publish_entry(spark, path, run, "full").select("id", "status", "created")
+
+
+# tables with a log of commits
+LAST = "SELECT o_custkey, max(o_orderkey) AS o_orderkey, arg_max(o_totalprice, o_orderkey) AS price FROM orders GROUP BY 1"
+
+
+@query(LAST)
+def q_commit_log(spark, d):
+    """Orders by customer from writers that began with one version: two apart from each other, and one that conflicts and comes again."""
+    from ..sources.log import Conflict, Log
+
+    o = V.table(spark, d, "orders").select("o_custkey", "o_orderkey", F.col("o_totalprice").alias("price"), "o_orderstatus")
+    part = lambda status: o.where(F.col("o_orderstatus") == status).drop("o_orderstatus")
+    middle = o.agg(F.expr("percentile_approx(o_custkey, 0.5)")).first()[0]
+    log = Log(spark, _scratch(spark))
+    log.upsert(part("F"), ["o_custkey"], "o_orderkey")
+    a, b, c = (log.begin() for _ in range(3))
+    for t, rows in ((a, part("O").where(F.col("o_custkey") <= middle)), (b, part("O").where(F.col("o_custkey") > middle)), (c, part("P"))):
+        t.upsert(rows, ["o_custkey"], "o_orderkey")
+    b.commit()
+    for t in (a, c):  # c's keys overlap with b's; a's may, by files that both replaced
+        try:
+            t.commit()
+        except Conflict:
+            t.abandon()
+            log.upsert(part("P") if t is c else part("O").where(F.col("o_custkey") <= middle), ["o_custkey"], "o_orderkey")
+    return log.read()
+
+
+@query(LAST)
+def q_replayed_stream(spark, d):
+    """A stream of orders into a keyed table, run again from its checkpoint and from none."""
+    from ..sources.log import Log, upsert_stream
+
+    orders = V.table(spark, d, "orders")
+    stream = lambda: spark.readStream.schema(orders.schema).parquet(f"{d}/orders*.parquet").select("o_custkey", "o_orderkey", F.col("o_totalprice").alias("price"))
+    path, first, lost = _scratch(spark), _scratch(spark), _scratch(spark)
+    for checkpoint in (first, first, lost):
+        upsert_stream(stream(), path, ["o_custkey"], "o_orderkey", checkpoint).awaitTermination()
+    return Log(spark, path).read()
+
+
+@query("""WITH r AS (SELECT user_id, CAST(round(value * 100) AS BIGINT) AS v, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events)
+SELECT user_id, count(*) AS n, CAST(sum(v) AS BIGINT) AS total, min(v) AS least, max(v) AS most, median(v) AS median FROM r WHERE k <= 40 GROUP BY user_id""")
+def q_incremental_index(spark, d):
+    """The newest forty events of each user, from four batches: a user's first events, then later ones."""
+    from ..sources.index import Index
+
+    e = V.table(spark, d, "events").select("user_id", "event_id", "ts", F.round(F.col("value") * 100).cast("long").alias("v"))
+    cuts = [0, *e.agg(F.expr("percentile_approx(event_id, array(0.25, 0.5, 0.75))")).first()[0], 1 << 62]
+    index = Index(spark, _scratch(spark), "user_id", "event_id", "ts", "v", 40)
+    for n, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        index.apply(e.where((F.col("event_id") >= a) & (F.col("event_id") < b)), n)
+    return index.read()

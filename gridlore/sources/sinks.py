@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import ordered as O
+from .log import Log
 
 
 def write_facts(pages: DataFrame, path: str) -> None:
@@ -23,32 +24,11 @@ def append_lines(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
-def upsert_table(spark: SparkSession, path: str, new: DataFrame, key: list[str], order: str, keep: int | None = None, by: list[str] | None = None, versions: int = 3) -> DataFrame:
-    """A new version of a keyed table beside the last one (versions are numbered folders; the newest counts): last wins by key, at most `keep` newest rows a group.
-
-    A version is claimed by a file that only one writer can make; another one of the same version fails. Of older versions some stay for their readers.
-    """
-    fs = spark._jvm.org.apache.hadoop.fs
-    root = fs.Path(path)
-    store = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    done = sorted(int(s.getPath().getName()[2:]) for s in store.listStatus(root) if s.isDirectory() and store.exists(fs.Path(s.getPath(), "_SUCCESS"))) if store.exists(root) else []
-    number = done[-1] + 1 if done else 0
-    claim = fs.Path(path, f"_claim-{number}")
-    store.mkdirs(root)
-    if not store.createNewFile(claim):
-        raise RuntimeError(f"version {number} of {path} is being written, or its writer left {claim.getName()} behind")
-    try:
-        old = spark.read.parquet(f"{path}/v={done[-1]}") if done else new.limit(0)
-        out = O.upsert(old, new, key, order)
-        if keep is not None:
-            out = O.newest(out, by or [], [F.col(order).desc()], keep)
-        target = f"{path}/v={number}"
-        out.write.mode("overwrite").parquet(target)  # what a writer left unfinished goes
-    finally:
-        store.delete(claim, False)
-    for old_number in done[: max(0, len(done) + 1 - versions)]:
-        store.delete(fs.Path(path, f"v={old_number}"), True)
-    return spark.read.parquet(target)
+def upsert_table(spark: SparkSession, path: str, new: DataFrame, key: list[str], order: str, keep: int | None = None, by: list[str] | None = None) -> DataFrame:
+    """A new version of a keyed table (sources/log.py): new rows win by key, at most `keep` newest rows a group stay. Gives the newest version; writers need no lock."""
+    log = Log(spark, path)
+    log.upsert(new, key, order, keep, by, arrival=True)
+    return log.read()
 
 
 def computed_once(spark: SparkSession, path: str, make) -> DataFrame:
@@ -61,11 +41,11 @@ def computed_once(spark: SparkSession, path: str, make) -> DataFrame:
 
 
 def within_bytes(blocks: DataFrame, pos: str, text: str, budget: int, by: list[str] | None = None, separator: int = 1) -> DataFrame:
-    """The leading blocks of each group whose running size stays within a budget of bytes."""
+    """The leading blocks of each group that fit a budget of bytes, with a separator between one and the next."""
     if not by:
-        return O.numbered(blocks, pos, [F.col(pos).asc()], {"_size": F.octet_length(text) + separator}).where(F.col("_size") <= budget).drop("_size")
+        return O.numbered(blocks, pos, [F.col(pos).asc()], {"_size": F.octet_length(text) + separator}).where(F.col("_size") <= budget + separator).drop("_size")
     size = F.sum(F.octet_length(text) + separator).over(Window.partitionBy(*by).orderBy(pos).rowsBetween(Window.unboundedPreceding, 0))
-    return blocks.withColumn("_size", size).where(F.col("_size") <= budget).drop("_size")
+    return blocks.withColumn("_size", size).where(F.col("_size") <= budget + separator).drop("_size")
 
 
 def write_json(row: DataFrame, path: str) -> None:

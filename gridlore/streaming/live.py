@@ -1,16 +1,14 @@
-"""Streaming forms: running best, keyed upserts and gauges over results that arrive live."""
+"""Streaming forms: running best, counters and gauges over results that arrive live."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators import ordered as O
 from ..session import ship
 
 
@@ -41,11 +39,6 @@ def gauges(stream: DataFrame, ts: str, by: str, value: str, window: str = "1 day
     return event_time(stream, ts).withWatermark(ts, late).groupBy(F.window(ts, window), by).agg(F.count("*").alias("n"), F.sum(value).alias("total"), F.max(value).alias("peak")).select(F.col("window.start").alias("start"), by, "n", "total", "peak")
 
 
-def upsert_batches(stream: DataFrame, write: Callable[[DataFrame, int], None], key: list[str], order: str, checkpoint: str) -> StreamingQuery:
-    """Each micro-batch, made unique by key (last wins), goes to `write`; replays of a batch have its number again, so a keyed write stays right."""
-    return stream.writeStream.foreachBatch(lambda df, n: write(O.one_of(df, key, F.col(order)), n)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def counter_shares(stream: DataFrame, key: str, seq: str, busy: str, total: str) -> DataFrame:
     """Share of a counter in another since the sample before of the same key (falling counters count as 0); the state of a key is its last counters."""
     ship(stream.sparkSession)

@@ -133,16 +133,8 @@ def test_sections_keep_what_is_not_theirs(spark):
     assert [r.x for r in df.orderBy("k").select(S.without_section(F.col("t"), "<d>", "</d>", "M").alias("x")).collect()] == ["z", *texts[1:]]
 
 
-def test_versions_are_claimed(spark, tmp_path):
-    path = str(tmp_path / "t")
+def test_made_once(spark, tmp_path):
     row = lambda k, v: spark.createDataFrame([(k, v)], "k int, v int")
-    for v in range(5):
-        got = sinks.upsert_table(spark, path, row(v % 2, v), ["k"], "v")
-    assert sorted((r.k, r.v) for r in got.collect()) == [(0, 4), (1, 3)]
-    assert sorted(p.name for p in (tmp_path / "t").iterdir() if not p.name.startswith(".")) == ["v=2", "v=3", "v=4"]
-    (tmp_path / "t" / "_claim-5").touch()
-    with pytest.raises(RuntimeError, match="version 5"):
-        sinks.upsert_table(spark, path, row(0, 9), ["k"], "v")
     made = []
     for _ in range(2):
         once = sinks.computed_once(spark, str(tmp_path / "once"), lambda: made.append(1) or row(1, 2))
