@@ -8,6 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def domains_of(**columns: DataFrame) -> dict[str, list]:
+    """The distinct values of a column of each table (no nulls), in order. A grid's domains are its parameters' lists, which the driver holds."""
+    return {name: [r[0] for r in df.distinct().where(F.col(df.columns[0]).isNotNull()).orderBy(df.columns[0]).collect()] for name, df in columns.items()}
+
+
 def size(domains: dict[str, list]) -> int:
     return math.prod(map(len, domains.values()))
 

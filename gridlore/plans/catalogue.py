@@ -413,29 +413,35 @@ def q_label_validation(spark, d):
 
 
 # grids, digests, text
-DOMAINS = {"alpha": [1, 2, 3], "beta": [10, 20], "gamma": [5, 6, 7, 8]}
-GRID = "g AS (SELECT row_number() OVER (ORDER BY alpha, beta, gamma) - 1 AS ordinal, alpha, beta, gamma FROM (VALUES (1), (2), (3)) a(alpha), (VALUES (10), (20)) b(beta), (VALUES (5), (6), (7), (8)) c(gamma))"
+GRID = """g AS (SELECT row_number() OVER (ORDER BY supplier, line, flag) - 1 AS ordinal, supplier, line, flag
+  FROM (SELECT DISTINCT s_suppkey AS supplier FROM supplier) a, (SELECT DISTINCT l_linenumber AS line FROM lineitem) b, (SELECT DISTINCT l_returnflag AS flag FROM lineitem) c)"""
+
+
+def _domains(spark, d):
+    return G.domains_of(supplier=V.table(spark, d, "supplier").select("s_suppkey"), line=V.table(spark, d, "lineitem").select("l_linenumber"), flag=V.table(spark, d, "lineitem").select("l_returnflag"))
 
 
 @query(f"WITH {GRID} SELECT * FROM g")
 def q_grid(spark, d):
-    return G.product(spark, DOMAINS)
+    return G.product(spark, _domains(spark, d))
 
 
 @query(f"WITH {GRID} SELECT ordinal, ordinal AS again FROM g")
 def q_ordinal_round_trip(spark, d):
-    return G.product(spark, DOMAINS).select("ordinal", G.encode(DOMAINS).alias("again"))
+    domains = _domains(spark, d)
+    return G.product(spark, domains).select("ordinal", G.encode(domains).alias("again"))
 
 
-@query(f"WITH {GRID} SELECT alpha, gamma, min(ordinal) AS ordinal FROM g WHERE beta = 20 GROUP BY 1, 2")
+@query(f"WITH {GRID} SELECT supplier, line, min(ordinal) AS ordinal FROM g WHERE flag = 'N' GROUP BY 1, 2")
 def q_pinned_filter(spark, d):
-    return G.pinned(G.product(spark, DOMAINS), {"beta": 20}, ["alpha", "gamma"])
+    return G.pinned(G.product(spark, _domains(spark, d)), {"flag": "N"}, ["supplier", "line"])
 
 
-@query(f"WITH {GRID}, u AS (SELECT -1 AS ordinal, 2 AS alpha, 20 AS beta, 8 AS gamma UNION ALL SELECT * FROM g) SELECT alpha, beta, gamma, CAST(min(ordinal) AS BIGINT) AS ordinal FROM u GROUP BY 1, 2, 3")
+@query(f"WITH {GRID}, u AS (SELECT -l_orderkey - 1 AS ordinal, l_suppkey AS supplier, l_linenumber AS line, l_returnflag AS flag FROM lineitem UNION ALL SELECT * FROM g) SELECT supplier, line, flag, CAST(min(ordinal) AS BIGINT) AS ordinal FROM u GROUP BY 1, 2, 3")
 def q_ordered_union(spark, d):
-    named = spark.range(1).select(F.lit(-1).cast("long").alias("ordinal"), F.lit(2).alias("alpha"), F.lit(20).alias("beta"), F.lit(8).alias("gamma"))
-    return named.unionByName(G.product(spark, DOMAINS)).groupBy("alpha", "beta", "gamma").agg(F.min("ordinal").alias("ordinal"))
+    """Sets that lines name come before the grid's."""
+    named = V.table(spark, d, "lineitem").select((-F.col("l_orderkey") - 1).alias("ordinal"), F.col("l_suppkey").alias("supplier"), F.col("l_linenumber").alias("line"), F.col("l_returnflag").alias("flag"))
+    return named.unionByName(G.product(spark, _domains(spark, d))).groupBy("supplier", "line", "flag").agg(F.min("ordinal").alias("ordinal"))
 
 
 def _params(spark, d):
@@ -667,6 +673,22 @@ def q_stream_gauges(spark, d):
     return _drained(spark, d, lambda s: live.gauges(s, "ts", "event_type", "value"), "complete").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", "peak")
 
 
+LEASES = """WITH RECURSIVE e AS (SELECT user_id AS k, event_type AS who, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_type, event_id) AS n FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL AND ts IS NOT NULL),
+r AS (SELECT k, n, who, us, who AS holder, us + 21600000000 AS ends, 'claimed' AS what, NULL::VARCHAR AS gone, NULL::BIGINT AS gone_at FROM e WHERE n = 1
+  UNION ALL SELECT e.k, e.n, e.who, e.us, CASE WHEN ends <= e.us OR holder = e.who THEN e.who ELSE holder END, CASE WHEN ends <= e.us OR holder = e.who THEN e.us + 21600000000 ELSE ends END,
+    CASE WHEN ends <= e.us THEN 'claimed' WHEN holder = e.who THEN 'renewed' ELSE 'refused' END, CASE WHEN ends <= e.us THEN holder END, CASE WHEN ends <= e.us THEN ends END FROM r JOIN e ON e.k = r.k AND e.n = r.n + 1)
+SELECT k AS key, who AS owner, what, us AS at FROM r UNION ALL SELECT k, gone, 'expired', gone_at FROM r WHERE gone IS NOT NULL
+UNION ALL SELECT k, arg_max(holder, n), 'expired', arg_max(ends, n) FROM r GROUP BY k HAVING arg_max(ends, n) // 1000 < (SELECT max(us) // 1000 - 86400000 FROM e)"""
+
+
+@query(LEASES)
+def q_stream_leases(spark, d):
+    """Events as requests of their type for the lease of a user, for six hours."""
+    from ..streaming import live
+
+    return _drained(spark, d, lambda s: live.leases(s, "user_id", "event_type", "ts", 6 * 3600), "append").select("key", "owner", "what", "at")
+
+
 @query()
 def q_udf_detector(spark, d):
     from ..operators import detect

@@ -265,3 +265,17 @@ def q_incremental_index(spark, d):
     for n, (a, b) in enumerate(zip(cuts, cuts[1:])):
         index.apply(e.where((F.col("event_id") >= a) & (F.col("event_id") < b)), n)
     return index.read()
+
+
+@query("""WITH f AS (SELECT doc_id, CASE WHEN lang = 'de' THEN left(text, 100) ELSE text END AS content, CASE WHEN lang = 'de' THEN 2 ELSE 1 END AS w FROM documents WHERE text IS NOT NULL)
+SELECT sha256(content) AS digest, CAST(any_value(strlen(content)) AS BIGINT) AS size, count(*) AS n_names, min(doc_id) AS name, CAST(max(w) AS BIGINT) AS latest FROM f GROUP BY 1""")
+def q_content_store(spark, d):
+    """Documents by digest; the German ones then become shorter, and what they were is collected unless others are the same."""
+    from ..sources.store import Store
+
+    docs = V.table(spark, d, "documents").select(F.col("doc_id").alias("name"), "text", "lang")
+    store = Store(spark, _scratch(spark))
+    store.put(docs.select("name", F.col("text").alias("content"), F.lit(1).alias("at")))
+    store.put(docs.where("lang = 'de'").select("name", F.left("text", F.lit(100)).alias("content"), F.lit(2).alias("at")))
+    store.sweep()
+    return store.index().withColumn("size", F.col("size").cast("long"))

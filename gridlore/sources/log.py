@@ -172,6 +172,12 @@ class Transaction:
         rows = rows.select(*self.log._read([], self.schema).columns)
         self._write(rows if rest is None else rest.select(*rows.columns).unionByName(rows), key)
 
+    def insert(self, rows: DataFrame, key: str) -> None:
+        """Add rows whose keys (a column `key`, no nulls) the version doesn't have; it's a conflict if someone else writes in their range."""
+        self.schema = self.schema or rows.schema.json()
+        self.low, self.high = rows.agg(F.min(key), F.max(key)).first()
+        self._write(rows.select(*self.log._read([], self.schema).columns), key)
+
     def _write(self, out: DataFrame, key: str) -> None:
         folder = f"data-{uuid.uuid4().hex}"
         out.repartitionByRange(key).write.parquet(f"{self.log.path}/{folder}")
@@ -190,7 +196,7 @@ class Transaction:
                 return at + 1
             at, base = at + 1, self.log.entry(at + 1)
             others = base["added"] + base["removed"]
-            if self.whole or any(f.meets(self.low, self.high) or any(f.meets(g.low, g.high) for g in self.removed) for f in others) or batch and base["ledger"].get(batch[0], -1) >= batch[1]:
+            if self.whole or any(self.low is not None and f.meets(self.low, self.high) or any(f.meets(g.low, g.high) for g in self.removed) for f in others) or batch and base["ledger"].get(batch[0], -1) >= batch[1]:
                 raise Conflict(f"version {at} of {self.log.path} has changed keys that this change was made from")
 
     def abandon(self) -> None:

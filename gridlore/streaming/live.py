@@ -54,3 +54,45 @@ def counter_shares(stream: DataFrame, key: str, seq: str, busy: str, total: str)
 
     kind = dict(stream.dtypes)[key]
     return stream.select(key, seq, busy, total).groupBy(key).applyInPandasWithState(step, f"key {kind}, seq long, share double", "busy double, total double", "append", GroupStateTimeout.NoTimeout)
+
+
+def leases(stream: DataFrame, key: str, owner: str, ts: str, ttl_s: float, late: str = "1 day") -> DataFrame:
+    """What becomes of each request for a key's lease: key, owner, what (claimed, renewed, refused, expired), at (microseconds).
+
+    A request takes a lease that nobody has or that has run out, renews its owner's, and is refused while someone else's runs. A lease runs
+    out ttl_s after it was taken or renewed last, and that is a row of its own: before the first request from then on, or, without one, by a
+    timer once the watermark has passed it. Requests of one time are ordered by owner; null owners and times ask for nothing; what comes later than the watermark is dropped.
+    The state of a key is the owner and the end of its lease, and goes with it. A key's requests of one micro-batch are held together: bound them by maxFilesPerTrigger.
+    """
+    ship(stream.sparkSession)
+    ttl = int(ttl_s * 1_000_000)
+
+    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        holder, end = state.get if state.exists else (None, 0)
+        out = []
+        if state.hasTimedOut:
+            out.append((holder, "expired", end))
+            holder = None
+        else:
+            for who, at in pd.concat(list(batches)).sort_values(["_us", "owner"])[["owner", "_us"]].itertuples(index=False):
+                if holder is not None and end <= at:
+                    out.append((holder, "expired", end))
+                    holder = None
+                if holder is not None and holder != who:
+                    out.append((who, "refused", at))
+                    continue
+                out.append((who, "claimed" if holder is None else "renewed", at))
+                holder, end = who, int(at) + ttl
+            if holder is not None and end // 1000 <= state.getCurrentWatermarkMs():
+                out.append((holder, "expired", end))
+                holder = None
+        if holder is None:
+            state.remove()
+        else:
+            state.update((holder, end))
+            state.setTimeoutTimestamp(end // 1000)
+        yield pd.DataFrame({"key": [k[0]] * len(out), "owner": [o[0] for o in out], "what": [o[1] for o in out], "at": [int(o[2]) for o in out]})
+
+    rows = event_time(stream, ts).where(f"{owner} is not null and {ts} is not null").select(F.col(key).alias("key"), F.col(owner).cast("string").alias("owner"), F.col(ts).alias("_ts"), F.unix_micros(ts).alias("_us"))
+    kind = dict(stream.dtypes)[key]
+    return rows.withWatermark("_ts", late).groupBy("key").applyInPandasWithState(step, f"key {kind}, owner string, what string, at long", "holder string, ends long", "append", GroupStateTimeout.EventTimeTimeout)

@@ -101,3 +101,21 @@ def test_a_batch_counts_once(spark, tmp_path):
     assert (5, 1, "q") not in held(log)
     upsert_stream(stream(), path, ["k"], "at", checkpoint).awaitTermination()
     assert (5, 1, "q") in held(log)
+
+
+def test_contents_are_stored_once_and_collected(spark, tmp_path):
+    from gridlore.sources.store import Store
+
+    store = Store(spark, str(tmp_path / "s"))
+    put = lambda *x: store.put(spark.createDataFrame(list(x), "name string, content string, at long"))
+    put(("a", "one", 1), ("b", "one", 1), ("c", "two", 1), ("c", "three", 2), (None, "nobody's", 1), ("d", None, 1))
+    sizes = lambda: sorted((r.size, r.n_names, r.name) for r in store.index().collect())
+    assert sizes() == [(3, 0, None), (3, 2, "a"), (5, 1, "c"), (8, 0, None)]
+    put(("b", "three", 3), ("a", "old news", 0))  # an older content of a name
+    assert sum(n for _, n, _ in sizes()) == 3 and (5, 2, "b") in sizes()
+    assert store.sweep(before=1) == 1 and store.sweep() == 2 and store.sweep() == 0
+    assert sizes() == [(3, 1, "a"), (5, 2, "b")]
+    put(("e", "two", 9))  # a collected content comes again
+    assert (3, 1, "e") in sizes()
+    store.put(spark.createDataFrame([], "name string, content string, at long"))
+    assert len(sizes()) == 3
