@@ -1,10 +1,9 @@
 """Black-box page detectors as functions of (image, parameters), run in Arrow batches with failures as rows.
 
 An image is a row: page_id, height, width, pixels (uint8, row by row; one or three channels). A
-detector returns a box [left, top, right, bottom] and a score, or none. Its exceptions become rows
-with status error; a parameter that a built-in detector does not take is one. Detectors from gradients,
-projections and one radial search are here, other radial searches in `radial`, those from regions, rays and lines in `outline`; callers may
-register their own. Those with BASELINES take the reference's parameters and follow its method.
+detector is a caller's function, which `register` names and which travels with the tasks; it returns a box
+[left, top, right, bottom] and a score, or none. Its exceptions become rows with status error. One by
+projections is built in.
 """
 
 from __future__ import annotations
@@ -25,27 +24,20 @@ Detector = Callable[[np.ndarray, dict], "tuple[list[int], float] | None"]
 REGISTRY: dict[str, Detector] = {}
 
 
-#: The reference's parameters and their baseline values, for detectors that follow its method.
-BASELINES: dict[str, dict] = {}
-
-
-def register(name: str, takes: str | dict | None = None):
-    """Registers a detector. takes has its parameters: names, or the reference's with their baseline values, which it is then given; others raise. None leaves all to the detector."""
+def register(name: str, takes: str | None = None):
+    """Registers a detector. takes has the names of its parameters; others raise. None leaves all to the detector."""
 
     def put(f: Detector) -> Detector:
         if takes is None:
             REGISTRY[name] = f
             return f
-        base = takes if isinstance(takes, dict) else {}
-        known = set(takes if base else takes.split())
-        if base:
-            BASELINES[name] = base
+        known = set(takes.split())
 
         @functools.wraps(f)
         def checked(image: np.ndarray, p: dict):
             if unknown := sorted(set(p) - known):
                 raise ValueError(f"unknown parameters of {name}: {', '.join(unknown)}")
-            return f(image, base | p)
+            return f(image, p)
 
         REGISTRY[name] = checked
         return checked
@@ -93,196 +85,6 @@ def projection_box(image: np.ndarray, p: dict):
     return [cols[0], rows[0], cols[1], rows[1]], float(mask[rows[0] : rows[1], cols[0] : cols[1]].mean())
 
 
-def within(p: dict, low: float, high: float, *names: str) -> None:
-    for n in names:
-        if not low <= p[n] <= high:
-            raise ValueError(f"{n} must be between {low} and {high}")
-
-
-def padded(box: list[int], share: float, shape: tuple[int, int]) -> list[int]:
-    n = int(round(min(shape) * share))
-    return [max(0, box[0] - n), max(0, box[1] - n), min(shape[1], box[2] + n), min(shape[0], box[3] + n)]
-
-
-def _along(a: np.ndarray, kernel: np.ndarray, axis: int) -> np.ndarray:
-    """A symmetric or antisymmetric kernel along an axis, mirrored at the borders without the border pixel."""
-    r = len(kernel) // 2
-    a = np.pad(a, [(r, r) if k == axis else (0, 0) for k in range(a.ndim)], "reflect")
-    n = a.shape[axis] - 2 * r
-    return sum(w * np.take(a, np.arange(k, k + n), axis) for k, w in enumerate(kernel))
-
-
-def gaussian(g: np.ndarray, sigma: float) -> np.ndarray:
-    """A blurred 8-bit image."""
-    if sigma <= 0:
-        return g
-    t = np.arange(-(n := (int(round(sigma * 6 + 1)) | 1) // 2), n + 1)
-    kernel = np.exp(-(t**2) / (2 * sigma**2))
-    return np.rint(_along(_along(g, kernel / kernel.sum(), 0), kernel / kernel.sum(), 1))
-
-
-def sobel(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Derivatives by x and y."""
-    d, m = np.array([-1.0, 0, 1]), np.array([1.0, 2, 1])
-    return _along(_along(g, d, 1), m, 0), _along(_along(g, m, 1), d, 0)
-
-
-def least_rectangle(points: np.ndarray) -> np.ndarray:
-    """Corners of the rectangle of least area about (x, y) points: it lies on an edge of their hull."""
-    pts = sorted(set(map(tuple, np.asarray(points, float).tolist())))
-    hull: list[tuple] = []
-    for seq in (pts, pts[::-1]):
-        part: list[tuple] = []
-        for q in seq:
-            while len(part) > 1 and (part[-1][0] - part[-2][0]) * (q[1] - part[-2][1]) <= (part[-1][1] - part[-2][1]) * (q[0] - part[-2][0]):
-                part.pop()
-            part.append(q)
-        hull += part[:-1]
-    h = np.array(hull or pts)
-    best = None
-    for dx, dy in np.roll(h, -1, 0) - h:
-        n = np.hypot(dx, dy) or 1.0
-        turn = np.array([[dx, -dy], [dy, dx]]) / n if n and (dx or dy) else np.eye(2)
-        low, high = (h @ turn).min(0), (h @ turn).max(0)
-        if best is None or np.prod(high - low) < best[0] - 1e-9:
-            best = np.prod(high - low), np.array([low, [high[0], low[1]], high, [low[0], high[1]]]) @ turn.T
-    return best[1]
-
-
-def _smooth(v: np.ndarray, share: float) -> np.ndarray:
-    if share <= 0 or v.size < 3:
-        return v
-    n = max(3, int(round(v.size * share))) | 1
-    fixed = {3: [1, 2, 1], 5: [1, 4, 6, 4, 1], 7: [2, 7, 14, 18, 14, 7, 2]}
-    kernel = np.array(fixed[n], float) if n in fixed else np.exp(-((np.arange(n) - n // 2) ** 2) / (2 * (0.3 * ((n - 1) * 0.5 - 1) + 0.8) ** 2))
-    return _along(v, kernel / kernel.sum(), 0)
-
-
-@register("gradient_vote", {"gaussian_sigma": 1.2, "border_search_fraction": 0.42, "central_band_fraction": 0.86, "gradient_percentile": 82.0, "vote_smooth_fraction": 0.012, "minimum_vote_support": 0.16, "minimum_span_fraction": 0.45, "minimum_area_fraction": 0.2, "support_weight": 0.55, "area_weight": 0.25, "rectangularity_weight": 0.2})
-def gradient_vote(image: np.ndarray, p: dict):
-    """The strongest mean gradient near each border, over a central band."""
-    within(p, 0.1, 0.4999999, "border_search_fraction")
-    within(p, 0.1, 1, "central_band_fraction")
-    within(p, 0, 100, "gradient_percentile")
-    within(p, 0, 0.1, "vote_smooth_fraction")
-    within(p, 0, 1, "minimum_vote_support", "minimum_span_fraction", "minimum_area_fraction")
-    within(p, 0, np.inf, "gaussian_sigma", "support_weight", "area_weight", "rectangularity_weight")
-    g = gray(image)
-    (h, w), profiles, ends, found = g.shape, [], [], []
-    if min(h, w) < 8:
-        return None
-    for axis, d in enumerate(map(np.abs, sobel(gaussian(g, p["gaussian_sigma"])))):
-        n, across = (w, h) if axis == 0 else (h, w)
-        margin = int(round(across * (1 - p["central_band_fraction"]) / 2))
-        cut = slice(margin, max(margin + 1, across - margin))
-        v = (d[cut].mean(0) if axis == 0 else d[:, cut].mean(1)).astype(np.float32)
-        profiles.append(v)
-        v, reach = _smooth(v, p["vote_smooth_fraction"]), max(2, int(round(n * p["border_search_fraction"])))
-        for start in (0, n - reach):
-            part = v[start : start + reach]
-            ends.append(start + int(part.argmax()))
-            found.append((float(part.max()), max(0.0, float(part.max() - np.median(part)) / float(part.max())) if part.max() > 0 else 0.0))
-    l, r, t, b = ends
-    if (r - l) / w < p["minimum_span_fraction"] or (b - t) / h < p["minimum_span_fraction"]:
-        return None
-    area = (r - l) * (b - t) / (w * h)
-    peak, prominence = np.array(found).T
-    level = max(float(np.percentile(np.concatenate(profiles), p["gradient_percentile"])), 1e-6)
-    support = 0.5 * float(np.clip(peak / level, 0, 1).mean()) + 0.5 * float(prominence.mean())
-    if area < p["minimum_area_fraction"] or support < p["minimum_vote_support"]:
-        return None
-    total = p["support_weight"] + p["area_weight"] + p["rectangularity_weight"]
-    return [l, t, r, b], (support * p["support_weight"] + area * p["area_weight"] + min(1.0, area / max(area, 1e-9)) * p["rectangularity_weight"]) / total
-
-
-@register("radial_edge", {"gaussian_sigma": 1.2, "ray_count": 96, "minimum_radius_fraction": 0.18, "maximum_radius_fraction": 0.72, "gradient_percentile": 82.0, "minimum_ray_support": 0.45, "minimum_area_fraction": 0.18, "maximum_area_fraction": 0.98, "area_weight": 0.35, "support_weight": 0.45, "rectangularity_weight": 0.2})
-def radial_edge(image: np.ndarray, p: dict):
-    """The steepest place of each ray from the middle, and the rectangle of least area about them."""
-    within(p, 16, np.inf, "ray_count")
-    within(p, 0, 1, "minimum_radius_fraction", "maximum_radius_fraction", "minimum_ray_support", "minimum_area_fraction", "maximum_area_fraction")
-    within(p, 0, 100, "gradient_percentile")
-    within(p, 0, np.inf, "gaussian_sigma", "area_weight", "support_weight", "rectangularity_weight")
-    if p["minimum_radius_fraction"] >= p["maximum_radius_fraction"] or p["minimum_area_fraction"] > p["maximum_area_fraction"]:
-        raise ValueError("a minimum is over its maximum")
-    g = gray(image)
-    h, w = g.shape
-    if min(h, w) < 16:
-        return None
-    s, far, rays = np.hypot(*sobel(gaussian(g, p["gaussian_sigma"]))), float(np.hypot(w, h) / 2), int(p["ray_count"])
-    radii = np.arange(max(1.0, far * p["minimum_radius_fraction"]), far * p["maximum_radius_fraction"] + 1)
-    level, points, strengths = float(np.percentile(s, p["gradient_percentile"])), [], []
-    for angle in np.linspace(0, 2 * np.pi, rays, endpoint=False):
-        at = np.array([(w - 1) / 2, (h - 1) / 2]) + radii[:, None] * np.array([np.cos(angle), np.sin(angle)])
-        x, y = np.rint(at).astype(int).T
-        on = (x >= 0) & (x < w) & (y >= 0) & (y < h)
-        v = s[y[on], x[on]]
-        if v.size and v.max() >= level:
-            points.append(at[on][v.argmax()])
-            strengths.append(float(v.max()))
-    support = len(points) / rays
-    if len(points) < 4 or support < p["minimum_ray_support"]:
-        return None
-    corners = least_rectangle(np.array(points))
-    area = float(np.prod(np.hypot(*(corners[1:3] - corners[:2]).T))) / (w * h)
-    if not p["minimum_area_fraction"] <= area <= p["maximum_area_fraction"]:
-        return None
-    (l, t), (r, b) = np.rint(corners).astype(int).min(0), np.rint(corners).astype(int).max(0) + 1
-    strength = float(np.clip(np.array(strengths) / max(level, 1e-6), 0, 2).mean() / 2)
-    total = p["area_weight"] + p["support_weight"] + p["rectangularity_weight"]
-    square = min(1.0, area * w * h / max(float((r - l) * (b - t)), 1.0))
-    return [int(l), int(t), int(r), int(b)], (area * p["area_weight"] + (0.5 * support + 0.5 * strength) * p["support_weight"] + square * p["rectangularity_weight"]) / total
-
-
-def _turned(a: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """a moved by an affine map (2 x 3), with linear interpolation, 0 from outside."""
-    h, w = a.shape
-    back = np.linalg.inv(m[:, :2])
-    x, y = np.tensordot(back, np.stack(np.meshgrid(np.arange(w), np.arange(h))) - m[:, 2][:, None, None], 1)
-    x0, y0 = np.floor(x).astype(int), np.floor(y).astype(int)
-    a, out = np.pad(a, 1), 0.0
-    for dy in (0, 1):
-        for dx in (0, 1):
-            share = np.abs(1 - dx - (x - x0)) * np.abs(1 - dy - (y - y0))
-            out = out + share * a[np.clip(y0 + dy + 1, 0, h + 1), np.clip(x0 + dx + 1, 0, w + 1)]
-    return out
-
-
-def _outer_pair(v: np.ndarray, prominence: float) -> tuple[int, int] | None:
-    n = len(v)
-    if n < 8:
-        return None
-    a, b, level = int(v[: n // 2].argmax()), int(v[n // 2 :].argmax()) + n // 2, float(np.median(v)) + 1e-6
-    return None if v[a] / level < prominence or v[b] / level < prominence else (a, b)
-
-
-@register("radon_boundary", {"angle_limit_degrees": 8.0, "angle_step_degrees": 1.0, "edge_percentile": 82.0, "projection_smooth_fraction": 0.012, "minimum_peak_prominence": 1.25, "bbox_padding_fraction": 0.0})
-def radon_boundary(image: np.ndarray, p: dict):
-    """Outer peaks of the strong gradients' row and column sums, at the angle that has the largest; the box of the turned-back rectangle."""
-    if p["angle_step_degrees"] <= 0:
-        raise ValueError("angle_step_degrees must be over 0")
-    s = np.hypot(*sobel(gray(image)))
-    s = np.where(s >= np.percentile(s, p["edge_percentile"]), s, 0)
-    (h, w), best = s.shape, None
-    for angle in np.arange(-p["angle_limit_degrees"], p["angle_limit_degrees"] + p["angle_step_degrees"] * 0.5, p["angle_step_degrees"]):
-        c, d = np.cos(np.deg2rad(angle)), np.sin(np.deg2rad(angle))
-        m = np.array([[c, d, (1 - c) * w / 2 - d * h / 2], [-d, c, d * w / 2 + (1 - c) * h / 2]])
-        turned, sides, score = _turned(s, m), [], 0.0
-        for v in (turned.sum(0), turned.sum(1)):
-            n = max(1, int(round(len(v) * p["projection_smooth_fraction"])))
-            v = np.convolve(v, np.ones(n) / n, "same")
-            if pair := _outer_pair(v, p["minimum_peak_prominence"]):
-                sides.append(pair)
-                score += float(v[pair[0]] + v[pair[1]])
-        if len(sides) == 2 and (best is None or score > best[0]):
-            best = score, sides, m
-    if best is None:
-        return None
-    score, ((l, r), (t, b)), m = best
-    x, y = np.linalg.inv(m[:, :2]) @ (np.array([[l, r, r, l], [t, t, b, b]]) - m[:, 2:])
-    box = [int(np.floor(x.min())), int(np.floor(y.min())), int(np.floor(x.max())) + 1, int(np.floor(y.max())) + 1]
-    return padded(box, p["bbox_padding_fraction"], s.shape), min(1.0, score / max(float(s.sum()), 1.0) * 6)
-
-
 SCHEMA = "page_id long, method string, parameters string, status string, box array<int>, score double, error string"
 
 
@@ -315,35 +117,47 @@ def detect(images: DataFrame, sets: DataFrame) -> DataFrame:
             status, error = "error", traceback.format_exc(limit=1)
         return method, parameters, status, box, score, error
 
+    columns = ["page_id", "method", "parameters", "status", "box", "score", "error"]
+
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            rows: list[tuple] = []
             for r in batch.itertuples():
                 try:
                     image = pixels(r.pixels, r.height, r.width)
-                    rows = [(r.page_id, *one(image, *x)) for x in shared.value]
+                    rows += [(r.page_id, *one(image, *x)) for x in shared.value]
                 except Exception:
-                    rows = [(r.page_id, *x, "error", None, 0.0, traceback.format_exc(limit=1)) for x in shared.value]
-                yield pd.DataFrame(rows, columns=["page_id", "method", "parameters", "status", "box", "score", "error"])
+                    rows += [(r.page_id, *x, "error", None, 0.0, traceback.format_exc(limit=1)) for x in shared.value]
+                if len(rows) >= 5000:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows = []
+            if rows:
+                yield pd.DataFrame(rows, columns=columns)
 
     return images.select("page_id", "height", "width", "pixels").mapInPandas(run, SCHEMA)
 
 
-def rectangles(spark, n: int, height: int = 240, width: int = 320) -> DataFrame:
-    """Synthetic pages: a bright rectangle on a dark ground, at a place that depends on page_id."""
+def drawn(boxes: DataFrame, height: int = 240, width: int = 320) -> DataFrame:
+    """Images of boxes (page_id, expected: left, top, right, bottom): a bright rectangle on a dark ground with some noise."""
 
     def draw(batches):
         for b in batches:
             out = []
-            for k in b.id:
-                rng = np.random.default_rng(int(k))
-                l, t = (int(x) for x in rng.integers(20, 50, 2))
-                image = np.full((height, width), 8, np.uint8) + rng.integers(0, 6, (height, width), dtype=np.uint8)
-                image[t : height - 30, l : width - 45] = 215
-                out.append((int(k), height, width, image.tobytes(), [l, t, width - 45, height - 30]))
+            for k, box in zip(b.page_id, b.expected):
+                left, top, right, bottom = (int(x) for x in box)
+                image = np.random.default_rng(abs(int(k))).integers(8, 14, (height, width), dtype=np.uint8)
+                image[top:bottom, left:right] = 215
+                out.append((int(k), height, width, image.tobytes(), [left, top, right, bottom]))
             yield pd.DataFrame(out, columns=["page_id", "height", "width", "pixels", "expected"])
 
-    ship(spark)
-    return spark.range(n).mapInPandas(draw, "page_id long, height int, width int, pixels binary, expected array<int>")
+    ship(boxes.sparkSession)
+    return boxes.select("page_id", "expected").mapInPandas(draw, "page_id long, height int, width int, pixels binary, expected array<int>")
+
+
+def rectangles(spark, n: int) -> DataFrame:
+    """Pages whose place depends on their number."""
+    k = F.col("id")
+    return drawn(spark.range(n).select(k.alias("page_id"), F.array(20 + k * 7 % 30, 20 + k * 11 % 30, F.lit(275), F.lit(210)).alias("expected")))
 
 
 def catalogue(spark) -> DataFrame:
@@ -352,6 +166,3 @@ def catalogue(spark) -> DataFrame:
 
 def method_summary(found: DataFrame) -> DataFrame:
     return found.groupBy("method").agg(F.count("*").alias("n"), F.count(F.when(F.col("status") == "ok", 1)).alias("n_ok"), F.count(F.when(F.col("status") == "error", 1)).alias("n_error"))
-
-
-from . import outline, radial  # noqa: E402, F401  their detectors register themselves

@@ -689,32 +689,65 @@ def q_stream_leases(spark, d):
     return _drained(spark, d, lambda s: live.leases(s, "user_id", "event_type", "ts", 6 * 3600), "append").select("key", "owner", "what", "at")
 
 
-@query()
-def q_udf_detector(spark, d):
+PAGES = "p AS (SELECT o_orderkey AS page_id, CAST(3 + o_custkey % 20 AS INT) AS l, CAST(2 + o_orderkey % 15 AS INT) AS t, CAST(30 + o_custkey % 31 AS INT) AS r, CAST(22 + o_orderkey % 23 AS INT) AS b FROM orders)"
+
+
+def _drawn(rows, page: str, other: str, scale: int = 1):
+    """Rows as pages with a box each, which two numbers place."""
     from ..operators import detect
 
-    sets = spark.createDataFrame([("projection_box", '{"share": 0.25}'), ("projection_box", '{"share": 0.5}'), ("radial_edge", "{}"), ("missing", "{}")], "method string, parameters string")
-    pages = detect.rectangles(spark, 24)
-    found = detect.detect(pages, sets)
-    return found.join(pages.select("page_id", "expected"), "page_id").select("page_id", "method", "parameters", "status", S.box_iou(F.col("expected"), F.col("box")).alias("iou"))
+    k, c = F.col(page), F.col(other)
+    box = F.transform(F.array(3 + c % 20, 2 + k % 15, 30 + c % 31, 22 + k % 23), lambda x: (x * scale).cast("int"))
+    return detect.drawn(rows.select(k.alias("page_id"), box.alias("expected")), 48 * scale, 64 * scale)
 
 
-@query()
+def _detectors(spark, d):
+    """Two detectors of a caller's on orders as pages: one that finds what is bright, one that fails on pages whose box starts at the third column."""
+    from ..operators import detect
+
+    def bright(image, p):
+        ys, xs = (image > p.get("least", 100)).nonzero()
+        return ([xs.min(), ys.min(), xs.max() + 1, ys.max() + 1], 1.0) if len(ys) else None
+
+    def odd(image, p):
+        box, score = bright(image, p)
+        if box[0] == 3:
+            raise ValueError("a page like this has no name")
+        return box, score
+
+    detect.register("bright", "least")(bright)
+    detect.register("odd")(odd)
+    try:
+        sets = spark.createDataFrame([("bright", "{}"), ("bright", '{"least": 250}'), ("odd", None), ("absent", "{}")], "method string, parameters string")
+        return detect.detect(_drawn(V.table(spark, d, "orders"), "o_orderkey", "o_custkey"), sets)
+    finally:
+        del detect.REGISTRY["bright"], detect.REGISTRY["odd"]
+
+
+SETS = "s AS (SELECT * FROM (VALUES ('bright', '{}'), ('bright', '{\"least\": 250}'), ('odd', NULL), ('absent', '{}')) s(method, parameters)), f AS (SELECT *, CASE WHEN method = 'absent' OR (method = 'odd' AND l = 3) THEN 'error' WHEN parameters = '{\"least\": 250}' THEN 'no_candidate' ELSE 'ok' END AS status FROM p, s)"
+
+
+@query(f"WITH {PAGES}, {SETS} SELECT page_id, method, parameters, status, CASE WHEN status = 'ok' THEN l || ',' || t || ',' || r || ',' || b END AS box FROM f")
+def q_udf_detector(spark, d):
+    return _detectors(spark, d).select("page_id", "method", "parameters", "status", F.array_join(F.col("box").cast("array<string>"), ",").alias("box"))
+
+
+@query(f"WITH {PAGES}, {SETS} SELECT method, count(*) AS n, count(*) FILTER (status = 'ok') AS n_ok, count(*) FILTER (status = 'error') AS n_error FROM f GROUP BY method")
 def q_udtf_multi(spark, d):
     from ..operators import detect
 
-    return detect.method_summary(detect.detect(detect.rectangles(spark, 24), detect.catalogue(spark).select("method", F.lit("{}").alias("parameters"))))
+    return detect.method_summary(_detectors(spark, d))
 
 
 @query()
 def q_page_analysis(spark, d):
-    from ..operators import detect, pages
+    from ..operators import pages
 
-    return pages.analyse(detect.rectangles(spark, 12)).select("page_id", "box", "score", "status", "skew", "entropy")
+    return pages.analyse(_drawn(V.table(spark, d, "supplier"), "s_suppkey", "s_nationkey", 4)).select("page_id", "box", "score", "status", "skew", "entropy")
 
 
 @query()
 def q_document_boxes(spark, d):
-    from ..operators import detect, pages
+    from ..operators import pages
 
-    return pages.detect_document(detect.rectangles(spark, 12), "projection_box", longest=200).select("page_id", "status", "box")
+    return pages.detect_document(_drawn(V.table(spark, d, "supplier"), "s_suppkey", "s_nationkey", 4), "projection_box", longest=200).select("page_id", "status", "box")

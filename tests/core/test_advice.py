@@ -1,56 +1,12 @@
-import itertools
-import json
-
-import numpy as np
 import pytest
 
 from gridlore.operators import detect
 
 
-def page(height=240, width=320, box=(60, 50, 260, 190), angle=0.0):
-    """A bright page on a dark ground, turned about its middle."""
-    y, x = np.mgrid[:height, :width].astype(float)
-    cx, cy = (box[0] + box[2]) / 2, (box[1] + box[3]) / 2
-    c, s = np.cos(np.deg2rad(angle)), np.sin(np.deg2rad(angle))
-    u, v = c * (x - cx) + s * (y - cy), -s * (x - cx) + c * (y - cy)
-    on = (abs(u) <= (box[2] - box[0]) / 2) & (abs(v) <= (box[3] - box[1]) / 2)
-    ys, xs = np.nonzero(on)
-    noise = np.random.default_rng(1).integers(0, 6, (height, width))
-    return np.where(on, 215, 8 + noise).astype(np.uint8), [int(xs.min()), int(ys.min()), int(xs.max()) + 1, int(ys.max()) + 1]
-
-
-@pytest.mark.parametrize("angle", [-6.0, 0.0, 3.0, 7.0])
-@pytest.mark.parametrize("name", ["contour", "radial_edge", "radon_boundary"])
-def test_tilted_pages(name, angle):
-    image, want = page(angle=angle)
-    box, _ = detect.REGISTRY[name](image, {})
-    assert max(abs(a - b) for a, b in zip(box, want)) <= 4, (box, want)
-
-
 def test_unknown_parameters_raise(spark):
-    for name, f in detect.REGISTRY.items():
-        with pytest.raises(ValueError, match="unknown parameters"):
-            f(page()[0], {"no_such_parameter": 1})
-    sets = spark.createDataFrame([("radon_boundary", '{"share": 1}'), ("ransac", '{"scan_samples": 140}'), ("radon_boundary", '{"bbox_padding_fraction": 0.1}')], "method string, parameters string")
-    assert sorted((r.method, r.parameters, r.status) for r in detect.detect(detect.rectangles(spark, 1), sets).collect()) == [
-        ("radon_boundary", '{"bbox_padding_fraction": 0.1}', "ok"), ("radon_boundary", '{"share": 1}', "error"), ("ransac", '{"scan_samples": 140}', "error")]
-
-
-def test_sets_of_a_grid_differ(spark):
-    image, _ = page(angle=7)
-    grids = {
-        "radon_boundary": {"angle_limit_degrees": [4.0, 8.0], "angle_step_degrees": [1.0, 2.0], "bbox_padding_fraction": [0.0, 0.016]},
-        "radial_edge": {"maximum_radius_fraction": [0.4, 0.72], "area_weight": [0.35, 0.6]},
-        "contour": {"minimum_contour_area_fraction": [0.12, 0.9], "bbox_padding_fraction": [0.0, 0.05], "rectangularity_weight": [0.25, 0.5]},
-        "gradient_vote": {"minimum_area_fraction": [0.2, 0.9], "support_weight": [0.55, 0.3]},
-    }
-    for name, grid in grids.items():
-        assert set(grid) <= set(detect.BASELINES[name])
-        found = {k: {} for k in grid}
-        for values in itertools.product(*grid.values()):
-            p = dict(zip(grid, values))
-            got = json.dumps(detect.REGISTRY[name](image, p), default=float)
-            for k in grid:
-                found[k].setdefault(json.dumps({j: v for j, v in p.items() if j != k}), set()).add(got)
-        for k, groups in found.items():
-            assert max(map(len, groups.values())) == 2, (name, k)
+    pages = detect.rectangles(spark, 1)
+    with pytest.raises(ValueError, match="unknown parameters"):
+        detect.REGISTRY["projection_box"](detect.np.zeros((40, 40), "uint8"), {"no_such_parameter": 1})
+    sets = spark.createDataFrame([("projection_box", '{"share": 0.5}'), ("projection_box", '{"scan_samples": 140}'), ("projection_box", "{}")], "method string, parameters string")
+    assert sorted((r.method, r.parameters, r.status) for r in detect.detect(pages, sets).collect()) == [
+        ("projection_box", '{"scan_samples": 140}', "error"), ("projection_box", '{"share": 0.5}', "ok"), ("projection_box", "{}", "ok")]
