@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -137,21 +138,36 @@ def detect(images: DataFrame, sets: DataFrame) -> DataFrame:
     return images.select("page_id", "height", "width", "pixels").mapInPandas(run, SCHEMA)
 
 
+#: Bytes of pixels that a task draws at most, and the rows that are worth a task.
+DRAWN_BYTES, DRAWN_ROWS = 16 << 20, 32
+
+
 def drawn(boxes: DataFrame, height: int = 240, width: int = 320) -> DataFrame:
-    """Images of boxes (page_id, expected: left, top, right, bottom): a bright rectangle on a dark ground with some noise."""
+    """Images of boxes (page_id, expected: left, top, right, bottom): a bright rectangle on a dark ground with some noise.
+
+    The rows, which are small, are dealt out first: a file of them that is one task to read makes pages for many.
+    """
 
     def draw(batches):
-        for b in batches:
-            out = []
-            for k, box in zip(b.page_id, b.expected):
-                left, top, right, bottom = (int(x) for x in box)
-                image = np.random.default_rng(abs(int(k))).integers(8, 14, (height, width), dtype=np.uint8)
-                image[top:bottom, left:right] = 215
-                out.append((int(k), height, width, image.tobytes(), [left, top, right, bottom]))
-            yield pd.DataFrame(out, columns=["page_id", "height", "width", "pixels", "expected"])
-
-    ship(boxes.sparkSession)
-    return boxes.select("page_id", "expected").mapInPandas(draw, "page_id long, height int, width int, pixels binary, expected array<int>")
+        for whole in batches:
+            for b in (whole.slice(k, step) for k in range(0, whole.num_rows, step)):
+                images = np.empty((b.num_rows, height, width), np.uint8)
+                for image, k, box in zip(images, b.column("page_id").to_pylist(), b.column("expected").to_pylist()):
+                    left, top, right, bottom = box
+                    image[:] = np.random.default_rng(abs(k)).integers(8, 14, (height, width), dtype=np.uint8)
+                    image[top:bottom, left:right] = 215
+                ends = pa.py_buffer(np.arange(b.num_rows + 1, dtype=np.int32) * (height * width))
+                pixels = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, ends, pa.py_buffer(images)])
+                size = [pa.array(np.full(b.num_rows, x, np.int32)) for x in (height, width)]
+                yield pa.RecordBatch.from_arrays([b.column("page_id"), *size, pixels, b.column("expected")], ["page_id", "height", "width", "pixels", "expected"])
+
+    spark = boxes.sparkSession
+    ship(spark)
+    step = max(1, (DRAWN_BYTES // 4) // max(1, height * width))
+    rows = boxes.select(F.col("page_id").cast("long").alias("page_id"), F.col("expected").cast("array<int>").alias("expected"))
+    n = rows.count()
+    tasks = max(-(-n * height * width // DRAWN_BYTES), min(spark.sparkContext.defaultParallelism, n // DRAWN_ROWS), 1)
+    return rows.repartition(tasks, "page_id").mapInArrow(draw, "page_id long, height int, width int, pixels binary, expected array<int>")
 
 
 def rectangles(spark, n: int) -> DataFrame:
