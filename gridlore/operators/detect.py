@@ -14,7 +14,6 @@ import traceback
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -100,6 +99,11 @@ def pixels(raw: bytes, height: int, width: int) -> np.ndarray:
 
 def detect(images: DataFrame, sets: DataFrame) -> DataFrame:
     """Every (method, parameters) row on every image. An image goes to Python once: the sets (a search's, small by contract, their size is checked) are broadcast, and images are never shuffled."""
+    return found(images, sets).drop("height", "width")
+
+
+def found(images: DataFrame, sets: DataFrame, before: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """As `detect`, with the height and width of the given image. before: what is done to an image first, in the same task."""
     spark = images.sparkSession
     ship(spark)
     own = {n: f for n, f in REGISTRY.items() if not f.__module__.startswith(__package__)}  # registered by a caller: they travel with the task
@@ -111,31 +115,47 @@ def detect(images: DataFrame, sets: DataFrame) -> DataFrame:
     def one(image: np.ndarray, method: str, parameters: str | None) -> tuple:
         status, box, score, error = "no_candidate", None, 0.0, None
         try:
-            found = (own.get(method) or REGISTRY[method])(image, json.loads(parameters or "{}"))
-            if found:
-                status, box, score = "ok", [int(x) for x in found[0]], float(found[1])
+            at = (own.get(method) or REGISTRY[method])(image, json.loads(parameters or "{}"))
+            if at:
+                status, box, score = "ok", [int(x) for x in at[0]], float(at[1])
         except Exception:  # a failed page is a row
-            status, error = "error", traceback.format_exc(limit=1)
+            status, box, score, error = "error", None, 0.0, traceback.format_exc(limit=1)
         return method, parameters, status, box, score, error
 
-    columns = ["page_id", "method", "parameters", "status", "box", "score", "error"]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.float64(), pa.string()]
+    names = ["page_id", "height", "width", "method", "parameters", "status", "box", "score", "error"]
+
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unknown: dict[str, tuple] = {}  # methods that nobody registered fail alike on all images
         for batch in batches:
             rows: list[tuple] = []
-            for r in batch.itertuples():
+            for k, h, w, raw in zip(*(batch.column(n).to_pylist() for n in ("page_id", "height", "width")), batch.column("pixels")):
                 try:
-                    image = pixels(r.pixels, r.height, r.width)
-                    rows += [(r.page_id, *one(image, *x)) for x in shared.value]
+                    image = pixels(raw.as_buffer(), h, w)
+                    if before:
+                        image = before(image)
                 except Exception:
-                    rows += [(r.page_id, *x, "error", None, 0.0, traceback.format_exc(limit=1)) for x in shared.value]
+                    said = traceback.format_exc(limit=1)
+                    rows += [(k, h, w, *x, "error", None, 0.0, said) for x in shared.value]
+                else:
+                    for x in shared.value:
+                        if x[0] not in own and x[0] not in REGISTRY:
+                            if x not in unknown:
+                                unknown[x] = one(image, *x)
+                            rows.append((k, h, w, *unknown[x]))
+                        else:
+                            rows.append((k, h, w, *one(image, *x)))
                 if len(rows) >= 5000:
-                    yield pd.DataFrame(rows, columns=columns)
+                    yield table(rows)
                     rows = []
             if rows:
-                yield pd.DataFrame(rows, columns=columns)
+                yield table(rows)
 
-    return images.select("page_id", "height", "width", "pixels").mapInPandas(run, SCHEMA)
+    rows = images.select(F.col("page_id").cast("long").alias("page_id"), F.col("height").cast("int").alias("height"), F.col("width").cast("int").alias("width"), "pixels")
+    return rows.mapInArrow(run, SCHEMA.replace("page_id long", "page_id long, height int, width int"))
 
 
 #: Bytes of pixels that a task draws at most, and the rows that are worth a task.
