@@ -706,8 +706,9 @@ def _detectors(spark, d):
     from ..operators import detect
 
     def bright(image, p):
-        ys, xs = (image > p.get("least", 100)).nonzero()
-        return ([xs.min(), ys.min(), xs.max() + 1, ys.max() + 1], 1.0) if len(ys) else None
+        on = image > p.get("least", 100)
+        ys, xs = (on.any(a).nonzero()[0] for a in (1, 0))
+        return ([xs[0], ys[0], xs[-1] + 1, ys[-1] + 1], 1.0) if len(ys) else None
 
     def odd(image, p):
         box, score = bright(image, p)
