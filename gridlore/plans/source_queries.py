@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from ..sources import files as L
 from ..sources import indices as I
 from ..sources import sinks as W
@@ -97,9 +98,19 @@ def q_nested_results(spark, d):
 
 
 # telemetry: a file for each supplier's lines
+#: Files that a task writes at most.
+FILES = 100
+
+
 def _telemetry(spark, rows: DataFrame):
-    """Files of rows (file, value), read again; a file is a folder's only one here, and the folder has its name."""
-    rows.write.partitionBy("file").text(path := _scratch(spark))
+    """Files of rows (file, value), read again; a file is a folder's only one here, and the folder has its name.
+
+    A task writes up to FILES of them into a folder of its own and moves them to their place itself; else one task, which the little
+    text seems to ask for, writes all, the driver moves them one by one, and the reader lists them by as many tasks.
+    """
+    rows = cut(rows)
+    tasks = max(1, -(-rows.count() // FILES))
+    rows.repartition(tasks, "file").withColumn("part", F.spark_partition_id()).write.partitionBy("part", "file").option("mapreduce.fileoutputcommitter.algorithm.version", 2).text(path := _scratch(spark))
     return I.telemetry(spark, path, "*.txt", r"file=([^/]+)/")
 
 
