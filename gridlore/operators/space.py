@@ -45,16 +45,26 @@ def same_keys(a: Column, b: Column) -> Column:
     return F.array_sort(F.map_keys(a)) == F.array_sort(F.map_keys(b))
 
 
+#: Sets that a task takes: what they are members of is told apart there.
+SETS_A_TASK = 100_000
+
+
 def memberships(sets: DataFrame, explicit: DataFrame, grids: DataFrame) -> DataFrame:
     """(set, build) pairs: builds that name the set's digest, or whose grid holds each of its values and no other parameter.
 
-    sets: id, digest, parameters (map of JSON text); explicit: build, digest; grids: build, name, value. All joins are on equal keys.
+    sets: id, digest, parameters (map of JSON text); explicit: build, digest; grids: build, name, value. All joins are on equal keys:
+    a grid meets the sets that have its names and one of its values of the first of them, and the other values are looked up in the row.
     """
-    named = sets.select("id", "digest").join(explicit.select("build", "digest"), "digest").select("id", "build")
-    names = grids.groupBy("build").agg(F.count_distinct("name").alias("_names"))
-    pairs = sets.select("id", F.size("parameters").alias("_n"), F.explode("parameters").alias("name", "value"))
-    inside = pairs.join(grids.distinct(), ["name", "value"]).groupBy("id", "build", "_n").agg(F.count("*").alias("_hit"))
-    return named.unionByName(inside.join(names, "build").where((F.col("_hit") == F.col("_n")) & (F.col("_names") == F.col("_n"))).select("id", "build")).distinct()
+    spread = sets.select("id", "digest", "parameters").repartition(max(1, -(-sets.count() // SETS_A_TASK)), "id")
+    named = spread.join(explicit.select("build", "digest").distinct(), "digest").select("id", "build")
+    one = grids.where("build is not null and name is not null").groupBy("build", "name").agg(F.collect_set("value").alias("_values"))
+    one = one.groupBy("build").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "_values")))).alias("_grid"))
+    one = one.withColumn("_names", F.array_sort(F.map_keys("_grid"))).select("build", "_grid", "_names", F.explode(F.col("_grid")[F.col("_names")[0]]).alias("_first"))
+    names = F.array_sort(F.map_keys("parameters"))
+    keyed = spread.where(F.size("parameters") > 0).select("id", "parameters", names.alias("_names"), F.col("parameters")[names[0]].alias("_first"))
+    held = lambda k, v: F.array_contains(F.col("_grid")[k], v)
+    inside = keyed.join(F.broadcast(one), ["_names", "_first"]).where(F.forall(F.map_entries("parameters"), lambda e: F.coalesce(held(e["key"], e["value"]), F.lit(False)))).select("id", "build")
+    return named.unionByName(inside).distinct()
 
 
 def build_order(build: str, date: str) -> list[Column]:
