@@ -8,10 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, drop
+from ..session import dealt, drop
 
 # The share of the best rate that is near it, and the widest gap that is filled before the search goes on.
 NEAR_BEST, SMALL_GAP = 0.98, 3
+# Facts of a bucket, more or less, where they are dealt out by their search.
+FACTS = 500_000
 
 
 # the next shape
@@ -69,10 +71,23 @@ def next_probe(groups: DataFrame, observations: DataFrame, by: list[str], near:
 
 
 # refinement
-def lookup(facts: DataFrame, key: str, dims: list[str], cost: str) -> Callable[[DataFrame], DataFrame]:
-    """An evaluation of sets by the facts measured for them, null where there are none."""
-    known = facts.groupBy(key, *dims).agg(F.min(F.col(cost).cast("double")).alias("cost"))
-    return lambda sets: sets.join(known, [key, *dims], "left")
+class lookup:
+    """An evaluation of sets by the facts measured for them, null where there are none.
+
+    known: key, dims, cost of each set once, dealt out by key when this is made. Sets that are dealt alike find their cost in place.
+    """
+
+    def __init__(self, facts: DataFrame, key: str, dims: list[str], cost: str):
+        self.key, self.dims = key, dims
+        self.buckets = max(facts.sparkSession.sparkContext.defaultParallelism, -(-facts.count() // FACTS))
+        known = facts.select(key, *dims, F.col(cost).cast("double").alias("cost")).repartition(self.buckets, key).groupBy(key, *dims).agg(F.min("cost").alias("cost"))
+        self.known = dealt(known, key, self.buckets, spread=False)
+
+    def __call__(self, sets: DataFrame) -> DataFrame:
+        known = self.known.select(F.col(self.key).alias("_key"), *(F.col(d).alias(f"_of_{d}") for d in self.dims), "cost")
+        # two bounds for an equality, which would be one more key of the join, by which both sides would be dealt out anew
+        same = [(F.col(d) >= F.col(f"_of_{d}")) & (F.col(d) <= F.col(f"_of_{d}")) for d in self.dims]
+        return sets.hint("shuffle_hash").join(known, functools.reduce(lambda a, b: a & b, same, F.col(self.key) == F.col("_key")), "left").select(*sets.columns, "cost")
 
 
 def domains(facts: DataFrame, key: str, dims: list[str]) -> DataFrame:
@@ -90,55 +105,68 @@ def refine(starts: DataFrame, evaluate: Callable[[DataFrame], DataFrame], key: s
     `radius` places follow. Ties go to what was there before, then to the lower place. `evaluate` gets rows with key and dims (and columns
     that it must keep), of all searches in one table and never a set of a search twice, and adds their cost; a null cost is worse than all others.
 
-    The searches are a table, a row each with what it has seen so far; a step is one job that writes it anew, so a lost executor
-    costs one step. There are as many steps as passes x dimensions x the logarithm of the longest domain.
+    The searches are a table, a row each with what it has seen so far, which is written anew for each dimension of a pass; a step between is one
+    job that writes its interval and what it has found in this dimension, so a lost executor costs one step. Both are dealt out by key, as the facts
+    of a `lookup` are, so that a step moves no rows but those that another `evaluate` moves. There are as many steps as passes x dimensions
+    x the logarithm of the longest domain. Searches whose key is null are none.
     """
     kinds = ", ".join(f"{d}: {dict(starts.dtypes)[d][6:-1]}" for d in dims)
     seen_type, worst = f"array<struct<{kinds}, cost: double>>", F.lit(float("inf"))
+    none = F.expr(f"cast(array() as {seen_type})")
     at = {d: F.element_at(F.col(f"_v_{d}"), F.col(f"_at_{d}") + 1) for d in dims}
-    longest = starts.agg(*(F.max(F.size(d)).alias(d) for d in dims)).first()
-    state = starts.select(key, *(F.col(d).alias(f"_v_{d}") for d in dims), *(F.col(f"start_{d}").cast("int").alias(f"_at_{d}") for d in dims))
-    state = evaluate(state.select("*", *(c.alias(d) for d, c in at.items()))).withColumn("_seen", F.array(F.struct(*dims, F.col("cost").cast("double").alias("cost"))).cast(seen_type))
-    state = cut(state.withColumns({"_cost": F.coalesce(F.col("cost").cast("double"), worst), "_moves": F.lit(True), "_moved": F.lit(False)}).drop(*dims, "cost"))
-
-    def costs(sets: DataFrame) -> DataFrame:
-        """sets (key, dims, _seen, others) with cost and whether it is new."""
-        same = lambda x: functools.reduce(lambda a, b: a & b, (x[d] == F.col(d) for d in dims))
-        sets = sets.withColumn("_was", F.try_element_at(F.filter("_seen", same), F.lit(1))).drop("_seen")
-        new = evaluate(sets.where("_was is null").drop("_was")).withColumns({"cost": F.col("cost").cast("double"), "_new": F.lit(True)})
-        return sets.where("_was is not null").withColumns({"cost": F.col("_was.cost"), "_new": F.lit(False)}).drop("_was").unionByName(new)
+    buckets = getattr(evaluate, "buckets", None) or int(starts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    first = dealt(starts.where(F.col(key).isNotNull()).select(key, *(F.col(d).alias(f"_v_{d}") for d in dims), *(F.col(f"start_{d}").cast("int").alias(f"_at_{d}") for d in dims)), key, buckets)
+    longest = first.agg(*(F.max(F.size(f"_v_{d}")).alias(d) for d in dims)).first()
+    state = evaluate(first.select("*", *(c.alias(d) for d, c in at.items()))).withColumn("_seen", F.array(F.struct(*dims, F.col("cost").cast("double").alias("cost"))).cast(seen_type))
+    state = dealt(state.withColumns({"_cost": F.coalesce(F.col("cost").cast("double"), worst), "_moves": F.lit(True), "_moved": F.lit(False)}).drop(*dims, "cost"), key, buckets, spread=False)
+    drop(first)
+
+    def same(a: Column, b: Column | None = None) -> Column:
+        return functools.reduce(lambda x, y: x & y, (a[d] == (F.col(d) if b is None else b[d]) for d in dims))
 
     for _ in range(passes):
         for d in dims:
             size, steps, width = F.size(f"_v_{d}"), 1, (longest[d] or 1) - 1
             while width > 2:
                 steps, width = steps + 1, -(-width // 2)
-            now = state.withColumns({"_lo": F.lit(0), "_hi": size - 1, "_k": F.col(f"_at_{d}"), "_c": F.col("_cost"), "_on": F.col("_moves") & (size > 1)})
+            line = None
             for step in range(steps):
+                if line is None:
+                    now = state.withColumns({"_lo": F.lit(0), "_hi": size - 1, "_k": F.col(f"_at_{d}"), "_c": F.col("_cost"), "_on": F.col("_moves") & (size > 1), "_more": none})
+                else:
+                    now = state.join(line, key)
                 middle = F.floor((F.col("_lo") + F.col("_hi")) / 2).cast("int")
-                probes = now.where("_on").withColumn("_p", F.explode(F.array_distinct(F.array("_lo", middle, "_hi"))))
-                probes = costs(probes.select(key, "_p", "_seen", *(F.element_at(F.col(f"_v_{d}"), F.col("_p") + 1).alias(d) if x == d else c.alias(x) for x, c in at.items())))
-                best = probes.groupBy(key).agg(F.min(F.struct(F.coalesce("cost", worst).alias("cost"), "_p")).alias("_b"), F.collect_list(F.when(F.col("_new"), F.struct(*dims, "cost"))).alias("_more"))
+                sets = F.transform(F.array_distinct(F.array("_lo", middle, "_hi")), lambda p: F.struct(p.alias("_p"), *(F.element_at(F.col(f"_v_{d}"), p + 1).alias(d) if x == d else c.alias(x) for x, c in at.items())))  # noqa: B023
+                now = now.withColumns({"_sets": F.when(F.col("_on"), sets), "_all": F.concat("_seen", "_more")})
+                new = F.filter("_sets", lambda s: ~F.exists("_all", lambda x: same(x, s)))
+                old = F.filter(F.transform("_sets", lambda s: F.struct(F.filter("_all", lambda x: same(x, s)).alias("was"), s["_p"].alias("_p"))), lambda s: F.size(s["was"]) > 0)
+                asked = evaluate(now.where("_on").select(key, F.explode(new).alias("_s")).select(key, "_s.*"))
+                found = asked.groupBy(key).agg(F.collect_list(F.struct("_p", *dims, F.col("cost").cast("double").alias("cost"))).alias("_found"))
+                now = now.withColumn("_old", F.transform(old, lambda s: F.struct(F.coalesce(s["was"][0]["cost"], worst).alias("cost"), s["_p"].alias("_p")))).drop("_sets", "_all").join(found, key, "left")
+                costs = F.concat("_old", F.coalesce(F.transform("_found", lambda s: F.struct(F.coalesce(s["cost"], worst).alias("cost"), s["_p"].alias("_p"))), F.expr("cast(array() as array<struct<cost: double, _p: int>>)")))
+                more = F.coalesce(F.transform("_found", lambda s: F.struct(*(s[x].alias(x) for x in dims), s["cost"].alias("cost"))).cast(seen_type), none)
+                now = now.withColumns({"_b": F.array_min(costs), "_more": F.concat("_more", more)})
                 c, p = F.col("_b.cost"), F.col("_b._p")
                 go, better = F.col("_on") & (F.col("_hi") - F.col("_lo") > 2), F.col("_on") & (c < F.col("_c"))
-                now = now.join(best, key, "left").withColumns({
-                    "_k": F.when(better, p).otherwise(F.col("_k")), "_c": F.when(better, c).otherwise(F.col("_c")), "_on": go, "_seen": F.when(F.col("_on"), F.concat("_seen", "_more")).otherwise(F.col("_seen")).cast(seen_type),
+                now = now.withColumns({
+                    "_k": F.when(better, p).otherwise(F.col("_k")), "_c": F.when(better, c).otherwise(F.col("_c")), "_on": go,
                     "_lo": F.when(go & (p > middle), middle).otherwise(F.col("_lo")), "_hi": F.when(go & (p <= middle), middle).otherwise(F.col("_hi")),
-                }).drop("_b", "_more")
-                if step == steps - 1:
-                    now = now.withColumns({"_moved": F.col("_moved") | (F.col("_k") != F.col(f"_at_{d}")), f"_at_{d}": F.col("_k"), "_cost": F.col("_c")})
-                    if d == dims[-1]:
-                        now = now.withColumns({"_moves": F.col("_moved"), "_moved": F.lit(False)})
-                    now = now.select(*state.columns)
-                old, now = state, cut(now)
-                drop(old)
-                state = now
+                })
+                if step < steps - 1:
+                    read, line = line, dealt(now.select(key, "_lo", "_hi", "_k", "_c", "_on", "_more"), key, buckets, spread=False)
+                    drop(*([read] if read else []))
+            now = now.withColumns({"_moved": F.col("_moved") | (F.col("_k") != F.col(f"_at_{d}")), f"_at_{d}": F.col("_k"), "_cost": F.col("_c"), "_seen": F.concat("_seen", "_more")})
+            if d == dims[-1]:
+                now = now.withColumns({"_moves": F.col("_moved"), "_moved": F.lit(False)})
+            old_state, state = state, dealt(now.select(*state.columns), key, buckets, spread=False)
+            drop(old_state, *([line] if line else []))
         if state.where("_moves").isEmpty():
             break
     around = state.select(key, "_seen", *(F.slice(f"_v_{d}", F.greatest(F.col(f"_at_{d}") - radius, F.lit(0)) + 1, F.least(F.col(f"_at_{d}") + radius, F.size(f"_v_{d}") - 1) - F.greatest(F.col(f"_at_{d}") - radius, F.lit(0)) + 1).alias(d) for d in dims))
     for d in dims:
         around = around.withColumn(d, F.explode(d))
-    return state.select(key, F.inline("_seen")).unionByName(costs(around).where("_new").select(key, *dims, "cost"))
+    around = around.where(~F.exists("_seen", lambda x: same(x))).select(key, *dims)
+    return state.select(key, F.inline("_seen")).unionByName(evaluate(around).select(key, *dims, F.col("cost").cast("double").alias("cost")))
 
 
 def union(parts: list[DataFrame]) -> DataFrame:

@@ -62,8 +62,9 @@ SELECT v.k, v // 1000 AS x, v % 1000 AS y, s.m[v] AS cost FROM v JOIN s USING (k
 def q_refined_search(spark, d):
     """A search a part: line number by quantity for the least price."""
     facts = V.table(spark, d, "lineitem").select(F.col("l_partkey").alias("k"), F.col("l_linenumber").alias("x"), F.col("l_quantity").cast("int").alias("y"), "l_extendedprice")
-    places = S.domains(facts, "k", ["x", "y"]).withColumns({f"start_{c}": F.floor(F.size(c) / 2) for c in ("x", "y")})
-    return S.refine(places, S.lookup(facts, "k", ["x", "y"], "l_extendedprice"), "k", ["x", "y"])
+    look = S.lookup(facts, "k", ["x", "y"], "l_extendedprice")
+    places = S.domains(look.known, "k", ["x", "y"]).withColumns({f"start_{c}": F.floor(F.size(c) / 2) for c in ("x", "y")})
+    return S.refine(places, look, "k", ["x", "y"])
 
 
 DESCENT = """WITH RECURSIVE e AS (SELECT o_orderkey AS revision, lag(o_orderkey) OVER (PARTITION BY o_custkey // 30 ORDER BY o_orderkey) AS parent FROM orders

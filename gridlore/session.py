@@ -50,8 +50,23 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def dealt(df: DataFrame, key: str, buckets: int, spread: bool = True) -> DataFrame:
+    """df as `cut` gives it, dealt out by a hash of key to so many buckets: joins and groups by key of tables that are dealt alike move no rows.
+
+    spread: bring the rows of a bucket to one task first; without it they should lie so already, else a bucket has many files.
+    """
+    spark = df.sparkSession
+    name = f"dealt_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    (df.repartition(buckets, key) if spread else df).write.bucketBy(buckets, key).option("path", path).saveAsTable(name, format="parquet")
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the name only: files outside of the warehouse stay, and so does the table that was read
+    out._cut_path = path
+    return out
+
+
 def drop(*frames: DataFrame) -> None:
-    """Delete tables that `cut` wrote and nothing reads any more."""
+    """Delete tables that `cut` or `dealt` wrote and nothing reads any more."""
     for df in frames:
         p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._cut_path)
         p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)

@@ -97,6 +97,27 @@ def test_many_searches_at_once(spark):
     assert search.refine(table.limit(0), look, "k", ["a", "b", "c"]).count() == 0
 
 
+def test_refinement_moves_no_facts(spark):
+    r = random.Random(7)
+    values = [list(range(9)), list(range(12))]
+    cost = {k: {p: float(r.randrange(50)) for p in itertools.product(*values) if r.random() < 0.9} for k in range(40)}
+    rows = [(k, *p, c) for k, costs in cost.items() for p, c in costs.items()]
+    facts = spark.createDataFrame(rows + [(k, a, b, c + 1) for k, a, b, c in rows] + [(None, 1, 1, 0.0)], "k int, a int, b int, cost double")
+    look, plans = search.lookup(facts, "k", ["a", "b"], "cost"), []
+
+    def evaluate(sets):
+        plans.append(look(sets).groupBy("k").count()._jdf.queryExecution().executedPlan().toString())
+        return look(sets)
+
+    evaluate.buckets = look.buckets
+    starts = search.domains(look.known, "k", ["a", "b"]).selectExpr("*", "2 start_a", "3 start_b")
+    got = search.refine(starts, evaluate, "k", ["a", "b"]).collect()
+    want = {(k, *p): c for k, costs in cost.items() for p, c in plain_refine(values, costs, [2, 3]).items()}
+    assert {tuple(x[:3]): x.cost for x in got} == want and len(got) == len(want)
+    assert len(plans) > 10 and not [p for p in plans if "Exchange hashpartitioning" in p]
+    assert not spark.catalog.listTables()
+
+
 def plain_descendants(edges, floors):
     children, found = {}, {f for f in floors if f is not None}
     for c, p in edges:
