@@ -3,6 +3,7 @@
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from gridlore.sources import indices
 
@@ -40,6 +41,24 @@ def test_evaluation_csv(spark, tmp_path):
         indices.page_evaluations(spark, str(tmp_path / "g.csv")).collect()
 
 
+def test_lists_are_read_as_json(spark):
+    numbers = ["[]", "[0]", "[ 1]", "[1, 2,3.25]", "[1,2", "[012]", "[-0]", "[-0.5, -7]", "[1.]", "[.5]", "[1e3]", "[1,,2]", "[1,  2]", "[NaN]", "[123456789012345678901]", "[123456789012345.0123456789]", '["1"]', "null", "[null]", "[1]x", "[1]\n", "", None, "7", "[[1]]", "[0.1,0.7]"]
+    texts = ["[]", '["a"]', '["a", "b"]', '["a","b, c","", "[é]"]', '["a\\"b"]', '["a" ,"b"]', '["a",  "b"]', '["a", 1]', '["a", null]', '["a""b"]', '["a\tb"]', '["a", "b"', "null", None, '["\\u0041"]', '[", ", "x"]', '["]"]']
+    for kind, cells in (("array<double>", numbers), ("array<string>", texts)):
+        df = spark.createDataFrame([(n, c) for n, c in enumerate(cells)], "n int, c string").repartition(2)
+        for r in df.select("c", indices._json(F.col("c"), kind).alias("got"), F.from_json("c", kind).alias("want")).collect():
+            assert repr(r.got) == repr(r.want), r
+
+
+def test_sets_are_nested_after_one_shuffle_of_pages(spark, tmp_path):
+    (tmp_path / "e.csv").write_text(csv([{"parameter_set_id": "p", "global_ordinal": 1, "status": "ok", "parameters_json": '{"k": 1}'}]))
+    sets = indices.nested_results(indices.page_evaluations(spark, str(tmp_path / "e.csv")))
+    assert sets.first().parameters == {"k": "1"} and sets.first().pages[0].edge_errors == {}
+    plan = sets.select("identity", "pages")._jdf.queryExecution().executedPlan().toString()
+    assert "parameters_json" not in plan and plan.count("Exchange hashpartitioning") == 1
+    assert "Aggregate" not in plan[plan.index("Exchange hashpartitioning") :]
+
+
 def test_telemetry(spark, tmp_path):
     for name, text in {
         "w/3.tsv": "start\t5.5\nend\t9\n", "w/4.tsv": "start\t9\nstart\t8\r\nend\t7\r\n", "t/0.tsv": "claim\t1\t2\tdet\t0\t4\t8\nstart\t3\nfinish\t9\tok\n",
